@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, simhash, token_counts, token_files
+from . import interpolation, media, simhash, token_counts, token_files
 from .common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(read(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op4_token_counts, op6_simhash, op7_token_files)}
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_media_columns, op4_token_counts, op6_simhash, op7_token_files)}
 ORACLES: dict[str, str] = {}
