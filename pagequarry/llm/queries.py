@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import interpolation, language, media, quality, simhash, token_counts, token_files
+from . import decontaminate, interpolation, language, media, mixing, quality, simhash, token_counts, token_files
 from .common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -39,5 +39,48 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_media_columns, op3_language, op4_token_counts, op6_simhash, op7_token_files, op9_quality)}
-ORACLES: dict[str, str] = {}
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_media_columns, op3_language, op4_token_counts, op6_simhash, op7_token_files, op8_source_mix, op9_quality, op10_decontaminate)}
+WORDS_SQL = r"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+OP8_SQL = """
+WITH RECURSIVE sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, (1.0::DOUBLE * (SELECT count(*) FROM documents)::DOUBLE) / ((SELECT count(*) FROM sizes)::DOUBLE * n) AS rate FROM sizes),
+split AS (SELECT source, greatest(1, ceil(rate / 16.0))::INT AS pieces, rate / greatest(1, ceil(rate / 16.0)) AS r FROM rates),
+cdf(source, r, k, t, c) AS (
+    SELECT source, r, 0, exp(-r), exp(-r) FROM split
+    UNION ALL SELECT source, r, k + 1, t * r / (k + 1), c + t * r / (k + 1) FROM cdf WHERE k < 79
+),
+draws AS (
+    SELECT doc_id, d.source, j, ('0x' || substr(md5('copies:2024:' || d.doc_id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    FROM documents d JOIN split s ON d.source IS NOT DISTINCT FROM s.source, LATERAL (SELECT unnest(range(1, s.pieces + 1)) AS j)
+),
+drawn AS (SELECT doc_id, count(*) AS copies FROM draws w JOIN cdf ON w.source IS NOT DISTINCT FROM cdf.source AND cdf.c <= w.u GROUP BY doc_id),
+repeated AS (SELECT doc_id, unnest(range(1, copies + 1))::INT AS copy_no FROM drawn)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copy_no, substr(md5('order:2024:' || d.doc_id || ':' || copy_no), 1, 16) AS mix_key
+FROM repeated JOIN documents d USING (doc_id)
+"""
+
+OP10_SQL = f"""
+WITH words AS (
+    SELECT 'd' AS side, doc_id AS id, {WORDS_SQL.format(text="text")} AS w FROM documents
+    UNION ALL SELECT 'b', item_id, {WORDS_SQL.format(text="text")} FROM benchmark
+),
+shingles AS (
+    SELECT DISTINCT side, id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+    FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+),
+sizes AS (SELECT id, count(*) AS n FROM shingles WHERE side = 'b' GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS n_shared, any_value(n)::BIGINT AS n_item, count(*)::DOUBLE / any_value(n) AS containment
+FROM shingles d JOIN shingles b ON d.s = b.s AND d.side = 'd' AND b.side = 'b' JOIN sizes ON sizes.id = b.id
+GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n)
+"""
+
+ORACLES: dict[str, str] = {"op8_source_mix": OP8_SQL, "op10_decontaminate": OP10_SQL}
