@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, interpolation, language, media, mixing, quality, simhash, token_counts, token_files
+from . import decontaminate, interpolation, language, licenses, media, mixing, quality, simhash, token_counts, token_files
 from .common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,6 +20,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(read(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs.withColumn("path", licenses.tree_path(F.col("doc_id"))))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3)
 
@@ -47,7 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_media_columns, op3_language, op4_token_counts, op6_simhash, op7_token_files, op8_source_mix, op9_quality, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_media_columns, op3_language, op4_token_counts, op5_licenses, op6_simhash, op7_token_files, op8_source_mix, op9_quality, op10_decontaminate)}
 WORDS_SQL = r"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 OP8_SQL = """
