@@ -6,7 +6,9 @@ A plan module holds ``QUERIES`` (name -> function of spark and table folder) and
 
 from __future__ import annotations
 
-MODULES: list = []
+from . import analysis_queries
+
+MODULES: list = [analysis_queries]
 
 
 def queries() -> dict:
