@@ -74,7 +74,7 @@ def test_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("l_orderkey") + test) % 3 != 0, F.concat(F.lit("test "), test.cast("string"), F.repeat(F.lit("x"), (item % 4).cast("int")))).otherwise("").alias("name"),
         (F.col("l_quantity").cast("long") % 3 + 1).cast("double").alias("weight"),
         hit.alias("passed"),
-        (F.col("l_orderkey") * 8 + test).alias("pos"), "l_partkey", "l_suppkey",
+        ((F.col("l_orderkey") * 8 + test) * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("pos"), "l_partkey", "l_suppkey",
     )
 
 
@@ -84,7 +84,7 @@ OUTCOMES_SQL = """tc_results AS (
     CASE WHEN (l_orderkey + l_linenumber) % 3 <> 0 THEN 'test ' || CAST(l_linenumber AS VARCHAR) || repeat('x', CAST((l_partkey % 400) % 4 AS INT)) ELSE '' END AS name,
     CAST(CAST(floor(l_quantity) AS BIGINT) % 3 + 1 AS DOUBLE) AS weight,
     (l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7 + l_orderkey * 13) % 100 < ((l_partkey % 400) * 53 + l_linenumber * 29) % 121 AS passed,
-    l_orderkey * 8 + l_linenumber AS pos, l_partkey, l_suppkey
+    (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos, l_partkey, l_suppkey
   FROM lineitem)"""
 
 
