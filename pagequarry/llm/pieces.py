@@ -1,24 +1,33 @@
 """Pre-tokens of a byte-level BPE tokenizer, encoded once each and looked up after that.
 
 A text is cut into *pieces* whose token ids don't depend on their neighbours.  Text made of plain characters with
-single blanks between words is cut at the blanks (fast path); a piece that isn't known yet is cut into pre-tokens
-by the pre-tokenizer's pattern, and each unknown pre-token goes through the tokenizer's own BPE model.  Any other text goes
+single blanks between words is cut at the blanks (fast path); a word that isn't known yet is cut into pre-tokens
+by the pre-tokenizer's pattern, and each pre-token goes through the tokenizer's own BPE model.  Any other text goes
 through the library whole, so that special strings and rare characters are handled exactly as it does.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Entries that a worker's cache holds at most before it is emptied.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_500_000
 
 #: Letters for which the pattern below and the tokenizer's Unicode classes agree for certain.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 PLAIN = re.compile(rf"[\n -~{LETTERS}¡¢£¤¥¦§¨©«¬®¯°±´¶·¸»¿×÷‐-—‘-”†-…€]*")
+#: Marks that are a pre-token of their own behind a word.
+MARKS = ".,;:!?"
+#: Stands before the first word of a text, which no blank precedes; no plain text holds it.
+OPENING = "\x01"
 UNEVEN = ("  ", "\n\n", " \n", "\n ")
 
 
@@ -48,56 +57,92 @@ def is_plain(text: str, special: tuple[str, ...]) -> bool:
 
 
 class PieceCache(dict):
-    """piece -> value of its ids; unknown pieces are encoded on the way.
+    """piece -> value of its ids; see ``split``.  ``first`` is a table that is asked before the worker's own entries.
 
-    ``first`` is a table that is asked before the worker's own entries (frequent pre-tokens, broadcast).
+    A word with one mark behind it is put together from the word, which is known more often, and the mark.
     """
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], total: Callable[[list], object], first: dict | None = None):
+    def __init__(self, path: str, value: Callable[[list[int]], object], total: Callable[[list], object]):
         super().__init__()
-        self.model, self.value, self.total, self.first = tokenizer(path).model, value, total, first or {}
+        self.tokenize, self.value, self.total, self.first = tokenizer(path).model.tokenize, value, total, {}
         self.letters = byte_letters()
+        self.blank = " ".translate(self.letters)
 
     def pre_token(self, piece: str):
-        found = self.first.get(piece)
-        if found is None:
-            mapped = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = self.value([t.id for t in self.model.tokenize(mapped)])
-        return found
+        return self.value([t.id for t in self.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))])
 
     def __missing__(self, piece: str):
         found = self.first.get(piece)
-        if found is None:
-            parts = PRE_TOKEN.findall(piece)
-            found = self.pre_token(piece) if len(parts) == 1 else self.total([self.pre_token(p) for p in parts])
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = found
+        if found is not None:
+            return found
+        if piece.isalpha():
+            mapped = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            found = self.value([t.id for t in self.tokenize(self.blank + mapped)])
+        elif piece[:-1].isalpha() and piece[-1] in MARKS:
+            found = self.total([self[piece[:-1]], self.pre_token(piece[-1])])
+        else:
+            whole = piece[1:] if piece[0] == OPENING else piece if piece[0] == "\n" else " " + piece
+            found = self.total([self.pre_token(p) for p in PRE_TOKEN.findall(whole)])
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        self[piece] = found
         return found
 
 
-def plain_pieces(text: str) -> list[str]:
-    """The pieces of a plain text: words with the blank before them; a line's first word has none; line ends."""
-    out: list[str] = []
-    for i, line in enumerate(text.split("\n")):
-        if i:
-            out.append("\n")
-        words = line.split(" ")
-        out.append(words[0])
-        out += [" " + w for w in words[1:]]
-    return out
+def split(texts: list[str]) -> pa.ListArray:
+    """The pieces of plain texts: the first word behind ``OPENING``; each word without the blank before it; a line end with the next line's first word."""
+    marked = pc.replace_substring(pa.array([OPENING + t for t in texts], pa.string()), "\n", " \n")
+    return pc.split_pattern(marked, " ")
 
 
 class Encoder:
-    """Values of whole texts: ``total`` over the values of their pieces, or of the library's ids."""
-
-    def __init__(self, path: str, value: Callable[[list[int]], object], total: Callable[[list], object], first: dict | None = None):
-        self.whole, self.value, self.total = tokenizer(path), value, total
-        self.cache = PieceCache(path, value, total, first)
-        self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-
-    def __call__(self, text: str | None):
-        text = text or ""
-        if is_plain(text, self.special):
-            return self.total(list(map(self.cache.__getitem__, plain_pieces(text))))
-        return self.value(self.whole.encode(text, add_special_tokens=False).ids)
+    """Token ids of batches of whole texts, or only how many; every distinct piece of a batch is looked up once."""
+
+    def __init__(self, path: str, dtype: str | None = None):
+        self.whole, self.dtype = tokenizer(path), dtype
+        self.cache = PieceCache(path, (lambda ids: array(dtype, ids).tobytes()) if dtype else len, b"".join if dtype else sum)
+        self.special = special_strings(path)
+
+    def _values(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """Values of distinct pieces, each piece's place among them, the pieces' limits per plain text, and which texts are plain."""
+        plain = np.fromiter((is_plain(t, self.special) for t in texts), bool, len(texts))
+        lists = split([t for t, p in zip(texts, plain, strict=True) if p])
+        coded = lists.flatten().dictionary_encode()
+        values = list(map(self.cache.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        return values, coded.indices.to_numpy(), lists.offsets.to_numpy(), plain
+
+    def lengths(self, texts: list[str | None]) -> np.ndarray:
+        """The number of tokens of each text."""
+        texts = [t or "" for t in texts]
+        values, at, limits, plain = self._values(texts)
+        out = np.zeros(len(texts), np.int64)
+        out[plain] = np.diff(np.r_[0, np.cumsum(np.array(values, np.int64)[at])][limits])
+        for i in np.flatnonzero(~plain):
+            out[i] = len(self.whole.encode(texts[i], add_special_tokens=False).ids)
+        return out
+
+    def ids(self, texts: list[str | None], end: int) -> list[bytes]:
+        """The ids of each text and ``end``, as little-endian integers of the encoder's type."""
+        texts = [t or "" for t in texts]
+        values, at, limits, plain = self._values(texts)
+        width = np.dtype(self.dtype).itemsize
+        n = np.fromiter(map(len, values), np.int32, len(values)) // width
+        flat = np.frombuffer(b"".join(values), self.dtype)
+        sizes = n[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        shift = (np.cumsum(n, dtype=np.int64) - n)[at] - (ends - sizes)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, sizes)].tobytes()
+        cuts = (np.r_[0, ends][limits] * width).tolist()
+        last = array(self.dtype, [end]).tobytes()
+        some = iter([ids[i:j] + last for i, j in zip(cuts, cuts[1:], strict=False)])
+        return [next(some) if p else array(self.dtype, self.whole.encode(t, add_special_tokens=False).ids).tobytes() + last for t, p in zip(texts, plain, strict=True)]
+
+
+def special_strings(path: str) -> tuple[str, ...]:
+    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+
+
+@lru_cache(maxsize=4)
+def worker_encoder(path: str, dtype: str | None = None) -> Encoder:
+    """This Python worker's encoder, whose cache lives as long as the worker."""
+    return Encoder(path, dtype)

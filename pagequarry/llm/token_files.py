@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, session, shared_dir
-from .pieces import Encoder
+from .pieces import tokenizer, worker_encoder
 
 #: Bytes of ids (4 each) that a block gathers before it is closed.
 BLOCK_BYTES = 1 << 20
@@ -37,15 +37,19 @@ def length_table() -> np.ndarray:
     return np.stack([(b >> (2 * i) & 3) + 1 for i in range(4)], axis=1).astype(np.int64)
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of unsigned 32-bit values."""
-    v = values.astype(np.uint32)
+def pack(values: np.ndarray, runs: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each run of unsigned 32-bit values; ``runs`` holds their lengths."""
+    v = values.astype("<u4")
     code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[: len(v)] = code
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    octets = v.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), octets[np.arange(4) <= code[:, None]].tobytes()
+    padded = -(-runs // 4)
+    ends, slots = np.cumsum(runs), np.cumsum(padded)
+    wide = np.zeros(4 * int(padded.sum()), np.uint8)
+    wide[np.arange(len(v)) + np.repeat(4 * (slots - padded) - (ends - runs), runs)] = code
+    control = (wide.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
+    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
+    until = np.r_[0, np.cumsum(code.astype(np.int64) + 1)][np.r_[0, ends]].tolist()
+    at = np.r_[0, slots].tolist()
+    return [control[i:j] for i, j in zip(at, at[1:], strict=False)], [data[i:j] for i, j in zip(until, until[1:], strict=False)]
 
 
 def unpack(control: bytes, data: bytes, runs: np.ndarray, n: int) -> np.ndarray:
@@ -65,35 +69,34 @@ def unpack(control: bytes, data: bytes, runs: np.ndarray, n: int) -> np.ndarray:
 
 
 def token_ids(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """id, and each whole text's token ids with the end id, as little-endian 16- or 32-bit integers (``width``)."""
-    wide = _vocabulary(path) > 0x10000
-    dtype = "<u4" if wide else "<u2"
+    """id, and each whole text's token ids with the end id, as little-endian 16- or 32-bit integers."""
+    dtype = _dtype(path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = Encoder(path, lambda ids: np.array(ids, dtype).tobytes(), b"".join)
-        end = np.array([END_ID], dtype).tobytes()
+        run = worker_encoder(path, dtype)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([run(t) + end for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(run.ids(batch.column(1).to_pylist(), END_ID), pa.binary())], names=["id", "ids"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(encode, "id long, ids binary")
 
 
 def _vocabulary(path: str) -> int:
-    from .pieces import tokenizer
-
     return tokenizer(path).get_vocab_size(with_added_tokens=True)
 
 
+def _dtype(path: str) -> str:
+    """Ids that fit take two bytes ("H"), others four ("I")."""
+    return "I" if _vocabulary(path) > 0x10000 else "H"
+
+
 def id_ranks(encoded: DataFrame, dtype: str, vocabulary: int) -> np.ndarray:
     """rank of each id by its frequency over all documents (ties: the smaller id first); bounded by the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(x, dtype))
-                total[: len(got)] += got
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=vocabulary)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"token": pa.array(there, pa.int64()), "n": pa.array(total[there], pa.int64())})
 
@@ -109,8 +112,7 @@ def id_ranks(encoded: DataFrame, dtype: str, vocabulary: int) -> np.ndarray:
 def write_files(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> None:
     """Encodes ``docs`` into token files at ``out``: ``blocks`` and ``ranks``."""
     spark = session(docs.sparkSession)
-    vocabulary = _vocabulary(path)
-    dtype = "<u4" if vocabulary > 0x10000 else "<u2"
+    vocabulary, dtype = _vocabulary(path), _dtype(path)
     encoded = materialize(token_ids(docs, path, id_col, text_col), "token-ids")
     rank = id_ranks(encoded, dtype, vocabulary)
     order = np.argsort(rank).tolist()
@@ -120,8 +122,10 @@ def write_files(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", te
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         for batch in batches:
-            coded = [(len(x) // int(dtype[2]), *pack(ranks[np.frombuffer(x, dtype)])) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c[0] for c in coded], pa.int64()), pa.array([c[1] for c in coded], pa.binary()), pa.array([c[2] for c in coded], pa.binary())], names=["id", "n", "control", "data"])
+            own = batch.column(1).to_pylist()
+            n = np.array([len(x) // np.dtype(dtype).itemsize for x in own], np.int64)
+            control, data = pack(ranks[np.frombuffer(b"".join(own), dtype)], n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["id", "n", "control", "data"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
