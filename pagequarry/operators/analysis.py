@@ -40,12 +40,13 @@ def bucket(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row of statistics per group.
 
     Median and quartiles of the integer scores come from a histogram of the scores: group and score are aggregated
-    first, with map-side sums, so that no group's rows are ever gathered in one task.
+    first, with map-side sums, so that no group's rows are ever gathered in one task.  Rates are summed as decimals: their sum
+    doesn't depend on the order of the rows.
     """
     done = F.col("eval_status").isin(*COMPLETED)
     dims = [x for d in DIMENSIONS for x in (F.sum(d).alias(f"s_{d}"), F.count(d).alias(f"n_{d}"))]
     by_score = rows.groupBy(*keys, "total").agg(
-        F.count("*").alias("n"), F.count_if(done).alias("done"), F.sum("test_pass_rate").alias("tpr"), F.count("test_pass_rate").alias("tprs"), *dims
+        F.count("*").alias("n"), F.count_if(done).alias("done"), F.sum(F.col("test_pass_rate").cast("decimal(18,6)")).alias("tpr"), F.count("test_pass_rate").alias("tprs"), *dims
     )
     t, n = F.col("total"), F.col("n")
     grouped = by_score.groupBy(*keys).agg(
@@ -64,7 +65,7 @@ def bucket(rows: DataFrame, keys: list[str]) -> DataFrame:
         share(F.col("done"), size, 3).alias("completion_rate"), share(F.col("a"), size, 3).alias("tier_a_pct"), share(F.col("b"), size, 3).alias("tier_b_pct"), share(F.col("c"), size, 3).alias("tier_c_pct"),
         F.col("done").alias("completed_total"), F.coalesce(share(F.col("sd"), F.nullif(F.col("done"), F.lit(0)), 1), F.lit(0.0)).alias("avg_score_completed"),
         F.when(F.col("done") > 0, mid("good", F.col("done"))).otherwise(0.0).alias("median_score_completed"),
-        F.when(size >= 2, F.bround(F.sqrt(F.greatest(variance, F.lit(0.0))), 2)).alias("std_dev"), share(F.col("tpr"), F.nullif(F.col("tprs"), F.lit(0)), 3).alias("avg_test_pass_rate"),
+        F.when(size >= 2, F.bround(F.sqrt(F.greatest(variance, F.lit(0.0))), 2)).alias("std_dev"), share(F.col("tpr").cast("double"), F.nullif(F.col("tprs"), F.lit(0)), 3).alias("avg_test_pass_rate"),
         *(share(F.col(f"s_{d}"), F.nullif(F.col(f"n_{d}"), F.lit(0)), 1).alias(f"avg_{d}") for d in DIMENSIONS),
     )
 

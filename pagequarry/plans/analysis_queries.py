@@ -117,7 +117,7 @@ STATS = f"""count(*) AS total, round_even(avg(t), 1) AS avg_score, min(t) AS min
   round_even(count(*) FILTER (ok) / count(*), 3) AS completion_rate, round_even(count(*) FILTER (t >= 80) / count(*), 3) AS tier_a_pct,
   round_even(count(*) FILTER (t >= 40 AND t < 80) / count(*), 3) AS tier_b_pct, round_even(count(*) FILTER (t < 40) / count(*), 3) AS tier_c_pct,
   count(*) FILTER (ok) AS completed_total, coalesce(round_even(avg(t) FILTER (ok), 1), 0.0) AS avg_score_completed, coalesce(round_even(quantile_cont(t, 0.5) FILTER (ok), 1), 0.0) AS median_score_completed,
-  round_even(stddev_samp(t), 2) AS std_dev, round_even(avg(test_pass_rate), 3) AS avg_test_pass_rate, round_even(avg(rendering), 1) AS avg_rendering, round_even(avg(visual_design), 1) AS avg_visual_design,
+  round_even(stddev_samp(t), 2) AS std_dev, round_even(CAST(sum(CAST(test_pass_rate AS DECIMAL(18, 6))) AS DOUBLE) / count(test_pass_rate), 3) AS avg_test_pass_rate, round_even(avg(rendering), 1) AS avg_rendering, round_even(avg(visual_design), 1) AS avg_visual_design,
   round_even(avg(functionality), 1) AS avg_functionality, round_even(avg(interaction), 1) AS avg_interaction, round_even(avg(code_quality), 1) AS avg_code_quality"""
 FLAT = f"SELECT *, total AS t, {OK} AS ok FROM fam"
 TRIALS = f"""trials AS (SELECT item_id, count(*) AS n, count(*) FILTER ({OK} AND CASE WHEN test_pass_rate IS NOT NULL THEN test_pass_rate >= 0.8 ELSE total >= 40 END) AS c,

@@ -82,6 +82,6 @@ ORACLES = {
     "repair_strategy": f"""{DIAGNOSES} SELECT k AS record_id, quality, strategy, layer, CASE WHEN k % 6 = 0 AND strategy IN ('bug_fix', 'visual_enrichment') THEN 'feature_complete' ELSE strategy END AS allowed FROM st""",
     "repair_running": f"{TRACES} SELECT * FROM r",
     "repair_trace_stats": f"{TRACES}, p AS (SELECT record_id, arg_min(score, iteration) AS original_score, max(score) AS best_score, count(*) AS iterations FROM t GROUP BY 1) SELECT *, best_score - original_score AS improvement, best_score >= 80 AND best_score - original_score >= 10 AS sft_eligible FROM p",
-    "repair_strategy_stats": f"{TRACES} SELECT strategy, count(*) AS uses, round_even(avg(delta), 1) AS avg_delta, round_even(avg(CAST(delta > 0 AS INT)), 3) AS success_rate, count(*) FILTER (delta < -8) AS blacklisted FROM r WHERE delta IS NOT NULL GROUP BY strategy",
+    "repair_strategy_stats": f"{TRACES} SELECT strategy, count(*) AS uses, round_even(avg(delta), 1) + 0.0 AS avg_delta, round_even(avg(CAST(delta > 0 AS INT)), 3) AS success_rate, count(*) FILTER (delta < -8) AS blacklisted FROM r WHERE delta IS NOT NULL GROUP BY strategy",
 }
 QUERIES = {name: globals()[name] for name in [*ORACLES, "repair_replay"]}
