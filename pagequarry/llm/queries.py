@@ -89,4 +89,29 @@ FROM shingles d JOIN shingles b ON d.s = b.s AND d.side = 'd' AND b.side = 'b' J
 GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n)
 """
 
-ORACLES: dict[str, str] = {"op8_source_mix": OP8_SQL, "op10_decontaminate": OP10_SQL}
+TEMPLATE_SQL = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in licenses.TEMPLATES)
+FOLDER_SQL = "CASE WHEN doc_id % 10 = 0 THEN (doc_id // 1000) || '/' || (doc_id // 100) ELSE (doc_id // 1000) || '/' || (doc_id // 100) || '/' || (doc_id // 10) END"
+TERMS_SQL = r"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+OP5_SQL = f"""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS statement FROM documents),
+told AS (SELECT row_number() OVER () AS sid, doc_id, statement FROM lines WHERE regexp_matches(lower(statement), '{licenses.HINT}')),
+tf AS (SELECT sid, term, count(*) AS n FROM (SELECT sid, unnest({TERMS_SQL.format(text="statement")}) AS term FROM told) GROUP BY 1, 2),
+templates AS (SELECT license, term, count(*) AS m FROM (SELECT license, unnest({TERMS_SQL.format(text="words")}) AS term FROM (VALUES {TEMPLATE_SQL}) v(license, words)) GROUP BY 1, 2),
+size AS (SELECT count(*) AS total FROM told),
+df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM templates) GROUP BY term),
+idf AS (SELECT v.term, ln((1 + total)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM templates) v LEFT JOIN df ON v.term = df.term, size),
+norms AS (SELECT sid, sqrt(sum(pow(n * coalesce(idf, ln((1 + total)::DOUBLE / 2) + 1), 2))) AS norm FROM tf LEFT JOIN idf ON tf.term = idf.term, size GROUP BY sid),
+lengths AS (SELECT license, sqrt(sum(pow(m * idf, 2))) AS length FROM templates JOIN idf ON templates.term = idf.term GROUP BY license),
+dots AS (SELECT sid, license, sum(n * m * idf * idf) AS dot FROM tf JOIN templates ON tf.term = templates.term JOIN idf ON tf.term = idf.term GROUP BY 1, 2),
+cosines AS (SELECT d.sid, d.license, round(dot / (norm * length), 9) AS cosine FROM dots d JOIN norms ON d.sid = norms.sid JOIN lengths ON d.license = lengths.license),
+best AS (SELECT doc_id, license, cosine FROM (SELECT doc_id, license, cosine, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS nth FROM cosines JOIN told ON cosines.sid = told.sid WHERE cosine >= {licenses.SIMILARITY}) WHERE nth = 1),
+files AS (SELECT doc_id, {FOLDER_SQL} AS folder, {FOLDER_SQL} || '/' || CASE WHEN doc_id % 2 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path FROM documents),
+folders AS (SELECT folder, arg_min(license, path) AS folder_license FROM files JOIN best ON files.doc_id = best.doc_id WHERE files.doc_id % 2 = 0 GROUP BY folder),
+up AS (SELECT doc_id, 2 AS depth, (doc_id // 1000) || '/' || (doc_id // 100) AS folder FROM documents UNION ALL SELECT doc_id, 3, (doc_id // 1000) || '/' || (doc_id // 100) || '/' || (doc_id // 10) FROM documents WHERE doc_id % 10 <> 0),
+near AS (SELECT doc_id, arg_max(folder, depth) AS from_folder, arg_max(folder_license, depth) AS inherited FROM up JOIN folders USING (folder) GROUP BY doc_id)
+SELECT files.doc_id, path, best.license AS own_license, cosine, coalesce(best.license, inherited) AS license, CASE WHEN best.license IS NOT NULL THEN 'own' WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN best.license IS NULL THEN from_folder END AS from_folder
+FROM files LEFT JOIN best ON files.doc_id = best.doc_id LEFT JOIN near ON files.doc_id = near.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_licenses": OP5_SQL, "op8_source_mix": OP8_SQL, "op10_decontaminate": OP10_SQL}
