@@ -175,3 +175,12 @@ def inject(html: Column, helper: str) -> Column:
     parts = F.regexp_extract(html, "(?is)^(.*)(</body>.*)$", 1)
     rest = F.regexp_extract(html, "(?is)^(.*)(</body>.*)$", 2)
     return F.when(rest != "", F.concat(parts, F.lit(helper), rest)).otherwise(F.concat(html, F.lit(helper)))
+
+
+def unwrapped(text: Column) -> Column:
+    """A page without the prose or fence before it: as it is if it begins as a page, from behind an html fence, or from the page's start."""
+    begins = F.lower(F.regexp_replace(text, "^\\s+", "")).rlike("^(<!doctype|<html)")
+    behind = F.regexp_extract(text, "(?is)```html\\s*\\n(.*)$", 1)
+    inner = F.regexp_replace(F.regexp_replace(behind, "\\s*```\\s*$", ""), "\\s+$", "")
+    start = F.regexp_extract(text, "(?is)((?:<!doctype|<html).*)$", 1)
+    return F.when(begins, text).when(behind != "", F.when(behind.rlike("```\\s*$"), inner).otherwise(behind)).when(start != "", start).otherwise(text)

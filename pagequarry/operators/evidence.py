@@ -82,3 +82,35 @@ def repair_frames(frames: DataFrame, most: int = REPAIR_FRAMES) -> DataFrame:
     first = frames.withColumn("priority", priority).withColumn("nth", nth)
     ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("record_id").orderBy("nth", "priority", "seq")))
     return ranked.where(F.col("rank") <= most).select("record_id", "seq", "label", F.row_number().over(W.partitionBy("record_id").orderBy("seq")).cast("long").alias("place"))
+
+
+#: Label prefixes in the order in which frames are paired.
+PAIR_PRIORITY = ("stable", "after_click", "keyboard", "idle_animation", "scroll_bottom", "canvas_click", "hover", "gameplay")
+
+
+def paired_frames(frames: DataFrame, most: int = 3) -> DataFrame:
+    """Up to ``most`` (before, after) pairs of a record's frames (record_id, side, seq, label).
+
+    Labels of a prefix are paired greedily in order, prefix by prefix; what is left is paired by position.  A label counts once per
+    side (its last frame), which bounds what a record brings to its task.
+    """
+    labels = frames.groupBy("record_id", "side", "label").agg(F.min("seq").alias("first"), F.max("seq").alias("seq"))
+
+    def run(group):
+        import pandas as pd
+
+        ordered = group.sort_values("first")
+        before, after = ([*ordered[ordered["side"] == s][["label", "seq"]].itertuples(index=False, name=None)] for s in ("before", "after"))
+        pairs = []
+        for prefix in PAIR_PRIORITY:
+            for b in [x for x in before if x[0].startswith(prefix)]:
+                match = next((a for a in after if a[0].startswith(prefix)), None)
+                if match is None or len(pairs) >= most:
+                    break
+                pairs.append((b, match))
+                before.remove(b)
+                after.remove(match)
+        pairs += list(zip(before, after, strict=False))[: most - len(pairs)]
+        return pd.DataFrame([(group["record_id"].iloc[0], i, b[0], b[1], a[0], a[1]) for i, (b, a) in enumerate(pairs)], columns=["record_id", "pair", "before_label", "before_seq", "after_label", "after_seq"])
+
+    return labels.groupBy("record_id").applyInPandas(run, "record_id long, pair long, before_label string, before_seq long, after_label string, after_seq long")

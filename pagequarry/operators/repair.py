@@ -85,6 +85,57 @@ def broken_layer() -> Column:
     return F.when(F.col("overlays") > 0, "overlay").when(F.col("canvas") & (F.col("raf_calls") == 0), "game_loop").when(F.col("keyboard_broken"), "input").when(F.col("canvas") & (F.col("rendering") < 14), "canvas").otherwise("gameplay")
 
 
+def overridden(chosen: Column, size: Column, enabled: Column | None = None) -> Column:
+    """The engine's last word on a strategy: what isn't enabled becomes a rewrite, repeated rewrites of smaller pages vary, large pages are never patched."""
+    c = F.col
+    usable = chosen if enabled is None else F.when(F.array_contains(enabled, chosen), chosen).otherwise("holistic_rewrite")
+    varied = F.when((usable == "holistic_rewrite") & (c("rewrites") >= 2) & (c("score") < 80) & (size <= 35000), "feature_complete").otherwise(usable)
+    patching = varied.isin(*(n for n, mode in STRATEGIES.items() if mode == "patch"))
+    return F.when((size > 35000) & patching, F.when(c("score") >= 80, "visual_enrichment").otherwise("holistic_rewrite")).otherwise(varied)
+
+
+def candidates(most: int = 3) -> Column:
+    """How many candidates are made at a score."""
+    return F.when(F.col("score") < 70, most).when(F.col("score") < 90, 2).otherwise(1)
+
+
+def keyboard_broken() -> Column:
+    """Keys were tried on a page that wants them, and none did anything."""
+    c = F.col
+    return c("keyboard_game") & ((c("keyboard_probed") & (F.size("keys_responded") == 0) & ~c("keyboard_visual_change")) | (c("discovered_keys").isNotNull() & (F.size("discovered_keys") == 0)))
+
+
+def keyboard_verified() -> Column:
+    c = F.col
+    return c("keyboard_game") & ((c("keyboard_probed") & ((F.size("keys_responded") > 0) | c("keyboard_visual_change"))) | (c("discovered_keys").isNotNull() & (F.size("discovered_keys") > 0)))
+
+
+def reliable_issues(limit: int = 10) -> Column:
+    """Issues that measurements back, surest first: console errors (3), dead keys, dead buttons, missing animation, unbound buttons, what an
+    observer saw broken (5), what an audit found broken (while fewer than ``limit``), an agent's bugs (3).  Repeats are left out."""
+    c = F.col
+    nothing = F.array().cast("array<string>")
+    one = lambda test, text: F.when(test, F.array(F.lit(text) if isinstance(text, str) else text)).otherwise(nothing)
+    dynamic = c("dynamic")
+    measured = F.concat(
+        F.transform(F.slice("console_messages", 1, 3), lambda e: F.concat(F.lit("console error: "), e)), one(keyboard_broken(), "keyboard input has no effect"), one(dynamic & ~c("button_responsive"), "buttons have no visible effect"),
+        one(dynamic & ~c("animation_detected") & (c("frame_change_rate") == 0), "nothing is animated"), one((c("unbound_buttons") > 0) & (c("total_buttons") > 0), F.format_string("%d of %d buttons have no handler", "unbound_buttons", "total_buttons")),
+    )
+    seen = F.array_union(measured, F.slice("observer_broken", 1, 5))
+    audited = F.array_except("audit_broken", seen)
+    room = F.greatest(F.lit(0), F.lit(limit) - F.size(seen))
+    more = F.concat(seen, F.slice(audited, F.lit(1), room))
+    return F.when(c("agent_ran"), F.array_union(more, F.slice("agent_bugs", 1, 3))).otherwise(more)
+
+
+def preserved() -> Column:
+    """What a repair must not break: what an observer saw working, decorations, else highlights; and keys that work."""
+    working = F.array_union("observer_working", F.transform(F.array_except("visual_elements", "observer_working"), lambda v: F.concat(F.lit("[visual] "), v)))
+    base = F.when(F.size(working) == 0, F.col("highlights")).otherwise(working)
+    keys = F.coalesce("discovered_keys", F.array().cast("array<string>"))
+    return F.when(keyboard_verified() & (F.size(keys) > 0), F.concat(base, F.array(F.concat(F.lit("keys work: "), F.array_join(keys, ", "))))).otherwise(base)
+
+
 def running(traces: DataFrame) -> DataFrame:
     """Traces (record_id, iteration, strategy, score) with the best score so far, the delta to the last, and the length of the run of equal strategies."""
     order = W.partitionBy("record_id").orderBy("iteration")

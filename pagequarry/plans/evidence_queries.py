@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import image as I  # noqa: E741
 from ..operators import evidence as E
-from ..sources.tables import FRAMES_SQL, frames
+from ..sources.tables import FRAMES_SQL, frames, table
 
 
 def frame_evidence(spark, sf_dir):
@@ -32,6 +34,20 @@ def frame_repair_selection(spark, sf_dir):
     return E.repair_frames(frames(spark, sf_dir))
 
 
+def frame_pairs(spark, sf_dir):
+    """Frames before and after (even and odd captures of a record), paired by label."""
+    side = F.when(F.col("seq") % 2 == 0, "after").otherwise("before")
+    return E.paired_frames(frames(spark, sf_dir).withColumn("side", side))
+
+
+def frame_ssim(spark, sf_dir):
+    """Structural difference of each page's raster to the page before it on the same host."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)/", 1).alias("host"), I.raster("html").alias("frame"))
+    order = W.partitionBy("host").orderBy("page_id")
+    both = rows.withColumn("before", F.lag("frame").over(order))
+    return both.select("page_id", F.bround(I.frame_difference("before", "frame"), 6).alias("diff"), I.is_blank("frame").alias("blank"), F.coalesce(F.md5("before") != F.md5("frame"), F.lit(True)).alias("changed"))
+
+
 ANY = lambda test, limit: f"coalesce(bool_or(diff_from_prev > {limit}) FILTER ({test}), false)"
 ORACLES = {
     "frame_evidence": f"""WITH {FRAMES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY record_id, layer ORDER BY seq) AS nth FROM frames)
@@ -50,4 +66,4 @@ ORACLES = {
       n AS (SELECT *, row_number() OVER (PARTITION BY record_id, priority ORDER BY seq) AS nth FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY nth, priority, seq) AS rank FROM n)
       SELECT record_id, seq, label, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS place FROM r WHERE rank <= 5""",
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "frame_pairs", "frame_ssim"]}

@@ -54,6 +54,25 @@ def repair_replay(spark, sf_dir):
     return R.replay(traces(spark, sf_dir).withColumn("delta", F.col("score") - F.lag("score").over(order)))
 
 
+def repair_overrides(spark, sf_dir):
+    k = F.col("record_id")
+    rows = diagnoses(spark, sf_dir).withColumns({"rewrites": k % 4, "size": k * 97 % 60000, "chosen": F.element_at(F.array(*map(F.lit, NAMES)), (k % 12 + 1).cast("int"))})
+    return rows.select("record_id", R.overridden(F.col("chosen"), F.col("size")).alias("strategy"), R.candidates().cast("long").alias("candidates"))
+
+
+def repair_issues(spark, sf_dir):
+    """Issues and preserved features from recorded evidence, derived from orders."""
+    k = F.col("o_orderkey")
+    some = lambda n, *values: F.slice(F.array(*map(F.lit, values)), F.lit(1), (k % n).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("record_id"), some(5, "e1", "e2", "e3", "e4").alias("console_messages"), (k % 2 == 0).alias("keyboard_game"), (k % 3 == 0).alias("keyboard_probed"), some(3, "w", "a").alias("keys_responded"), (k % 7 == 0).alias("keyboard_visual_change"),
+        F.when(k % 5 == 0, some(4, "x", "y", "z")).alias("discovered_keys"), (k % 4 == 0).alias("dynamic"), (k % 8 == 0).alias("button_responsive"), (k % 12 == 0).alias("animation_detected"), (k % 3).alias("frame_change_rate"), (k % 3).alias("unbound_buttons"), (k % 6).alias("total_buttons"),
+        some(7, "o1", "o2", "o3", "o4", "o5", "o6").alias("observer_broken"), some(6, "o1", "t1", "t2", "t3", "t4").alias("audit_broken"), (k % 9 == 0).alias("agent_ran"), some(5, "t1", "g1", "g2", "g3").alias("agent_bugs"),
+        some(3, "works", "draws").alias("observer_working"), some(4, "draws", "logo", "frame").alias("visual_elements"), some(2, "nice").alias("highlights"),
+    )
+    return rows.select("record_id", F.array_join(R.reliable_issues(), ";").alias("issues"), F.array_join(R.preserved(), ";").alias("preserved"), R.keyboard_broken().alias("broken"), R.keyboard_verified().alias("verified"))
+
+
 PREV = "list_extract(['', " + ", ".join(f"'{n}'" for n in NAMES) + "], CAST(k % 13 + 1 AS INT))"
 OTHER = lambda name, instead: f"CASE WHEN prev <> '{name}' THEN '{name}' ELSE '{instead}' END"
 DEF = {d: f"(({m} - {d})::DOUBLE / {m})" for d, m in R.MAXIMA.items()}
@@ -84,4 +103,19 @@ ORACLES = {
     "repair_trace_stats": f"{TRACES}, p AS (SELECT record_id, arg_min(score, iteration) AS original_score, max(score) AS best_score, count(*) AS iterations FROM t GROUP BY 1) SELECT *, best_score - original_score AS improvement, best_score >= 80 AND best_score - original_score >= 10 AS sft_eligible FROM p",
     "repair_strategy_stats": f"{TRACES} SELECT strategy, count(*) AS uses, round_even(avg(delta), 1) + 0.0 AS avg_delta, round_even(avg(CAST(delta > 0 AS INT)), 3) AS success_rate, count(*) FILTER (delta < -8) AS blacklisted FROM r WHERE delta IS NOT NULL GROUP BY strategy",
 }
+PATCHING = "(" + ", ".join(f"'{n}'" for n, mode in R.STRATEGIES.items() if mode == "patch") + ")"
+ORACLES["repair_overrides"] = f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey * 11 % 101 AS score, o_orderkey * 97 % 60000 AS size, list_extract([{", ".join(f"'{n}'" for n in NAMES)}], CAST(o_orderkey % 12 + 1 AS INT)) AS c FROM orders),
+  v AS (SELECT *, CASE WHEN c = 'holistic_rewrite' AND k % 4 >= 2 AND score < 80 AND size <= 35000 THEN 'feature_complete' ELSE c END AS d FROM o)
+  SELECT k AS record_id, CASE WHEN size > 35000 AND d IN {PATCHING} THEN CASE WHEN score >= 80 THEN 'visual_enrichment' ELSE 'holistic_rewrite' END ELSE d END AS strategy, CAST(CASE WHEN score < 70 THEN 3 WHEN score < 90 THEN 2 ELSE 1 END AS BIGINT) AS candidates FROM v"""
+TAKE = lambda n, *values: "list_slice([" + ", ".join(f"'{v}'" for v in values) + f"], 1, CAST(k % {n} AS INT))"
+NEW = lambda more, seen: f"list_filter({more}, lambda x: NOT list_contains({seen}, x))"
+ORACLES["repair_issues"] = f"""WITH o AS (SELECT o_orderkey AS k FROM orders), e AS (SELECT k, CASE WHEN k % 5 = 0 THEN {TAKE(4, "x", "y", "z")} END AS keys, k % 2 = 0 AS game FROM o),
+  f AS (SELECT *, game AND ((k % 3 = 0 AND k % 3 = 0 AND k % 7 <> 0) OR (keys IS NOT NULL AND len(keys) = 0)) AS broken, game AND ((k % 3 = 0 AND (k % 3 > 0 OR k % 7 = 0)) OR (keys IS NOT NULL AND len(keys) > 0)) AS verified FROM e),
+  m AS (SELECT *, list_transform(list_slice({TAKE(5, "e1", "e2", "e3", "e4")}, 1, 3), lambda x: 'console error: ' || x) || CASE WHEN broken THEN ['keyboard input has no effect'] ELSE [] END || CASE WHEN k % 4 = 0 AND k % 8 <> 0 THEN ['buttons have no visible effect'] ELSE [] END
+    || CASE WHEN k % 4 = 0 AND k % 12 <> 0 AND k % 3 = 0 THEN ['nothing is animated'] ELSE [] END || CASE WHEN k % 3 > 0 AND k % 6 > 0 THEN [(k % 3) || ' of ' || (k % 6) || ' buttons have no handler'] ELSE [] END || list_slice({TAKE(7, "o1", "o2", "o3", "o4", "o5", "o6")}, 1, 5) AS seen FROM f),
+  a AS (SELECT *, seen || list_slice({NEW(TAKE(6, "o1", "t1", "t2", "t3", "t4"), "seen")}, 1, CAST(greatest(0, 10 - len(seen)) AS INT)) AS more FROM m),
+  w AS (SELECT *, {TAKE(3, "works", "draws")} AS working, {NEW(TAKE(4, "draws", "logo", "frame"), TAKE(3, "works", "draws"))} AS visual FROM a),
+  p AS (SELECT *, working || list_transform(visual, lambda v: '[visual] ' || v) AS good FROM w)
+  SELECT k AS record_id, array_to_string(CASE WHEN k % 9 = 0 THEN more || {NEW("list_slice(" + TAKE(5, "t1", "g1", "g2", "g3") + ", 1, 3)", "more")} ELSE more END, ';') AS issues,
+  array_to_string(CASE WHEN len(good) = 0 THEN {TAKE(2, "nice")} ELSE good END || CASE WHEN verified AND len(coalesce(keys, [])) > 0 THEN ['keys work: ' || array_to_string(keys, ', ')] ELSE [] END, ';') AS preserved, broken, verified FROM p"""
 QUERIES = {name: globals()[name] for name in [*ORACLES, "repair_replay"]}
