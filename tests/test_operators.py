@@ -147,3 +147,33 @@ def fold(scores):
         if low >= (3 if s < 80 else 2):
             return "converged", i, best
     return "exhausted", at, best
+
+
+def test_structural_difference(spark):
+    from pagequarry.functions import image
+
+    rng = np.random.default_rng(3)
+    grey = rng.integers(0, 256, image.WIDTH * image.HEIGHT, np.uint8)
+    other = rng.integers(0, 256, grey.size, np.uint8)
+    flat = bytes([7]) * grey.size
+    assert image.ssim_difference(grey.tobytes(), grey.tobytes()) == pytest.approx(0, abs=1e-12)
+    assert image.ssim_difference(grey.tobytes(), other.tobytes()) > 0.9
+    assert image.ssim_difference(None, flat) is None
+    rows = spark.createDataFrame([(flat, grey.tobytes())], "a binary, b binary").select(image.is_blank("a").alias("a"), image.is_blank("b").alias("b"), image.frame_difference("a", "b").alias("d")).first()
+    assert rows.a and not rows.b and rows.d == pytest.approx(image.ssim_difference(flat, grey.tobytes()))
+
+
+def test_frames_are_paired_by_label_then_position(spark):
+    from pagequarry.operators import evidence
+
+    rows = [(1, "before", 1, "stable"), (1, "before", 2, "hover_a"), (1, "before", 3, "odd"), (1, "after", 1, "hover_b"), (1, "after", 2, "stable"), (1, "after", 3, "other"), (1, "after", 4, "more"), (2, "before", 1, "stable")]
+    got = evidence.paired_frames(spark.createDataFrame(rows, "record_id long, side string, seq long, label string")).orderBy("pair").collect()
+    assert [(r.record_id, r.before_label, r.after_label) for r in got] == [(1, "stable", "stable"), (1, "hover_a", "hover_b"), (1, "odd", "other")]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("  <!DOCTYPE html>x", "  <!DOCTYPE html>x"), ("prose\n```html\n<p>a</p>\n```  ", "<p>a</p>"), ("prose ```html\n<p>a</p>", "<p>a</p>"), ("see <html>b", "<html>b"), ("nothing", "nothing")],
+)
+def test_unwrapping(spark, text, want):
+    assert one(spark, a=H.unwrapped(F.lit(text))).a == want
