@@ -31,6 +31,11 @@ SEMANTIC = ("assert_js_value", "assert_text_contains", "assert_count", "assert_v
 CUT_OFF = ("[href^=const", "[href*=const", "[src^=const")
 #: Words of prompts that ask for a form.
 FORM_WORDS = ("form", "submit", "login", "register", "signup", "sign up", "send", "save", "email", "message", "contact", "booking", "application", "feedback", "survey", "rsvp", "checkout")
+#: Words of prompts that ask for adding, for an editor, for a heat map.
+ADD_WORDS = ("add", "new", "create", "insert", "task", "todo", "card", "item", "note", "event", "entry")
+EDITOR_WORDS = ("markdown", "editor", "preview", "rich text", "bold", "format", "document", "whiteboard", "canvas editor")
+HEATMAP_WORDS = ("heatmap", "matrix", "correlation", "calendar", "grid", "cell")
+MANY_CASES = 45
 SURFACES = ("svg, canvas", "canvas, svg", "svg,canvas", "canvas,svg")
 STEP = "struct<pos:long, action:string, selector:string, expression:string, gte:long, eq:long>"
 ITEMS = f"item_id string, prompt string, test_cases array<struct<id:string, name:string, weight:double, steps:array<{STEP}>>>"
@@ -111,7 +116,7 @@ def _is_unbalanced(text: str | None) -> bool:
 
 
 def audit(items: DataFrame) -> DataFrame:
-    """(item_id, tc_id, risk) for risks of cases: repeats, checks of another template, visual checks only."""
+    """(item_id, tc_id, risk) for risks of cases: repeats, checks of another template, visual checks only; without a case for items with very many."""
     cases = items.select("item_id", F.lower(stripped(F.regexp_replace("prompt", "\\s+", " "))).alias("prompt"), F.posexplode("test_cases").alias("at", "tc"))
     name = F.lower(stripped(F.regexp_replace(F.coalesce("tc.name", F.lit("")), "\\s+", " ")))
     flat = cases.select("item_id", "prompt", "at", F.col("tc.id").alias("tc_id"), name.alias("name"), F.to_json(F.transform("tc.steps", lambda s: F.struct(s["action"].alias("a"), s["selector"].alias("s"), s["expression"].alias("e"), s["gte"].alias("g")))).alias("signature"), F.col("tc.steps").alias("steps"))
@@ -121,10 +126,14 @@ def audit(items: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", "name", F.lower("signature"))
     risks = F.array(
         F.when(F.col("same_steps"), "exact_duplicate_steps"), F.when(F.col("same_name") & (F.col("name") != ""), "duplicate_tc_name"), F.when(F.contains(text, F.lit("empty submit shows validation")) & ~_contains_any(F.col("prompt"), FORM_WORDS), "cross_template_empty_submit"),
+        F.when(_contains_any(text, ("'add' feature button present as prompt requires", "add feature button")) & ~_contains_any(F.col("prompt"), ADD_WORDS), "cross_template_add_button"),
+        F.when((_contains_any(text, ("bold/formatting", "bold button", "preview updates in real-time")) | (F.contains(text, F.lit("markdown")) & ~F.contains("prompt", F.lit("markdown")))) & ~_contains_any(F.col("prompt"), EDITOR_WORDS), "cross_template_markdown_editor"),
+        F.when(F.contains(text, F.lit("heatmap")) & ~_contains_any(F.col("prompt"), HEATMAP_WORDS), "cross_template_heatmap"),
         F.when(has("assert_screenshot_changed") & ~has(*SEMANTIC) & (F.size("steps") <= 5), "visual_change_only_tc"), F.when(has("assert_screenshot_not_blank"), "generic_screenshot_not_blank"),
         F.when(F.exists("steps", lambda s: (s["action"] == "assert_visible") & F.lower(s["selector"]).isin(*SURFACES)), "broad_surface_visible"),
     )
-    return flat.select("item_id", "tc_id", F.explode(F.filter(risks, lambda r: r.isNotNull())).alias("risk"))
+    crowded = items.where(F.size("test_cases") > MANY_CASES).select("item_id", F.lit(None).cast("string").alias("tc_id"), F.lit("high_tc_density").alias("risk"))
+    return flat.select("item_id", "tc_id", F.explode(F.filter(risks, lambda r: r.isNotNull())).alias("risk")).unionByName(crowded)
 
 
 def alignment(left: DataFrame, right: DataFrame, fields: list[str]) -> DataFrame:

@@ -24,7 +24,7 @@ def items(spark, sf_dir):
     quantity = F.col("l_quantity").cast("long")
     step = F.struct(pos.alias("pos"), _pick(ACTION_LIST, F.col("l_orderkey")).alias("action"), _pick(SELECTORS, F.col("l_suppkey")).alias("selector"), _pick(EXPRESSIONS, F.col("l_partkey")).alias("expression"), (quantity % 4).alias("gte"), F.when(quantity % 5 == 0, quantity % 3).alias("eq"))
     cases = line.select((F.col("l_partkey") % 2000).alias("item"), "l_linenumber", step.alias("s")).groupBy("item", "l_linenumber").agg(F.array_sort(F.collect_list("s")).alias("steps"))
-    name = F.when(F.col("l_linenumber") == 7, "Empty submit shows validation").otherwise(F.concat(F.lit("Case  "), (F.col("l_linenumber") % 3).cast("string")))
+    name = F.when(F.col("l_linenumber") == 7, "Empty submit shows validation").when(F.col("l_linenumber") == 6, "Add feature button, bold button, heatmap").otherwise(F.concat(F.lit("Case  "), (F.col("l_linenumber") % 3).cast("string")))
     nested = cases.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("id"), name.alias("name"), F.lit(1.0).alias("weight"), "steps"))).alias("test_cases"))
     return nested.select(F.col("item").cast("string").alias("item_id"), _pick(PROMPTS, F.col("item")).alias("prompt"), "test_cases")
 
@@ -73,7 +73,7 @@ def _in(values):
 
 PICK = lambda values, at: f"list_extract({_sql_list(values)}, CAST({at} % {len(values)} + 1 AS INT))"
 STEPS = f"""WITH s AS (SELECT CAST(l_partkey % 2000 AS VARCHAR) AS item_id, CAST(l_linenumber AS VARCHAR) AS tc_id, (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos, {PICK(PROMPTS, "(l_partkey % 2000)")} AS prompt,
-    CASE WHEN l_linenumber = 7 THEN 'empty submit shows validation' ELSE 'case ' || (l_linenumber % 3) END AS name, {PICK(ACTION_LIST, "l_orderkey")} AS action, {PICK(SELECTORS, "l_suppkey")} AS selector, {PICK(EXPRESSIONS, "l_partkey")} AS expression,
+    CASE WHEN l_linenumber = 7 THEN 'empty submit shows validation' WHEN l_linenumber = 6 THEN 'add feature button, bold button, heatmap' ELSE 'case ' || (l_linenumber % 3) END AS name, {PICK(ACTION_LIST, "l_orderkey")} AS action, {PICK(SELECTORS, "l_suppkey")} AS selector, {PICK(EXPRESSIONS, "l_partkey")} AS expression,
     CAST(floor(l_quantity) AS BIGINT) % 4 AS gte, CASE WHEN CAST(floor(l_quantity) AS BIGINT) % 5 = 0 THEN CAST(floor(l_quantity) AS BIGINT) % 3 END AS eq FROM lineitem),
 m AS (SELECT *, coalesce(max(CAST(action = 'screenshot' AS INT)) OVER (PARTITION BY item_id, tc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS seeded, action IN ('assert_js_value', 'eval_js') AS runs FROM s)"""
 RULES = f"""{STEPS}, v AS (SELECT item_id, tc_id, pos, 'missing action' AS rule FROM m WHERE action = '' UNION ALL SELECT item_id, tc_id, pos, 'unknown action' FROM m WHERE action <> '' AND action NOT IN {_in(Q.ACTIONS)}
@@ -87,6 +87,7 @@ ORACLES = {
       bool_or(action IN {_in(Q.SEMANTIC)}) AS semantic, bool_or(action = 'assert_screenshot_not_blank') AS blank, bool_or(action = 'assert_visible' AND selector = 'svg, canvas') AS broad FROM m GROUP BY 1, 2),
       d AS (SELECT *, row_number() OVER (PARTITION BY item_id, sig ORDER BY tc_id) > 1 AS same_steps, row_number() OVER (PARTITION BY item_id, name ORDER BY tc_id) > 1 AS same_name FROM c)
       SELECT item_id, tc_id, 'exact_duplicate_steps' AS risk FROM d WHERE same_steps UNION ALL SELECT item_id, tc_id, 'duplicate_tc_name' FROM d WHERE same_name UNION ALL SELECT item_id, tc_id, 'cross_template_empty_submit' FROM d WHERE tc_id = '7' AND prompt <> 'Make a  form'
+      UNION ALL SELECT item_id, tc_id, r FROM d, (VALUES ('cross_template_add_button'), ('cross_template_markdown_editor'), ('cross_template_heatmap')) v(r) WHERE tc_id = '6'
       UNION ALL SELECT item_id, tc_id, 'visual_change_only_tc' FROM d WHERE changed AND NOT semantic AND n <= 5 UNION ALL SELECT item_id, tc_id, 'generic_screenshot_not_blank' FROM d WHERE blank UNION ALL SELECT item_id, tc_id, 'broad_surface_visible' FROM d WHERE broad""",
     "item_unbalanced": f"{STEPS} SELECT item_id, tc_id, pos, expression FROM m WHERE runs AND expression = '(x'",
     "item_action_counts": f"{STEPS} SELECT action, count(*) AS n, count(DISTINCT item_id || '/' || tc_id) AS cases FROM m WHERE action <> '' GROUP BY action",
