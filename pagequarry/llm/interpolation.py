@@ -45,6 +45,16 @@ KEYS = "level int, bucket int, block long, part int, keys binary, counts binary"
 ANSWERS = "level int, bucket int, block long, part int, counted binary, deleted binary, n_counted long, n_deleted long, v_counted long, v_all long"
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: the high bytes of sorted or small numbers are long runs, which shuffles compress away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    kind = np.dtype(dtype)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, len(data) // kind.itemsize).T).view(kind).ravel()
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -70,7 +80,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(doc_id)
             lengths.append(len(words) + 1)
         hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in numbers], np.uint64)
-        row = [[number], [part], [ids], [np.array(lengths, np.int32).tobytes()], [hashes.tobytes()], [np.concatenate(tokens).tobytes()]]
+        row = [[number], [part], [ids], [packed(np.array(lengths, np.int32))], [packed(hashes)], [packed(np.concatenate(tokens))]]
         number, size[part] = number + 1, 0
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in BLOCKS.split(", ")])
@@ -91,9 +101,9 @@ class Block:
 
     def __init__(self, row: dict):
         self.ids, self.part, self.block = row["ids"], row["part"], row["block"]
-        self.lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-        self.hashes = np.frombuffer(row["vocabulary"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], np.int32).astype(np.int64)
+        self.lengths = unpacked(row["lengths"], np.int32).astype(np.int64)
+        self.hashes = unpacked(row["vocabulary"], np.uint64)
+        self.tokens = unpacked(row["tokens"], np.int32).astype(np.int64)
         self.before = np.empty_like(self.tokens)
         self.before[1:], self.before[:1] = self.tokens[:-1], 0  # the end is number 0 and closes each document
 
@@ -136,7 +146,7 @@ def _send(buckets: int):
                     cuts = np.searchsorted(at, there)
                     ends = np.r_[cuts[1:], len(keys)]
                     counts = counts.astype(np.uint32)
-                    pieces = [(keys[i:j].tobytes(), counts[i:j].tobytes()) for i, j in zip(cuts, ends, strict=True)]
+                    pieces = [(packed(keys[i:j]), packed(counts[i:j])) for i, j in zip(cuts, ends, strict=True)]
                     n = len(there)
                     cols = [pa.array([level] * n, pa.int32()), pa.array(there, pa.int32()), pa.array([block.block] * n, pa.int64()), pa.array([block.part] * n, pa.int32()), pa.array([p[0] for p in pieces], pa.binary()), pa.array([p[1] for p in pieces], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in KEYS.split(", ")])
@@ -147,8 +157,8 @@ def _send(buckets: int):
 def _sum(table: pa.Table) -> pa.Table:
     """One bucket: sums its keys over all blocks, and answers each block's keys in their order."""
     part = table.column("part").to_numpy()
-    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
+    keys = [unpacked(x, np.uint64) for x in table.column("keys").to_pylist()]
+    counts = [unpacked(x, np.uint32) for x in table.column("counts").to_pylist()]
     sizes = np.array([len(k) for k in keys])
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     weight, parts = np.concatenate(counts).astype(np.float64), np.repeat(part, sizes)
@@ -159,7 +169,7 @@ def _sum(table: pa.Table) -> pa.Table:
     totals = [int(counted.sum()), int(deleted.sum()), int((counted > 0).sum()), int((counted + deleted > 0).sum())]
     rest = [0] * (len(keys) - 1)
     cols = [table.column(c) for c in ("level", "bucket", "block", "part")]
-    cols += [pa.array([counted[p].tobytes() for p in places], pa.binary()), pa.array([deleted[p].tobytes() for p in places], pa.binary())]
+    cols += [pa.array([packed(counted[p]) for p in places], pa.binary()), pa.array([packed(deleted[p]) for p in places], pa.binary())]
     cols += [pa.array([t, *rest], pa.int64()) for t in totals]
     return pa.table(cols, names=[f.split()[0] for f in ANSWERS.split(", ")])
 
@@ -169,7 +179,7 @@ def _answers(answers: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     out = []
     for level in (1, 2):
         rows = sorted((r for r in answers.select(["level", "bucket", "counted", "deleted"]).to_pylist() if r["level"] == level), key=lambda r: r["bucket"])
-        out.append([np.concatenate([np.frombuffer(r[c], np.uint32) for r in rows] or [np.empty(0, np.uint32)]).astype(np.float64) for c in ("counted", "deleted")])
+        out.append([np.concatenate([unpacked(r[c], np.uint32) for r in rows] or [np.empty(0, np.uint32)]).astype(np.float64) for c in ("counted", "deleted")])
     return out[0], out[1]
 
 
