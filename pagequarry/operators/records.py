@@ -146,3 +146,44 @@ def intervals(rows: DataFrame, keys: list[str], draws: int = 1000, seed: int = 4
         return pd.DataFrame({**out, "n": [size], "mean": [round(float(n @ value) / size, 2)], "ci_low": [round(float(means[int(0.025 * draws)]), 2)], "ci_high": [round(float(means[int(0.975 * draws) - 1]), 2)]})
 
     return histogram.groupBy(*keys).applyInPandas(run, schema)
+
+
+def lines_like(text: str, wanted: str) -> str | None:
+    """The first run of lines of ``text`` that equals ``wanted`` but for trailing blanks and for how the same indentation is written (a tab is four blanks)."""
+
+    def shape(line: str) -> tuple[int, str]:
+        bare = line.rstrip()
+        body = bare.lstrip(" \t")
+        lead = bare[: len(bare) - len(body)]
+        return len(lead) + 3 * lead.count("\t"), body
+
+    lines, target = text.split("\n"), [shape(x) for x in wanted.split("\n")]
+    shapes = [shape(x) for x in lines]
+    at = next((i for i in range(len(shapes) - len(target) + 1) if shapes[i] == target[0] and shapes[i : i + len(target)] == target), None)
+    return None if at is None else "\n".join(lines[at : at + len(target)])
+
+
+PATCHED = "html string, applied int, total int"
+
+
+def patch_pages(pages: DataFrame) -> DataFrame:
+    """(id, html, applied, total) of pages (id, html, patches): as ``patched``, and a text that doesn't occur is sought line by line without regard to blanks."""
+
+    def run(parts):
+        import pandas as pd
+
+        for part in parts:
+            rows = []
+            for key, html, patches in part[["id", "html", "patches"]].itertuples(index=False, name=None):
+                done = 0
+                for p in patches:
+                    old, new = p["old"], p["new"]
+                    if not old or new is None:
+                        continue
+                    found = old if html.count(old) == 1 else None if old in html else lines_like(html, old)
+                    if found is not None:
+                        html, done = html.replace(found, new, 1), done + 1
+                rows.append((key, html, done, len(patches)))
+            yield pd.DataFrame(rows, columns=["id", "html", "applied", "total"])
+
+    return pages.select("id", "html", "patches").mapInPandas(run, f"id long, {PATCHED}")

@@ -78,6 +78,14 @@ def page_patches(spark, sf_dir):
     return rows.select("page_id", F.col("p.applied").cast("long").alias("applied"), F.col("p.total").cast("long").alias("total"), F.md5(F.col("p.html").cast("binary")).alias("html_md5"), R.patch_valid(F.col("html"), F.col("p.html")).alias("valid"))
 
 
+def page_loose_patches(spark, sf_dir):
+    """Pages, one tag per line, after a patch whose indentation is written with a tab."""
+    html = F.regexp_replace("html", "><", ">\n    <")
+    patches = F.array(F.struct(F.lit("\t<body>").alias("old"), F.lit("    <body class='a'>").alias("new")), F.struct(F.lit("\t<none>").alias("old"), F.lit("").alias("new")))
+    rows = R.patch_pages(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), html.alias("html"), patches.alias("patches")))
+    return rows.select(F.col("id").alias("page_id"), F.col("applied").cast("long").alias("applied"), F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
 def record_reports(spark, sf_dir):
     """Markdown reports of the results, and the score read back from them."""
     k = F.col("line_idx")
@@ -134,6 +142,8 @@ ORACLES = {
       a AS (SELECT *, CASE WHEN titles = 1 THEN replace(html, '</title>', '!</title>') ELSE html END AS h1 FROM t), b AS (SELECT *, CASE WHEN ps = 1 THEN replace(h1, '<p>', '<q>') ELSE h1 END AS h2 FROM a), n AS (SELECT *, (length(h2) - length(replace(h2, '!</title>', ''))) / 9 AS again FROM b),
       d AS (SELECT *, CASE WHEN again = 1 THEN replace(h2, '!</title>', '?</title>') ELSE h2 END AS h3 FROM n)
       SELECT page_id, CAST(titles = 1 AS BIGINT) + CAST(ps = 1 AS BIGINT) + CAST(again = 1 AS BIGINT) AS applied, CAST(3 AS BIGINT) AS total, md5(h3) AS html_md5, length(h3) >= 200 AS valid FROM d""",
+    "page_loose_patches": """WITH p AS (SELECT page_id, regexp_replace(html, '><', '>' || chr(10) || '    <', 'g') AS html FROM pages)
+      SELECT page_id, CAST(1 AS BIGINT) AS applied, md5(replace(html, chr(10) || '    <body>' || chr(10), chr(10) || '    <body class=''a''>' || chr(10))) AS html_md5 FROM p""",
     "record_reports": f"""{LATEST}, r AS (SELECT line_idx, total, '# ' || item_id || chr(10) || chr(10) || '| **Score** | **' || total || ' / 100** |' || chr(10) || '| --- | --- |' || chr(10) || '| Rendering | ' || rendering || ' / 20 |' || chr(10) || '| Interaction | ' || interaction || ' / 25 |'
       || CASE WHEN line_idx % 3 = 0 THEN chr(10) || '## Bugs' || chr(10) || '- no sound' || chr(10) || '- bug ' || line_idx ELSE '' END AS report FROM latest) SELECT line_idx, md5(report) AS report_md5, total AS score FROM r""",
     "button_order": """WITH b AS (SELECT p_brand, p_partkey, lower(p_name || CASE WHEN p_partkey % 5 = 0 THEN ' Start' WHEN p_partkey % 3 = 0 THEN ' Save' ELSE '' END) AS n FROM part),

@@ -37,3 +37,10 @@ def test_intervals_cover_the_mean(spark):
     assert set(got) == {"many"}
     r = got["many"]
     assert r.n == 395 and r.ci_low < r.mean < r.ci_high and 4 < r.ci_high - r.ci_low < 8
+
+
+def test_lines_are_found_whatever_their_blanks():
+    text = "a\n\t<p>  \n      x\nb"
+    assert records.lines_like(text, "    <p>\n      x") == "\t<p>  \n      x"
+    assert records.lines_like(text, "  <p>\n      x") is None
+    assert records.lines_like("", "x") is None
