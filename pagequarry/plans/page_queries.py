@@ -92,7 +92,7 @@ FEATURES = f"""WITH {PAGES_SQL}, base AS (SELECT page_id, html, lower(html) AS l
   regexp_matches(html, {_q(H.TYPED_INPUT)}) OR len(list_filter(regexp_extract_all(html, '(?i)<input[^>]*>'), lambda x: NOT contains(lower(x), 'type='))) > 0 AS has_text_input, {RESOURCES} AS res, {", ".join(TAG_SQL)},
   {_count("(?i)<h1" + chr(92) + "b")} AS h1_count, {_count("(?i)<h2" + chr(92) + "b")} AS h2_count, {LISTENERS} AS addeventlistener_count, {LISTENERS} + {INLINE} + {ASSIGNED} AS event_handler_count,
   {_count(chr(92) + "bstyle" + chr(92) + "s*=" + chr(92) + "s*[" + chr(34) + chr(39) + "]")} AS inline_style_count, {TYPES} AS input_types FROM base),
-feats AS (SELECT *, len(res) AS ext_count, array_to_string(res, ' ') AS external_resources, {" + ".join(f"CAST(has_{t} AS INT)" for t in H.SEMANTIC_TAGS)} AS semantic_layout_count,
+feats AS (SELECT *, len(res) AS ext_count, array_to_string(res, ' ') AS external_resources, {" + ".join(f"CAST(has_{t} AS BIGINT)" for t in H.SEMANTIC_TAGS)} AS semantic_layout_count,
   CASE WHEN has_doctype THEN '' ELSE 'Missing DOCTYPE declaration' END || CASE WHEN html_size < 200 THEN CASE WHEN has_doctype THEN '' ELSE '; ' END || 'HTML very short (' || html_size || ' chars)' ELSE '' END AS issues FROM f)"""
 COLUMNS = ", ".join(["page_id", *BOOLEAN, *COUNTS, "input_types", "external_resources", "issues"])
 PROBE_SQL = {
