@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 PERMUTATIONS, BANDS, SHINGLE, SIMILARITY = 128, 32, 5, 0.8
 
 
@@ -43,19 +45,20 @@ def signatures(texts: DataFrame, n: int = PERMUTATIONS, k: int = SHINGLE) -> Dat
         import zlib
 
         i = np.arange(n, dtype=np.uint64)
-        times, plus = (i + 1) * np.uint64(2654435761), i * np.uint64(1013904223)
+        # Unsigned 32-bit products and sums wrap at 2 ** 32, as the definition asks.
+        times, plus = (((i + 1) * np.uint64(2654435761)).astype(np.uint32), (i * np.uint64(1013904223)).astype(np.uint32))
         for batch in batches:
             out = []
             for t in batch.column(1).to_pylist():
                 low = re.sub(r"\s+", " ", (t or "").lower())
-                s = np.fromiter({zlib.crc32(low[j : j + k].encode()) for j in range(max(1, len(low) - k + 1))}, np.uint64)
-                least = np.full(n, 0xFFFFFFFF, np.uint64)
-                for j in range(0, len(s), 4096):  # a bounded matrix whatever the length of the text
-                    least = np.minimum(least, ((s[j : j + 4096, None] * times + plus) & np.uint64(0xFFFFFFFF)).min(0))
+                s = np.fromiter({zlib.crc32(g.encode()) for g in {low[j : j + k] for j in range(max(1, len(low) - k + 1))}}, np.uint32)
+                least = np.full(n, 0xFFFFFFFF, np.uint32)
+                for j in range(0, len(s), 1024):  # a bounded matrix whatever the length of the text
+                    least = np.minimum(least, (s[j : j + 1024, None] * times + plus).min(0))
                 out.append(least.astype(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "signature"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, signature array<long>")
+    return spread(texts.select("id", "text")).mapInArrow(run, "id long, signature array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -63,8 +66,8 @@ def estimate(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.array_size(a)
 
 
-#: Nodes of a bucket that are compared at once.
-BLOCK = 256
+#: Nodes of a bucket that are compared at once; nodes of a bucket whose pairs (28 at most) are listed.
+BLOCK, SMALL = 256, 8
 
 
 def _block_links(least: float):
@@ -98,7 +101,7 @@ def similar_pairs(signed: DataFrame, bands: int = BANDS, least: float = SIMILARI
     """Links (a, b, similarity) that join all texts that share a band and are similar enough.
 
     Rows with equal signatures are one node, to whose first row the others link.  Signatures travel only for buckets with
-    several nodes; a large bucket is cut into blocks whose pairs are spread over tasks, and every task reports a spanning
+    several nodes; of a small bucket the few pairs are compared; a large bucket is cut into blocks whose pairs are spread over tasks, and every task reports a spanning
     forest instead of all pairs.
     """
     sig = F.md5(F.to_json("signature").cast("binary"))
@@ -106,10 +109,18 @@ def similar_pairs(signed: DataFrame, bands: int = BANDS, least: float = SIMILARI
     rows = PERMUTATIONS // bands
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, F.lit(rows))))
     banded = nodes.select("id", F.posexplode(keys).alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = banded.join(shared, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    paired = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = paired.join(nodes.select("id", "signature"), "id").groupBy("band", "key", "i", "j").applyInArrow(_block_links(least), "a long, b long, similarity double")
+    shared = banded.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    met = _cut(banded.join(shared, ["band", "key"]), "buckets")
+    # Small buckets: the few pairs, each once whatever the number of bands it shares.
+    ids = met.where(F.col("n") <= SMALL).groupBy("band", "key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    two = F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = ids.select(F.explode(two).alias("p")).select("p.*").distinct()
+    left, right = nodes.select(F.col("id").alias("a"), F.col("signature").alias("x")), nodes.select(F.col("id").alias("b"), F.col("signature").alias("y"))
+    close = pairs.join(left, "a").join(right, "b").select("a", "b", estimate(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
+    # Large buckets: pairs of blocks.
+    large = met.where(F.col("n") > SMALL).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    paired = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = close.unionByName(paired.join(nodes.select("id", "signature"), "id").groupBy("band", "key", "i", "j").applyInArrow(_block_links(least), "a long, b long, similarity double"))
     own = signed.select("id", sig.alias("sig")).join(nodes.select("sig", F.col("id").alias("first")), "sig").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     return own.unionByName(found).distinct()
 

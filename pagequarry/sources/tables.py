@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: one small file would else keep all work per row in one task.
+
+    Tables that come in enough partitions aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation results in file order: ``line_idx`` is the line."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -91,7 +100,7 @@ OUTCOMES_SQL = """tc_results AS (
 def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages with added markup by page_id, so that every feature occurs."""
     extra = F.element_at(F.array(*map(F.lit, EXTRA_MARKUP)), (F.col("page_id") % len(EXTRA_MARKUP) + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", extra).alias("html"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.concat("html", extra).alias("html"))
 
 
 EXTRA_MARKUP = (
@@ -119,7 +128,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 0, html).when(kind == 1, F.concat(F.lit(f"Here it is.\n{FENCE}html\n"), html, F.lit(f"\n{FENCE}\nDone.")))
         .when(kind == 2, F.concat(F.lit(f"{FENCE}html\n"), F.substring(html, 1, 600))).when(kind == 3, F.lit(f'{FENCE}svg\n<svg width="1"><g/></svg>\n{FENCE}')).otherwise("I cannot make a page.")
     )
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), text.alias("response"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("item_id"), text.alias("response"))
 
 
 RESPONSES_SQL = f"""responses AS (SELECT page_id AS item_id, CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN 'Here it is.' || chr(10) || '{FENCE}html' || chr(10) || html || chr(10) || '{FENCE}' || chr(10) || 'Done.'
