@@ -2,9 +2,9 @@
 
 1. *Statements*: the lines of a file that speak of a licence (for a licence file: the whole text as one statement).
 2. *TF-IDF cosine*: a statement's terms are weighed by inverse document frequency over all statements of the corpus and
-   compared with each template.  A template's terms are few, so the sparse products are sums over them; document
-   frequencies are kept for template terms only, a table that the templates bound, and any other term counts as one
-   that occurs once.  A file's own licence is that of its most similar statement, from ``SIMILARITY`` on.
+   compared with each template.  Statements are sparse rows (statement, term, count), one set per distinct statement; the
+   document frequencies of all terms are counted over all statements and joined back by term.  A file's own licence is that
+   of its most similar statement, from ``SIMILARITY`` on.
 3. *Inheritance*: a licence file licenses its directory; a file without a licence of its own takes that of the nearest ancestor
    directory.  Directories, not files, are joined with their ancestors' paths, so the join doesn't grow with a directory's files.
 
@@ -14,6 +14,8 @@ alphabetical order, for a directory to the file with the smallest path.  Repeate
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ TEMPLATES = (
 )
 SIMILARITY = 0.6
 HINT = "licen[cs]|copyright|spdx"
+#: Terms whose document frequencies are broadcast at most.
+BROADCAST_TERMS = 100_000
 
 
 def terms(text: Column) -> Column:
@@ -54,36 +58,47 @@ def _python_terms(text: str) -> list[str]:
 
 
 def similarity(found: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """(__row, statement, license, cosine): the best template of every statement."""
+    """(__row, statement, license, cosine): the best template of every statement that shares a term with one."""
+    spark = found.sparkSession
+    keyed = found.withColumn("__key", F.md5("statement"))
+    texts = keyed.groupBy("__key", "statement").agg(F.count("*").alias("times"))
+    pairs = materialize(texts.select("__key", "times", F.explode(terms(F.col("statement"))).alias("term")).groupBy("__key", "times", "term").agg(F.count("*").alias("tf")), "license-terms")
+    n = found.count()
+    seen = materialize(pairs.groupBy("term").agg(F.sum("times").alias("df")).where("df > 1"), "license-frequencies")
     vocabulary = sorted({t for _, text in templates for t in _python_terms(text)})
-    known = F.array(*map(F.lit, vocabulary))
-    units = found.withColumn("__terms", terms(F.col("statement")))
-    n = units.count()
-    # At most one row per template term reaches the driver.
-    counted = units.select(F.explode(F.array_intersect("__terms", known)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()
-    seen = {r.term: r.df for r in counted}
-    idf = {t: _idf(n, seen.get(t, 0)) for t in vocabulary}
-    rare = _idf(n, 1)
-    tf = {t: F.array_size(F.filter("__terms", _is(t))).cast("double") for t in vocabulary}
-    weighed = units.select("__row", "statement", "__terms", *(tf[t].alias(f"__tf_{i}") for i, t in enumerate(vocabulary)))
-    place = {t: F.col(f"__tf_{i}") for i, t in enumerate(vocabulary)}
-    inside = sum((place[t] * place[t] * F.lit(idf[t] ** 2) for t in vocabulary), F.lit(0.0))
-    others = F.filter("__terms", lambda x: ~F.array_contains(known, x))
-    outside = F.aggregate(F.array_distinct(others), F.lit(0.0), lambda s, x: s + F.pow(F.array_size(F.filter(others, lambda y: y == x)).cast("double"), F.lit(2.0))) * F.lit(rare**2)
-    norm = F.sqrt(inside + outside)
-    scores = []
+    # At most one row per template term reaches the driver; a term that isn't in the corpus has no pair to weigh.
+    known = {r.term: r.df for r in seen.where(F.col("term").isin(vocabulary)).collect()}
+    once = {r.term for r in pairs.where(F.col("term").isin(vocabulary)).select("term").distinct().collect()} - known.keys()
+    idf = {t: _idf(n, known.get(t, 1 if t in once else 0)) for t in vocabulary}
+    rows = []
     for name, text in templates:
         own = _python_terms(text)
         weights = {t: own.count(t) * idf[t] for t in own}
         length = sum(w * w for w in weights.values()) ** 0.5
-        product = sum((place[t] * F.lit(idf[t] * w / length) for t, w in sorted(weights.items())), F.lit(0.0))
-        scores.append(F.struct(F.when(norm > 0, F.round(product / norm, 9)).otherwise(F.lit(0.0)).alias("cosine"), F.lit(name).alias("license")))
-    best = F.array_sort(F.array(*scores), lambda a, b: F.when(a["cosine"] != b["cosine"], F.when(a["cosine"] > b["cosine"], -1).otherwise(1)).when(a["license"] < b["license"], -1).otherwise(1))[0]
-    return weighed.select("__row", "statement", best.alias("__best")).select("__row", "statement", "__best.license", "__best.cosine")
+        rows += [{"license": name, "term": t, "weight": idf[t] * w / length} for t, w in sorted(weights.items())]
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<license:string,term:string,weight:double>>")))
+    dots = pairs.join(F.broadcast(table), "term").groupBy("__key", "license").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
+    weight = F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
+    norms = _with_frequencies(pairs, seen).groupBy("__key").agg(F.sqrt(F.sum(F.pow(F.col("tf") * weight, F.lit(2.0)))).alias("norm"))
+    scored = dots.join(norms, "__key").select("__key", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"), "license")
+    best = scored.groupBy("__key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("best"))
+    best = best.select("__key", F.col("best.license").alias("license"), (-F.col("best.less")).alias("cosine"))
+    return keyed.join(best, "__key").select("__row", "statement", "license", "cosine")
+
 
+def _with_frequencies(pairs: DataFrame, seen: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
+    """``pairs`` with their term's df; a term that isn't in ``seen`` occurs in one statement.
 
-def _is(term: str):
-    return lambda x: x == F.lit(term)
+    The ``limit`` most frequent terms are broadcast, so the terms that crowd a key never shuffle; the others do.
+    """
+    if seen.limit(limit + 1).count() <= limit:
+        found = pairs.join(F.broadcast(seen), "term", "left")
+    else:
+        frequent = materialize(seen.orderBy(F.desc("df"), "term").limit(limit), "license-frequent")
+        often = pairs.join(F.broadcast(frequent), "term", "left")
+        rest = seen.join(F.broadcast(frequent.select("term")), "term", "left_anti")
+        found = often.where("df is not null").unionByName(often.where("df is null").drop("df").join(rest, "term", "left"))
+    return found.withColumn("df", F.coalesce("df", F.lit(1)))
 
 
 def _idf(n: int, df: int) -> float:

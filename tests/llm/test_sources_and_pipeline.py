@@ -83,6 +83,30 @@ def test_licenses(spark):
     assert own[4] == -brute_cosine(files[3][2], units)[0]
 
 
+def test_license_terms_are_weighed_by_their_frequency(spark):
+    """A word that all headers carry costs no header its licence, however large the corpus; weights are those of counted terms."""
+    header, other = "Distributed and Released under the MIT License.", "license for something else altogether"
+    words = lambda t: [x for x in t.lower().replace(".", "").split() if x]
+    for n in (8, 200, 5000):
+        files = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("path"), F.when(F.col("id") % 4 < 3, header).otherwise(other).alias("text"))
+        rows = licenses.scan(files).where("own_license is not null").collect()
+        assert len(rows) == n * 3 // 4 and {r.own_license for r in rows} == {"MIT"}
+        units = [header] * (n * 3 // 4) + [other] * (n // 4)
+        df = Counter(t for u in units for t in set(words(u)))
+        idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1  # noqa: E731, B023
+        own = "released under the mit license".split()
+        want = math.sqrt(sum(idf(t) ** 2 for t in own) / sum(idf(t) ** 2 for t in words(header)))
+        assert {r.cosine for r in rows} == {round(want, 9)}
+
+
+def test_license_frequencies_beyond_the_broadcast(spark):
+    pairs = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 1), ("b", "z", 1), ("c", "y", 1)], "__key string, term string, tf long")
+    seen = spark.createDataFrame([("x", 2), ("y", 2)], "term string, df long")
+    for limit in (1, 2):
+        got = licenses._with_frequencies(pairs, seen, limit).select("__key", "term", "tf", "df").collect()
+        assert sorted(map(tuple, got)) == [("a", "x", 1, 2), ("a", "y", 2, 2), ("b", "x", 1, 2), ("b", "z", 1, 1), ("c", "y", 1, 2)]
+
+
 def test_license_query_covers_all_documents(spark, sf, odd, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = queries.op5_licenses(spark, sf).collect()
