@@ -9,11 +9,10 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.llm import decontaminate, mixing, quality, simhash, token_files
-from pagequarry.llm.common import materialize, read, session, shared_dir, without_ids
+from pagequarry.llm.common import ROW, materialize, numbered, read, session, shared_dir, without_ids
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,16 +21,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one whose doc_id names the group."""
-    found = materialize(simhash.near_duplicates(docs, shingle=3).select("doc_id", "component_id"), "near-duplicates")
-    left = without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
-    # Rows without an id stay only where no row with an id has their text's group; repeated ids stay once.
-    if found.where("doc_id is null").isEmpty() and found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    order = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))).orderBy(*(F.col(c) for c in docs.columns if c != "doc_id"))
-    kept = left.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    named = left.where("doc_id is not null").select(F.xxhash64("text").alias("__h")).distinct()
-    return kept.where("doc_id is not null").unionByName(kept.where("doc_id is null").join(named, F.xxhash64("text") == F.col("__h"), "left_anti"))
+    """One row of each near-duplicate group: the one with the least doc_id, or any row where no row of the group has an id."""
+    rows = numbered(docs)
+    groups = simhash.near_duplicates(rows, shingle=3, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    named = materialize(groups.join(rows.select(ROW, "doc_id"), ROW), "near-duplicates")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first"))
+    gone = materialize(named.select(ROW).join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti"), "near-duplicate-rows")
+    return without_ids(rows, gone, id_col=ROW).drop(ROW)
 
 
 def unleaked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 #: Ids that are broadcast at most for an anti join (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
+#: The column that numbers rows.
+ROW = "__row_number"
+
 
 def session(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches by rows and bytes; whole long texts stay whole."""
@@ -63,15 +66,20 @@ def power_of_two(n: int) -> int:
     return 1 << max(0, (n - 1).bit_length())
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """``docs`` whose doc_id is not in ``ids`` (one column, doc_id; materialized).  Rows with a null id stay.
+def numbered(docs: DataFrame, tag: str = "numbered") -> DataFrame:
+    """``docs`` with a number of its own for every row (``ROW``), written so that the numbers stay; ids may be null or repeated."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), tag)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` whose ``id_col`` is not in ``ids`` (one column of that name; materialized).  Rows with a null id stay.
 
     The ids are broadcast if they are ``limit`` at most, else both sides shuffle and only the ids are hashed.
     """
-    ids = ids.select(F.col("doc_id").alias("__gone")).where(F.col("__gone").isNotNull())
+    ids = ids.select(F.col(id_col).alias("__gone")).where(F.col("__gone").isNotNull())
     small = ids.limit(limit + 1).count() <= limit
     ids = ids.hint("broadcast" if small else "shuffle_hash")
-    return docs.join(ids, docs["doc_id"] == ids["__gone"], "left_anti")
+    return docs.join(ids, docs[id_col] == ids["__gone"], "left_anti")
 
 
 def text_bytes(texts: Iterable[str | None]) -> Iterable[bytes]:

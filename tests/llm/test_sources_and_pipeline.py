@@ -146,3 +146,16 @@ def test_pipeline_of_odd_documents(spark, odd, empty, sf):
         assert stage(spark, empty, sf).count() == 0
     ids = [r.doc_id for r in corpus_pipeline.distinct_documents(spark, odd, sf).collect()]
     assert ids.count(1) == 1 and 2 not in ids and ids.count(None) == 1
+
+
+def test_pipeline_rows_with_null_and_repeated_ids(spark, odd, sf):
+    """Each row stays or goes by its own text: neither a null id keeps a row nor a repeated id takes another text with it."""
+    passage = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("amber", "birch", "cedar"))
+    near = a.replace("amber", "Amber")
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", None, None, None, None) for i, t in rows], odd.schema)
+    left = lambda stage, rows: Counter((r.doc_id, r.text) for r in stage(spark, table(rows), sf).collect())
+    leaky = [(None, f"{a} {passage}"), (None, b), (5, f"{a} {passage}"), (5, b), (6, c), (6, c)]
+    assert left(corpus_pipeline.unleaked_documents, leaky) == Counter([(None, b), (5, b), (6, c), (6, c)])
+    assert left(corpus_pipeline.distinct_documents, [(3, a), (5, a), (5, b)]) == Counter([(3, a), (5, b)])
+    assert left(corpus_pipeline.distinct_documents, [(None, near), (3, a), (None, b), (None, b), (7, c), (7, c)]) == Counter([(3, a), (None, b), (7, c)])
