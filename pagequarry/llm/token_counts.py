@@ -17,26 +17,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session
-from .pieces import OPENING, is_plain, special_strings, split, worker_encoder
+from .pieces import KEPT_LENGTH, OPENING, Plan, special_strings, split, worker_encoder
 
 #: Pieces that a task reports, pieces that are counted at once before rare ones go, and entries of the broadcast table.
 LOCAL_TOP, LOCAL_HELD, TABLE_ENTRIES = 2048, 400_000, 32_768
 LIMIT = 512
 
 
-def frequent_pieces(docs: DataFrame, text: str, special: tuple[str, ...], entries: int = TABLE_ENTRIES) -> list[str]:
+def frequent_pieces(docs: DataFrame, text: str, special: dict[str, int], entries: int = TABLE_ENTRIES) -> list[str]:
     """The most frequent pieces over all whole texts, by lossy counting in each task; ``entries`` rows at most reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            found = split([t for t in batch.column(0).to_pylist() if t and is_plain(t, special)]).flatten().value_counts()
+            found = split(Plan([t or "" for t in batch.column(0).to_pylist()], special).parts).flatten().value_counts()
             own = zip(found.field("values").to_numpy(zero_copy_only=False).tolist(), found.field("counts").to_numpy().tolist(), strict=True)
             for word, n in own:
                 seen[word] += n
             if len(seen) > LOCAL_HELD:
                 seen = Counter(dict(seen.most_common(LOCAL_HELD // 2)))
-        top = [x for x in seen.most_common(LOCAL_TOP) if not x[0].startswith(OPENING)]
+        top = [x for x in seen.most_common(LOCAL_TOP) if not x[0].startswith(OPENING) and len(x[0]) <= KEPT_LENGTH]
         yield pa.RecordBatch.from_pydict({"piece": pa.array([k for k, _ in top], pa.string()), "n": pa.array([v for _, v in top], pa.int64())})
 
     counted = docs.select(F.col(text)).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))

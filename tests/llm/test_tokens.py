@@ -41,7 +41,7 @@ def test_counts_of_odd_documents(odd, empty, library):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.sampled_from("abé ñ.,!?'s\n\t 0’<|endoftext>²\x01\x1cß日"), max_size=40), max_size=6))
+@given(st.lists(st.lists(st.sampled_from([*"abé ñ.,!?'s\n\t 0’²\x01\x02\x1c\x85\xa0\u2003\u3000\r\x0bß日", "\n\n", "  ", "word", "мир", "😀", "<|endoftext|>"]), max_size=30).map("".join), max_size=6))
 def test_encoder_equals_the_library(texts):
     library, encoder = Tokenizer.from_file(PATH), pieces.Encoder(PATH, "H")
     got = [np.frombuffer(x, "<u2").tolist() for x in encoder.ids(texts, 0)]
@@ -49,6 +49,45 @@ def test_encoder_equals_the_library(texts):
     assert pieces.Encoder(PATH).lengths(texts).tolist() == [len(ids(library, t)) for t in texts]
 
 
+SHAPES = {
+    "paragraphs": "One paragraph.\n\nAnother one.\r\n\r\n  Indented,  twice. ",
+    "tabs": "a\tb\t\tc\n\td\n",
+    "emoji": "so 😀😀 good 👍🏽!",
+    "cyrillic": "Съешь же ещё этих мягких французских булок, да выпей чаю.",
+    "greek": "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία.",
+    "chinese": "我能吞下玻璃而不伤身体。\n\n第二段。",
+    "special": "before<|endoftext|> behind <|endoftext|><|endoftext|>",
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_every_shape_of_text_is_cut_and_looked_up(library, shape):
+    text = SHAPES[shape] * 3
+    encoder = pieces.Encoder(PATH, "H")
+    assert np.frombuffer(encoder.ids([text], 0)[0], "<u2").tolist() == ids(library, text) + [0]
+    known = len(encoder.cache)
+    assert known > 1
+    encoder.ids([text], 0)
+    assert len(encoder.cache) == known, "a second look needs no new entry"
+
+
+def test_words_of_all_shapes_are_counted_for_the_table(spark):
+    docs = spark.createDataFrame([(i, "\n\n".join(SHAPES.values())) for i in range(3)], "doc_id long, text string")
+    found = token_counts.frequent_pieces(docs, "text", pieces.special_strings(PATH))
+    assert {"булок,", "b", "paragraph.", "good", "την"} <= set(found) | {x.strip() for x in found}
+
+
+def test_other_pre_tokenizers_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        pieces.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_ties_of_frequency_rank_the_smaller_id_first(spark):
+    encoded = spark.createDataFrame([(1, np.array([5, 3, 9], "<u2").tobytes()), (2, np.array([3, 5, 9, 0], "<u2").tobytes())], "id long, ids binary")
+    rank = token_files.id_ranks(encoded, "H", 10)
+    assert np.argsort(rank).tolist()[:5] == [3, 5, 9, 0, 1]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=30), max_size=8))
 def test_packing_round_trips(runs):
