@@ -89,22 +89,46 @@ FROM shingles d JOIN shingles b ON d.s = b.s AND d.side = 'd' AND b.side = 'b' J
 GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n)
 """
 
-TEMPLATE_SQL = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in licenses.TEMPLATES)
-FOLDER_SQL = "CASE WHEN doc_id % 10 = 0 THEN (doc_id // 1000) || '/' || (doc_id // 100) ELSE (doc_id // 1000) || '/' || (doc_id // 100) || '/' || (doc_id // 10) END"
-TERMS_SQL = r"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+SIZE_SQL = "(SELECT count(*) FROM documents)"
+FOLDER_SQL = "(doc_id // 1000) || '/' || (doc_id // 100) || CASE WHEN doc_id % 10 = 0 THEN '' ELSE '/' || (doc_id // 10) END"
+
+
+def _terms_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '{licenses.TERM}'), lambda t: t <> '')"
+
+
+TEMPLATE_SQL = ", ".join(
+    f"({i}, '{name}', {shared}, '" + text.replace("'", "''") + "')" for i, (name, shared, text) in enumerate(licenses.templates())
+)
+#: Every unit of every text against every template; no leading terms.
 OP5_SQL = f"""
-WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS statement FROM documents),
-told AS (SELECT row_number() OVER () AS sid, doc_id, statement FROM lines WHERE regexp_matches(lower(statement), '{licenses.HINT}')),
-tf AS (SELECT sid, term, count(*) AS n FROM (SELECT sid, unnest({TERMS_SQL.format(text="statement")}) AS term FROM told) GROUP BY 1, 2),
-templates AS (SELECT license, term, count(*) AS m FROM (SELECT license, unnest({TERMS_SQL.format(text="words")}) AS term FROM (VALUES {TEMPLATE_SQL}) v(license, words)) GROUP BY 1, 2),
-size AS (SELECT count(*) AS total FROM told),
-df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM templates) GROUP BY term),
-idf AS (SELECT v.term, ln((1 + total)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM templates) v LEFT JOIN df ON v.term = df.term, size),
-norms AS (SELECT sid, sqrt(sum(pow(n * coalesce(idf, ln((1 + total)::DOUBLE / 2) + 1), 2))) AS norm FROM tf LEFT JOIN idf ON tf.term = idf.term, size GROUP BY sid),
-lengths AS (SELECT license, sqrt(sum(pow(m * idf, 2))) AS length FROM templates JOIN idf ON templates.term = idf.term GROUP BY license),
-dots AS (SELECT sid, license, sum(n * m * idf * idf) AS dot FROM tf JOIN templates ON tf.term = templates.term JOIN idf ON tf.term = idf.term GROUP BY 1, 2),
-cosines AS (SELECT d.sid, d.license, round(dot / (norm * length), 9) AS cosine FROM dots d JOIN norms ON d.sid = norms.sid JOIN lengths ON d.license = lengths.license),
-best AS (SELECT doc_id, license, cosine FROM (SELECT doc_id, license, cosine, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS nth FROM cosines JOIN told ON cosines.sid = told.sid WHERE cosine >= {licenses.SIMILARITY}) WHERE nth = 1),
+WITH lines AS (SELECT doc_id, text, doc_id % 2 = 0 AS whole, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''),
+heads AS (SELECT *, list_position(list_transform(lines, lambda x: NOT regexp_matches(x, '{licenses.COMMENT}')), true) AS code FROM lines),
+units AS (
+    SELECT doc_id, unit, row_number() OVER () AS uid FROM (
+        SELECT doc_id, unnest(list_distinct(list_concat(lines, regexp_split_to_array(text, '{licenses.SENTENCE}'), regexp_split_to_array(text, '{licenses.PARAGRAPH}'),
+          [CASE WHEN whole THEN text ELSE '' END, array_to_string(CASE WHEN coalesce(code, 0) = 0 THEN lines ELSE lines[1:code - 1] END, chr(10))]))) AS unit
+        FROM heads) WHERE unit <> ''
+),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_terms_sql("text")}) AS term FROM documents) GROUP BY term),
+templates AS (SELECT * FROM (VALUES {TEMPLATE_SQL}) v(template, license, shared, words)),
+tf AS (SELECT uid, term, count(*) AS n FROM (SELECT uid, unnest({_terms_sql("unit")}) AS term FROM units) GROUP BY 1, 2),
+ttf AS (SELECT template, term, count(*) AS n FROM (SELECT template, unnest({_terms_sql("words")}) AS term FROM templates) GROUP BY 1, 2),
+weighed AS (SELECT uid, tf.term, n * (ln(least({licenses.RARE}.0::DOUBLE, (1.0::DOUBLE + {SIZE_SQL}) / (1 + coalesce(df, 0)))) + 1) AS w FROM tf LEFT JOIN df ON tf.term = df.term),
+tweighed AS (SELECT template, ttf.term, n * (ln(least({licenses.RARE}.0::DOUBLE, (1.0::DOUBLE + {SIZE_SQL}) / (1 + coalesce(df, 0)))) + 1) AS w FROM ttf LEFT JOIN df ON ttf.term = df.term),
+lengths AS (SELECT uid, sqrt(sum(w * w)) AS length FROM weighed GROUP BY uid),
+tlengths AS (SELECT template, sqrt(sum(w * w)) AS length FROM tweighed GROUP BY template),
+dots AS (SELECT uid, template, sum(a.w * b.w) AS dot FROM weighed a JOIN tweighed b ON a.term = b.term GROUP BY 1, 2),
+cosines AS (
+    SELECT doc_id, license, shared, round(dot / (l.length * t.length), 9) AS cosine
+    FROM dots JOIN lengths l ON dots.uid = l.uid JOIN tlengths t ON dots.template = t.template JOIN units ON units.uid = dots.uid JOIN templates ON templates.template = dots.template
+),
+tags AS (SELECT doc_id, regexp_extract(text, '{licenses.SPDX}', 1) AS license FROM documents),
+told AS (
+    SELECT doc_id, license, 1.0::DOUBLE AS cosine, 0 AS untagged, 0 AS shared FROM tags WHERE license <> ''
+    UNION ALL SELECT doc_id, license, cosine, 1, shared FROM cosines WHERE cosine >= {licenses.SIMILARITY}
+),
+best AS (SELECT doc_id, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY untagged, shared, cosine DESC, license) AS nth FROM told) WHERE nth = 1),
 files AS (SELECT doc_id, {FOLDER_SQL} AS folder, {FOLDER_SQL} || '/' || CASE WHEN doc_id % 2 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path FROM documents),
 folders AS (SELECT folder, arg_min(license, path) AS folder_license FROM files JOIN best ON files.doc_id = best.doc_id WHERE files.doc_id % 2 = 0 GROUP BY folder),
 up AS (SELECT doc_id, 2 AS depth, (doc_id // 1000) || '/' || (doc_id // 100) AS folder FROM documents UNION ALL SELECT doc_id, 3, (doc_id // 1000) || '/' || (doc_id // 100) || '/' || (doc_id // 10) FROM documents WHERE doc_id % 10 <> 0),

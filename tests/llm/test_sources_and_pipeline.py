@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import corpus_pipeline
-from pagequarry.llm import licenses, mixing, queries
+from pagequarry.llm import license_texts, licenses, mixing, queries
 from pyspark.sql import functions as F
 
 
@@ -50,69 +51,91 @@ def test_mix_of_odd_documents(odd, empty):
     assert out.count() >= 0 and mixing.mix(empty).count() == 0
 
 
-def brute_cosine(statement, units):
-    import re
-
-    terms = lambda t: [x for x in re.split(r"[\W_]+", t.lower()) if x]
-    vocabulary = {t for _, x in licenses.TEMPLATES for t in terms(x)}
-    df = Counter(t for u in units for t in set(terms(u)) if t in vocabulary)
-    idf = lambda t: math.log((1 + len(units)) / (1 + (df.get(t, 0) if t in vocabulary else 1))) + 1
-    vec = lambda t: {k: n * idf(k) for k, n in Counter(terms(t)).items()}
-    a, out = vec(statement), []
-    for name, x in licenses.TEMPLATES:
-        b = vec(x)
-        out.append((-round(sum(a.get(k, 0) * v for k, v in b.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())), 9), name))
-    return min(out)
-
-
-def test_licenses(spark):
-    files = [
-        (1, "p/LICENSE", "Apache License\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "p/a/x.txt", "nothing"), (3, "p/a/b/y.txt", "text\nReleased under the MIT License."), (4, "p/a/b/LICENSE", "This work is licensed under the GNU General Public License, version 3."),
-        (5, "p/a/b/c/z.txt", "z"), (6, "q/z.txt", "z"), (7, None, "Licensed under CC BY-NC 4.0."), (8, "p/a/b/w.txt", None), (9, "LICENSE-x/f.txt", "licensed fishing in this lake is a matter of the public authority"), (6, "q/z.txt", "z"),
-    ]
-    rows = licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()
-    got = {(r.doc_id, r.path): (r.license, r.origin, r.from_folder) for r in rows}
-    assert len(rows) == len(files)
-    assert got[1, "p/LICENSE"][:2] == ("Apache-2.0", "own") and got[2, "p/a/x.txt"] == ("Apache-2.0", "inherited", "p")
-    assert got[3, "p/a/b/y.txt"][:2] == ("MIT", "own") and got[5, "p/a/b/c/z.txt"] == ("GPL-3.0", "inherited", "p/a/b")
-    assert got[6, "q/z.txt"] == (None, "none", None) and got[7, None][:2] == ("CC-BY-NC-4.0", "own")
-    assert got[8, "p/a/b/w.txt"] == ("GPL-3.0", "inherited", "p/a/b") and got[9, "LICENSE-x/f.txt"][1] == "none"
-    units = [line for _, _, t in files for line in (t or "").split("\n") if "licen" in line.lower()]
-    own = {r.doc_id: r.cosine for r in rows if r.own_license}
-    assert own[3] == -brute_cosine("Released under the MIT License.", units)[0]
-    assert own[4] == -brute_cosine(files[3][2], units)[0]
+def words_of(text):
+    return [x for x in re.split(r"[\W_]+", text.lower()) if x]
+
+
+def brute_license(texts, text, whole=False):
+    """The own licence of a text among ``texts`` by comparing every unit with every template."""
+    n, df = len(texts), Counter(t for x in texts for t in set(words_of(x or "")))
+    vec = lambda x: {t: k * (math.log(min(licenses.RARE, (1 + n) / (1 + df[t]))) + 1) for t, k in Counter(words_of(x)).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    if not text:
+        return None
+    tag = re.search(licenses.SPDX, text)
+    if tag:
+        return (0, 0, -1.0, tag[1])
+    lines = text.split("\n")
+    head = next((i for i, x in enumerate(lines) if not re.search(licenses.COMMENT, x)), len(lines))
+    units = {*lines, *re.split(licenses.SENTENCE, text), *re.split(licenses.PARAGRAPH, text), "\n".join(lines[:head]), text if whole else ""}
+    found = []
+    for name, shared, template in license_texts.templates():
+        b = vec(template)
+        for unit in units:
+            a = vec(unit)
+            cosine = round(sum(v * b.get(t, 0) for t, v in a.items()) / size(a) / size(b), 9) if a else 0
+            if cosine >= licenses.SIMILARITY:
+                found.append((1, shared, -cosine, name))
+    return min(found, default=None)
+
+
+MIT, BSD3 = license_texts.TEXTS["MIT"], license_texts.TEXTS["BSD-3-Clause"]
+FILES = [
+    (1, "p/LICENSE", license_texts.TEXTS["Apache-2.0"]), (2, "p/a/x.txt", "nothing"), (3, "p/a/b/y.txt", "text\nDistributed under the MIT License, as is.\nmore"),
+    (4, "p/a/b/LICENSE", "Preamble that says little.\n\n" + license_texts.TEXTS["GPL-3.0"] + "\n\nEnd of terms."), (5, "p/a/b/c/z.txt", "z"), (6, "q/z.txt", "z"), (7, None, "Licensed under CC BY-NC 4.0."),
+    (8, "p/a/b/w.txt", None), (9, "LICENSE-x/f.txt", "licensed fishing in this lake is a matter of the public authority"), (6, "q/z.txt", "z"),
+    (10, "r/COPYING", "Copyright (c) 2020 Jane Doe\n\n" + MIT), (11, "r/s/a.py", "# Copyright 2021 X\n#\n# " + BSD3.replace("\n", "\n# ") + "\nimport os\n"),
+    (12, "r/s/b.c", "int main() {}"), (13, "s/one.txt", "An aside. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: none"),
+    (14, "s/two.c", "// SPDX-License-Identifier: EPL-2.0\nint x;"), (15, "s/three.txt", "SPDX is a list of names, and Foo License is none of them"), (16, "s/three.txt", ""), (2, "p/a/x.txt", MIT.split("\n\n")[0]),
+]
+FILE_SCHEMA = "doc_id long, path string, text string"
+
+
+def test_licenses_equal_brute_force(spark):
+    rows = licenses.scan(spark.createDataFrame(FILES, FILE_SCHEMA).withColumn("own_license", F.lit("clash"))).collect()
+    texts = [t for _, _, t in FILES]
+    want = Counter()
+    for i, path, text in FILES:
+        best = brute_license(texts, text, bool(path and re.search("(^|/)(LICENSE|COPYING)[^/]*$", path)))
+        want[i, path, best and best[3], best and -best[2]] += 1
+    assert Counter((r.doc_id, r.path, r.own_license, r.cosine) for r in rows) == want
+
+
+def test_licenses_of_headers_files_and_folders(spark):
+    rows = licenses.scan(spark.createDataFrame(FILES, FILE_SCHEMA)).collect()
+    assert len(rows) == len(FILES)
+    got = {r.doc_id: (r.license, r.origin, r.from_folder) for r in rows if r.doc_id != 2}
+    assert got[1][0] == "Apache-2.0" and got[3][:2] == ("MIT", "own") and got[4][:2] == ("GPL-3.0", "own") and got[5] == ("GPL-3.0", "inherited", "p/a/b")
+    assert got[6] == (None, "none", None) and got[7][:2] == ("CC-BY-NC-4.0", "own") and got[8] == ("GPL-3.0", "inherited", "p/a/b")
+    assert got[9][1] == "none" and got[10][:2] == ("MIT", "own") and got[11][:2] == ("BSD-3-Clause", "own") and got[12] == ("MIT", "inherited", "r")
+    assert got[13][:2] == ("BSD-2-Clause", "own"), "a paragraph of several licences names the first"
+    assert got[14][:2] == ("EPL-2.0", "own") and got[15][1] == "none" and got[16][1] == "none"
+    twice = [(r.license, r.origin) for r in rows if r.doc_id == 2]
+    assert sorted(twice) == [("Apache-2.0", "inherited"), ("MIT", "own")], "rows with equal id and path keep their own texts' licences"
 
 
 def test_license_terms_are_weighed_by_their_frequency(spark):
-    """A word that all headers carry costs no header its licence, however large the corpus; weights are those of counted terms."""
-    header, other = "Distributed and Released under the MIT License.", "license for something else altogether"
-    words = lambda t: [x for x in t.lower().replace(".", "").split() if x]
+    """A word that all headers carry costs no header its licence, however large the corpus; a rare one weighs by its frequency."""
+    header, other, named = "Distributed and Released under the MIT License.", "license for something else altogether", "Released under the MIT License by zyx."
     for n in (8, 200, 5000):
-        files = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("path"), F.when(F.col("id") % 4 < 3, header).otherwise(other).alias("text"))
-        rows = licenses.scan(files).where("own_license is not null").collect()
-        assert len(rows) == n * 3 // 4 and {r.own_license for r in rows} == {"MIT"}
-        units = [header] * (n * 3 // 4) + [other] * (n // 4)
-        df = Counter(t for u in units for t in set(words(u)))
-        idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1  # noqa: E731, B023
-        own = "released under the mit license".split()
-        want = math.sqrt(sum(idf(t) ** 2 for t in own) / sum(idf(t) ** 2 for t in words(header)))
-        assert {r.cosine for r in rows} == {round(want, 9)}
+        text = F.when(F.col("id") == 0, named).when(F.col("id") % 4 < 3, header).otherwise(other)
+        files = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("path"), text.alias("text"))
+        rows = [r for r in licenses.scan(files).where("own_license is not null").collect() if r.doc_id]
+        assert len(rows) == n * 3 // 4 - 1 and {r.own_license for r in rows} == {"MIT"}
+        texts = [named] + [header] * (n * 3 // 4 - 1) + [other] * (n // 4)
+        assert {r.cosine for r in rows} == {-brute_license(texts, header)[2]}
 
 
-def test_license_frequencies_beyond_the_broadcast(spark):
-    pairs = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 1), ("b", "z", 1), ("c", "y", 1)], "__key string, term string, tf long")
-    seen = spark.createDataFrame([("x", 2), ("y", 2)], "term string, df long")
-    for limit in (1, 2):
-        got = licenses._with_frequencies(pairs, seen, limit).select("__key", "term", "tf", "df").collect()
-        assert sorted(map(tuple, got)) == [("a", "x", 1, 2), ("a", "y", 2, 2), ("b", "x", 1, 2), ("b", "z", 1, 1), ("c", "y", 1, 2)]
+def test_license_tables_beyond_the_broadcast(spark):
+    texts = spark.createDataFrame([(str(i), t, i % 2 == 0) for i, (_, _, t) in enumerate(FILES)], "__digest string, __text string, __whole boolean")
+    found = [sorted(map(tuple, licenses.similarity(texts, license_texts.templates(), limit).collect())) for limit in (1, 10_000)]
+    assert found[0] == found[1] and len(found[0]) > 5
 
 
 def test_license_query_covers_all_documents(spark, sf, odd, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = queries.op5_licenses(spark, sf).collect()
-    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
-    told = {r.doc_id for r in docs.collect() if any("licen" in line.lower() for line in r.text.split("\n"))}
-    assert {r.doc_id for r in rows if r.origin == "own"} == told
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
     with_path = lambda d: d.withColumn("path", licenses.tree_path(F.col("doc_id")))
     assert licenses.scan(with_path(odd)).count() == odd.count()
     assert licenses.scan(with_path(empty)).count() == 0
