@@ -2,11 +2,11 @@
 
 1. *Units*: every line, sentence and paragraph of a file, its leading comment block, and the whole text of a licence file.  Any of
    them may be a licence statement; none is looked for by keywords.
-2. *TF-IDF cosine*: document frequencies are counted over all files by one aggregation.  A unit is a sparse vector (term, count x
-   idf) and is compared with all templates by a join on terms.  Only units that hold a *leading term* of some template are joined:
-   the terms left out of a template's lead together have a length below ``SIMILARITY``, so that no cosine from ``SIMILARITY`` on is lost
-   (Cauchy-Schwarz).  Terms rarer than one in ``RARE`` files weigh alike: a cosine doesn't fall as the corpus grows, and
-   the table of the other terms has a size bound of ``RARE`` times the mean number of distinct terms of a file.
+2. *TF-IDF cosine*: document frequencies are counted over all files by one aggregation.  A unit is a sparse vector (term,
+   (1 + log count) x idf) and is compared with all templates by a join on terms.  Only units that hold a *leading term* of some
+   template are joined: its rarest terms, so many that those left out together have a length below ``SIMILARITY`` and no cosine
+   from ``SIMILARITY`` on is lost (Cauchy-Schwarz).  Terms rarer than one in ``RARE`` files weigh alike: a cosine doesn't fall as
+   the corpus grows, and the table of the other terms is bounded by ``RARE`` times the mean number of distinct terms of a file.
 3. *Own licence*: an SPDX tag as it is declared; else the template with the highest cosine from ``SIMILARITY`` on.  Paragraphs that
    several licences share count only where nothing else is found.
 4. *Inheritance*: a licence file licenses its directory; a file without a licence of its own takes that of the nearest ancestor
@@ -67,9 +67,9 @@ class Templates:
         lead: set[str] = set()
         for number, (name, shared, text) in enumerate(rows):
             own = _python_terms(text)
-            weight = {t: own.count(t) * idf(n, df.get(t, 0)) for t in own}
+            weight = {t: (1 + math.log(own.count(t))) * idf(n, df.get(t, 0)) for t in own}
             length = math.sqrt(sum(w * w for w in weight.values()))
-            left, order = 1.0, sorted(weight, key=lambda t: (-weight[t], t))
+            left, order = 1.0, sorted(weight, key=lambda t: (df.get(t, 0), -weight[t], t))
             for t in order:
                 if left < (SIMILARITY - 1e-6) ** 2:
                     break
@@ -111,7 +111,7 @@ def similarity(texts: DataFrame, chosen: list[tuple[str, int, str]], limit: int
     words = found.select("__row", "unit", terms(F.col("text")).alias("words")).where(leads(F.col("words")))
     pairs = words.select("__row", "unit", F.explode("words").alias("term")).groupBy("__row", "unit", "term").agg(F.count("*").alias("tf"))
     pairs = pairs.join(_small(common, limit), "term", "left")
-    weight = F.col("tf") * (F.log(F.least(F.lit(float(RARE)), F.lit(1.0 + n) / (1 + F.coalesce("df", F.lit(0))))) + 1)
+    weight = (1 + F.log("tf")) * (F.log(F.least(F.lit(float(RARE)), F.lit(1.0 + n) / (1 + F.coalesce("df", F.lit(0))))) + 1)
     table = _literal(spark, model.weights, "term:string,template:int,weight:double")
     table = table.groupBy("term").agg(F.collect_list(F.struct("template", "weight")).alias("in"))
     joined = pairs.withColumn("w", weight).join(F.broadcast(table), "term", "left")

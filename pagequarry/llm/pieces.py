@@ -30,6 +30,9 @@ INNER = re.compile(rf"[ \n\t](?<=[{SPACE}].)(?=[{SPACE}]|\Z)", re.DOTALL)
 MAYBE_INNER = f"[{SPACE}][ \\n\\t]([{SPACE}]|\\z)"
 #: Words of Latin, Greek or Cyrillic letters, which the pattern takes as one pre-token for certain.
 WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ſΑ-ΡΣ-Ωα-ωА-яЁё]+")
+#: Pieces of printed ASCII, and the pattern for them.
+PRINTED = re.compile("[!-~]+")
+PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
 #: Marks that are a pre-token of their own behind a word.
 MARKS = ".,;:!?"
 #: Stand-ins: before the first piece of a text, which no blank precedes; for a blank, line end and tab where no cut is allowed.
@@ -95,12 +98,14 @@ class PieceCache(dict):
         found = self.first.get(piece)
         if found is not None:
             return found
-        if WORD.fullmatch(piece):
+        if piece.isalpha() and (piece.isascii() or WORD.fullmatch(piece)):
             found = self.word(piece)
         elif piece[-1:] in MARKS and WORD.fullmatch(piece, 0, len(piece) - 1):
             found = self.total([self[piece[:-1]], self.word(piece[-1], False)])
         elif piece[:1] in "\n\t" and WORD.fullmatch(piece, 1):
             found = self.total([self.segment(piece[0]), self.word(piece[1:], False)])
+        elif PRINTED.fullmatch(piece):
+            found = self.total([self.word(p[1:]) if p[0] == " " else self.word(p, False) for p in PRE_TOKEN.findall(" " + piece)])
         else:
             text = piece.translate(RELEASED)
             found = self.segment(text[1:] if piece[:1] == OPENING else text if piece[:1] in ("\n", "\t") else " " + text)

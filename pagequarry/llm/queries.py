@@ -114,8 +114,8 @@ df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_terms_
 templates AS (SELECT * FROM (VALUES {TEMPLATE_SQL}) v(template, license, shared, words)),
 tf AS (SELECT uid, term, count(*) AS n FROM (SELECT uid, unnest({_terms_sql("unit")}) AS term FROM units) GROUP BY 1, 2),
 ttf AS (SELECT template, term, count(*) AS n FROM (SELECT template, unnest({_terms_sql("words")}) AS term FROM templates) GROUP BY 1, 2),
-weighed AS (SELECT uid, tf.term, n * (ln(least({licenses.RARE}.0::DOUBLE, (1.0::DOUBLE + {SIZE_SQL}) / (1 + coalesce(df, 0)))) + 1) AS w FROM tf LEFT JOIN df ON tf.term = df.term),
-tweighed AS (SELECT template, ttf.term, n * (ln(least({licenses.RARE}.0::DOUBLE, (1.0::DOUBLE + {SIZE_SQL}) / (1 + coalesce(df, 0)))) + 1) AS w FROM ttf LEFT JOIN df ON ttf.term = df.term),
+weighed AS (SELECT uid, tf.term, (1 + ln(n)) * (ln(least({licenses.RARE}.0::DOUBLE, (1.0::DOUBLE + {SIZE_SQL}) / (1 + coalesce(df, 0)))) + 1) AS w FROM tf LEFT JOIN df ON tf.term = df.term),
+tweighed AS (SELECT template, ttf.term, (1 + ln(n)) * (ln(least({licenses.RARE}.0::DOUBLE, (1.0::DOUBLE + {SIZE_SQL}) / (1 + coalesce(df, 0)))) + 1) AS w FROM ttf LEFT JOIN df ON ttf.term = df.term),
 lengths AS (SELECT uid, sqrt(sum(w * w)) AS length FROM weighed GROUP BY uid),
 tlengths AS (SELECT template, sqrt(sum(w * w)) AS length FROM tweighed GROUP BY template),
 dots AS (SELECT uid, template, sum(a.w * b.w) AS dot FROM weighed a JOIN tweighed b ON a.term = b.term GROUP BY 1, 2),

@@ -58,7 +58,7 @@ def words_of(text):
 def brute_license(texts, text, whole=False):
     """The own licence of a text among ``texts`` by comparing every unit with every template."""
     n, df = len(texts), Counter(t for x in texts for t in set(words_of(x or "")))
-    vec = lambda x: {t: k * (math.log(min(licenses.RARE, (1 + n) / (1 + df[t]))) + 1) for t, k in Counter(words_of(x)).items()}
+    vec = lambda x: {t: (1 + math.log(k)) * (math.log(min(licenses.RARE, (1 + n) / (1 + df[t]))) + 1) for t, k in Counter(words_of(x)).items()}
     size = lambda v: math.sqrt(sum(x * x for x in v.values()))
     if not text:
         return None
