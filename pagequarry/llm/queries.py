@@ -79,13 +79,14 @@ WITH words AS (
     SELECT 'd' AS side, doc_id AS id, {WORDS_SQL.format(text="text")} AS w FROM documents
     UNION ALL SELECT 'b', item_id, {WORDS_SQL.format(text="text")} FROM benchmark
 ),
+sizes_of AS (SELECT DISTINCT least(5, len(w)) AS k FROM words WHERE side = 'b' AND len(w) > 0),
 shingles AS (
-    SELECT DISTINCT side, id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
-    FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+    SELECT DISTINCT side, id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s
+    FROM (SELECT side, id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words JOIN sizes_of ON k <= len(w) AND (side = 'd' OR k = least(5, len(w))))
 ),
 sizes AS (SELECT id, count(*) AS n FROM shingles WHERE side = 'b' GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS n_shared, any_value(n)::BIGINT AS n_item, count(*)::DOUBLE / any_value(n) AS containment
-FROM shingles d JOIN shingles b ON d.s = b.s AND d.side = 'd' AND b.side = 'b' JOIN sizes ON sizes.id = b.id
+FROM shingles d JOIN shingles b ON d.s = b.s AND d.k = b.k AND d.side = 'd' AND b.side = 'b' JOIN sizes ON sizes.id = b.id
 GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n)
 """
 

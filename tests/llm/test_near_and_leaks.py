@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pagequarry.llm import components, decontaminate, queries, simhash
 
@@ -104,20 +105,20 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def shingles(text):
+def shingles(text, size=5):
     w = words(text)
-    w = w + [" "] * (5 - len(w)) if 0 < len(w) < 5 else w
-    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+    return {" ".join(w[i : i + size]) for i in range(len(w) - size + 1)}
 
 
 def leaks(docs, items):
     out = []
     for d, t in docs:
-        own = shingles(t)
         for i, x in items:
-            s = shingles(x)
-            if s and len(s & own) >= 0.8 * len(s):
-                out.append((str(d), str(i), len(s & own), len(s)))
+            size = min(5, len(words(x)))
+            s = shingles(x, size) if size else set()
+            both = len(s & shingles(t, size))
+            if s and both >= 0.8 * len(s):
+                out.append((str(d), str(i), both, len(s)))
     return sorted(out)
 
 
@@ -128,20 +129,27 @@ def test_leaks_equal_brute_force(spark, sf):
     assert got == leaks(docs, items) and got
 
 
-def test_leaks_of_odd_documents_in_blocks(spark, odd, empty, monkeypatch):
+@pytest.mark.parametrize("limit", [1 << 20, 700])
+def test_leaks_of_odd_documents_by_broadcast_and_by_joins(spark, odd, empty, monkeypatch, limit):
     rng = random.Random(3)
     vocabulary = [f"v{i}" for i in range(500)]
     passage = [" ".join(rng.choices(vocabulary, k=n)) for n in (5, 9, 17, 40, 70, 200)]
     hay = lambda p: " ".join(rng.choices(vocabulary, k=4000)) + " " + p + "\n" + " ".join(rng.choices(vocabulary, k=3000))
     changed = passage[4].replace(passage[4].split()[30], "other", 1)
     rows = [(r.doc_id, r.text) for r in odd.collect()] + [(100 + i, hay(p)) for i, p in enumerate(passage)] + [(200, hay(changed)), (201, passage[3].upper())]
-    items = list(enumerate(passage)) + [(50, "the quick brown"), (51, ""), (52, None), (53, "word"), (3, passage[3]), (None, passage[2])]
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)
+    items = list(enumerate(passage)) + [(50, "the quick brown"), (51, ""), (52, None), (53, "word"), (54, "lazy DOG."), (3, passage[3]), (None, passage[2])]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
     table, asked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted((str(r.doc_id), str(r.item_id), r.n_shared, r.n_item) for r in decontaminate.find_leaks(table, asked).collect())
     assert got == leaks(rows, items)
-    assert {"100", "101", "102", "103", "104", "105", "200", "201", "9"} == {g[0] for g in got}
+    assert {"100", "101", "102", "103", "104", "105", "200", "201", "1", "2", "9"} == {g[0] for g in got}
     assert decontaminate.find_leaks(empty, asked).count() == 0
     assert decontaminate.find_leaks(odd, spark.createDataFrame([], "item_id long, text string")).count() == 0
     kept = decontaminate.without_leaks(odd, asked)
-    assert kept.columns == odd.columns and kept.count() == odd.count() - 1
+    assert kept.columns == odd.columns and kept.count() == odd.count() - len({1, 2, 9}) - 1
+
+
+def test_short_items_are_found_inside_long_documents(spark):
+    docs = spark.createDataFrame([(1, "kilo lima mike november oscar papa quebec"), (2, "lima november mike"), (3, "Lima mike")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "lima mike november"), (8, "lima mike"), (9, "papa quebec romeo")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()) == [(1, 7), (1, 8), (3, 8)]
