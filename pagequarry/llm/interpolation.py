@@ -16,7 +16,8 @@ Flow of the data, so that no row is made per token:
 4. *scores*: every block meets its answers and scores its documents.
 
 Tokens: A-Z lower-cased, words of anything but ASCII white space, then one end, which is also the first word's context.
-Null text counts as empty.  Without training rows every probability is that of one unknown word.  Rows with equal or null ids stay rows.
+Null text counts as empty.  Without training rows every probability is that of one unknown word.  Rows with equal or null ids stay rows; extra columns
+are ignored.  Long texts are scored whole.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import fold, materialize, partitions, power_of_two, session
 
 #: Bytes of text of a block; parts of the documents.
 BLOCK_BYTES = 8 << 20
+#: Keys that a bucket gets at most on average: the number of buckets grows with the corpus, their size doesn't.
+BUCKET_KEYS = 3 << 20
 COUNTED, DELETED, UNSEEN = 0, 1, 2
 #: The key of the end; no word holds a blank.
 END = b" "
@@ -268,7 +271,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = fold(F.col(id_col), modulus)
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.when(own == held_out, UNSEEN).when(own == deleted, DELETED).otherwise(COUNTED).alias("part"), F.col(text_col).cast("string").alias("text"))
     blocks = materialize(kept.mapInArrow(_blocks, BLOCKS), "lm-blocks")
-    sent = blocks.mapInArrow(_send(power_of_two(4 * partitions(spark))), KEYS)
+    tokens = blocks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("n")).first().n // 4
+    buckets = power_of_two(max(4 * partitions(spark), -(-tokens // BUCKET_KEYS)))
+    sent = blocks.mapInArrow(_send(buckets), KEYS)
     answers = materialize(sent.groupBy("level", "bucket").applyInArrow(_sum, ANSWERS), "lm-counts")
     totals = answers.where("level = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_counted", "n_deleted", "v_counted", "v_all"))).first()
 
