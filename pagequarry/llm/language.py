@@ -8,7 +8,7 @@ largest cosine.  A text farther from its centroid than nearly all training texts
 The classifier is fitted on a bounded sample: at most about ``SAMPLE`` labelled texts per language, drawn by a hash of the id.
 Every text, whole, is scored.
 
-Null text or text without letters: ``und``, score 0, rejected.  Without training rows every text is ``und``.  Ties between centroids
+Null text or text without letters: ``und``, score 0, rejected.  Repeated rows stay rows, and extra columns are ignored.  Without training rows every text is ``und``.  Ties between centroids
 go to the language first in alphabetical order.
 """
 
@@ -27,6 +27,8 @@ from .common import fold, session
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 SAMPLE, CLUSTERS, ROUNDS = 1500, 4, 15
+#: Texts of all languages together that the classifier is fitted on, about at most; labels that are broadcast at most.
+SAMPLE_TOTAL, BROADCAST_LABELS = 12_000, 10_000
 #: Share of training texts that may be farther from their centroid than the limit of rejection.
 REJECT = 0.002
 UNKNOWN = "und"
@@ -87,15 +89,14 @@ def centroids(rows: np.ndarray, clusters: int = CLUSTERS, rounds: int = ROUNDS)
     return centres
 
 
-def sample(docs: DataFrame, label: str, bound: int, key: str = "id") -> DataFrame:
-    """About ``bound`` rows at most of each label, chosen by a hash of ``key``; all rows of a label that has fewer."""
-    sizes = docs.groupBy(label).agg(F.count("*").alias("__n"))
-    rates = {r[label]: min(1.0, bound / r["__n"]) for r in sizes.orderBy(F.desc("__n"), label).collect()}
+def sample(docs: DataFrame, label: str, bound: int, key: str = "id", total: int | None = None) -> DataFrame:
+    """About ``bound`` rows at most of each label and ``total`` of all, chosen by a hash of ``key``; all rows of a label that has fewer."""
+    sizes = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    n = sizes.count()
+    each = min(bound, max(1, total // max(1, n))) if total else bound
+    sizes = F.broadcast(sizes) if n <= BROADCAST_LABELS else sizes
     rank = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept = F.lit(False)
-    for value, rate in rates.items():
-        kept |= (F.col(label) == F.lit(value)) & (rank < F.lit(rate))
-    return docs.where(kept)
+    return docs.join(sizes, docs[label] == sizes["__label"]).where(rank * F.col("__n") < each).drop("__label", "__n")
 
 
 class Model:
@@ -128,7 +129,7 @@ def fit(labelled: DataFrame, bound: int = SAMPLE) -> Model:
             rows = [(lang, v.astype(np.float16).tobytes()) for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t and (v := counts(t)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "vector"])
 
-    rows = sample(labelled.where("lang is not null"), "lang", bound).select("text", "lang").mapInArrow(run, "lang string, vector binary").collect()
+    rows = sample(labelled, "lang", bound, total=SAMPLE_TOTAL).select("text", "lang").mapInArrow(run, "lang string, vector binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.vector)))
     vectors = np.stack([np.frombuffer(bytes(r.vector), np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, DIMENSIONS), np.float32)
     return Model(vectors, [r.lang for r in rows])

@@ -5,7 +5,8 @@ decoder tests signature, order, lengths and CRC of the chunks and the zlib strea
 feature is a 64-bit hash: brightness averaged to 32 x 32, its two-dimensional cosine transform, and the signs of the 8 x 8
 lowest frequencies against their median.
 
-Damaged images raise ValueError.  Null text counts as empty; equal texts give equal values; rows are never merged.
+Damaged images raise ValueError.  Null text counts as empty; equal texts give equal values; rows are never merged.  Long texts are
+stored whole in more rows of pixels; extra columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

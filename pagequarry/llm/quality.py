@@ -7,6 +7,8 @@ computed once per text with numpy over its bytes.
 
 Null text counts as empty.  Without labels of both kinds the score is the share of label 1 (1.0 if there are none).  Documents
 without label, with a null or with contradicting labels: labels that aren't 0 or 1 are ignored; repeated ones count repeatedly.
+Ties of a statistic with a rule's value go with ``<=``.  Long texts are measured whole; repeated rows stay rows, and a table's own
+columns may have any names but those of ``COLUMNS``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, session, text_bytes
+from .common import BROADCAST_IDS, fold, materialize, session, text_bytes
 from .language import sample
 
 #: Labelled rows per label that the classifier is fitted on, about at most.
@@ -170,7 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
     """Fits on (id, text) joined to (doc_id, quality) whose fold isn't ``held_out``; about ``bound`` rows of each label at most."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and id is not null")
     chosen = sample(known.where(fold(F.col("id"), modulus) != held_out), "quality", bound)
-    joined = docs.join(F.broadcast(chosen), "id").select("id", "quality", "text")
+    chosen = materialize(chosen, "quality-sample")
+    small = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    joined = docs.join(F.broadcast(chosen) if small else chosen, "id").select("id", "quality", "text")
     rows = with_statistics(joined, ["id", "quality"]).orderBy("id", *COLUMNS).collect()
     x = np.array([[r[c] for c in COLUMNS] for r in rows]).reshape(len(rows), len(STATISTICS))
     return fit_rules(x, np.array([float(r.quality) for r in rows]))
