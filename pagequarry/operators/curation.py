@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,26 +39,61 @@ def sft_rows(rows: DataFrame, least: int = 80) -> DataFrame:
     return tiers(rows).where((F.col("tier") == "A") & (F.col("total") >= least)).select(F.col("item_id").alias("query"), F.col("line_idx").alias("source_line"), F.col("total").alias("score"))
 
 
+@lru_cache(maxsize=1)
+def _crc_table() -> np.ndarray:
+    """The table of CRC-32, one entry per byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+def shingle_hashes(text: str, k: int = SHINGLE) -> np.ndarray:
+    """The distinct CRC-32 values of the UTF-8 of all runs of ``k`` characters (a shorter text: the whole), all windows at once."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    windows, table = max(1, len(points) - k + 1), _crc_table()
+    crc = np.full(windows, 0xFFFFFFFF, np.uint32)
+    width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    most = int(width.max(initial=1))
+    for i in range(min(k, len(points))):
+        c, w = points[i : i + windows], width[i : i + windows]
+        for byte in range(most):
+            # Byte number ``byte`` of the character's UTF-8: a leading byte, or six more bits.
+            lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[w] if most > 1 else 0
+            value = (c >> (6 * (w - 1)).astype(np.uint32) | lead) if byte == 0 else (c >> (6 * np.maximum(w - 1 - byte, 0)).astype(np.uint32)) & 0x3F | 0x80
+            new = table[(crc ^ value) & 0xFF] ^ (crc >> 8)
+            crc = np.where(w > byte, new, crc) if byte else new
+    return np.unique(crc ^ np.uint32(0xFFFFFFFF))
+
+
+@lru_cache(maxsize=4)
+def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    i = np.arange(n, dtype=np.uint64)
+    # Unsigned 32-bit products and sums wrap at 2 ** 32, as the definition asks.
+    return ((i + 1) * np.uint64(2654435761)).astype(np.uint32), (i * np.uint64(1013904223)).astype(np.uint32)
+
+
+def least_values(flat: np.ndarray, sizes: np.ndarray, n: int = PERMUTATIONS) -> np.ndarray:
+    """Signatures (one row of ``n`` minima each) of runs of 32-bit hashes; runs aren't empty."""
+    starts = np.cumsum(sizes) - sizes
+    return np.stack([np.minimum.reduceat(flat * t + p, starts) for t, p in zip(*_factors(n), strict=True)], axis=1)
+
+
 def signatures(texts: DataFrame, n: int = PERMUTATIONS, k: int = SHINGLE) -> DataFrame:
     """(id, signature): for each i the least (s * (i + 1) * 2654435761 + i * 1013904223) mod 2 ** 32 over the text's shingle hashes s (CRC-32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-        import zlib
-
-        i = np.arange(n, dtype=np.uint64)
-        # Unsigned 32-bit products and sums wrap at 2 ** 32, as the definition asks.
-        times, plus = (((i + 1) * np.uint64(2654435761)).astype(np.uint32), (i * np.uint64(1013904223)).astype(np.uint32))
+        blank = re.compile(r"\s+")
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                low = re.sub(r"\s+", " ", (t or "").lower())
-                s = np.fromiter({zlib.crc32(g.encode()) for g in {low[j : j + k] for j in range(max(1, len(low) - k + 1))}}, np.uint32)
-                least = np.full(n, 0xFFFFFFFF, np.uint32)
-                for j in range(0, len(s), 1024):  # a bounded matrix whatever the length of the text
-                    least = np.minimum(least, (s[j : j + 1024, None] * times + plus).min(0))
-                out.append(least.astype(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "signature"])
+            own = [shingle_hashes(blank.sub(" ", (t or "").lower()), k) for t in batch.column(1).to_pylist()]
+            sizes, least = np.fromiter(map(len, own), np.int64, len(own)), []
+            # Some texts at a time, so that their hashes stay in the processor's cache.
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 65536, prepend=-1)).tolist() + [len(own)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                least.append(least_values(np.concatenate(own[i:j]), sizes[i:j], n))
+            flat = np.concatenate(least).astype(np.int64).ravel() if least else np.empty(0, np.int64)
+            signed = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, n, dtype=np.int32), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed], names=["id", "signature"])
 
     return spread(texts.select("id", "text")).mapInArrow(run, "id long, signature array<long>")
 
@@ -104,7 +141,7 @@ def similar_pairs(signed: DataFrame, bands: int = BANDS, least: float = SIMILARI
     several nodes; of a small bucket the few pairs are compared; a large bucket is cut into blocks whose pairs are spread over tasks, and every task reports a spanning
     forest instead of all pairs.
     """
-    sig = F.md5(F.to_json("signature").cast("binary"))
+    sig = F.md5(F.array_join("signature", ",").cast("binary"))
     nodes = _cut(signed.groupBy(sig.alias("sig")).agg(F.min("id").alias("id"), F.any_value("signature").alias("signature")), "nodes")
     rows = PERMUTATIONS // bands
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, F.lit(rows))))
@@ -126,11 +163,13 @@ def similar_pairs(signed: DataFrame, bands: int = BANDS, least: float = SIMILARI
 
 
 def folder(spark) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a new local one where it is unset in local mode."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share; a new local one where it is unset in local mode."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-"):
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-stages-')}"
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages").rstrip("/")
+    return found.rstrip("/")
 
 
 def _cut(df: DataFrame, name: str) -> DataFrame:

@@ -66,22 +66,30 @@ def keyframes(frames: DataFrame, most: int = MAX_FRAMES) -> DataFrame:
 
 
 def fps_quality(frames: DataFrame, samples: int = 10) -> DataFrame:
-    """Per record: changes among its first ``samples`` observation frames, and the class."""
+    """Per record: how many of its first ``samples`` observation frames show another image (``digest``) than the one before, and the class."""
     order = W.partitionBy("record_id").orderBy("seq")
-    watched = frames.where("layer = 'observation'").withColumns({"nth": F.row_number().over(order), "before": F.lag("diff_from_prev").over(order)}).where(F.col("nth") <= samples)
-    counted = watched.groupBy("record_id").agg(F.count_if(F.col("before").isNotNull() & (F.col("before") != F.col("diff_from_prev"))).alias("changes"))
+    first = frames.where("layer = 'observation'").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= samples)
+    watched = first.withColumn("before", F.lag("digest").over(order))
+    counted = watched.groupBy("record_id").agg(F.count_if(F.col("before").isNotNull() & (F.col("before") != F.col("digest"))).alias("changes"))
     c = F.col("changes")
     return counted.withColumn("fps_quality", F.when(c >= 7, "smooth").when(c >= 4, "acceptable").when(c >= 2, "choppy").otherwise("frozen"))
 
 
+#: Parts of labels in the order in which frames are chosen for a repair.
+REPAIR_PRIORITY = ("stable", "idle_animation", "after_click", "keyboard", "canvas_click", "scroll_bottom", "hover", "gameplay")
+
+
 def repair_frames(frames: DataFrame, most: int = REPAIR_FRAMES) -> DataFrame:
-    """Up to ``most`` frames for a repair prompt: by the priority of their labels, then in order; returned in order."""
-    label = F.col("label")
-    priority = F.when(label == "stable", 0).when(_starts("gameplay"), 1).when(_starts("after_click"), 2).when(_starts("form_"), 3).when(_starts("hover"), 4).otherwise(5)
-    nth = F.row_number().over(W.partitionBy("record_id", priority).orderBy("seq"))
-    first = frames.withColumn("priority", priority).withColumn("nth", nth)
-    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("record_id").orderBy("nth", "priority", "seq")))
-    return ranked.where(F.col("rank") <= most).select("record_id", "seq", "label", F.row_number().over(W.partitionBy("record_id").orderBy("seq")).cast("long").alias("place"))
+    """Up to ``most`` frames for a repair prompt, in order: all whose label holds the first part, then the second and so on; the rest
+    by the largest change, later ones first.  Short sequences are whole.  Only the best ``most`` of each partition are shuffled."""
+    priority = F.lit(len(REPAIR_PRIORITY))
+    for i, part in reversed(list(enumerate(REPAIR_PRIORITY))):
+        priority = F.when(F.contains("label", F.lit(part)), i).otherwise(priority)
+    rest = F.col("priority") == len(REPAIR_PRIORITY)
+    order = ("priority", F.when(rest, -F.col("diff_from_prev")), F.when(rest, -F.col("seq")).otherwise(F.col("seq")))
+    ranked = frames.withColumn("priority", priority).withColumn("rank", F.row_number().over(W.partitionBy("record_id").orderBy(*order)))
+    place = F.row_number().over(W.partitionBy("record_id").orderBy("seq")).cast("long")
+    return ranked.where(F.col("rank") <= most).select("record_id", "seq", "label", place.alias("place"))
 
 
 #: Label prefixes in the order in which frames are paired.
@@ -91,26 +99,35 @@ PAIR_PRIORITY = ("stable", "after_click", "keyboard", "idle_animation", "scroll_
 def paired_frames(frames: DataFrame, most: int = 3) -> DataFrame:
     """Up to ``most`` (before, after) pairs of a record's frames (record_id, side, seq, label).
 
-    Labels of a prefix are paired greedily in order, prefix by prefix; what is left is paired by position.  A label counts once per
-    side (its last frame), which bounds what a record brings to its task.
+    Labels of a prefix are paired greedily in order, prefix by prefix (a label stands for its last frame); then all frames whose label
+    is unused are paired by position.  A record brings its labels to its task, each with its last and its first ``most`` frames.
     """
-    labels = frames.groupBy("record_id", "side", "label").agg(F.min("seq").alias("first"), F.max("seq").alias("seq"))
+    keys = ["record_id", "side", "label"]
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("seq"))
+    firsts = frames.withColumn("nth", nth).where(F.col("nth") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list("seq")).alias("firsts"))
+    labels = frames.groupBy(*keys).agg(F.max("seq").alias("last")).join(firsts, keys)
 
     def run(group):
         import pandas as pd
 
-        ordered = group.sort_values("first")
-        before, after = ([*ordered[ordered["side"] == s][["label", "seq"]].itertuples(index=False, name=None)] for s in ("before", "after"))
+        sides = []
+        for side in ("before", "after"):
+            own = group[group["side"] == side]
+            sides.append(sorted(([int(x) for x in f], label, int(last)) for label, last, f in own[["label", "last", "firsts"]].itertuples(index=False)))
+        before, after = ([(label, last) for _, label, last in x] for x in sides)
         pairs = []
         for prefix in PAIR_PRIORITY:
             for b in [x for x in before if x[0].startswith(prefix)]:
-                match = next((a for a in after if a[0].startswith(prefix)), None)
+                match = next((a for a in after if a[0] == b[0] or a[0].startswith(prefix)), None)
                 if match is None or len(pairs) >= most:
-                    break
+                    continue
                 pairs.append((b, match))
                 before.remove(b)
                 after.remove(match)
-        pairs += list(zip(before, after, strict=False))[: most - len(pairs)]
-        return pd.DataFrame([(group["record_id"].iloc[0], i, b[0], b[1], a[0], a[1]) for i, (b, a) in enumerate(pairs)], columns=["record_id", "pair", "before_label", "before_seq", "after_label", "after_seq"])
+        unused = [{label for label, _ in x} for x in (before, after)]
+        rest = [sorted((seq, label) for f, label, _ in x for seq in f if label in u) for x, u in zip(sides, unused, strict=True)]
+        pairs += [((b[1], b[0]), (a[1], a[0])) for b, a in zip(*rest, strict=False)][: most - len(pairs)]
+        rows = [(group["record_id"].iloc[0], i, b[0], b[1], a[0], a[1]) for i, (b, a) in enumerate(pairs)]
+        return pd.DataFrame(rows, columns=["record_id", "pair", "before_label", "before_seq", "after_label", "after_seq"])
 
     return labels.groupBy("record_id").applyInPandas(run, "record_id long, pair long, before_label string, before_seq long, after_label string, after_seq long")

@@ -36,18 +36,27 @@ def merged(sources: list[DataFrame], key: str, valid: Column) -> DataFrame:
     return rows.groupBy(F.col(key).alias("__k")).agg(F.max_by(F.struct(*rows.columns), F.struct("source_rank", "line_idx")).alias("r")).select("r.*")
 
 
+#: What errors say when a provider blocked an item.
+BLOCKED = ("content filter", "content filtering", "output blocked", "blocked by content", "safety policy", "policy violation")
+ERROR_LENGTH = 500
+
+
+def short_error(message: Column) -> Column:
+    """The part of an error that is kept."""
+    return F.substring(message, 1, ERROR_LENGTH)
+
+
 def error_class(message: Column) -> Column:
-    """What kind of failure a generation error is."""
-    low = F.lower(message)
-    return (
-        F.when(stripped(message) == "", "none").when(any_of(low, ("content_filter", "content filter", "content management policy", "responsible ai")), "content_filter").when(any_of(low, ("429", "rate limit", "too many requests")), "rate_limit")
-        .when(any_of(low, ("timeout", "timed out")), "timeout").otherwise("other")
-    )
+    """What kind of failure a (shortened) generation error is; a blocked item isn't tried again."""
+    low = F.lower(short_error(message))
+    limited, late = any_of(low, ("429", "rate limit", "too many requests")), any_of(low, ("timeout", "timed out"))
+    blocked = F.when(stripped(message) == "", "none").when(any_of(low, BLOCKED), "content_filter")
+    return blocked.when(limited, "rate_limit").when(late, "timeout").otherwise("other")
 
 
-def retry_after(message: Column) -> Column:
-    """Seconds that an error asks to wait, null if it doesn't."""
-    return F.nullif(F.regexp_extract(F.lower(message), "(?:retry|try again)[^0-9]{0,20}([0-9]+(?:\\.[0-9]+)?)\\s*s", 1), F.lit("")).cast("double")
+def retry_after(header: Column) -> Column:
+    """Seconds that a response's retry-after header asks to wait; null without a number."""
+    return header.try_cast("double")
 
 
 def latency(values: Column) -> dict[str, Column]:
@@ -108,10 +117,16 @@ def report_score(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, "\\*\\*Score\\*\\* \\| \\*\\*([0-9]+) / 100", 1), F.lit("")).cast("long")
 
 
+#: Words of buttons that are tried first, as usual, and last.
+FIRST_WORDS = ("start", "play", "begin", "submit", "initiate", "开始")
+USUAL_WORDS = ("next", "continue", "ok", "confirm", "新建", "继续")
+LAST_WORDS = ("cancel", "close", "back", "return", "菜单")
+
+
 def button_priority(label: Column) -> Column:
-    """How promising a button is: start words first, then action words, then the rest."""
+    """How promising a button is by its text and attributes; a usual word keeps a button from going last."""
     low = F.lower(label)
-    return F.when(any_of(low, ("start", "play", "begin", "new game", "go")), 100).when(any_of(low, ("submit", "add", "save", "next", "run", "search")), 50).otherwise(10)
+    return F.when(any_of(low, FIRST_WORDS), 100).when(any_of(low, USUAL_WORDS), 50).when(any_of(low, LAST_WORDS), 10).otherwise(50)
 
 
 def chunk(position: Column, size: int) -> Column:

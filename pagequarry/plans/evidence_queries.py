@@ -60,10 +60,15 @@ ORACLES = {
     "frame_outcomes": f"""WITH {FRAMES_SQL} SELECT label, CASE WHEN ({" OR ".join(f"starts_with(label, '{p}')" for p in E.ACTION_PREFIXES)}) AND diff_from_prev <> 0 THEN CASE WHEN diff_from_prev >= 0.03 THEN 'responsive' WHEN diff_from_prev >= 0.015 THEN 'subtle' ELSE 'no change' END END AS outcome, count(*) AS n FROM frames GROUP BY 1, 2""",
     "frame_keyframes": f"""WITH {FRAMES_SQL}, m AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS n, row_number() OVER (PARTITION BY record_id, split_part(label, '_', 1) ORDER BY seq) AS of_kind FROM frames), k AS (SELECT *, seq = 1 OR seq = n OR of_kind = 1 AS must FROM m),
       r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY must DESC, diff_from_prev DESC, seq DESC) AS rank FROM k) SELECT record_id, seq, label, round_even(diff_from_prev, 6) AS diff_from_prev FROM r WHERE n <= 14 OR must OR rank <= 14""",
-    "frame_fps": f"""WITH {FRAMES_SQL}, o AS (SELECT *, row_number() OVER w AS nth, lag(diff_from_prev) OVER w AS before FROM frames WHERE layer = 'observation' WINDOW w AS (PARTITION BY record_id ORDER BY seq)),
-      c AS (SELECT record_id, count(*) FILTER (before IS NOT NULL AND before <> diff_from_prev) AS changes FROM o WHERE nth <= 10 GROUP BY 1) SELECT *, CASE WHEN changes >= 7 THEN 'smooth' WHEN changes >= 4 THEN 'acceptable' WHEN changes >= 2 THEN 'choppy' ELSE 'frozen' END AS fps_quality FROM c""",
-    "frame_repair_selection": f"""WITH {FRAMES_SQL}, p AS (SELECT *, CASE WHEN label = 'stable' THEN 0 WHEN starts_with(label, 'gameplay') THEN 1 WHEN starts_with(label, 'after_click') THEN 2 WHEN starts_with(label, 'form_') THEN 3 WHEN starts_with(label, 'hover') THEN 4 ELSE 5 END AS priority FROM frames),
-      n AS (SELECT *, row_number() OVER (PARTITION BY record_id, priority ORDER BY seq) AS nth FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY nth, priority, seq) AS rank FROM n)
-      SELECT record_id, seq, label, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS place FROM r WHERE rank <= 5""",
+    "frame_fps": f"""WITH {FRAMES_SQL}, o AS (SELECT *, row_number() OVER w AS nth, lag(digest) OVER w AS before FROM frames WHERE layer = 'observation' WINDOW w AS (PARTITION BY record_id ORDER BY seq)),
+      c AS (SELECT record_id, count(*) FILTER (before IS NOT NULL AND before <> digest) AS changes FROM o WHERE nth <= 10 GROUP BY 1)
+      SELECT *, CASE WHEN changes >= 7 THEN 'smooth' WHEN changes >= 4 THEN 'acceptable' WHEN changes >= 2 THEN 'choppy' ELSE 'frozen' END AS fps_quality FROM c""",
+    "frame_repair_selection": f"""WITH {FRAMES_SQL}, p AS (SELECT *, CASE WHEN contains(label, 'stable') THEN 1 WHEN contains(label, 'idle_animation') THEN 2 WHEN contains(label, 'after_click') THEN 3 WHEN contains(label, 'keyboard') THEN 4
+        WHEN contains(label, 'canvas_click') THEN 5 WHEN contains(label, 'scroll_bottom') THEN 6 WHEN contains(label, 'hover') THEN 7 WHEN contains(label, 'gameplay') THEN 8 ELSE 9 END AS priority FROM frames),
+      named AS (SELECT record_id, seq, label, row_number() OVER (PARTITION BY record_id ORDER BY priority, seq) AS rank FROM p WHERE priority < 9),
+      others AS (SELECT record_id, seq, label, row_number() OVER (PARTITION BY record_id ORDER BY diff_from_prev DESC, seq DESC) AS rank FROM p WHERE priority = 9),
+      chosen AS (SELECT record_id, seq, label FROM named WHERE rank <= 5 UNION ALL
+        SELECT o.record_id, seq, label FROM others o LEFT JOIN (SELECT record_id, count(*) AS n FROM named GROUP BY 1) c ON o.record_id = c.record_id WHERE rank <= 5 - coalesce(n, 0))
+      SELECT record_id, seq, label, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS place FROM chosen""",
 }
 QUERIES = {name: globals()[name] for name in [*ORACLES, "frame_pairs", "frame_ssim"]}

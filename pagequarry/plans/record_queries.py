@@ -9,7 +9,8 @@ from ..operators import records as R
 from ..sources.tables import RESPONSES_SQL, RESULTS_SQL, responses, table
 from .analysis_queries import _latest
 
-MESSAGES = ("Error 429: rate limit, try again in 12.5 s", "", "request TIMED OUT", "blocked by Content Filter", "boom")
+MESSAGES = ("Error 429: rate limit; ", "", "request TIMED OUT: ", "Output blocked, see the Safety Policy. ", "boom ")
+BUTTONS = ("Start", "Save", "OK, go back", "Cancel", "Continue", "继续", "菜单")
 
 
 def parsed_records(spark, sf_dir):
@@ -43,10 +44,19 @@ def merged_responses(spark, sf_dir):
 
 
 def generation_errors(spark, sf_dir):
-    """The most frequent errors, with their class and the wait they ask for."""
-    message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") * 7 % len(MESSAGES) + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").select(message.alias("error"))
-    return rows.groupBy("error").agg(F.count("*").alias("n")).withColumns({"class": R.error_class(F.col("error")), "wait": R.retry_after(F.col("error"))}).orderBy(F.desc("n"), "error").limit(8)
+    """Kinds of generation errors, whose texts quote the conversations."""
+    message = F.element_at(F.array(*map(F.lit, MESSAGES)), ((F.col("conv_id") + F.col("turn")) % len(MESSAGES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select(F.concat(message, F.coalesce("text", F.lit(""))).alias("error"))
+    short = R.short_error(F.col("error"))
+    return rows.groupBy(R.error_class(F.col("error")).alias("class")).agg(
+        F.count("*").alias("n"), F.countDistinct(short).alias("texts"), F.max(F.length(short)).cast("long").alias("longest")
+    )
+
+
+def retry_waits(spark, sf_dir):
+    """What responses' retry-after headers (the events' properties) ask for."""
+    rows = table(spark, sf_dir, "events").select("event_type", R.retry_after(F.regexp_replace("props", '[^0-9.]', "")).alias("wait"), R.retry_after(F.col("props")).alias("whole"))
+    return rows.groupBy("event_type").agg(F.count("wait").alias("waits"), F.max("wait").alias("longest"), F.count("whole").alias("whole"))
 
 
 def latency_stats(spark, sf_dir):
@@ -99,7 +109,8 @@ def button_order(spark, sf_dir):
     """Parts' names as buttons: the six most promising of each brand."""
     from pyspark.sql import Window as W
 
-    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", R.button_priority(F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 5 == 0, "Start").when(F.col("p_partkey") % 3 == 0, "Save"))).cast("long").alias("priority"))
+    label = F.concat_ws(" ", "p_name", F.element_at(F.array(*map(F.lit, BUTTONS)), (F.length("p_type") % len(BUTTONS) + 1).cast("int")))
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", R.button_priority(label).cast("long").alias("priority"))
     ranked = rows.withColumn("place", F.row_number().over(W.partitionBy("p_brand").orderBy(F.desc("priority"), "p_partkey")).cast("long"))
     return ranked.where("place <= 6")
 
@@ -129,8 +140,11 @@ ORACLES = {
     "record_status": """SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'completed_with_fallback' WHEN o_orderkey % 5 = 0 THEN 'failed' WHEN o_orderkey % 13 = 0 OR (o_orderkey % 7 <> 0 AND o_orderkey % 2 = 0 AND o_orderkey % 3 <> 1) THEN 'completed' ELSE 'processing' END AS status, count(*) AS n FROM orders GROUP BY 1""",
     "merged_responses": f"""WITH {RESPONSES_SQL}, u AS (SELECT item_id, 0 AS source_rank, response FROM responses UNION ALL SELECT item_id, 1, 'again ' || response FROM responses WHERE item_id % 3 = 0)
       SELECT item_id, CAST(max(source_rank) AS BIGINT) AS source_rank, length(arg_max(response, source_rank)) AS size FROM u WHERE {WHOLE} GROUP BY item_id""",
-    "generation_errors": f"""WITH e AS (SELECT list_extract({ERRORS}, CAST(event_id * 7 % 5 + 1 AS INT)) AS error FROM events) SELECT error, count(*) AS n, CASE WHEN error = '' THEN 'none' WHEN contains(lower(error), 'content filter') THEN 'content_filter' WHEN contains(error, '429') THEN 'rate_limit'
-      WHEN contains(lower(error), 'timed out') THEN 'timeout' ELSE 'other' END AS class, CASE WHEN contains(error, 'try again') THEN 12.5::DOUBLE END AS wait FROM e GROUP BY error ORDER BY n DESC, error LIMIT 8""",
+    "generation_errors": f"""WITH e AS (SELECT substr(list_extract({ERRORS}, CAST((conv_id + turn) % {len(MESSAGES)} + 1 AS INT)) || coalesce(text, ''), 1, 500) AS error FROM conversations),
+      c AS (SELECT error, CASE WHEN trim(error, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'none' WHEN regexp_matches(lower(error), 'content filter|output blocked|blocked by content|safety policy|policy violation') THEN 'content_filter'
+      WHEN regexp_matches(lower(error), '429|rate limit|too many requests') THEN 'rate_limit' WHEN regexp_matches(lower(error), 'timeout|timed out') THEN 'timeout' ELSE 'other' END AS class FROM e)
+      SELECT class, count(*) AS n, count(DISTINCT error) AS texts, max(length(error)) AS longest FROM c GROUP BY class""",
+    "retry_waits": "SELECT event_type, count(TRY_CAST(regexp_replace(props, '[^0-9.]', '', 'g') AS DOUBLE)) AS waits, max(TRY_CAST(regexp_replace(props, '[^0-9.]', '', 'g') AS DOUBLE)) AS longest, count(TRY_CAST(props AS DOUBLE)) AS whole FROM events GROUP BY 1",
     "latency_stats": """WITH v AS (SELECT l_orderkey, CASE WHEN l_quantity >= 45 THEN -1.0::DOUBLE ELSE round_even(l_quantity * 7, 0) END AS v, l_discount > 0.05::DOUBLE AS ok FROM lineitem)
       SELECT l_orderkey, CAST(round_even(avg(v) FILTER (v >= 0), 0) AS BIGINT) AS avg_latency_ms, min(v) FILTER (v >= 0) AS min_latency_ms, max(v) FILTER (v >= 0) AS max_latency_ms, count(*) FILTER (v < 0) AS interactions_timed_out,
       CASE WHEN count(*) > 1 THEN round_even(count(*) FILTER (ok) / (count(*) - 1), 2) ELSE -1.0 END AS response_rate FROM v GROUP BY l_orderkey""",
@@ -146,8 +160,9 @@ ORACLES = {
       SELECT page_id, CAST(1 AS BIGINT) AS applied, md5(replace(html, chr(10) || '    <body>' || chr(10), chr(10) || '    <body class=''a''>' || chr(10))) AS html_md5 FROM p""",
     "record_reports": f"""{LATEST}, r AS (SELECT line_idx, total, '# ' || item_id || chr(10) || chr(10) || '| **Score** | **' || total || ' / 100** |' || chr(10) || '| --- | --- |' || chr(10) || '| Rendering | ' || rendering || ' / 20 |' || chr(10) || '| Interaction | ' || interaction || ' / 25 |'
       || CASE WHEN line_idx % 3 = 0 THEN chr(10) || '## Bugs' || chr(10) || '- no sound' || chr(10) || '- bug ' || line_idx ELSE '' END AS report FROM latest) SELECT line_idx, md5(report) AS report_md5, total AS score FROM r""",
-    "button_order": """WITH b AS (SELECT p_brand, p_partkey, lower(p_name || CASE WHEN p_partkey % 5 = 0 THEN ' Start' WHEN p_partkey % 3 = 0 THEN ' Save' ELSE '' END) AS n FROM part),
-      p AS (SELECT p_brand, p_partkey, CAST(CASE WHEN regexp_matches(n, 'start|play|begin|new game|go') THEN 100 WHEN regexp_matches(n, 'submit|add|save|next|run|search') THEN 50 ELSE 10 END AS BIGINT) AS priority FROM b)
+    "button_order": f"""WITH b AS (SELECT p_brand, p_partkey, lower(p_name || ' ' || list_extract([{", ".join(f"'{w}'" for w in BUTTONS)}], CAST(length(p_type) % {len(BUTTONS)} + 1 AS INT))) AS n FROM part),
+      p AS (SELECT p_brand, p_partkey, CAST(CASE WHEN regexp_matches(n, 'start|play|begin|submit|initiate|开始') THEN 100 WHEN regexp_matches(n, 'next|continue|ok|confirm|新建|继续') THEN 50
+      WHEN regexp_matches(n, 'cancel|close|back|return|菜单') THEN 10 ELSE 50 END AS BIGINT) AS priority FROM b)
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY priority DESC, p_partkey) AS place FROM p) WHERE place <= 6""",
     "record_chunks": "SELECT o_orderkey // 64 AS chunk, count(*) AS n, min(o_orderkey) AS low FROM orders GROUP BY 1",
     "glossary_alternatives": f"SELECT item_id, array_to_string(list_filter([{WORD('the', 'le')}, {WORD('and', 'et')}, {WORD('for', 'pour')}, {WORD('with', 'avec')}], lambda x: x IS NOT NULL), ',') AS alternatives FROM benchmark",

@@ -136,15 +136,16 @@ RESPONSES_SQL = f"""responses AS (SELECT page_id AS item_id, CASE page_id % 5 WH
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured frames: record_id, seq, label, layer, diff_from_prev."""
+    """Captured frames: record_id, seq, label, layer, diff_from_prev, digest of the image."""
     kind = F.col("event_type")
     label = F.when(kind == "click", "after_click_btn_0").when(kind == "view", "stable").when(kind == "purchase", "form_submitted").when(kind == "signup", "hover_btn_1").otherwise("gameplay_t1")
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("record_id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("seq"), label.alias("label"),
         F.when(kind == "view", "observation").when(kind == "error", "deep").otherwise("interaction").alias("layer"), F.least(F.lit(1.0), F.col("value") / 500).alias("diff_from_prev"),
+        F.md5(F.col("props").cast("binary")).alias("digest"),
     )
 
 
 FRAMES_SQL = """frames AS (SELECT user_id AS record_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq,
     CASE event_type WHEN 'click' THEN 'after_click_btn_0' WHEN 'view' THEN 'stable' WHEN 'purchase' THEN 'form_submitted' WHEN 'signup' THEN 'hover_btn_1' ELSE 'gameplay_t1' END AS label,
-    CASE event_type WHEN 'view' THEN 'observation' WHEN 'error' THEN 'deep' ELSE 'interaction' END AS layer, least(1.0, value / 500) AS diff_from_prev FROM events)"""
+    CASE event_type WHEN 'view' THEN 'observation' WHEN 'error' THEN 'deep' ELSE 'interaction' END AS layer, least(1.0, value / 500) AS diff_from_prev, md5(props) AS digest FROM events)"""
