@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.curation import folder
+
 #: Rows and bytes that one Arrow batch holds at most, so that long texts don't fill a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 
@@ -31,18 +32,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster.  Where it is unset, local mode uses a new temporary folder,
-    and any other master a folder in the warehouse, which is shared too.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
-    return found.rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a new temporary one in local mode only."""
+    return folder(spark)
 
 
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:

@@ -1,0 +1,63 @@
+"""Near copies by five-word shingles, beside the close copies that SimHash within a few bits finds.
+
+Pairs of texts with a Jaccard similarity of 0.8 differ in about ten of 64 fingerprint bits, which no few segments can index.  This pass
+signs each text's set of five-word shingles by MinHash and links texts by the library's similarity join (bands, then the share of
+equal minima); links that the shares don't settle are verified on the texts.
+
+Null texts and texts without words link to nothing here; a text of fewer words is one shingle.  Repeated rows are linked.
+An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.curation import PERMUTATIONS, least_values, similar_pairs
+from .common import materialize, session, text_bytes
+from .decontaminate import SHINGLE, WordHashes, shingle_hashes, shingle_set, words_of
+
+#: The least similarity of near copies, and the shares of equal minima from which on a link is sure or possible (three standard errors).
+SIMILARITY, SURE, MAYBE = 0.8, 0.9, 0.7
+
+def word_signatures(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, signature) of the texts that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            words = [words_of(t) for t in text_bytes(batch.column(1).to_pylist())]
+            kept = [i for i, w in enumerate(words) if w]
+            padded = [words[i] + [b" "] * (SHINGLE - len(words[i])) for i in kept]
+            flat, n = shingle_hashes(padded, hashes)
+            signed = least_values((flat >> np.uint64(32)).astype(np.uint32), n).astype(np.int64).ravel() if kept else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(signed) + 1, PERMUTATIONS, dtype=np.int32), pa.array(signed))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), lists], names=["id", "signature"])
+
+    kept = session(docs.sparkSession) and docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return kept.mapInArrow(run, "id long, signature array<long>")
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of (a, b, x, y) whose texts x and y are similar enough by their shingles as text."""
+    for batch in batches:
+        kept = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            one, two = (shingle_set(words_of(t.encode("utf-8", "surrogatepass"))) for t in (x, y))
+            kept.append(len(one & two) >= SIMILARITY * len(one | two))
+        yield batch.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
+
+
+def near_copies(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """Links (a, b) of texts that are similar enough; ids must be unique.
+
+    Links whose share of equal minima is ``SURE`` at least are taken; others down to ``MAYBE`` are verified on both texts.
+    """
+    found = materialize(similar_pairs(materialize(word_signatures(docs, id_col, text_col), "word-signatures"), least=MAYBE), "near-copies")
+    text = lambda key, name: docs.select(F.col(id_col).cast("long").alias(key), F.col(text_col).cast("string").alias(name))
+    maybe = found.where(F.col("similarity") < SURE).select("a", "b").join(text("a", "x"), "a").join(text("b", "y"), "b").select("a", "b", "x", "y")
+    return found.where(F.col("similarity") >= SURE).select("a", "b").unionByName(maybe.mapInArrow(_verified, "a long, b long"))

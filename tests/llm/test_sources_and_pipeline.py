@@ -6,9 +6,11 @@ import hashlib
 import math
 import re
 from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline
-from pagequarry.llm import license_texts, licenses, mixing, queries
+import pytest
+from pagequarry.llm import license_texts, licenses, mixing, queries, simhash
 from pyspark.sql import functions as F
 
 
@@ -152,7 +154,22 @@ def test_pipeline_stages_take_effect(spark):
     bad = [d for d, q in labels.items() if q == 0]
     assert sum(d in kept for d in bad) <= 0.05 * len(bad) and sum(d in kept for d, q in labels.items() if q) >= 0.98 * sum(labels.values())
     one = stages["simhash near-dedup"](spark, good, sf).cache()
-    assert one.count() == one.select("text").distinct().count() == good.select("text").distinct().count()
+    texts = {r.text for r in one.select("text").collect()}
+    assert one.count() == len(texts)
+    # All pairs by brute force: texts with five words in common are compared whole.
+    sets = {t: frozenset(zip(*(t.lower().split()[i:] for i in range(5)), strict=False)) for t in {r.text for r in good.select("text").collect()}}
+    owners = {}
+    for t, x in sets.items():
+        for shingle in x:
+            owners.setdefault(shingle, []).append(t)
+    shared = Counter(pair for own in owners.values() if len(own) < 50 for pair in combinations(sorted(own), 2))
+    near = [p for p, n in shared.items() if n >= 0.8 * len(sets[p[0]] | sets[p[1]])]
+    assert len(near) > 3 and sum(not (a in texts and b in texts) for a, b in near) >= 0.9 * len(near)
+    close = {t for p, n in shared.items() if n >= 0.7 * len(sets[p[0]] | sets[p[1]]) for t in p}
+    alone = {t for t in sets if t not in close}
+    fps = {t: simhash.fingerprint(t.encode().lower().split(), 3) for t in alone}
+    apart = [t for t in alone if not any((fps[t] ^ f).bit_count() <= 3 for u, f in fps.items() if u != t)]
+    assert set(apart) <= texts, "texts without a near copy stay"
     clean = stages["benchmark decontamination"](spark, one, sf).cache()
     leaked = {r.doc_id for r in queries.op10_decontaminate(spark, sf).collect()}
     assert {r.doc_id for r in clean.select("doc_id").collect()} == {r.doc_id for r in one.select("doc_id").collect()} - leaked
@@ -162,6 +179,18 @@ def test_pipeline_stages_take_effect(spark):
     assert sorted(r.doc_id for r in files.collect()) == sorted(r.doc_id for r in mixed.select("doc_id").collect())
 
 
+@pytest.mark.parametrize("table", ["odd", "empty"])
+def test_the_whole_pipeline_runs(spark, sf, tmp_path, request, table):
+    docs = request.getfixturevalue(table)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in docs.collect()}
+    assert {r.doc_id for r in rows} <= kept and (rows or table == "empty")
+    assert all(r.n_tokens >= 1 for r in rows) and [r.start for r in sorted(rows, key=lambda r: r.start)][:1] in ([0], [])
+
+
 def test_pipeline_of_odd_documents(spark, odd, empty, sf):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, sf)
