@@ -1,6 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 quality classifier -> SimHash near-dedup -> benchmark decontamination -> mixing sources to target weights -> token-id files
+
+Null texts count as empty in every stage, null and repeated ids are rows like any other, and long texts are processed whole.  Columns
+of ``documents`` keep their names and types up to the last stage; extra columns go along.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import decontaminate, mixing, quality, simhash, token_files
+from pagequarry.llm import components, decontaminate, mixing, near_copies, quality, simhash, token_files
 from pagequarry.llm.common import ROW, materialize, numbered, read, session, shared_dir, without_ids
 
 
@@ -21,11 +24,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: the one with the least doc_id, or any row where no row of the group has an id."""
+    """One row of each near-duplicate group: the one with the least doc_id, or any row where no row of the group has an id.
+
+    Groups are those of links by SimHash (three words, three bits) and by five-word shingles (similarity 0.8 or more).  Texts without
+    words are one group.  A row stays or goes by its own text, whatever its id.
+    """
     rows = numbered(docs)
-    groups = simhash.near_duplicates(rows, shingle=3, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
-    named = materialize(groups.join(rows.select(ROW, "doc_id"), ROW), "near-duplicates")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first"))
+    groups = simhash.near_duplicates(rows, shingle=3, id_col=ROW).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    links = groups.where("a <> b").unionByName(near_copies.near_copies(rows, ROW))
+    named = components.components(links).select(F.col("node").alias(ROW), "component")
+    named = materialize(named.join(rows.select(ROW, "doc_id"), ROW), "near-duplicates")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first"))
     gone = materialize(named.select(ROW).join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti"), "near-duplicate-rows")
     return without_ids(rows, gone, id_col=ROW).drop(ROW)
 
