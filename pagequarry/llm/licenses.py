@@ -108,7 +108,8 @@ def similarity(texts: DataFrame, chosen: list[tuple[str, int, str]], limit: int
     row = F.struct("__digest", "__whole", F.monotonically_increasing_id().alias("n"))
     files = told.where(leads(terms(F.col("__text"))))
     found = files.select(row.alias("__row"), F.posexplode(units(F.col("__text"), F.col("__whole"))).alias("unit", "text"))
-    words = found.select("__row", "unit", terms(F.col("text")).alias("words")).where(leads(F.col("words")))
+    # One shuffle by file; the aggregations below keep to it.
+    words = found.select("__row", "unit", terms(F.col("text")).alias("words")).where(leads(F.col("words"))).repartition("__row")
     pairs = words.select("__row", "unit", F.explode("words").alias("term")).groupBy("__row", "unit", "term").agg(F.count("*").alias("tf"))
     pairs = pairs.join(_small(common, limit), "term", "left")
     weight = (1 + F.log("tf")) * (F.log(F.least(F.lit(float(RARE)), F.lit(1.0 + n) / (1 + F.coalesce("df", F.lit(0))))) + 1)
