@@ -21,8 +21,11 @@ STRATEGIES = {
 
 
 def evidence_quality() -> Column:
-    """high, medium or low, over agent_steps, dynamic, console_errors, keyboard_probed and observer_items."""
-    return F.when(F.col("agent_steps") > 0, "high").when(F.col("dynamic") | (F.col("console_errors") > 0) | F.col("keyboard_probed") | (F.col("observer_items") > 0), "medium").otherwise("low")
+    """high, medium or low, over agent_ran, agent_steps, dynamic, console_errors, keys_known, keyboard_probed and what an observer saw
+    (observer_items: its broken and working things)."""
+    c = F.col
+    medium = c("dynamic") | (c("console_errors") > 0) | c("keys_known") | c("keyboard_probed") | (c("observer_items") > 0)
+    return F.when(c("agent_ran") & (c("agent_steps") > 0), "high").when(medium, "medium").otherwise("low")
 
 
 def targeted() -> Column:
@@ -85,13 +88,21 @@ def broken_layer() -> Column:
     return F.when(F.col("overlays") > 0, "overlay").when(F.col("canvas") & (F.col("raf_calls") == 0), "game_loop").when(F.col("keyboard_broken"), "input").when(F.col("canvas") & (F.col("rendering") < 14), "canvas").otherwise("gameplay")
 
 
+#: Pages over so many characters aren't patched; rewrites of a smaller page after which another strategy is tried.
+LARGE_PAGE, MOST_REWRITES = 35000, 2
+
+
 def overridden(chosen: Column, size: Column, enabled: Column | None = None) -> Column:
-    """The engine's last word on a strategy: what isn't enabled becomes a rewrite, repeated rewrites of smaller pages vary, large pages are never patched."""
+    """The engine's last word on a strategy: what isn't enabled becomes a rewrite, repeated rewrites of smaller pages vary, large pages
+    are never patched; each only by strategies that are enabled (null: all are)."""
     c = F.col
+    on = lambda name: F.lit(True) if enabled is None else F.array_contains(enabled, name)
     usable = chosen if enabled is None else F.when(F.array_contains(enabled, chosen), chosen).otherwise("holistic_rewrite")
-    varied = F.when((usable == "holistic_rewrite") & (c("rewrites") >= 2) & (c("score") < 80) & (size <= 35000), "feature_complete").otherwise(usable)
-    patching = varied.isin(*(n for n, mode in STRATEGIES.items() if mode == "patch"))
-    return F.when((size > 35000) & patching, F.when(c("score") >= 80, "visual_enrichment").otherwise("holistic_rewrite")).otherwise(varied)
+    tired = (usable == "holistic_rewrite") & (c("rewrites") >= MOST_REWRITES) & (c("score") < 80) & (size <= LARGE_PAGE)
+    varied = F.when(tired & on("feature_complete"), "feature_complete").when(tired & on("bug_fix"), "bug_fix").otherwise(usable)
+    patching = (size > LARGE_PAGE) & varied.isin(*(n for n, mode in STRATEGIES.items() if mode == "patch"))
+    enriched = F.when(patching & (c("score") >= 80) & on("visual_enrichment"), "visual_enrichment")
+    return enriched.when(patching & on("holistic_rewrite"), "holistic_rewrite").otherwise(varied)
 
 
 def candidates(most: int = 3) -> Column:
@@ -111,16 +122,24 @@ def keyboard_verified() -> Column:
 
 
 def reliable_issues(limit: int = 10) -> Column:
-    """Issues that measurements back, surest first: console errors (3), dead keys, dead buttons, missing animation, unbound buttons, what an
-    observer saw broken (5), what an audit found broken (while fewer than ``limit``), an agent's bugs (3).  Repeats are left out."""
+    """Issues that measurements back, surest first: console errors (3), dead keys, dead buttons, missing animation, overlays (2), unbound
+    buttons, a running game without an end, what an observer saw broken (5), what an audit found broken (while fewer than ``limit``), an
+    agent's bugs (3).  Repeats are left out."""
     c = F.col
     nothing = F.array().cast("array<string>")
     one = lambda test, text: F.when(test, F.array(F.lit(text) if isinstance(text, str) else text)).otherwise(nothing)
     dynamic = c("dynamic")
+    unbound = F.format_string("%d of %d buttons have no handler", "unbound_buttons", "total_buttons")
+    endless = (c("canvas_game") | c("keyboard_game")) & ~c("completion_seen") & dynamic & (c("animation_detected") | c("button_responsive"))
     measured = F.concat(
-        F.transform(F.slice("console_messages", 1, 3), lambda e: F.concat(F.lit("console error: "), e)), one(keyboard_broken(), "keyboard input has no effect"), one(dynamic & ~c("button_responsive"), "buttons have no visible effect"),
-        one(dynamic & ~c("animation_detected") & (c("frame_change_rate") == 0), "nothing is animated"), one((c("unbound_buttons") > 0) & (c("total_buttons") > 0), F.format_string("%d of %d buttons have no handler", "unbound_buttons", "total_buttons")),
-    )
+        F.transform(F.slice("console_messages", 1, 3), lambda e: F.concat(F.lit("console error: "), e)),
+        one(keyboard_broken(), "keyboard input has no effect"),
+        one(dynamic & ~c("button_responsive"), "buttons have no visible effect"),
+        one(dynamic & ~c("animation_detected") & (c("frame_change_rate") == 0), "nothing is animated"),
+        F.transform(F.slice("overlays_seen", 1, 2), lambda o: F.concat(F.lit("overlay: "), o)),
+        one((c("unbound_buttons") > 0) & (c("total_buttons") > 0), unbound),
+        one(endless, "the game has no end"),
+    )
     seen = F.array_union(measured, F.slice("observer_broken", 1, 5))
     audited = F.array_except("audit_broken", seen)
     room = F.greatest(F.lit(0), F.lit(limit) - F.size(seen))
@@ -145,31 +164,66 @@ def running(traces: DataFrame) -> DataFrame:
     return rows.withColumn("run_length", F.row_number().over(W.partitionBy("record_id", "run").orderBy("iteration")).cast("long")).drop("turn", "run")
 
 
-def replay(traces: DataFrame) -> DataFrame:
-    """Where each record would have stopped: a fold over its iterations in order (a record has few).
+#: Fixed values of early stops: the score that is near perfection; the least gain that counts below 85, from 85 and from 90 on; how many
+#: smaller gains in a row stop a repair below 80 and from 80 on; iterations without a new best that make a plateau; the interaction
+#: score below which dead keys keep a repair going.
+PERFECT, GAINS, PATIENCE, PLATEAU, PLAYABLE = 97, ((90, 0.5), (85, 1.0), (0, 2.0)), ((80, 2), (0, 3)), 2, 20
+
 
-    Stops near perfection (97) or after two (three below 80) low deltas in a row; two iterations without a new best reset the count.
+def stop_rule(state: dict, row: dict) -> dict:
+    """One iteration of a repair (score, interaction, keyboard_broken), which starts from the best page so far.
+
+    ``state`` is empty before the record's original evaluation; after it, it holds best, its interaction and keys, since, low and reason.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("iteration", "score", "delta")))
+    if not state:
+        return {"best": row["score"], "interaction": row["interaction"], "broken": row["keyboard_broken"], "since": 0, "low": 0, "reason": None}
+    new, score, delta = dict(state), row["score"], row["score"] - state["best"]
+    if delta > 0:
+        new |= {"best": score, "interaction": row["interaction"], "broken": row["keyboard_broken"], "since": 0}
+    else:
+        new["since"] += 1
+    if new["broken"] and new["interaction"] < PLAYABLE:
+        return new | {"low": 0}
+    if new["since"] >= PLATEAU:
+        new |= {"since": 0, "low": 0}
+    if score >= PERFECT:
+        return new | {"reason": "near_perfect"}
+    new["low"] = new["low"] + 1 if delta < next(g for least, g in GAINS if score >= least) else 0
+    if new["low"] >= next(p for least, p in PATIENCE if score >= least):
+        new["reason"] = "converged"
+    return new
+
+
+def replay(traces: DataFrame) -> DataFrame:
+    """Where each record (record_id, iteration, score, interaction, keyboard_broken) would have stopped: ``stop_rule`` as a fold over its
+    iterations in order (a record has few); the first row is the original evaluation."""
+    ordered = F.array_sort(F.collect_list(F.struct("iteration", "score", "interaction", "keyboard_broken")))
     grouped = traces.groupBy("record_id").agg(ordered.alias("steps"))
-    start = F.struct(F.lit(None).cast("string").alias("reason"), F.lit(0).cast("long").alias("at"), F.lit(-1000).cast("long").alias("best"), F.lit(0).alias("since"), F.lit(0).alias("low"))
+    first = F.get("steps", 0)
+    start = F.struct(
+        F.lit(None).cast("string").alias("reason"), first["iteration"].cast("long").alias("at"), first["score"].cast("long").alias("best"),
+        first["interaction"].cast("long").alias("interaction"), first["keyboard_broken"].alias("broken"), F.lit(0).alias("since"), F.lit(0).alias("low"),
+    )
+    by_score = lambda score, table: F.coalesce(*(F.when(score >= least, F.lit(v)) for least, v in table))
 
     def step(s: Column, x: Column) -> Column:
-        score, delta = x["score"], F.coalesce(x["delta"], F.lit(0))
-        better = score > s["best"]
+        score, better = x["score"], x["score"] > s["best"]
+        best = lambda name, new: F.when(better, new).otherwise(s[name])
+        interaction, broken = best("interaction", x["interaction"]), best("broken", x["keyboard_broken"])
+        forced = broken & (interaction < PLAYABLE)
         since = F.when(better, 0).otherwise(s["since"] + 1)
-        plateau = since >= 2
+        plateau = ~forced & (since >= PLATEAU)
         low = F.when(plateau, 0).otherwise(s["low"])
-        slow = delta < F.when(score >= 90, 0.5).when(score >= 85, 1.0).otherwise(2.0)
-        count = F.when(slow, low + 1).otherwise(0)
-        reason = F.when(score >= 97, "near_perfect").when(slow & (count >= F.when(score < 80, 3).otherwise(2)), "converged")
+        count = F.when(score - s["best"] < by_score(score, GAINS), low + 1).otherwise(0)
+        reason = F.when(forced, None).when(score >= PERFECT, "near_perfect").when(count >= by_score(score, PATIENCE), "converged")
         going = s["reason"].isNull()
+        keep = lambda new, name, kind: F.when(going, new).otherwise(s[name]).cast(kind).alias(name)
         return F.struct(
-            F.when(going, reason).otherwise(s["reason"]).alias("reason"), F.when(going, x["iteration"]).otherwise(s["at"]).cast("long").alias("at"), F.when(going, F.greatest(s["best"], score)).otherwise(s["best"]).cast("long").alias("best"),
-            F.when(plateau, 0).otherwise(since).alias("since"), F.when(score >= 97, low).otherwise(count).alias("low"),
+            keep(reason, "reason", "string"), keep(x["iteration"], "at", "long"), keep(best("best", score), "best", "long"), keep(interaction, "interaction", "long"),
+            keep(broken, "broken", "boolean"), keep(F.when(plateau, 0).otherwise(since), "since", "int"), keep(F.when(forced, 0).when(score >= PERFECT, low).otherwise(count), "low", "int"),
         )
 
-    folded = grouped.select("record_id", F.aggregate("steps", start, step).alias("s"))
+    folded = grouped.select("record_id", F.aggregate(F.slice("steps", F.lit(2), F.size("steps")), start, step).alias("s"))
     return folded.select("record_id", F.coalesce("s.reason", F.lit("exhausted")).alias("stop_reason"), F.col("s.at").alias("stopped_at"), F.col("s.best").alias("best_score"))
 
 
