@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.curation import folder
+from ..sources.staging import folder
 
 #: Rows and bytes that one Arrow batch holds at most, so that long texts don't fill a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
