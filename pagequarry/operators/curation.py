@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import cut
 from ..sources.tables import spread
 
 PERMUTATIONS, BANDS, SHINGLE, SIMILARITY = 128, 32, 5, 0.8
@@ -142,12 +141,12 @@ def similar_pairs(signed: DataFrame, bands: int = BANDS, least: float = SIMILARI
     forest instead of all pairs.
     """
     sig = F.md5(F.array_join("signature", ",").cast("binary"))
-    nodes = _cut(signed.groupBy(sig.alias("sig")).agg(F.min("id").alias("id"), F.any_value("signature").alias("signature")), "nodes")
+    nodes = cut(signed.groupBy(sig.alias("sig")).agg(F.min("id").alias("id"), F.any_value("signature").alias("signature")), "nodes")
     rows = PERMUTATIONS // bands
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, F.lit(rows))))
     banded = nodes.select("id", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    met = _cut(banded.join(shared, ["band", "key"]), "buckets")
+    met = cut(banded.join(shared, ["band", "key"]), "buckets")
     # Small buckets: the few pairs, each once whatever the number of bands it shares.
     ids = met.where(F.col("n") <= SMALL).groupBy("band", "key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids").distinct()
     two = F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
@@ -162,32 +161,16 @@ def similar_pairs(signed: DataFrame, bands: int = BANDS, least: float = SIMILARI
     return own.unionByName(found).distinct()
 
 
-def folder(spark) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share; a new local one where it is unset in local mode."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-stages-')}"
-    return found.rstrip("/")
-
-
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def clusters(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, cluster): the least node reachable over ``links`` (a, b), by label propagation with pointer jumping."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    both = _cut(both, "links")
-    labels = _cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
+    both = cut(both, "links")
+    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
     for _ in range(rounds):
         seen = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         lower = labels.join(seen, "u").select("u", F.least("label", "near").alias("label"))
         jump = lower.select(F.col("u").alias("label"), F.col("label").alias("further"))
-        new = _cut(lower.join(jump, "label", "left").select("u", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        new = cut(lower.join(jump, "label", "left").select("u", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         if new.join(labels.select("u", F.col("label").alias("old")), "u").where("label <> old").isEmpty():
             return new.select(F.col("u").alias("node"), F.col("label").alias("cluster"))
         labels = new
@@ -196,7 +179,7 @@ def clusters(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 def deduplicate(rows: DataFrame, **options) -> DataFrame:
     """``rows`` (id, text, score) with their cluster and whether they are kept: the best score, then the first id."""
-    signed = _cut(signatures(rows, **options), "signatures")
+    signed = cut(signatures(rows, **options), "signatures")
     named = clusters(similar_pairs(signed)).select(F.col("node").alias("id"), "cluster")
     joined = rows.select("id", "score").join(named, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
     best = joined.groupBy("cluster").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("best"))

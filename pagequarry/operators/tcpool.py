@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.staging import cut
+from . import analysis
+
 KEY = ["item_id", "test_id"]
 MIN_OBSERVATIONS, LOW, HIGH = 8, 0.05, 0.95
 TARGET_COUNT, HARD_RATIO = 6000, 0.75
@@ -61,7 +64,8 @@ def select(stats: DataFrame, min_observations: int = MIN_OBSERVATIONS, low: floa
     rescued = marked.withColumn("empty", F.count("reason").over(whole) == 0).withColumn("nth", F.row_number().over(best))
     rescued = rescued.withColumn("reason", F.when(F.col("empty") & (F.col("nth") == 1), "rescue_item_nonempty").otherwise(F.col("reason"))).drop("empty", "nth")
     hard, easy = F.col("reason").isNull() & enough & (p <= low), F.col("reason").isNull() & enough & (p >= high)
-    sides = rescued.withColumn("side", F.when(hard, "hard").when(easy, "easy"))
+    # One row per test, read three times: written once instead of aggregating all outcomes three times.
+    sides = cut(rescued.withColumn("side", F.when(hard, "hard").when(easy, "easy")), "test-cases")
     counts = sides.agg(F.count("reason").alias("kept"), F.count_if(F.col("side") == "hard").alias("hards"), F.count_if(F.col("side") == "easy").alias("easies")).first()
     hards, easies = _quotas(max(0, target_count - counts.kept), counts.hards, counts.easies, hard_ratio)
     gap = F.col("sft_pass_rate") - F.col("non_sft_pass_rate")
@@ -110,6 +114,37 @@ def filtered_rates(outcomes: DataFrame, kept: DataFrame) -> DataFrame:
     return agg.select("model", "item_id", F.bround(F.try_divide("pw", "w"), 4).alias("filtered_rate"), "kept_total", "kept_passed", "dropped_total")
 
 
+def hardest(selected: DataFrame, top: int = 30) -> DataFrame:
+    """The ``top`` hardest kept tests and the ``top`` easiest of those dropped because nearly all pass: kind, place and rates (3 digits);
+    ties by observations, then by first appearance."""
+    p = F.bround("pass_rate", 3)
+    both = {"hardest_kept": (F.col("keep_reason").isNotNull(), p), "near_all_pass_dropped": (F.col("drop_reason") == "near_all_pass", -p)}
+    out = []
+    for kind, (test, order) in both.items():
+        rows = selected.where(test).select(F.lit(kind).alias("kind"), *KEY, "observations", p.alias("pass_rate"), F.coalesce("keep_reason", "drop_reason").alias("reason"), order.alias("o"), "first_pos")
+        best = rows.orderBy("o", F.desc("observations"), "first_pos").limit(top)
+        place = F.row_number().over(W.orderBy("o", F.desc("observations"), "first_pos")).cast("long")
+        out.append(best.withColumn("place", place).drop("o", "first_pos"))
+    return out[0].unionByName(out[1])
+
+
+def pool_summary(selected: DataFrame) -> DataFrame:
+    """One row: tests kept, dropped and rescued, items with a dropped test and with a rescued one."""
+    kept, rescued = F.col("keep_reason").isNotNull(), F.coalesce(F.col("keep_reason") == "rescue_item_nonempty", F.lit(False))
+    items = selected.groupBy("item_id").agg(F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped"), F.count_if(rescued).alias("rescued"))
+    return items.agg(
+        F.sum(F.col("kept") + F.col("dropped")).alias("total_tc"), F.sum("kept").alias("kept_tc"), F.sum("dropped").alias("dropped_tc"), F.sum("rescued").alias("rescued_tc"),
+        F.count("*").alias("items"), F.count_if(F.col("dropped") > 0).alias("items_with_drop"), F.count_if(F.col("rescued") > 0).alias("items_with_rescue"),
+    )
+
+
+def item_matrix(cases: DataFrame, outcomes: DataFrame, models: list[str]) -> DataFrame:
+    """``cases`` (item_id, test_id, ...) with a column per model: whether its last outcome of the test passed; null where it never ran."""
+    chosen = outcomes.where(F.col("model").isin(*models))
+    wide = chosen.groupBy(*KEY).agg(*(F.max_by("passed", F.when(F.col("model") == m, F.col("pos"))).alias(f"{m}_pass") for m in models))
+    return cases.join(wide, KEY, "left")
+
+
 def pass_matrix(outcomes: DataFrame, models: list[str]) -> DataFrame:
     """One row per (item, test), one column per model: passes over observations (3 digits), null where a model has none."""
     chosen = outcomes.where(F.col("model").isin(*models))
@@ -124,10 +159,11 @@ def scale(value: Column, old: int, new: int) -> Column:
 
 
 def rescore(rows: DataFrame) -> DataFrame:
-    """New totals from old components: scaled budgets, functionality linear in ``filtered_rate`` (the old rate where null)."""
+    """New totals from old components: scaled budgets, functionality linear in ``filtered_rate`` (the old rate where null);
+    no rendering points for pages that weren't rendered."""
     r = F.coalesce("filtered_rate", "test_pass_rate", F.lit(0.0))
     it = F.col("has_interaction")
-    rendering = scale(F.least(F.lit(5.0), F.col("rendering").cast("double")), 5, 10)
+    rendering = F.when(F.col("rendered"), scale(F.least(F.lit(5.0), F.col("rendering").cast("double")), 5, 10)).otherwise(F.lit(0).cast("long"))
     visual = F.when(it, scale(F.col("visual_design"), 20, 20)).otherwise(scale(F.col("visual_design"), 30, 20))
     functionality = F.when(it, scale(r, 1, 55)).otherwise(scale(r, 1, 65))
     interaction = F.when(it, scale(F.col("interaction"), 20, 10)).otherwise(F.lit(0).cast("long"))
@@ -138,6 +174,31 @@ def rescore(rows: DataFrame) -> DataFrame:
     return scored.withColumn("score_delta", F.col("new_total") - F.col("total"))
 
 
+def rescore_buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of new totals per group; quartiles by linear interpolation between the scores at (n - 1) p, from a histogram."""
+    done = F.col("eval_status").isin(*analysis.COMPLETED)
+    by_score = rows.groupBy(*keys, F.col("new_total").alias("total")).agg(F.count("*").alias("n"), F.count_if(done).alias("done"))
+    t, n, size = F.col("total"), F.col("n"), F.col("size")
+    grouped = by_score.groupBy(*keys).agg(
+        F.sum("n").alias("size"), F.sum("done").alias("completed_total"), F.sum(t * n).alias("s"), F.sum(t * t * n).alias("ss"), F.sum(t * F.col("done")).alias("sd"), F.min("total").alias("min_score"), F.max("total").alias("max_score"),
+        F.sum(F.when(t >= 80, n).otherwise(0)).alias("a"), F.sum(F.when((t >= 40) & (t < 80), n).otherwise(0)).alias("b"), F.sum(F.when(t < 40, n).otherwise(0)).alias("c"), F.array_sort(F.collect_list(F.struct("total", "n"))).alias("all"),
+    )
+
+    def linear(p: float) -> Column:
+        k = (size - 1) * F.lit(p)
+        low, high = F.floor(k), F.ceil(k)
+        x, y = analysis._at("all", low).cast("double"), analysis._at("all", high).cast("double")
+        return F.bround(F.when(low == high, x).otherwise(x * (high - k) + y * (k - low)), 1)
+
+    share = analysis.share
+    variance = (F.col("ss") - F.col("s") * F.col("s") / size) / (size - 1)
+    return grouped.select(
+        *keys, size.alias("total"), share(F.col("s"), size, 1).alias("avg_score"), "min_score", "max_score", linear(0.5).alias("median_score"), linear(0.25).alias("p25_score"), linear(0.75).alias("p75_score"),
+        share(F.col("a"), size, 3).alias("tier_a_pct"), share(F.col("b"), size, 3).alias("tier_b_pct"), share(F.col("c"), size, 3).alias("tier_c_pct"), "completed_total", (size - F.col("completed_total")).alias("failed_total"),
+        F.when(size >= 2, F.bround(F.sqrt(F.greatest(variance, F.lit(0.0))), 2)).alias("std_dev"), F.when(F.col("completed_total") > 0, share(F.col("sd"), F.col("completed_total"), 1)).alias("avg_score_completed"),
+    )
+
+
 def scoreboard(rows: DataFrame) -> DataFrame:
     """Models by their new average, ranked; ties by name.  There is one row per model."""
     by = rows.groupBy("model").agg(F.count("*").alias("n"), F.bround(F.avg("new_total"), 1).alias("avg_score"), F.bround(F.avg("total"), 1).alias("original_avg_score"), F.bround(F.stddev_samp("new_total"), 2).alias("std_dev"))

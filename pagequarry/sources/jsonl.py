@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 def lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a JSON-lines file or folder: the file, the physical line number (from 0, blank and bad lines counted) and the fields of ``schema``.
 
-    Lines that aren't a JSON object are left out.  Numbering needs a file's lines in order: a file is numbered by one task,
-    files are numbered apart from each other.
+    Lines that aren't a JSON object are left out.  Every split of a file numbers its own lines; the lines of the splits before it are
+    added from a table of one row per split, so that a large file isn't numbered by one task.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start")).alias("__block"), F.monotonically_increasing_id().alias("__at"), "value")
-    order = W.partitionBy("file").orderBy("__block", "__at")
-    numbered = raw.withColumn("line_idx", F.row_number().over(order).cast("long") - 1)
+    meta = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block")
+    raw = spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("__at"), "value")
+    splits = raw.groupBy("file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = raw.join(splits.select("file", "__block", "__first", before.alias("__before")), ["file", "__block"])
+    numbered = placed.withColumn("line_idx", F.col("__before") + F.col("__at") - F.col("__first"))
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
     return numbered.where(is_object).withColumn("r", parsed).select("file", "line_idx", "r.*")

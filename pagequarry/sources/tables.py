@@ -18,13 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of fewer files than this is small enough to be dealt anew to all cores.
+FEW_FILES = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores: one small file would else keep all work per row in one task.
+    """``df``, read from a table, in as many partitions as there are cores (``FEW_FILES`` at most) if the table has fewer files.
 
-    Tables that come in enough partitions aren't shuffled.
+    One small file would else keep all work per row in one task.  Tables of many files are never shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, FEW_FILES)
+    return df.repartition(wanted) if len(df.inputFiles()) < wanted else df
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,19 @@ def test_bad_lines_are_counted_but_left_out(spark, tmp_path):
     assert [(r.line_idx, r.id, r.n) for r in rows] == [(0, "x", 1), (4, "y", None), (6, None, 3)]
 
 
+def test_lines_of_split_files_are_numbered_through(spark, tmp_path):
+    text = "".join(json.dumps({"n": i}) + "\n" if i % 7 else "\n" for i in range(5000))
+    for name in ("a.jsonl", "b.jsonl"):
+        (tmp_path / name).write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = jsonl.lines(spark, str(tmp_path), "n long").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 2 * sum(i % 7 > 0 for i in range(5000)) and all(r.n == r.line_idx for r in rows)
+
+
 def test_json_and_json_lines_together(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.json").write_text(json.dumps([{"id": "1"}, {"id": "2"}], indent=1))
