@@ -35,16 +35,33 @@ FORM_WORDS = ("form", "submit", "login", "register", "signup", "sign up", "send"
 ADD_WORDS = ("add", "new", "create", "insert", "task", "todo", "card", "item", "note", "event", "entry")
 EDITOR_WORDS = ("markdown", "editor", "preview", "rich text", "bold", "format", "document", "whiteboard", "canvas editor")
 HEATMAP_WORDS = ("heatmap", "matrix", "correlation", "calendar", "grid", "cell")
-MANY_CASES = 45
+#: Names of cases that only say that something changes; texts of cases that come from another template.
+GENERIC_NAMES = (
+    "click triggers interaction", "keyboard input changes", "button click changes", "hover button", "visual changes", "visible reaction", "changes canvas", "screenshot changed", "game click triggers interaction",
+)
+EMPTY_SUBMIT = "empty submit shows validation"
+ADD_BUTTON = ("'add' feature button present as prompt requires", "add feature button")
+EDITOR_MARKS = ("bold/formatting", "bold button", "preview updates in real-time")
+#: How grave risks are, gravest first within a report.
+SEVERITY = {
+    "validator_error": "error", "screenshot_changed_without_prior_screenshot": "error", "exact_duplicate_steps": "high", "duplicate_tc_name": "medium", "cross_template_empty_submit": "high",
+    "cross_template_add_button": "high", "cross_template_markdown_editor": "high", "cross_template_heatmap": "medium", "visual_change_only_tc": "medium", "generic_screenshot_not_blank": "medium",
+    "broad_surface_visible": "medium", "high_tc_density": "low",
+}
+#: Cases over which an item has very many, steps up to which a visual check is short.
+MANY_CASES, FEW_STEPS = 45, 5
 SURFACES = ("svg, canvas", "canvas, svg", "svg,canvas", "canvas,svg")
 STEP = "struct<pos:long, action:string, selector:string, expression:string, gte:long, eq:long>"
 ITEMS = f"item_id string, prompt string, test_cases array<struct<id:string, name:string, weight:double, steps:array<{STEP}>>>"
 
 
 def steps(items: DataFrame) -> DataFrame:
-    """One row per step: item, case, position and the step's fields; a case without steps has one row with null position."""
+    """One row per step: item, case, position, the step's fields and whether a screenshot was taken before it; a case without steps has
+    one row with null position."""
     cases = items.select("item_id", "prompt", F.explode("test_cases").alias("tc"))
-    return cases.select("item_id", "prompt", F.col("tc.id").alias("tc_id"), F.col("tc.name").alias("name"), F.size("tc.steps").alias("n_steps"), F.explode_outer("tc.steps").alias("s")).select("item_id", "prompt", "tc_id", "name", "n_steps", "s.*")
+    taken = F.array_position(F.transform("tc.steps", lambda s: s["action"]), "screenshot")
+    rows = cases.select("item_id", "prompt", F.col("tc.id").alias("tc_id"), F.col("tc.name").alias("name"), F.size("tc.steps").alias("n_steps"), taken.alias("taken"), F.posexplode_outer("tc.steps").alias("at", "s"))
+    return rows.select("item_id", "prompt", "tc_id", "name", "n_steps", "s.*", ((F.col("taken") > 0) & (F.col("at") >= F.col("taken"))).alias("seeded"))
 
 
 def _contains_any(text: Column, marks) -> Column:
@@ -70,9 +87,6 @@ def violations(items: DataFrame) -> DataFrame:
     rows = steps(items)
     action, text = F.coalesce("action", F.lit("")), F.coalesce("expression", F.lit(""))
     known, runs = action.isin(*ACTIONS), action.isin("assert_js_value", "eval_js")
-    before = W.partitionBy("item_id", "tc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    seeded = F.coalesce(F.max(F.col("action") == "screenshot").over(before), F.lit(False))
-    marked = rows.withColumn("seeded", seeded)
     step = F.col("pos").isNotNull()
     written = runs & (stripped(text) != "")
     rules = F.array(
@@ -81,7 +95,24 @@ def violations(items: DataFrame) -> DataFrame:
         F.when((action == "assert_screenshot_changed") & ~F.col("seeded"), "screenshot seed missing"), F.when(runs & (stripped(text) == ""), "empty expression"),
         F.when(written & bad_selectors(text), "malformed querySelector"), F.when(written & _contains_any(text, CUT_OFF), "truncated fragment"),
     )
-    return marked.select("item_id", "tc_id", "pos", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+    return rows.select("item_id", "tc_id", "pos", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+
+
+def missing_parts(items: DataFrame) -> DataFrame:
+    """(item_id, tc_id, pos, rule) for items without id, prompt or test cases that are a list, and cases without id or name."""
+    present = lambda rules: F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("rule")
+    none = F.lit(None).cast("string").alias("tc_id"), F.lit(None).cast("long").alias("pos")
+    own = [F.when(F.col("item_id").isNull(), "missing id"), F.when(F.col("prompt").isNull(), "missing prompt"), F.when(F.col("test_cases").isNull(), "test cases aren't a list")]
+    cases = items.select("item_id", F.explode("test_cases").alias("tc"))
+    within = [F.when(F.col("tc.id").isNull(), "missing case id"), F.when(F.col("tc.name").isNull(), "missing case name")]
+    found = cases.select("item_id", F.col("tc.id").alias("tc_id"), F.lit(None).cast("long").alias("pos"), present(within))
+    return items.select("item_id", *none, present(own)).unionByName(found)
+
+
+def all_violations(items: DataFrame) -> DataFrame:
+    """(item_id, tc_id, pos, rule) for all fifteen rules."""
+    open_ended = unbalanced_steps(items).select("item_id", "tc_id", "pos", F.lit("unbalanced delimiters").alias("rule"))
+    return violations(items).unionByName(missing_parts(items)).unionByName(open_ended)
 
 
 @F.pandas_udf(BooleanType())
@@ -117,23 +148,59 @@ def _is_unbalanced(text: str | None) -> bool:
 
 def audit(items: DataFrame) -> DataFrame:
     """(item_id, tc_id, risk) for risks of cases: repeats, checks of another template, visual checks only; without a case for items with very many."""
-    cases = items.select("item_id", F.lower(stripped(F.regexp_replace("prompt", "\\s+", " "))).alias("prompt"), F.posexplode("test_cases").alias("at", "tc"))
-    name = F.lower(stripped(F.regexp_replace(F.coalesce("tc.name", F.lit("")), "\\s+", " ")))
-    flat = cases.select("item_id", "prompt", "at", F.col("tc.id").alias("tc_id"), name.alias("name"), F.to_json(F.transform("tc.steps", lambda s: F.struct(s["action"].alias("a"), s["selector"].alias("s"), s["expression"].alias("e"), s["gte"].alias("g")))).alias("signature"), F.col("tc.steps").alias("steps"))
-    same = lambda c: F.row_number().over(W.partitionBy("item_id", c).orderBy("at")) > 1
-    flat = flat.withColumns({"same_steps": same("signature"), "same_name": same("name")})
+    plain = lambda c: F.lower(stripped(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " ")))
+    signature = lambda tc: F.to_json(F.transform(tc["steps"], lambda s: F.struct(s["action"].alias("a"), s["selector"].alias("s"), s["expression"].alias("e"), s["gte"].alias("g"))))
+    # Repeats are found within an item's own array, so items without an id stay apart.
+    own = items.select("item_id", plain(F.col("prompt")).alias("prompt"), F.transform("test_cases", signature).alias("signatures"), F.transform("test_cases", lambda tc: plain(tc["name"])).alias("names"), F.posexplode("test_cases").alias("at", "tc"))
+    flat = own.withColumns({"signature": F.get("signatures", F.col("at")), "name": F.get("names", F.col("at"))})
+    again = lambda values, c: F.array_position(values, F.col(c)) <= F.col("at")
+    flat = flat.select("item_id", "prompt", F.col("tc.id").alias("tc_id"), "name", "signature", F.col("tc.steps").alias("steps"), again("signatures", "signature").alias("same_steps"), again("names", "name").alias("same_name"))
     has = lambda *actions: F.exists("steps", lambda s: s["action"].isin(*actions))
     text = F.concat_ws(" ", "name", F.lower("signature"))
     risks = F.array(
-        F.when(F.col("same_steps"), "exact_duplicate_steps"), F.when(F.col("same_name") & (F.col("name") != ""), "duplicate_tc_name"), F.when(F.contains(text, F.lit("empty submit shows validation")) & ~_contains_any(F.col("prompt"), FORM_WORDS), "cross_template_empty_submit"),
-        F.when(_contains_any(text, ("'add' feature button present as prompt requires", "add feature button")) & ~_contains_any(F.col("prompt"), ADD_WORDS), "cross_template_add_button"),
-        F.when((_contains_any(text, ("bold/formatting", "bold button", "preview updates in real-time")) | (F.contains(text, F.lit("markdown")) & ~F.contains("prompt", F.lit("markdown")))) & ~_contains_any(F.col("prompt"), EDITOR_WORDS), "cross_template_markdown_editor"),
+        F.when(F.col("same_steps"), "exact_duplicate_steps"), F.when(F.col("same_name") & (F.col("name") != ""), "duplicate_tc_name"), F.when(F.contains(text, F.lit(EMPTY_SUBMIT)) & ~_contains_any(F.col("prompt"), FORM_WORDS), "cross_template_empty_submit"),
+        F.when(_contains_any(text, ADD_BUTTON) & ~_contains_any(F.col("prompt"), ADD_WORDS), "cross_template_add_button"),
+        F.when((_contains_any(text, EDITOR_MARKS) | (F.contains(text, F.lit("markdown")) & ~F.contains("prompt", F.lit("markdown")))) & ~_contains_any(F.col("prompt"), EDITOR_WORDS), "cross_template_markdown_editor"),
         F.when(F.contains(text, F.lit("heatmap")) & ~_contains_any(F.col("prompt"), HEATMAP_WORDS), "cross_template_heatmap"),
-        F.when(has("assert_screenshot_changed") & ~has(*SEMANTIC) & (F.size("steps") <= 5), "visual_change_only_tc"), F.when(has("assert_screenshot_not_blank"), "generic_screenshot_not_blank"),
-        F.when(F.exists("steps", lambda s: (s["action"] == "assert_visible") & F.lower(s["selector"]).isin(*SURFACES)), "broad_surface_visible"),
+        F.when(has("assert_screenshot_changed") & ~has(*SEMANTIC) & (_contains_any(F.col("name"), GENERIC_NAMES) | (F.size("steps") <= FEW_STEPS)), "visual_change_only_tc"),
     )
     crowded = items.where(F.size("test_cases") > MANY_CASES).select("item_id", F.lit(None).cast("string").alias("tc_id"), F.lit("high_tc_density").alias("risk"))
-    return flat.select("item_id", "tc_id", F.explode(F.filter(risks, lambda r: r.isNotNull())).alias("risk")).unionByName(crowded)
+    # Risks of steps count once per step.
+    taken = F.array_position(F.transform("steps", lambda s: s["action"]), "screenshot")
+
+    def of_step(s: Column, i: Column) -> Column:
+        seed = F.when((s["action"] == "assert_screenshot_changed") & ((taken == 0) | (i < taken)), "screenshot_changed_without_prior_screenshot")
+        blank = F.when(s["action"] == "assert_screenshot_not_blank", "generic_screenshot_not_blank")
+        return F.coalesce(seed, blank, F.when((s["action"] == "assert_visible") & plain(s["selector"]).isin(*SURFACES), "broad_surface_visible"))
+
+    stepwise = flat.select("item_id", "tc_id", F.explode(F.filter(F.transform("steps", of_step), lambda r: r.isNotNull())).alias("risk"))
+    invalid = all_violations(items).select("item_id", "tc_id", F.lit("validator_error").alias("risk"))
+    found = flat.select("item_id", "tc_id", F.explode(F.filter(risks, lambda r: r.isNotNull())).alias("risk"))
+    return found.unionByName(crowded).unionByName(stepwise).unionByName(invalid)
+
+
+def severity(risk: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair))[risk], F.lit("low"))
+
+
+def risk_table(risks: DataFrame) -> DataFrame:
+    """Risks by severity, then by how often, then by name: risk, severity, count, place."""
+    counts = risks.groupBy("risk").agg(F.count("*").alias("count")).withColumn("severity", severity(F.col("risk")))
+    grade = F.array_position(F.array(*map(F.lit, ("error", "high", "medium", "low"))), F.col("severity"))
+    # One row per kind of risk, twelve at most.
+    return counts.withColumn("place", F.row_number().over(W.orderBy(grade, F.desc("count"), "risk")).cast("long"))
+
+
+def risky_items(risks: DataFrame, top: int = 50) -> DataFrame:
+    """The ``top`` items with most risks but violations; ties by id."""
+    own = risks.where("risk <> 'validator_error'").groupBy("item_id").agg(F.count("*").alias("risk_count"))
+    return own.orderBy(F.desc("risk_count"), "item_id").limit(top)
+
+
+def examples(risks: DataFrame, most: int = 25) -> DataFrame:
+    """The first ``most`` cases of each risk by item and case; Spark keeps as many per task before it shuffles."""
+    nth = F.row_number().over(W.partitionBy("risk").orderBy("item_id", F.col("tc_id").asc_nulls_first()))
+    return risks.select("risk", "item_id", "tc_id").distinct().withColumn("nth", nth.cast("long")).where(F.col("nth") <= most)
 
 
 def alignment(left: DataFrame, right: DataFrame, fields: list[str]) -> DataFrame:
@@ -147,6 +214,37 @@ def alignment(left: DataFrame, right: DataFrame, fields: list[str]) -> DataFrame
     return both.select("pos", F.explode(kinds).alias("m")).select("pos", "m.*")
 
 
+def case_alignment(left: DataFrame, right: DataFrame, fields: list[str], language: str = "zh") -> DataFrame:
+    """(pos, case, kind, field) where the items of two editions differ by position: pos, item_id, language, ``fields`` and test_cases.
+
+    Other ids end an item's comparison; then languages, fields, the number of cases, and case by case ids, weights, the number of
+    steps, or else the sequence of actions.
+    """
+    columns = ["item_id", "language", *fields, "test_cases"]
+    a, b = (x.select("pos", F.struct(*columns).alias(n)) for x, n in ((left, "a"), (right, "b")))
+    both = a.join(b, "pos").withColumn("same", F.col("a.item_id").eqNullSafe(F.col("b.item_id")))
+    entry = lambda kind, field, case=None: F.struct(F.lit(case).cast("long").alias("case"), F.lit(kind).alias("kind"), F.lit(field).alias("field"))
+    differ = lambda name: ~F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
+    ours, theirs = (F.coalesce(f"{n}.test_cases", F.array().cast(dict(left.dtypes)["test_cases"])) for n in "ab")
+    top = F.array(
+        F.when(~F.col("b.language").eqNullSafe(F.lit(language)), entry("language_mismatch", "language")),
+        *(F.when(differ(f), entry("metadata_mismatch", f)) for f in fields), F.when(F.size(ours) != F.size(theirs), entry("tc_count_mismatch", "test_cases")),
+    )
+
+    def of_case(pair: Column, i: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        named = lambda kind, field: F.struct((i + 1).cast("long").alias("case"), F.lit(kind).alias("kind"), F.lit(field).alias("field"))
+        actions = lambda tc: F.transform(F.coalesce(tc["steps"], F.array()), lambda s: s["action"])
+        u, v = actions(x), actions(y)
+        steps = F.when(F.size(u) != F.size(v), named("step_count_mismatch", "steps")).when(~u.eqNullSafe(v), named("step_action_sequence_mismatch", "steps"))
+        return F.array(F.when(~x["id"].eqNullSafe(y["id"]), named("tc_id_mismatch", "id")), F.when(~x["weight"].eqNullSafe(y["weight"]), named("tc_weight_mismatch", "weight")), steps)
+
+    n = F.least(F.size(ours), F.size(theirs))
+    pairs = F.zip_with(F.slice(ours, F.lit(1), n), F.slice(theirs, F.lit(1), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    found = F.when(F.col("same"), F.concat(top, F.flatten(F.transform(pairs, of_case)))).otherwise(F.array(entry("id_mismatch", "item_id")))
+    return both.select("pos", F.explode(F.filter(found, lambda m: m.isNotNull())).alias("m")).select("pos", "m.*")
+
+
 def unbalanced_steps(items: DataFrame) -> DataFrame:
     rows = steps(items).where(F.col("action").isin("assert_js_value", "eval_js") & (stripped(F.col("expression")) != "") & ~_contains_any(F.col("expression"), CUT_OFF))
     return rows.where(unbalanced("expression")).select("item_id", "tc_id", "pos", "expression")
