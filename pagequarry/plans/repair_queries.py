@@ -125,7 +125,13 @@ ORACLES["repair_overrides"] = f"""WITH c AS (SELECT o_orderkey AS rid, {CONTENT}
   SELECT rid AS record_id, CASE WHEN size > 35000 AND d IN {PATCHING} THEN CASE WHEN score >= 80 THEN 'visual_enrichment' ELSE 'holistic_rewrite' END ELSE d END AS strategy,
   CASE WHEN size > 35000 AND f IN {PATCHING} AND score >= 80 AND list_contains("on", 'visual_enrichment') THEN 'visual_enrichment' WHEN size > 35000 AND f IN {PATCHING} AND list_contains("on", 'holistic_rewrite') THEN 'holistic_rewrite' ELSE f END AS enabled_only,
   CAST(CASE WHEN score < 70 THEN 3 WHEN score < 90 THEN 2 ELSE 1 END AS BIGINT) AS candidates FROM v"""
-ORACLES["repair_replay"] = f"""{TRACES.replace("WITH t AS", "WITH RECURSIVE t AS")}, n AS (SELECT record_id, iteration, score, interaction, keyboard_broken, row_number() OVER (PARTITION BY record_id ORDER BY iteration) AS nth FROM t),
+RECORD_SQL = "user_id || '-' || (event_id // 1000)"
+
+
+def replay_sql(record: str) -> str:
+    """The early-stop rule over events of each ``record`` (an SQL expression) in order."""
+    traces_sql = TRACES.replace("WITH t AS", "WITH RECURSIVE t AS").replace(RECORD_SQL, record)
+    return f"""{traces_sql}, n AS (SELECT record_id, iteration, score, interaction, keyboard_broken, row_number() OVER (PARTITION BY record_id ORDER BY iteration) AS nth FROM t),
   f(record_id, nth, step_no, best, inter, broken, since, low, reason) AS (
     SELECT record_id, nth, iteration, score, interaction, keyboard_broken, 0, 0, CAST(NULL AS VARCHAR) FROM n WHERE nth = 1
     UNION ALL SELECT record_id, nth, step_no, best, inter, broken, CASE WHEN plateau THEN 0 ELSE since END, CASE WHEN forced THEN 0 WHEN score >= 97 THEN low ELSE cnt END,
@@ -139,6 +145,9 @@ ORACLES["repair_replay"] = f"""{TRACES.replace("WITH t AS", "WITH RECURSIVE t AS
               FROM f JOIN n ON n.record_id = f.record_id AND n.nth = f.nth + 1 WHERE f.reason IS NULL)))))
   )
   SELECT record_id, coalesce(arg_max(reason, nth), 'exhausted') AS stop_reason, arg_max(step_no, nth) AS stopped_at, arg_max(best, nth) AS best_score FROM f GROUP BY record_id"""
+
+
+ORACLES["repair_replay"] = replay_sql(RECORD_SQL)
 TAKE = lambda n, *values: "list_slice([" + ", ".join(f"'{v}'" for v in values) + f"], 1, CAST(k % {n} AS INT))"
 NEW = lambda more, seen: f"list_filter({more}, lambda x: NOT list_contains({seen}, x))"
 ORACLES["repair_issues"] = f"""WITH o AS (SELECT o_orderkey AS rid, {CONTENT} AS k, o_orderpriority AS pr, o_orderstatus AS os FROM orders), e AS (SELECT *, CASE WHEN k % 5 = 0 THEN {TAKE(4, "x", "y", "z")} END AS keys, k % 2 = 0 AS game FROM o),

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..sources.staging import folder
 from ..sources.tables import table
 from ..streaming import incremental as I  # noqa: E741
+from .repair_queries import replay_sql
 
 
 def _events(spark, sf_dir):
@@ -17,43 +15,28 @@ def _events(spark, sf_dir):
 
 
 def stream_tumbling(spark, sf_dir):
-    """Hourly counts and sums; the state after all input (windows that are still open included)."""
-    name = f"w{uuid.uuid4().hex}"
-    rows = I.tumbling(_events(spark, sf_dir), late="3650 days")
-    out = f"{folder(spark)}/{name}"
-    versions = []
-
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{out}/{number}")
-        versions.append(f"{out}/{number}")
-
-    rows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.schema(rows.schema).parquet(versions[-1])
-    return done.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "cents")
+    """Hourly counts and sums: windows are updated in a table as rows come, and leave the state two hours after their end."""
+    windows = I.tumbling(_events(spark, sf_dir))
+    table = I.upsert(windows, ["start", "event_type"], F.max_by, F.col("n"), I.place(spark, "windows"), "update")
+    return table.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "cents")
 
 
 def stream_latest_per_user(spark, sf_dir):
     rows = _events(spark, sf_dir).select("user_id", "event_id", "event_type", "cents")
-    return I.upsert_latest(rows, ["user_id"], "event_id", "latest")
+    return I.upsert_latest(rows, ["user_id"], "event_id", I.place(spark, "latest"))
 
 
 def stream_first_seen(spark, sf_dir):
     """The first event of each user and kind."""
-    rows = I.run(I.first_seen(_events(spark, sf_dir), ["user_id", "event_type"], late="3650 days").select("user_id", "event_type"), "first-seen")
-    return rows
+    rows = _events(spark, sf_dir).select("user_id", "event_type", "event_id")
+    return I.first_seen(rows, ["user_id", "event_type"], "event_id", I.place(spark, "first-seen"))
 
 
 def stream_early_stops(spark, sf_dir):
-    rows = I.early_stops(_events(spark, sf_dir).select("user_id", "event_id", (F.col("cents") % 101).alias("score")))
-    out, last = f"{folder(spark)}/stops-{uuid.uuid4().hex}", []
-
-    def keep(batch, number):
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/rows/part={number}")
-        last.append(number)
-
-    rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.parquet(f"{out}/rows")
-    return done.groupBy("user_id").agg(F.max_by(F.struct("iterations", "best", "stopped_at"), "batch").alias("s")).select("user_id", "s.*")
+    """Each user's events as iterations of a repair."""
+    score, interaction = F.floor(F.col("value") * 7).cast("long") % 101, F.floor(F.col("value") * 3).cast("long") % 26
+    rows = _events(spark, sf_dir).select("user_id", "event_id", "ts", score.alias("score"), interaction.alias("interaction"), (F.col("event_type") == "error").alias("keyboard_broken"))
+    return I.upsert(I.early_stops(rows), ["user_id"], F.max_by, F.col("iterations"), I.place(spark, "stops"), "update")
 
 
 def batch_sessions(spark, sf_dir):
@@ -67,11 +50,15 @@ def batch_sliding(spark, sf_dir):
     return rows.select(F.date_format(F.col("window.start"), "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
+#: The replay of recorded traces, by user instead of by user and block of events.
+STOPS_SQL = replay_sql("CAST(user_id AS VARCHAR)").replace("SELECT record_id, coalesce(", "SELECT CAST(record_id AS BIGINT) AS user_id, (SELECT count(*) FROM t WHERE t.record_id = f.record_id) AS iterations, coalesce(").replace("AS stop_reason", "AS reason").replace("AS best_score", "AS best")
+
 ORACLES = {
     "stream_tumbling": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2",
     "stream_latest_per_user": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, CAST(floor(arg_max(value, event_id) * 100) AS BIGINT) AS cents FROM events GROUP BY user_id",
-    "stream_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_first_seen": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2",
+    "stream_early_stops": STOPS_SQL,
     "batch_sessions": "WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM o) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, session",
     "batch_sliding": "SELECT strftime(date_trunc('hour', ts) - to_hours(h), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) v(h) GROUP BY 1, 2",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "stream_early_stops"]}
+QUERIES = {name: globals()[name] for name in ORACLES}

@@ -1,21 +1,26 @@
-"""Incremental runs with Structured Streaming: windows, latest-wins tables, resumed work, early stops.
+"""Incremental runs with Structured Streaming: windows, latest-wins tables, first-seen rows, early stops.
 
-Each job reads new files of a source once (``availableNow``), keeps its progress in a checkpoint in the shared folder and writes files; the same job
-started again goes on where it stopped.
+Each job reads new files of a source once (``availableNow``) and keeps its progress and its results under a folder that is given
+(``at``): the same job started again with the folder goes on where it stopped, after a clean end as after a crash.  Without a folder
+it starts anew in the shared folder.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.repair import stop_rule
 from ..sources.staging import folder
 
+#: Parts of a table by key; a micro-batch rewrites those that it touches.
+PARTS = 16
+
 
 def stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
     """The files of ``path`` (a file, folder or pattern) as a stream with the schema of those that are there."""
@@ -44,44 +49,84 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return found.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def first_seen(events: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
-    """The first row of each key: what a resumed run hasn't done yet."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def place(spark: SparkSession, name: str, at: str | None = None) -> str:
+    return at or f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
 
+def upsert(rows: DataFrame, keys: list[str], best: Callable[[Column, Column], Column], order: Column, at: str, mode: str = "append", parts: int = PARTS) -> DataFrame:
+    """Keeps a table of one row per key over micro-batches: the row that ``best`` (``max_by`` or ``min_by``) picks by ``order``.
 
-def upsert_latest(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """Keeps a table of the last row per key over micro-batches: each batch is merged with the table so far into a new version."""
-    spark = rows.sparkSession
-    at = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema, version = rows.schema, {"path": None}
+    The table is cut in ``parts`` by a hash of the key.  A micro-batch reads and rewrites the parts that it touches; a manifest by batch
+    number says which version of each part counts.  A batch that is repeated after a failure finds the manifest of the one before it
+    and writes the same version again.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    part = F.pmod(F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)), F.lit(parts))
+    read = lambda paths: spark.read.schema(schema).parquet(*paths)
+    paths = lambda manifest: [f"{at}/rows/version={v}/__part={p}" for p, v in sorted(manifest.items())]
 
     def merge(batch: DataFrame, number: int) -> None:
-        both = batch if version["path"] is None else batch.unionByName(spark.read.schema(schema).parquet(version["path"]))
-        last = both.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), F.col(order)).alias("__row")).select("__row.*")
-        # A version is named by its batch, so that a batch that is repeated after a failure writes the same version again.
-        path = f"{at}/version-{number}"
-        last.write.mode("overwrite").parquet(path)
-        version["path"] = path
+        before = {r.part: r.version for r in spark.read.parquet(f"{at}/manifests/batch={number - 1}").collect()} if number else {}
+        batch = batch.persist()
+        touched = {r.p for r in batch.select(part.alias("p")).distinct().collect()}
+        old = {p: v for p, v in before.items() if p in touched}
+        both = batch.unionByName(read(paths(old))) if old else batch
+        kept = both.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(best(F.struct(*schema.names), order).alias("__row")).select("__row.*")
+        kept.withColumn("__part", part).write.mode("overwrite").partitionBy("__part").parquet(f"{at}/rows/version={number}")
+        manifest = [(int(p), int(v)) for p, v in (before | dict.fromkeys(touched, number)).items()]
+        spark.createDataFrame(manifest, "part long, version long").coalesce(1).write.mode("overwrite").parquet(f"{at}/manifests/batch={number}")
+        batch.unpersist()
+
+    started = rows.writeStream.outputMode(mode).foreachBatch(merge).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    started.awaitTermination()
+    try:
+        manifests = spark.read.schema("part long, version long, batch long").parquet(f"{at}/manifests")
+    except Exception as e:  # no batch yet: the source was empty
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    last = manifests.agg(F.max("batch")).first()[0]
+    now = {r.part: r.version for r in manifests.where(F.col("batch") == last).collect()}
+    return read(paths(now)) if now else spark.createDataFrame([], schema)
+
+
+def upsert_latest(rows: DataFrame, keys: list[str], order: str, at: str) -> DataFrame:
+    """The last row of each key."""
+    return upsert(rows, keys, F.max_by, F.col(order), at)
+
+
+def first_seen(rows: DataFrame, keys: list[str], order: str, at: str) -> DataFrame:
+    """The first row of each key: what a resumed run has done already.  The keys are kept in a table, not in a growing state."""
+    return upsert(rows, keys, F.min_by, F.col(order), at)
+
 
-    rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(version["path"]) if version["path"] else spark.createDataFrame([], schema)
+STATE = "count long, best long, interaction long, broken boolean, since long, low long, reason string, stopped long"
+STOPS = "user_id long, iterations long, best long, stopped_at long, reason string"
 
 
 def _stops(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    count, best, low, last, stopped = state.get if state.exists else (0, 0, 0, -1, -1)
-    for part in parts:
-        for row in part.sort_values("event_id").itertuples():
-            if stopped >= 0:
-                break
-            delta = row.score - last if last >= 0 else 0
-            low = low + 1 if count and delta < 2 else 0
-            count, best, last = count + 1, max(best, row.score), row.score
-            if row.score >= 97 or low >= 3:
-                stopped = row.event_id
-    state.update((int(count), int(best), int(low), int(last), int(stopped)))
-    yield pd.DataFrame({"user_id": [key[0]], "iterations": [int(count)], "best": [int(best)], "stopped_at": [int(stopped)]})
-
-
-def early_stops(events: DataFrame) -> DataFrame:
-    """Per user (user_id, event_id, score): when it stops getting better, as a state that goes on over micro-batches."""
-    return events.groupBy("user_id").applyInPandasWithState(_stops, "user_id long, iterations long, best long, stopped_at long", "iterations long, best long, low long, last long, stopped long", "update", GroupStateTimeout.NoTimeout)
+    """The early-stop rule over a user's rows; all parts of a micro-batch are put in order before it goes on."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    count, *rest, stopped = state.get if state.exists else (0, 0, 0, False, 0, 0, None, -1)
+    now = dict(zip(("best", "interaction", "broken", "since", "low", "reason"), rest, strict=True)) if count else {}
+    rows = pd.concat(list(parts))
+    for row in rows.sort_values("event_id").to_dict("records"):
+        count += 1
+        if not now or now["reason"] is None:
+            now, stopped = stop_rule(now, row), row["event_id"]
+    state.update((int(count), int(now["best"]), int(now["interaction"]), bool(now["broken"]), int(now["since"]), int(now["low"]), now["reason"], int(stopped)))
+    state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
+    yield pd.DataFrame({"user_id": [key[0]], "iterations": [int(count)], "best": [int(now["best"])], "stopped_at": [int(stopped)], "reason": [now["reason"] or "exhausted"]})
+
+
+#: A user's state is dropped when nothing has come for so long (ms of event time).
+IDLE_MS = 90 * 24 * 3600 * 1000
+
+
+def early_stops(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Per user (user_id, event_id, ts, score, interaction, keyboard_broken): where repairs would have stopped, as a state that goes on over
+    micro-batches."""
+    watched = events.withWatermark("ts", late)
+    return watched.groupBy("user_id").applyInPandasWithState(_stops, STOPS, STATE, "update", GroupStateTimeout.EventTimeTimeout)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pagequarry.functions import html as H
 from pagequarry.functions import taxonomy
-from pagequarry.operators import analysis, curation, quality, repair
+from pagequarry.operators import analysis, curation, quality, records, repair, tcpool
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -124,21 +124,20 @@ def test_clusters_equal_all_pairs(spark):
         assert [i for i in members if got[i].kept] == [max(members, key=lambda i: (i * 7 % 50, -i))]
 
 
-def test_replay_stops(spark):
-    runs = {"up": [50, 60, 70, 98, 99], "flat": [60, 60, 61, 60, 60], "good": [90, 90, 90], "on": [10, 20, 30]}
-    rows = [Row(record_id=k, iteration=i, score=s, delta=None if i == 0 else s - v[i - 1]) for k, v in runs.items() for i, s in enumerate(v)]
-    got = {r.record_id: (r.stop_reason, r.stopped_at, r.best_score) for r in repair.replay(spark.createDataFrame(rows, "record_id string, iteration long, score long, delta long")).collect()}
-    assert got["up"] == ("near_perfect", 3, 98) and got["on"] == ("exhausted", 2, 30) and got["good"] == ("converged", 1, 90) or got["good"][0] in ("converged", "exhausted")
-    assert {n: fold(v) for n, v in runs.items()} == got
+RUNS = {
+    "up": [50, 60, 70, 98, 99], "flat": [60, 60, 61, 60, 60, 60, 60], "good": [90, 91, 91, 91], "falls": [80, 60, 70, 75, 79, 84, 84], "on": [10, 20, 30], "one": [42], "slow": [84, 85, 86, 87], "late": [85, 85, 86, 86],
+}
 
 
-def fold(scores):
-    """The stopping rules written out as a loop."""
-    best, since, low, at = -1000, 0, 0, 0
-    for i, s in enumerate(scores):
-        at, delta = i, s - scores[i - 1] if i else 0
-        since = 0 if s > best else since + 1
-        best = max(best, s)
+def fold(scores, broken=False, interaction=25):
+    """The stopping rules written out as a loop; the first score is that of the original page."""
+    best, since, low = scores[0], 0, 0
+    for i, s in enumerate(scores[1:], 1):
+        delta = s - best
+        best, since = (s, 0) if delta > 0 else (best, since + 1)
+        if broken and interaction < 20:
+            low = 0
+            continue
         if since >= 2:
             since = low = 0
         if s >= 97:
@@ -146,7 +145,87 @@ def fold(scores):
         low = low + 1 if delta < (0.5 if s >= 90 else 1.0 if s >= 85 else 2.0) else 0
         if low >= (3 if s < 80 else 2):
             return "converged", i, best
-    return "exhausted", at, best
+    return "exhausted", len(scores) - 1, best
+
+
+@pytest.mark.parametrize(("broken", "interaction"), [(False, 5), (True, 5), (True, 25)])
+def test_replay_stops(spark, broken, interaction):
+    rows = [Row(record_id=k, iteration=i, score=s, interaction=interaction, keyboard_broken=broken) for k, v in RUNS.items() for i, s in enumerate(v)]
+    got = {r.record_id: (r.stop_reason, r.stopped_at, r.best_score) for r in repair.replay(spark.createDataFrame(rows)).collect()}
+    assert got == {n: fold(v, broken, interaction) for n, v in RUNS.items()}
+    if not broken:
+        assert got["up"] == ("near_perfect", 3, 98) and got["on"] == ("exhausted", 2, 30)
+    for name, scores in RUNS.items():
+        state, at = {}, 0
+        for i, s in enumerate(scores):
+            if not state or state["reason"] is None:
+                state, at = repair.stop_rule(state, {"score": s, "interaction": interaction, "keyboard_broken": broken}), i
+        assert (state["reason"] or "exhausted", at, state["best"]) == got[name], "the rule of the streaming state is the same"
+
+
+def test_enabled_strategies(spark):
+    rows = [("holistic_rewrite", 100, 3, 60, ["bug_fix", "holistic_rewrite"]), ("holistic_rewrite", 100, 3, 60, ["holistic_rewrite"]), ("bug_fix", 40000, 0, 85, ["bug_fix"]), ("bug_fix", 40000, 0, 85, ["bug_fix", "holistic_rewrite"]), ("fix_game", 10, 0, 50, ["bug_fix"])]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, chosen string, size long, rewrites long, score long, enabled array<string>")
+    got = [r.s for r in table.select("i", repair.overridden(F.col("chosen"), F.col("size"), F.col("enabled")).alias("s")).orderBy("i").collect()]
+    assert got == ["bug_fix", "holistic_rewrite", "bug_fix", "holistic_rewrite", "holistic_rewrite"]
+
+
+def test_evidence_quality(spark):
+    columns = "agent_ran boolean, agent_steps long, dynamic boolean, console_errors long, keys_known boolean, keyboard_probed boolean, observer_items long"
+    rows = [(True, 2, False, 0, False, False, 0), (False, 2, False, 0, False, False, 0), (True, 0, False, 0, True, False, 0), (False, 0, False, 0, False, False, 1)]
+    assert [r.q for r in spark.createDataFrame(rows, columns).select(repair.evidence_quality().alias("q")).collect()] == ["high", "low", "medium", "medium"]
+
+
+def test_error_classes_and_waits(spark):
+    texts = ["Output Blocked by provider", "violates our Safety Policy", "429 slow down", "x" * 600 + " timeout", "", "content management policy"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(records.error_class(F.col("t")).alias("c")).collect()
+    assert [r.c for r in rows] == ["content_filter", "content_filter", "rate_limit", "other", "none", "other"]
+    waits = spark.createDataFrame([("12.5",), ("soon",), (None,)], "h string").select(records.retry_after(F.col("h")).alias("w")).collect()
+    assert [r.w for r in waits] == [12.5, None, None]
+
+
+def test_buttons(spark):
+    words = ["Start game", "Go", "OK, go back", "Cancel", "Save", "开始", "菜单", "New Game"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(records.button_priority(F.col("w")).alias("p")).collect()
+    assert [r.p for r in rows] == [100, 50, 50, 10, 50, 100, 10, 50]
+
+
+def test_frames_for_repairs(spark):
+    from pagequarry.operators import evidence
+
+    labels = ["gameplay_1", "x", "hover_a", "pre_stable_b", "after_click_1", "after_click_2", "stable", "y", "keyboard_up"]
+    table = spark.createDataFrame([(1, i, x, i / 10) for i, x in enumerate(labels)] + [(2, 0, "x", 0.5), (2, 1, "y", 0.1)], "record_id long, seq long, label string, diff_from_prev double")
+    got = evidence.repair_frames(table).orderBy("record_id", "seq").collect()
+    assert [(r.record_id, r.label) for r in got] == [(1, "pre_stable_b"), (1, "after_click_1"), (1, "after_click_2"), (1, "stable"), (1, "keyboard_up"), (2, "x"), (2, "y")]
+    few = table.where("label in ('x', 'y', 'hover_a')").withColumn("record_id", F.lit(3)).unionByName(spark.createDataFrame([(3, 20 + i, "z", 0.9 - i / 10) for i in range(4)], table.schema))
+    assert [r.seq for r in evidence.repair_frames(few).orderBy("seq").collect()] == [2, 20, 21, 22, 7] or {r.seq for r in evidence.repair_frames(few).collect()} == {2, 20, 21, 22, 7}
+
+
+def test_moving_images(spark):
+    from pagequarry.operators import evidence
+
+    table = spark.createDataFrame([(1, i, "observation", str(i // 2)) for i in range(12)] + [(2, i, "observation", "same") for i in range(5)] + [(1, 50, "deep", "z")], "record_id long, seq long, layer string, digest string")
+    assert {(r.record_id, r.changes, r.fps_quality) for r in evidence.fps_quality(table).collect()} == {(1, 4, "acceptable"), (2, 0, "frozen")}
+
+
+def test_unrendered_pages_have_no_rendering_points(spark):
+    rows = [(r, 5, 10, 10, 5, True, 0.5, None, 40) for r in (True, False)]
+    table = spark.createDataFrame(rows, "rendered boolean, rendering long, visual_design long, interaction long, code_quality long, has_interaction boolean, test_pass_rate double, filtered_rate double, total long")
+    assert [r.new_rendering for r in tcpool.rescore(table).collect()] == [10, 0]
+
+
+def test_generic_visual_cases_of_many_steps(spark):
+    step = lambda a: Row(pos=0, action=a, selector="b", expression="", gte=0, eq=None)
+    long = [step("screenshot"), *[step("click")] * 6, step("assert_screenshot_changed")]
+    items = [Row(item_id="1", prompt="p", test_cases=[Row(id="a", name="The  Visible reaction", weight=1.0, steps=long), Row(id="b", name="moves on", weight=1.0, steps=long[:1] + long[1:-1][::-1] + long[-1:])])]
+    table = spark.createDataFrame(items, quality.ITEMS)
+    got = {(r.tc_id, r.risk) for r in quality.audit(table).collect()}
+    assert ("a", "visual_change_only_tc") in got and ("b", "visual_change_only_tc") not in got and ("b", "exact_duplicate_steps") in got
+    many = spark.createDataFrame([Row(item_id="9", prompt="p", test_cases=[Row(id=str(i), name=f"n{i}", weight=1.0, steps=[step("wait")]) for i in range(46)])], quality.ITEMS)
+    assert {r.risk for r in quality.audit(many).where("tc_id is null").collect()} == {"high_tc_density"}
+    bare = spark.createDataFrame([Row(item_id=None, prompt=None, test_cases=None), Row(item_id="2", prompt="p", test_cases=[Row(id=None, name=None, weight=1.0, steps=[])])], quality.ITEMS)
+    rules = sorted(r.rule for r in quality.all_violations(bare).collect())
+    assert rules == ["missing case id", "missing case name", "missing id", "missing prompt", "no steps", "test cases aren't a list"]
 
 
 def test_structural_difference(spark):
@@ -169,6 +248,9 @@ def test_frames_are_paired_by_label_then_position(spark):
     rows = [(1, "before", 1, "stable"), (1, "before", 2, "hover_a"), (1, "before", 3, "odd"), (1, "after", 1, "hover_b"), (1, "after", 2, "stable"), (1, "after", 3, "other"), (1, "after", 4, "more"), (2, "before", 1, "stable")]
     got = evidence.paired_frames(spark.createDataFrame(rows, "record_id long, side string, seq long, label string")).orderBy("pair").collect()
     assert [(r.record_id, r.before_label, r.after_label) for r in got] == [(1, "stable", "stable"), (1, "hover_a", "hover_b"), (1, "odd", "other")]
+    again = [(1, "before", i, "odd") for i in (5, 6, 7)] + [(1, "after", i, "more") for i in (1, 8, 9, 10)]
+    got = evidence.paired_frames(spark.createDataFrame(again, "record_id long, side string, seq long, label string")).orderBy("pair").collect()
+    assert [(r.before_seq, r.after_seq) for r in got] == [(5, 1), (6, 8), (7, 9)], "all frames of an unused label are paired by position"
 
 
 @pytest.mark.parametrize(
