@@ -103,7 +103,7 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 #: Nodes of a bucket that are compared at once; nodes of a bucket whose pairs (28 at most) are listed.
-BLOCK, SMALL = 256, 8
+BLOCK, SMALL = 8192, 8
 
 
 def _block_links(least: float):
@@ -122,8 +122,12 @@ def _block_links(least: float):
             while queue:
                 from_left, at = queue.pop()
                 own, others, seen = (left[at], right, seen_r) if from_left else (right[at], left, seen_l)
-                share = (sig[others] == sig[own]).mean(1)
-                new = np.flatnonzero((share >= least) & ~seen)
+                unseen = np.flatnonzero(~seen)
+                share = np.zeros(len(others))
+                for x in range(0, len(unseen), 1024):
+                    some = unseen[x : x + 1024]
+                    share[some] = (sig[others[some]] == sig[own]).mean(1)
+                new = unseen[share[unseen] >= least]
                 seen[new] = True
                 out += [(int(ids[own]), int(ids[others[k]]), float(share[k])) for k in new if ids[own] != ids[others[k]]]
                 queue += [(not from_left, int(k)) for k in new]
