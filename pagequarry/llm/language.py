@@ -54,8 +54,9 @@ def counts(text: str) -> np.ndarray | None:
     if not word.any():
         return None
     # One blank before, between and after words.
-    keep = word | np.r_[True, word[:-1]]
-    codes = np.r_[np.uint32(0x20), letters[keep], np.uint32(0x20)].astype(np.uint64)
+    kept = letters[word | np.r_[False, word[:-1]]]
+    kept = kept if kept[-1] != 0x20 else kept[:-1]
+    codes = np.r_[np.uint32(0x20), kept, np.uint32(0x20)].astype(np.uint64)
     total = np.zeros(DIMENSIONS)
     for n in ORDERS:
         if len(codes) < n:

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pagequarry.llm import interpolation, language, media, quality, queries
+from pyspark.sql import functions as F
 
 
 def test_lm_base_scores_and_gain(spark, sf):
@@ -80,6 +81,61 @@ def test_language(spark, sf, odd, empty):
     assert language.identify(empty).count() == 0
 
 
+def plain_counts(text):
+    """Damped counts of hashed letter n-grams by plain loops."""
+    words = "".join(c.lower()[0] if c.isalpha() else " " for c in text).split()
+    if not words:
+        return None
+    padded, out = " " + " ".join(words) + " ", np.zeros(language.DIMENSIONS)
+    for n in language.ORDERS:
+        for i in range(len(padded) - n + 1):
+            h = n
+            for c in padded[i : i + n]:
+                h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+            out[h >> 52] += 1
+    return np.log1p(out)
+
+
+def test_language_equals_brute_force(spark, sf, monkeypatch):
+    """Every text against every centroid by plain loops."""
+    models, real = [], language.fit
+    monkeypatch.setattr(language, "fit", lambda *a, **k: models.append(real(*a, **k)) or models[-1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60)
+    rows = {r.doc_id: r for r in language.identify(docs).collect()}
+    (model,) = models
+    for d in docs.collect():
+        v = plain_counts(d.text)
+        if v is None:
+            assert (rows[d.doc_id].lang_pred, rows[d.doc_id].score, rows[d.doc_id].rejected) == ("und", 0.0, True)
+            continue
+        v = v * model.idf
+        cosines = [float(v @ c) / np.linalg.norm(v) for c in model.centres]
+        k = max(range(len(cosines)), key=lambda i: cosines[i])
+        assert rows[d.doc_id].score == pytest.approx(cosines[k], abs=2e-3)
+        near = [model.labels[i] for i, c in enumerate(cosines) if c > cosines[k] - 1e-4]
+        assert rows[d.doc_id].lang_pred in near
+        if abs(cosines[k] - model.limits[k]) > 1e-3:
+            assert rows[d.doc_id].rejected == (cosines[k] < model.limits[k])
+
+
+def test_language_rejects_and_breaks_ties(spark):
+    texts = {"aa": "the quick brown fox jumps over the lazy dog again", "bb": "der schnelle braune fuchs springt immer wieder"}
+    rows = [(i, texts[k] + f" {'x' * (i % 3)}", k, "s") for i, k in enumerate(("aa", "bb") * 40)] + [(200, "qzj wvk xqz jjq zzk", None, "s"), (201, texts["aa"], None, "s")]
+    found = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert found[200].rejected and not found[201].rejected and found[201].lang_pred == "aa"
+    same = [(i, "one text for both languages", "cc" if i % 2 else "ab", "s") for i in range(40)]
+    twins = language.identify(spark.createDataFrame(same, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.lang_pred for r in twins} == {"ab"}, "ties go to the first language in alphabetical order"
+    clash = spark.createDataFrame([(*r, 1.0, True) for r in rows], "doc_id long, text string, lang string, source string, score double, rejected boolean")
+    assert language.identify(clash).count() == len(rows)
+
+
+def test_samples_are_bounded_over_all_labels(spark):
+    docs = spark.range(20_000).select("id", (F.col("id") % 40).cast("string").alias("lang"))
+    assert 700 < language.sample(docs, "lang", 1500, total=1000).count() < 1300
+    assert language.sample(docs, "lang", 10_000).count() == 20_000
+
+
 def test_centroids_find_clusters():
     rng = np.random.default_rng(2)
     hubs = language.scaled(rng.normal(size=(3, 20)))
@@ -102,6 +158,41 @@ def test_quality(spark, sf, odd, empty):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+def plain_statistics(text):
+    """The statistics by plain loops over characters and words."""
+    words, n = text.split(), max(1, len(text))
+    per, letters = max(1, len(words)), max(1, sum(chr(b).isascii() and chr(b).isalpha() for b in text))
+    low, count = text.lower().split(), lambda chars: sum(b in chars for b in text)
+    symbols = [c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"!?-()|"]
+    marked = sum(not w[-1:].isalnum() and w[-1] < 128 and chr(w[-1]) not in ".,;:'\"?-)" for w in words)
+    return (
+        np.log1p(len(text)), np.log1p(len(words)), sum(map(len, words)) / per, max(map(len, words), default=0), len(set(low)) / per, count(range(65, 91)) / letters, count(range(48, 58)) / n, count(symbols) / n,
+        count(range(128, 256)) / n, count(b"\n") / per, count(b"|") / per, count(b"!") / per, marked / per, sum(a == b for a, b in zip(low, low[1:], strict=False)) / per, count(b".?") / per,
+    )
+
+
+def test_quality_equals_brute_force(spark, sf, monkeypatch):
+    """Every text's score by a loop over the fitted rules."""
+    fitted, real = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a, **k: fitted.append(real(*a, **k)) or fitted[-1])
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    few = docs.orderBy("doc_id").limit(80)
+    rows = {r.doc_id: r for r in quality.score_quality(docs, labels).join(few.select("doc_id"), "doc_id", "left_semi").collect()}
+    (rules,) = fitted
+    assert rules.rules
+    for d in few.collect():
+        x = plain_statistics(d.text.encode())
+        total = rules.intercept + sum(w for rule, w in zip(rules.rules, rules.weights, strict=True) if all((x[t.statistic] > t.value) == t.above for t in rule))
+        assert rows[d.doc_id].score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+        assert rows[d.doc_id].predicted == int(rows[d.doc_id].score >= 0.3)
+
+
+def test_a_statistic_equal_to_a_rules_value_is_below_it(spark):
+    rules = quality.Rules([(quality.Test(0, False, 0.5),), (quality.Test(0, True, 0.5),)], [2.0, -3.0], 0.0)
+    row = spark.createDataFrame([(0.5,) + (0.0,) * (len(quality.COLUMNS) - 1)], quality.COLUMNS).select(rules.column().alias("s")).first()
+    assert row.s == pytest.approx(1 / (1 + np.exp(-2.0)))
+
+
 def test_rules_compile_to_the_same_score(spark):
     rng = np.random.default_rng(4)
     x = rng.random((300, len(quality.STATISTICS)))
@@ -154,6 +245,44 @@ def test_media_query(spark, sf, odd, empty):
     assert media.media_features(empty).count() == 0
 
 
+def plain_hash(payload):
+    """The cosine hash by its definition: double sums over averaged brightness."""
+    grey = np.frombuffer(payload, np.uint8).reshape(-1, media.WIDTH, media.SAMPLES).mean(axis=2)
+    height, n = len(grey), media.GRID
+    cut = lambda i, size: slice(i * size // n, max((i + 1) * size // n, i * size // n + 1))
+    grid = [[grey[cut(y, height), cut(x, media.WIDTH)].mean() for x in range(n)] for y in range(n)]
+    wave = [[np.cos(np.pi / n * (x + 0.5) * u) for x in range(n)] for u in range(media.LOW)]
+    low = [round(sum(wave[u][y] * sum(wave[v][x] * grid[y][x] for x in range(n)) for y in range(n)), 6) for u in range(media.LOW) for v in range(media.LOW)]
+    middle = float(np.median(low[1:]))
+    bits = "".join("1" if x > middle else "0" for x in low)
+    return f"{int(bits, 2):016x}", min(abs(x - middle) for x in low if x != middle)
+
+
+def test_media_features_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(25)
+    stored = {r.doc_id: bytes(r.media) for r in media.encode(docs).collect()}
+    rows = {r.doc_id: r for r in media.media_features(docs).collect()}
+    for d in docs.collect():
+        text = d.text.encode()
+        payload = text.ljust(max(192, -(-len(text) // 192) * 192), b" ")
+        r, png = rows[d.doc_id], stored[d.doc_id]
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        body, at = b"", 8
+        while at < len(png):
+            size = int.from_bytes(png[at : at + 4], "big")
+            body += png[at + 8 : at + 8 + size] if png[at + 4 : at + 8] == b"IDAT" else b""
+            at += 12 + size
+        lines, above, out = zlib.decompress(body), bytes(192), b""
+        for i in range(0, len(lines), 193):
+            line = lines[i + 1 : i + 193]
+            above = line if lines[i] == 0 else bytes((a + b) % 256 for a, b in zip(line, above, strict=True))
+            assert lines[i] in (0, 2)
+            out += above
+        assert out == payload
+        want, gap = plain_hash(payload)
+        assert r.feature == want or (gap < 1e-4 and (int(r.feature, 16) ^ int(want, 16)).bit_count() <= 2)
+
+
 def test_hash_is_near_for_near_images():
     rng = np.random.default_rng(9)
     smooth = np.cumsum(np.cumsum(rng.normal(size=(64, 64)), 0), 1)
