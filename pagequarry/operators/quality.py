@@ -214,6 +214,21 @@ def alignment(left: DataFrame, right: DataFrame, fields: list[str]) -> DataFrame
     return both.select("pos", F.explode(kinds).alias("m")).select("pos", "m.*")
 
 
+def parsed_cases(items: DataFrame) -> DataFrame:
+    """(item_id, id, name, weight, steps, error) of test cases as a runner takes them: missing ids are numbered, names are empty, weights 1.
+
+    A case with an unknown action has an error (its first one) and no steps.
+    """
+    cases = items.select("item_id", F.posexplode("test_cases").alias("at", "tc"))
+    unknown = F.get(F.filter("tc.steps", lambda s: ~F.coalesce(s["action"], F.lit("")).isin(*ACTIONS)), 0)["action"]
+    bad = F.exists("tc.steps", lambda s: ~F.coalesce(s["action"], F.lit("")).isin(*ACTIONS))
+    filled = F.transform("tc.steps", lambda s: F.struct(s["action"].alias("action"), F.coalesce(s["selector"], F.lit("")).alias("selector"), F.coalesce(s["expression"], F.lit("")).alias("expression"), s["gte"].alias("gte"), s["eq"].alias("eq")))
+    return cases.select(
+        "item_id", F.coalesce("tc.id", F.format_string("tc_%03d", "at")).alias("id"), F.coalesce("tc.name", F.lit("")).alias("name"), F.coalesce("tc.weight", F.lit(1.0)).alias("weight"),
+        F.when(bad, F.slice(filled, 1, 0)).otherwise(filled).alias("steps"), F.when(bad, F.concat(F.lit("Unknown test action: "), F.coalesce(unknown, F.lit("")))).alias("error"),
+    )
+
+
 def case_alignment(left: DataFrame, right: DataFrame, fields: list[str], language: str = "zh") -> DataFrame:
     """(pos, case, kind, field) where the items of two editions differ by position: pos, item_id, language, ``fields`` and test_cases.
 

@@ -43,3 +43,18 @@ def runs(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """All results of ``root/outputs/*/*/en/full/results.jsonl`` but stale ones, with the run's group, configuration and model."""
     found = lines(spark, f"{root}/outputs/*/*/en/full/results.jsonl", schema).where(~F.contains("file", F.lit("outputs_stale")))
     return found.withColumns(run_columns(F.col("file")))
+
+
+def write_lines(rows: DataFrame, path: str, column: str = "value") -> None:
+    """Writes a column of texts as lines of files in a folder."""
+    rows.select(F.col(column).alias("value")).write.text(path)
+
+
+def first_existing(rows: DataFrame, candidates: str, listing: DataFrame) -> DataFrame:
+    """``rows`` with ``found``: the first of their candidate paths (an array column) that ``listing`` (path) has, or null.
+
+    Paths are never followed row by row: the candidates meet the listing in one join.  Rows need a unique ``uid``.
+    """
+    named = rows.select("uid", F.posexplode(candidates).alias("place", "path")).join(listing.select("path").distinct(), "path")
+    best = named.groupBy("uid").agg(F.min_by("path", "place").alias("found"))
+    return rows.join(best, "uid", "left")
