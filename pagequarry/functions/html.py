@@ -43,7 +43,9 @@ FLAGS = {
     "has_gradient": "(?i)gradient\\s*\\(",
     "has_opacity_usage": "(?i)opacity\\s*:",
     "has_hover_css": ":hover\\s*\\{",
+    "has_addeventlistener": "addEventListener",
 }
+#: Fixed value: inputs that take text.
 TYPED_INPUT = "(?i)<input[^>]*type=[\"']?(text|email|password|search|number|tel|url)"
 
 

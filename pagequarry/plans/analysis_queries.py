@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.taxonomy import FAMILY_SQL, SOURCE_SQL
 from ..operators import analysis as A
-from ..sources.tables import RESULTS_SQL, results, table
+from ..sources.tables import RESULTS_SQL, positions, results, table
 
 KEYS = ["trial", "item_id"]
 
@@ -73,12 +73,11 @@ def resume_pending(spark, sf_dir):
 
 
 def shard_slices(spark, sf_dir):
-    """Contiguous shards of the records, ceil(n / 8) each, with their sizes and limits."""
-    n = table(spark, sf_dir, "orders").count()
-    per = -(-n // 8)
-    # The line number is the dense o_orderkey, so that no global window is needed.
-    idx = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"))
-    return idx.groupBy(F.floor(F.col("idx") / per).cast("long").alias("shard_id")).agg(F.count("*").alias("n"), F.min("idx").alias("low"), F.max("idx").alias("high"))
+    """Contiguous shards of the records in file order, ceil(n / 8) each, with their sizes and contents."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    per = -(-orders.count() // 8)
+    shard = F.floor(F.col("row_idx") / per).cast("long").alias("shard_id")
+    return positions(orders).groupBy(shard).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.sum("o_custkey").alias("customers"))
 
 
 def category_filter(spark, sf_dir):
@@ -146,7 +145,7 @@ ORACLES = {
       SELECT CASE WHEN {OK} THEN 'completed' WHEN eval_status IS NOT NULL THEN 'failed' ELSE 'pending' END AS state, count(*) AS items FROM customer LEFT JOIN now ON CAST(c_custkey AS VARCHAR) = item_id GROUP BY 1""",
     "analysis_top_subtypes": f"{LATEST} SELECT sub_type, count(*) AS total, round_even(avg(latest.total), 1) AS avg_score FROM latest GROUP BY sub_type ORDER BY avg_score DESC, sub_type LIMIT 10",
     "resume_pending": f"WITH {RESULTS_SQL} SELECT CAST(c_custkey AS VARCHAR) AS item_id, c_mktsegment FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT item_id FROM results_raw WHERE {OK})",
-    "shard_slices": "WITH s AS (SELECT CAST(ceil(count(*) / 8.0) AS BIGINT) AS per FROM orders) SELECT o_orderkey // per AS shard_id, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders, s GROUP BY 1",
+    "shard_slices": "WITH s AS (SELECT CAST(ceil(count(*) / 8.0) AS BIGINT) AS per FROM orders), r AS (SELECT *, row_number() OVER () - 1 AS i FROM orders) SELECT i // per AS shard_id, count(*) AS n, min(o_orderkey) AS low, CAST(sum(o_custkey) AS BIGINT) AS customers FROM r, s GROUP BY 1",
     "category_filter": f"WITH {RESULTS_SQL} SELECT category, language, difficulty, count(*) AS n FROM results_raw WHERE {FAMILY} = 'apps_tools' OR {SOURCE} = 'landing' GROUP BY ALL",
     "record_pages": f"{LATEST} SELECT line_idx, item_id, trial, total FROM latest WHERE total BETWEEN 20 AND 60 AND eval_status = 'completed' ORDER BY total, line_idx LIMIT 25 OFFSET 20",
     "dataset_facets": f"WITH {RESULTS_SQL} SELECT {FAMILY} AS family, difficulty, count(*) AS n, count(DISTINCT item_id) AS items FROM results_raw GROUP BY 1, 2",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions.scoring import guarded
 from ..operators import records as R
-from ..sources.tables import RESPONSES_SQL, RESULTS_SQL, responses, table
+from ..sources.tables import RESPONSES_SQL, RESULTS_SQL, positions, responses, table
 from .analysis_queries import _latest
 
 MESSAGES = ("Error 429: rate limit; ", "", "request TIMED OUT: ", "Output blocked, see the Safety Policy. ", "boom ")
@@ -29,8 +30,13 @@ def parsed_records(spark, sf_dir):
     return out.select("line_idx", "stable_id", F.md5(F.col("query").cast("binary")).alias("query_md5"), F.md5(F.col("response").cast("binary")).alias("response_md5"))
 
 
+def _content():
+    """A number from an order's contents."""
+    return F.col("o_custkey") * 31 + F.floor("o_totalprice").cast("long")
+
+
 def record_status(spark, sf_dir):
-    k = F.col("o_orderkey")
+    k = _content()
     phases = F.when(k % 7 == 0, F.array().cast("array<boolean>")).otherwise(F.array(k % 2 == 0, k % 3 != 1))
     return table(spark, sf_dir, "orders").select(R.status(k % 11 == 0, k % 5 == 0, k % 13 == 0, phases).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -38,7 +44,7 @@ def record_status(spark, sf_dir):
 def merged_responses(spark, sf_dir):
     """Answers of two sources by item: those with a whole page only, the second source first, then the last line."""
     first = responses(spark, sf_dir).withColumn("line_idx", F.col("item_id"))
-    second = first.where("item_id % 3 = 0").withColumn("response", F.concat(F.lit("again "), "response"))
+    second = first.withColumn("response", F.when(F.length("response") % 3 == 0, F.concat(F.lit("again "), "response")).otherwise("none"))
     out = R.merged([first, second], "item_id", H.extract(F.col("response"), False).isNotNull())
     return out.select("item_id", F.col("source_rank").cast("long").alias("source_rank"), F.length("response").cast("long").alias("size"))
 
@@ -75,9 +81,9 @@ def scorer_clamps(spark, sf_dir):
 
 def value_changes(spark, sf_dir):
     """What differs between two states of a page's variables."""
-    k = F.col("event_id")
+    k = F.col("event_id") + F.floor("value").cast("long")
     state = lambda n: F.create_map(F.lit("a"), k % n, F.lit("b"), k % 3, F.when(k % 2 == 0, F.lit("c")).otherwise(F.lit("d")), k % (n + 1))
-    rows = table(spark, sf_dir, "events").select(k, R.changed_values(state(4), state(5)).alias("v"))
+    rows = table(spark, sf_dir, "events").select("event_id", R.changed_values(state(4), state(5)).alias("v"))
     return rows.select("event_id", F.size("v").cast("long").alias("changed"), F.array_join(F.array_sort(F.map_keys("v")), ",").alias("keys"))
 
 
@@ -116,7 +122,8 @@ def button_order(spark, sf_dir):
 
 
 def record_chunks(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(R.chunk(F.col("o_orderkey"), 64).alias("chunk")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"))
+    rows = positions(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    return rows.groupBy(R.chunk(F.col("row_idx"), 64).alias("chunk")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.sum("o_custkey").alias("customers"))
 
 
 def glossary_alternatives(spark, sf_dir):
@@ -125,6 +132,19 @@ def glossary_alternatives(spark, sf_dir):
     return rows.select("item_id", F.array_join("a", ",").alias("alternatives"))
 
 
+def guarded_totals(spark, sf_dir):
+    """Totals after a repair (the next result of an item) less the penalty for what fell."""
+    from pyspark.sql import Window as W
+
+    dims = ("functionality", "interaction", "rendering", "visual_design", "code_quality")
+    order = W.partitionBy("item_id").orderBy("line_idx")
+    from ..sources.tables import results
+
+    rows = results(spark, sf_dir).select("line_idx", *dims, *(F.lag(d).over(order).alias(f"old_{d}") for d in dims)).where("old_rendering is not null")
+    total = guarded({d: F.col(f"old_{d}") for d in dims}, {d: F.col(d) for d in dims})
+    return rows.select("line_idx", total.cast("long").alias("guarded"))
+
+
 def score_intervals(spark, sf_dir):
     """Bootstrap intervals of the averages by difficulty."""
     return R.intervals(_latest(spark, sf_dir), ["difficulty"])
@@ -134,11 +154,13 @@ LATEST = f"WITH {RESULTS_SQL}, latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *,
 ERRORS = "[" + ", ".join(f"'{m}'" for m in MESSAGES) + "]"
 WHOLE = "(regexp_matches(response, '(?is)<html[^>]*>.*?</html>') OR regexp_matches(response, '(?is)```html\\s*\\n.*?<html.*?```') OR contains(response, '```svg'))"
 WORD = lambda t, o: f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN '{o}' END"
+DIMS = ("functionality", "interaction", "rendering", "visual_design", "code_quality")
 ORACLES = {
     "parsed_records": """WITH g AS (SELECT conv_id AS k, arg_min(text, turn) FILTER (role = 'user') AS q, arg_min(text, turn) FILTER (role = 'assistant') AS r FROM conversations GROUP BY conv_id)
       SELECT k AS line_idx, CASE k % 3 WHEN 0 THEN 'id' || k WHEN 1 THEN CAST(k * 10 AS VARCHAR) ELSE CAST(k AS VARCHAR) END AS stable_id, md5(coalesce(q, '')) AS query_md5, md5(coalesce(r, '')) AS response_md5 FROM g""",
-    "record_status": """SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'completed_with_fallback' WHEN o_orderkey % 5 = 0 THEN 'failed' WHEN o_orderkey % 13 = 0 OR (o_orderkey % 7 <> 0 AND o_orderkey % 2 = 0 AND o_orderkey % 3 <> 1) THEN 'completed' ELSE 'processing' END AS status, count(*) AS n FROM orders GROUP BY 1""",
-    "merged_responses": f"""WITH {RESPONSES_SQL}, u AS (SELECT item_id, 0 AS source_rank, response FROM responses UNION ALL SELECT item_id, 1, 'again ' || response FROM responses WHERE item_id % 3 = 0)
+    "record_status": """WITH o AS (SELECT o_custkey * 31 + CAST(floor(o_totalprice) AS BIGINT) AS k FROM orders)
+      SELECT CASE WHEN k % 11 = 0 THEN 'completed_with_fallback' WHEN k % 5 = 0 THEN 'failed' WHEN k % 13 = 0 OR (k % 7 <> 0 AND k % 2 = 0 AND k % 3 <> 1) THEN 'completed' ELSE 'processing' END AS status, count(*) AS n FROM o GROUP BY 1""",
+    "merged_responses": f"""WITH {RESPONSES_SQL}, u AS (SELECT item_id, 0 AS source_rank, response FROM responses UNION ALL SELECT item_id, 1, CASE WHEN length(response) % 3 = 0 THEN 'again ' || response ELSE 'none' END FROM responses)
       SELECT item_id, CAST(max(source_rank) AS BIGINT) AS source_rank, length(arg_max(response, source_rank)) AS size FROM u WHERE {WHOLE} GROUP BY item_id""",
     "generation_errors": f"""WITH e AS (SELECT substr(list_extract({ERRORS}, CAST((conv_id + turn) % {len(MESSAGES)} + 1 AS INT)) || coalesce(text, ''), 1, 500) AS error FROM conversations),
       c AS (SELECT error, CASE WHEN trim(error, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'none' WHEN regexp_matches(lower(error), 'content filter|output blocked|blocked by content|safety policy|policy violation') THEN 'content_filter'
@@ -150,8 +172,8 @@ ORACLES = {
       CASE WHEN count(*) > 1 THEN round_even(count(*) FILTER (ok) / (count(*) - 1), 2) ELSE -1.0 END AS response_rate FROM v GROUP BY l_orderkey""",
     "scorer_clamps": f"""{LATEST}, c AS (SELECT line_idx, CASE WHEN line_idx % 10 = 0 THEN least(rendering, 2) ELSE rendering END AS rendering, visual_design, CASE WHEN line_idx % 6 = 0 THEN least(functionality, 15) ELSE functionality END AS functionality,
       CASE WHEN line_idx % 6 = 0 OR (line_idx % 7 < 3 AND line_idx % 4 >= 2) THEN least(interaction, 8) ELSE interaction END AS interaction, code_quality FROM latest) SELECT *, rendering + visual_design + functionality + interaction + code_quality AS total FROM c""",
-    "value_changes": """WITH e AS (SELECT event_id AS k FROM events), c AS (SELECT k, k % 4 <> k % 5 AS a, k % 5 <> k % 6 AS o FROM e)
-      SELECT k AS event_id, CAST(a AS BIGINT) + CAST(o AS BIGINT) AS changed, CASE WHEN a THEN 'a' ELSE '' END || CASE WHEN a AND o THEN ',' ELSE '' END || CASE WHEN NOT o THEN '' WHEN k % 2 = 0 THEN 'c' ELSE 'd' END AS keys FROM c""",
+    "value_changes": """WITH e AS (SELECT event_id, event_id + CAST(floor(value) AS BIGINT) AS k FROM events), c AS (SELECT event_id, k, k % 4 <> k % 5 AS a, k % 5 <> k % 6 AS o FROM e)
+      SELECT event_id, CAST(a AS BIGINT) + CAST(o AS BIGINT) AS changed, CASE WHEN a THEN 'a' ELSE '' END || CASE WHEN a AND o THEN ',' ELSE '' END || CASE WHEN NOT o THEN '' WHEN k % 2 = 0 THEN 'c' ELSE 'd' END AS keys FROM c""",
     "page_patches": """WITH t AS (SELECT page_id, html, (length(html) - length(replace(html, '</title>', ''))) / 8 AS titles, (length(html) - length(replace(html, '<p>', ''))) / 3 AS ps FROM pages),
       a AS (SELECT *, CASE WHEN titles = 1 THEN replace(html, '</title>', '!</title>') ELSE html END AS h1 FROM t), b AS (SELECT *, CASE WHEN ps = 1 THEN replace(h1, '<p>', '<q>') ELSE h1 END AS h2 FROM a), n AS (SELECT *, (length(h2) - length(replace(h2, '!</title>', ''))) / 9 AS again FROM b),
       d AS (SELECT *, CASE WHEN again = 1 THEN replace(h2, '!</title>', '?</title>') ELSE h2 END AS h3 FROM n)
@@ -164,7 +186,11 @@ ORACLES = {
       p AS (SELECT p_brand, p_partkey, CAST(CASE WHEN regexp_matches(n, 'start|play|begin|submit|initiate|开始') THEN 100 WHEN regexp_matches(n, 'next|continue|ok|confirm|新建|继续') THEN 50
       WHEN regexp_matches(n, 'cancel|close|back|return|菜单') THEN 10 ELSE 50 END AS BIGINT) AS priority FROM b)
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY priority DESC, p_partkey) AS place FROM p) WHERE place <= 6""",
-    "record_chunks": "SELECT o_orderkey // 64 AS chunk, count(*) AS n, min(o_orderkey) AS low FROM orders GROUP BY 1",
+    "record_chunks": "WITH r AS (SELECT *, row_number() OVER () - 1 AS i FROM orders) SELECT i // 64 AS chunk, count(*) AS n, min(o_orderkey) AS low, CAST(sum(o_custkey) AS BIGINT) AS customers FROM r GROUP BY 1",
+    "guarded_totals": f"""WITH {RESULTS_SQL}, p AS (SELECT *, {", ".join(f"lag({d}) OVER w AS old_{d}" for d in DIMS)} FROM results_raw WINDOW w AS (PARTITION BY item_id ORDER BY line_idx)),
+      f AS (SELECT line_idx, {" + ".join(DIMS)} AS new, {" + ".join(f"old_{d}" for d in DIMS)} AS old, {", ".join(f"CASE WHEN old_{d} - {d} > 2 THEN old_{d} - {d} ELSE 0 END AS f_{d}" for d in DIMS)} FROM p WHERE old_rendering IS NOT NULL),
+      g AS (SELECT *, CASE WHEN old >= 85 THEN 2 * f_functionality + 2 * f_interaction + f_rendering + f_visual_design + f_code_quality ELSE 3 * f_functionality + 3 * f_interaction + 2 * f_rendering + 2 * f_visual_design END AS penalty FROM f)
+      SELECT line_idx, CAST(new - CASE WHEN new - old >= 3 THEN least(penalty, floor((new - old) / 2)) ELSE penalty END AS BIGINT) AS guarded FROM g""",
     "glossary_alternatives": f"SELECT item_id, array_to_string(list_filter([{WORD('the', 'le')}, {WORD('and', 'et')}, {WORD('for', 'pour')}, {WORD('with', 'avec')}], lambda x: x IS NOT NULL), ',') AS alternatives FROM benchmark",
 }
 QUERIES = {name: globals()[name] for name in [*ORACLES, "score_intervals"]}

@@ -126,17 +126,33 @@ PAGES_SQL = f"""rich AS (SELECT page_id, html || list_extract([{", ".join(map(_s
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers by page_id: a raw page, a closed fence, an unclosed one, a fenced drawing, or prose."""
+    """Model answers by page_id, each with a whole page's text: a raw page, a page in a closed fence, one whose fence and tags stay open, a
+    fenced drawing of its text, or its text as prose."""
     html, kind = F.col("html"), F.col("page_id") % 5
+    prose = F.regexp_replace(html, "<[^>]*>", " ")
     text = (
         F.when(kind == 0, html).when(kind == 1, F.concat(F.lit(f"Here it is.\n{FENCE}html\n"), html, F.lit(f"\n{FENCE}\nDone.")))
-        .when(kind == 2, F.concat(F.lit(f"{FENCE}html\n"), F.substring(html, 1, 600))).when(kind == 3, F.lit(f'{FENCE}svg\n<svg width="1"><g/></svg>\n{FENCE}')).otherwise("I cannot make a page.")
+        .when(kind == 2, F.concat(F.lit(f"{FENCE}html\n"), F.regexp_replace(html, "</(body|html)>", "")))
+        .when(kind == 3, F.concat(F.lit(f'{FENCE}svg\n<svg width="1"><text>'), prose, F.lit(f"</text></svg>\n{FENCE}"))).otherwise(F.concat(F.lit("I cannot make a page. "), prose))
     )
     return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("item_id"), text.alias("response"))
 
 
 RESPONSES_SQL = f"""responses AS (SELECT page_id AS item_id, CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN 'Here it is.' || chr(10) || '{FENCE}html' || chr(10) || html || chr(10) || '{FENCE}' || chr(10) || 'Done.'
-  WHEN 2 THEN '{FENCE}html' || chr(10) || substr(html, 1, 600) WHEN 3 THEN '{FENCE}svg' || chr(10) || '<svg width="1"><g/></svg>' || chr(10) || '{FENCE}' ELSE 'I cannot make a page.' END AS response FROM pages)"""
+  WHEN 2 THEN '{FENCE}html' || chr(10) || regexp_replace(html, '</(body|html)>', '', 'g') WHEN 3 THEN '{FENCE}svg' || chr(10) || '<svg width="1"><text>' || regexp_replace(html, '<[^>]*>', ' ', 'g') || '</text></svg>' || chr(10) || '{FENCE}'
+  ELSE 'I cannot make a page. ' || regexp_replace(html, '<[^>]*>', ' ', 'g') END AS response FROM pages)"""
+
+
+def positions(df: DataFrame) -> DataFrame:
+    """``df`` with the number of each row in the order in which the table is read (``row_idx``, from 0).
+
+    Rows are numbered within their partitions; the sizes of the partitions before (one row each) give the rest, so no window spans the table.
+    """
+    at = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    sizes = at.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = at.join(sizes.select(F.col("__part"), before.alias("__before")), "__part")
+    return placed.withColumn("row_idx", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
