@@ -188,3 +188,14 @@ def deduplicate(rows: DataFrame, **options) -> DataFrame:
     joined = rows.select("id", "score").join(named, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
     best = joined.groupBy("cluster").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("best"))
     return joined.join(best, "cluster").select("id", "cluster", "score", (F.col("id") == F.col("best")).alias("kept"))
+
+
+def curated(rows: DataFrame, gate: int = 80, include_c: bool = False) -> DataFrame:
+    """A curation run over (id, text, total, eval_status): every row with its tier, whether it is kept for training (best of its
+    near-duplicate cluster in tier A), is to be repaired (tier B, and C if wanted), or goes."""
+    tiered = cut(tiers(rows), "tiers")
+    best = tiered.where(F.col("tier") == "A").select("id", "text", F.col("total").alias("score"))
+    kept = deduplicate(best).select("id", "kept")
+    repaired = F.col("tier").isin("B", *(["C"] if include_c else []))
+    decision = F.when(F.col("kept") & (F.col("total") >= gate), "train").when(F.col("kept").isNotNull(), "duplicate").when(repaired, "repair").otherwise("drop")
+    return tiered.join(kept, "id", "left").select("id", "tier", "total", decision.alias("decision"))

@@ -186,3 +186,46 @@ def settle_window(action: Column, timeout: Column) -> Column:
     held = lambda part, low, high: F.least(F.lit(high), F.greatest(F.lit(low), F.floor(timeout / part))).cast("long")
     name = F.lower(F.coalesce(action, F.lit("")))
     return F.coalesce(*(F.when(name.isin(*names), held(*rest)) for names, *rest in SETTLE[:-1]), held(*SETTLE[-1][1:]))
+
+
+def selected(items: DataFrame, selection: DataFrame, keys: list[str]) -> DataFrame:
+    """``items`` that ``selection`` (distinct keys) names; ValueError with an example if it names one that isn't there."""
+    wanted = selection.select(*keys).distinct()
+    lost = wanted.join(items.select(*keys), keys, "left_anti").first()
+    if lost is not None:
+        raise ValueError(f"the selection names an item that isn't there: {lost.asDict()}")
+    return items.join(wanted, keys, "left_semi")
+
+
+def only(items: DataFrame, ids: str | None, limit: int | None, order: str) -> DataFrame:
+    """Items whose id is in a comma-separated list (all if there is none), at most ``limit`` of them in order."""
+    wanted = [i.strip() for i in (ids or "").split(",") if i.strip()]
+    kept = items.where(F.col("item_id").isin(*wanted)) if wanted else items
+    return kept.orderBy(order).limit(limit) if limit else kept
+
+
+def phase_gates(has_cases: Column, has_page: Column, rendered: Column, agent_on: Column) -> Column:
+    """Which phases of an evaluation run: tests need test cases and a page, rendering a page, the agent a page that isn't known to be blank."""
+    known = F.coalesce(rendered, F.lit(True))
+    return F.struct((has_cases & has_page).alias("tests"), has_page.alias("render"), (agent_on & has_page & known).alias("agent"))
+
+
+def stamped(rows: DataFrame, metadata: dict[str, str]) -> DataFrame:
+    """Rows with constant columns of a run."""
+    return rows.withColumns({k: F.lit(v) for k, v in metadata.items()})
+
+
+def coverage(rows: DataFrame, items: int) -> DataFrame:
+    """One row over runs (model, item_id): the least and largest share of items in percent that a run covers, and all values (3 digits) in order."""
+    per = rows.groupBy("model").agg(F.countDistinct("item_id").alias("n")).select(F.bround(F.col("n") * 100.0 / items, 3).alias("pct"))
+    # One row per run.
+    return per.agg(F.min("pct").alias("least"), F.max("pct").alias("most"), F.array_join(F.transform(F.array_sort(F.collect_set("pct")), lambda x: x.cast("string")), ",").alias("pcts"))
+
+
+def write_by_file(rows: DataFrame, path: str, file: str = "file", order: str = "position", value: str = "value") -> None:
+    """Writes lines back to a folder per source file, each in its own order; a file's lines are one task's, as they were one file."""
+    rows.repartition(file).sortWithinPartitions(file, order).select(file, value).write.partitionBy(file).text(path)
+
+
+def difficulty_order(difficulty: Column) -> Column:
+    return F.when(difficulty == "easy", 0).when(difficulty == "medium", 1).when(difficulty == "hard", 2).otherwise(3)

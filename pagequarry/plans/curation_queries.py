@@ -38,6 +38,13 @@ def curation_near_duplicate_documents(spark, sf_dir):
     return C.deduplicate(docs)
 
 
+def curation_run(spark, sf_dir):
+    """Pages with scores by their size: tiers, duplicates, repairs."""
+    size = F.length("html")
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"), (size % 101).alias("total"), F.when(size % 13 == 0, "failed").otherwise("completed").alias("eval_status"))
+    return C.curated(rows).groupBy("tier", "decision").agg(F.count("*").alias("n"), F.sum("total").alias("points"))
+
+
 LATEST = f"WITH {RESULTS_SQL}, latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY trial, item_id ORDER BY line_idx DESC) AS rn FROM results_raw) WHERE rn = 1), t AS (SELECT *, CASE WHEN total >= 80 THEN 'A' WHEN total >= 40 THEN 'B' ELSE 'C' END AS tier FROM latest WHERE eval_status = 'completed')"
 ORACLES = {
     "curation_tiers": f"{LATEST} SELECT line_idx, item_id, total, tier FROM t",
@@ -45,4 +52,4 @@ ORACLES = {
     "curation_sft_export": f"{LATEST} SELECT item_id AS query, line_idx AS source_line, total AS score FROM t WHERE tier = 'A'",
     "curation_exact_duplicates": "SELECT md5(regexp_replace(lower(html), '\\s+', ' ', 'g')) AS digest, min(page_id) AS first_id, count(*) AS n FROM pages GROUP BY 1",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "curation_near_duplicates", "curation_near_duplicate_documents"]}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "curation_near_duplicates", "curation_near_duplicate_documents", "curation_run"]}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.taxonomy import FAMILY_SQL, SOURCE_SQL
@@ -91,8 +92,6 @@ def dimension_changes(spark, sf_dir):
 
 
 def iteration_summaries(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     delta = F.col("total") - F.lag("total").over(W.partitionBy("item_id").orderBy("line_idx"))
     rows = results(spark, sf_dir).withColumn("delta", delta).where("delta is not null")
     return rows.select(I.iteration_summary(F.col("delta"), F.col("eval_status") != "failed").alias("s")).groupBy("s.what_improved", "s.what_remains").agg(F.count("*").alias("n"))
@@ -163,6 +162,55 @@ def settle_windows(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", I.settle_window(action, F.floor(F.col("value") * 10)).alias("settle_ms"))
 
 
+def selected_items(spark, sf_dir):
+    """The items that good results select; a selection of unknown items is an error."""
+    chosen = results(spark, sf_dir).where("total >= 90").select("item_id")
+    return I.selected(_items(spark, sf_dir), chosen, ["item_id"]).groupBy("category").agg(F.count("*").alias("n"))
+
+
+def only_items(spark, sf_dir):
+    return I.only(_items(spark, sf_dir), "5, 17,, 100, nobody", 3, "item_id").select("item_id", "prompt")
+
+
+def phase_gates(spark, sf_dir):
+    """Which phases the records of orders would go through."""
+    cases = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_quantity") > 45).alias("n"))
+    orders = table(spark, sf_dir, "orders").join(cases, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rendered = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    gates = I.phase_gates(F.coalesce(F.col("n") > 0, F.lit(False)), F.col("o_totalprice") > 1000, rendered, F.col("o_orderpriority") != "5-LOW")
+    return orders.select(gates.alias("g")).groupBy("g.tests", "g.render", "g.agent").agg(F.count("*").alias("n"))
+
+
+def results_stamped(spark, sf_dir):
+    rows = I.stamped(results(spark, sf_dir), {"dataset": "en", "runner": "r1"})
+    return rows.groupBy("dataset", "runner", "eval_status").agg(F.count("*").alias("n"))
+
+
+def run_coverage(spark, sf_dir):
+    return I.coverage(results(spark, sf_dir), table(spark, sf_dir, "customer").count())
+
+
+def items_by_file(spark, sf_dir):
+    """Parts written back as lines of a file per brand, and read again in their order."""
+    from ..sources import jsonl
+    from ..sources.staging import folder
+    from .text_queries import jsonl_name
+
+    path = f"{folder(spark)}/items-{jsonl_name()}"
+    line = F.to_json(F.struct(F.col("p_partkey").alias("n")))
+    I.write_by_file(table(spark, sf_dir, "part").select(F.regexp_replace("p_brand", "#", "").alias("file"), F.col("p_partkey").alias("position"), line.alias("value")), path)
+    rows = jsonl.lines(spark, f"{path}/*", "n long").withColumn("brand", F.regexp_extract("file", "file=([^/]+)/", 1))
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("brand").orderBy("n")) - 1)
+    return ranked.groupBy("brand").agg(F.count("*").alias("n"), F.sum("n").alias("total"), F.bool_and(F.col("rank") == F.col("line_idx")).alias("ordered"))
+
+
+def difficulty_table(spark, sf_dir):
+    """Averages by difficulty, easiest first."""
+    rows = results(spark, sf_dir).groupBy("difficulty").agg(F.count("*").alias("n"), F.bround(F.avg("total"), 1).alias("avg_score"))
+    # One row per difficulty.
+    return rows.withColumn("place", F.row_number().over(W.orderBy(I.difficulty_order(F.col("difficulty")))).cast("long"))
+
+
 ITEMS_SQL = """items AS (SELECT CAST(c_custkey AS VARCHAR) AS item_id, c_custkey AS k, c_name AS prompt, c_mktsegment AS response, CASE c_mktsegment WHEN 'MACHINERY' THEN 'game' WHEN 'BUILDING' THEN 'ui' WHEN 'AUTOMOBILE' THEN 'svg_art' WHEN 'HOUSEHOLD' THEN ' own ' ELSE '' END AS category0,
     'sub' || (c_nationkey % 3) AS sub_type, CASE WHEN c_acctbal > 0 THEN 'hard' END AS difficulty, 'en' AS language FROM customer),
   normal AS (SELECT * EXCLUDE (category0), CASE WHEN trim(category0) = '' THEN category0 ELSE """ + FAMILY_SQL.format(c="category0") + """ END AS category, nullif(""" + SOURCE_SQL.format(c="category0") + """, '') AS source_category FROM items)"""
@@ -208,6 +256,15 @@ ORACLES = {
     "viewer_page": f"WITH {VIEWER} SELECT uid, score, repair_delta FROM viewer WHERE has_repair AND score BETWEEN 20 AND 90 ORDER BY score DESC, uid LIMIT 40 OFFSET 40",
     "viewer_total": f"WITH {VIEWER} SELECT count(*) AS total FROM viewer WHERE has_refine AND score BETWEEN 20 AND 90",
     "viewer_search": f"WITH {VIEWER} SELECT query, dataset, count(*) AS n FROM viewer WHERE contains(uid, 'URGENT') OR contains(lower(query), 'urgent') GROUP BY 1, 2",
+    "selected_items": f"WITH {RESULTS_SQL}, {ITEMS_SQL} SELECT category0 AS category, count(*) AS n FROM items WHERE item_id IN (SELECT item_id FROM results_raw WHERE total >= 90) GROUP BY 1",
+    "only_items": f"WITH {ITEMS_SQL} SELECT item_id, prompt FROM items WHERE item_id IN ('5', '17', '100') ORDER BY item_id LIMIT 3",
+    "phase_gates": """WITH c AS (SELECT l_orderkey AS k, count(*) FILTER (l_quantity > 45) AS n FROM lineitem GROUP BY 1), o AS (SELECT coalesce(n > 0, false) AS cases, o_totalprice > 1000 AS page, o_orderstatus AS s, o_orderpriority <> '5-LOW' AS agent FROM orders LEFT JOIN c ON o_orderkey = k)
+      SELECT cases AND page AS tests, page AS render, agent AND page AND s <> 'O' AS agent, count(*) AS n FROM o GROUP BY 1, 2, 3""",
+    "results_stamped": f"WITH {RESULTS_SQL} SELECT 'en' AS dataset, 'r1' AS runner, eval_status, count(*) AS n FROM results_raw GROUP BY 3",
+    "run_coverage": f"""WITH {RESULTS_SQL}, p AS (SELECT round_even(count(DISTINCT item_id) * 100.0::DOUBLE / (SELECT count(*) FROM customer), 3) AS pct FROM results_raw GROUP BY model)
+      SELECT min(pct) AS least, max(pct) AS most, array_to_string(list_transform(list_sort(list(DISTINCT pct)), lambda x: CAST(x AS VARCHAR)), ',') AS pcts FROM p""",
+    "items_by_file": "SELECT replace(p_brand, '#', '') AS brand, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS total, true AS ordered FROM part GROUP BY 1",
+    "difficulty_table": f"WITH {RESULTS_SQL} SELECT difficulty, count(*) AS n, round_even(avg(total), 1) AS avg_score, CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS place FROM results_raw GROUP BY difficulty",
     "settle_windows": """WITH e AS (SELECT event_id, event_type AS a, CAST(floor(value * 10) AS BIGINT) AS t FROM events)
       SELECT event_id, CASE a WHEN 'click' THEN least(240, greatest(120, t // 10)) WHEN 'view' THEN least(160, greatest(70, t // 16)) WHEN 'signup' THEN least(80, greatest(40, t // 30)) ELSE least(120, greatest(50, t // 20)) END AS settle_ms FROM e""",
 }
