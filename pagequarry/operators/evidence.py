@@ -55,14 +55,22 @@ def outcome() -> Column:
 def keyframes(frames: DataFrame, most: int = MAX_FRAMES) -> DataFrame:
     """The most telling frames per record: first, last, the first of each kind of label, then the largest changes up to ``most``.
 
-    All frames of a record with ``most`` or fewer; more than ``most`` where the ones that must stay are more.
+    All frames of a record with ``most`` or fewer; more than ``most`` where the ones that must stay are more.  No record's frames are
+    gathered: those that must stay come from aggregates, and of the others the ``most`` largest changes can matter at most, which Spark
+    picks within partitions before it shuffles.
     """
-    record = W.partitionBy("record_id")
+    row = F.struct("seq", "label", "diff_from_prev")
     kind = F.substring_index("label", "_", 1)
-    marked = frames.withColumns({"n": F.count("*").over(record), "pos": F.row_number().over(record.orderBy("seq")), "of_kind": F.row_number().over(W.partitionBy("record_id", kind).orderBy("seq"))})
-    must = (F.col("pos") == 1) | (F.col("pos") == F.col("n")) | (F.col("of_kind") == 1)
-    ranked = marked.withColumn("must", must).withColumn("rank", F.row_number().over(record.orderBy(F.desc("must"), F.desc("diff_from_prev"), F.desc("pos"))))
-    return ranked.where((F.col("n") <= most) | F.col("must") | (F.col("rank") <= most)).select("record_id", "seq", "label", "diff_from_prev")
+    ends = frames.groupBy("record_id").agg(F.min_by(row, "seq").alias("a"), F.max_by(row, "seq").alias("b"))
+    ends = ends.select("record_id", F.explode(F.array("a", "b")).alias("r"))
+    kinds = frames.groupBy("record_id", kind.alias("kind")).agg(F.min_by(row, "seq").alias("r")).select("record_id", "r")
+    largest = W.partitionBy("record_id").orderBy(F.desc("diff_from_prev"), F.desc("seq"))
+    others = frames.withColumn("nth", F.row_number().over(largest)).where(F.col("nth") <= most).select("record_id", row.alias("r"))
+    marked = ends.unionByName(kinds).withColumn("must", F.lit(True)).unionByName(others.withColumn("must", F.lit(False)))
+    once = marked.groupBy("record_id", "r").agg(F.max("must").alias("must")).select("record_id", "r.*", "must")
+    order = W.partitionBy("record_id").orderBy(F.desc("must"), F.desc("diff_from_prev"), F.desc("seq"))
+    ranked = once.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("must") | (F.col("rank") <= most)).select("record_id", "seq", "label", "diff_from_prev")
 
 
 def fps_quality(frames: DataFrame, samples: int = 10) -> DataFrame:
