@@ -6,7 +6,7 @@ indexed under its 2 x 32 one-wildcard variants (segment, deleted position, the 3
 equal variants together, and the pairs in a bucket are verified by the Hamming distance of the whole fingerprints.
 
 Exact copies collapse to one fingerprint first.  A bucket reports a spanning forest of its links, never all pairs; a bucket of
-over ``BUCKET`` fingerprints is cut into blocks whose pairs are spread over tasks, so that no task holds it whole.
+over ``BUCKET`` fingerprints is cut into blocks (of ``BLOCK``) whose pairs are spread over tasks, so that no task holds it whole.
 
 Null or word-less text: fingerprint zero, linked like any other.  Fewer words than the shingle: one shingle of all.
 Null ids are rows too and never become a component's name.  Repeated rows are kept.  An empty table gives an empty result.
@@ -26,8 +26,9 @@ from .components import components
 
 SEED, MAX_BITS = 42, 3
 SEGMENTS, SEGMENT_BITS = 2, 32
-#: Fingerprints of a bucket that are compared at once.
-BUCKET = 512
+#: Fingerprints of a bucket that are compared at once, and of a block of a larger bucket: each fingerprint is sent to as many tasks as
+#: its bucket has blocks.
+BUCKET, BLOCK = 512, 8192
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -188,7 +189,7 @@ def links(distinct: DataFrame) -> DataFrame:
     large = found.where("key is not null").select("key", F.col("a").alias("fp"))
     if large.isEmpty():
         return edges
-    counted = large.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"))
+    counted = large.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocked = large.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     paired = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")

@@ -54,10 +54,11 @@ def test_links_of_planted_fingerprints(spark):
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
     table = spark.createDataFrame([(f,) for f in signed], "fp long")
     old, simhash.BUCKET = simhash.BUCKET, 512
+    blocks, simhash.BLOCK = simhash.BLOCK, 300
     try:
         found = {r.node: r.component for r in components.components(simhash.links(table)).collect()}
     finally:
-        simhash.BUCKET = old
+        simhash.BUCKET, simhash.BLOCK = old, blocks
     array = np.array(signed, np.int64).view(np.uint64)
     near = np.bitwise_count(array[:, None] ^ array[None, :]) <= 3
     label = np.array(signed)
@@ -70,6 +71,7 @@ def test_links_of_planted_fingerprints(spark):
 
 
 def test_large_buckets_go_through_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 512)
     rng = random.Random(7)
     low = rng.getrandbits(32)
     fps = sorted({(rng.getrandbits(3) << 40) | (rng.getrandbits(12) << 50) | low for _ in range(1500)})
