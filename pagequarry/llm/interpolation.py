@@ -271,15 +271,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = fold(F.col(id_col), modulus)
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.when(own == held_out, UNSEEN).when(own == deleted, DELETED).otherwise(COUNTED).alias("part"), F.col(text_col).cast("string").alias("text"))
     blocks = materialize(kept.mapInArrow(_blocks, BLOCKS), "lm-blocks")
-    tokens = blocks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("n")).first().n // 4
+    size = blocks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("n"), F.count("*").alias("blocks")).first()
+    tokens, tasks = size.n // 4, max(partitions(spark), size.blocks)
     buckets = power_of_two(max(4 * partitions(spark), -(-tokens // BUCKET_KEYS)))
     sent = blocks.mapInArrow(_send(buckets), KEYS)
-    answers = materialize(sent.groupBy("level", "bucket").applyInArrow(_sum, ANSWERS), "lm-counts")
+    # Tasks of a few buckets or about one block each, so that no task's input grows with the corpus.
+    dealt = sent.repartition(max(partitions(spark), buckets // 2), "level", "bucket")
+    answers = materialize(dealt.groupBy("level", "bucket").applyInArrow(_sum, ANSWERS), "lm-counts")
     totals = answers.where("level = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_counted", "n_deleted", "v_counted", "v_all"))).first()
 
     def meet(part: bool, run, schema: str) -> DataFrame:
         left, right = (x.where(F.col("part") == DELETED) if part else x for x in (blocks, answers.select("block", "part", "level", "bucket", "counted", "deleted")))
-        return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
+        left, right = (x.repartition(tasks, "block").groupBy("block") for x in (left, right))
+        return left.cogroup(right).applyInArrow(run, schema)
 
     cells = meet(True, _cells(totals.n_counted, totals.v_counted), "class long, q2 long, q1 long, n double, x2 double, x1 double")
     rows = cells.groupBy("class", "q2", "q1").agg(*(F.sum(c).alias(c) for c in ("n", "x2", "x1"))).orderBy("class", "q2", "q1").collect()
