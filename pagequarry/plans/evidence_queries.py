@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import image as I  # noqa: E741
 from ..operators import evidence as E
+from ..sources.staging import cut
 from ..sources.tables import FRAMES_SQL, frames, table
 
 
@@ -41,11 +42,15 @@ def frame_pairs(spark, sf_dir):
 
 
 def frame_ssim(spark, sf_dir):
-    """Structural difference of each page's raster to the page before it on the same host."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)/", 1).alias("host"), I.raster("html").alias("frame"))
-    order = W.partitionBy("host").orderBy("page_id")
-    both = rows.withColumn("before", F.lag("frame").over(order))
-    return both.select("page_id", F.bround(I.frame_difference("before", "frame"), 6).alias("diff"), I.is_blank("frame").alias("blank"), F.coalesce(F.md5("before") != F.md5("frame"), F.lit(True)).alias("changed"))
+    """Structural difference of each page's raster to the page before it on the same host; only ids are sorted, images are joined."""
+    pages = table(spark, sf_dir, "pages")
+    images = cut(pages.select("page_id", I.raster("html").alias("frame")), "frames")
+    order = W.partitionBy(F.regexp_extract("url", "//([^/]+)/", 1)).orderBy("page_id")
+    ids = pages.select("page_id", F.lag("page_id").over(order).alias("last"))
+    before = images.select(F.col("page_id").alias("last"), F.col("frame").alias("before"))
+    both = ids.join(images, "page_id").join(before, "last", "left")
+    changed = F.coalesce(F.md5("before") != F.md5("frame"), F.lit(True))
+    return both.select("page_id", F.bround(I.frame_difference("before", "frame"), 6).alias("diff"), I.is_blank("frame").alias("blank"), changed.alias("changed"))
 
 
 ANY = lambda test, limit: f"coalesce(bool_or(diff_from_prev > {limit}) FILTER ({test}), false)"
