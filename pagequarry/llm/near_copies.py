@@ -34,12 +34,13 @@ def word_signatures(docs: DataFrame, id_col: str, text_col: str = "text") -> Dat
             kept = [i for i, w in enumerate(words) if w]
             padded = [words[i] + [b" "] * (SHINGLE - len(words[i])) for i in kept]
             flat, n = shingle_hashes(padded, hashes)
-            signed = least_values((flat >> np.uint64(32)).astype(np.uint32), n).astype(np.int64).ravel() if kept else np.empty(0, np.int64)
+            # Minima as they are, 32 bits each; only their equality counts.
+            signed = least_values((flat >> np.uint64(32)).astype(np.uint32), n).view(np.int32).ravel() if kept else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(np.arange(0, len(signed) + 1, PERMUTATIONS, dtype=np.int32), pa.array(signed))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), lists], names=["id", "signature"])
 
     kept = session(docs.sparkSession) and docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "id long, signature array<long>")
+    return kept.mapInArrow(run, "id long, signature array<int>")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
