@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import cut
 from ..sources.tables import spread
+from .graph import components
 
 PERMUTATIONS, BANDS, SHINGLE, SIMILARITY = 128, 32, 5, 0.8
 
@@ -165,20 +166,9 @@ def similar_pairs(signed: DataFrame, bands: int = BANDS, least: float = SIMILARI
     return own.unionByName(found).distinct()
 
 
-def clusters(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, cluster): the least node reachable over ``links`` (a, b), by label propagation with pointer jumping."""
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
-    both = cut(both, "links")
-    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
-    for _ in range(rounds):
-        seen = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        lower = labels.join(seen, "u").select("u", F.least("label", "near").alias("label"))
-        jump = lower.select(F.col("u").alias("label"), F.col("label").alias("further"))
-        new = cut(lower.join(jump, "label", "left").select("u", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        if new.join(labels.select("u", F.col("label").alias("old")), "u").where("label <> old").isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("label").alias("cluster"))
-        labels = new
-    raise RuntimeError("clusters did not settle")
+def clusters(links: DataFrame) -> DataFrame:
+    """(node, cluster): the least node reachable over ``links`` (a, b)."""
+    return components(links).select("node", F.col("component").alias("cluster"))
 
 
 def deduplicate(rows: DataFrame, **options) -> DataFrame:
