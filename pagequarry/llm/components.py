@@ -1,46 +1,5 @@
-"""Connected components of an edge table by alternating stars: every step is a pair of joins, nothing is collected."""
+"""Connected components, as the library finds them."""
 
-from __future__ import annotations
+from ..operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialize
-
-MAX_ROUNDS = 60
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: each node's larger neighbours are tied to the least node it sees; small star: the smaller ones and itself."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if large:
-        both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    else:
-        both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    tied = both.join(least, both["u"] == least["k"])
-    if large:
-        out = tied.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = tied.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
-    return out.where("a <> b").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): component is the least node reachable, for each node of ``edges`` (a, b: long, not null).
-
-    Self-loops and repeated edges don't matter; an empty edge table gives an empty result.  Raises RuntimeError when
-    ``MAX_ROUNDS`` don't suffice (rounds grow with the logarithm of the longest path).
-    """
-    now = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    last = None
-    for _ in range(MAX_ROUNDS):
-        now = materialize(_star(_star(now, large=True), large=False), "edges")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (state.n, state.h) == last:
-            break
-        last = (state.n, state.h)
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
+__all__ = ["components"]

@@ -64,7 +64,7 @@ class _Numbers(dict):
         return n
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
     from pyspark import TaskContext
 
@@ -165,8 +165,9 @@ def _sum(table: pa.Table) -> pa.Table:
     sizes = np.array([len(k) for k in keys])
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     weight, parts = np.concatenate(counts).astype(np.float64), np.repeat(part, sizes)
-    counted = np.bincount(inverse, weight * (parts == COUNTED), len(distinct)).astype(np.uint32)
-    deleted = np.bincount(inverse, weight * (parts == DELETED), len(distinct)).astype(np.uint32)
+    # Sums over the corpus take 64 bits; the planes of their high bytes are zeros, which compress away.
+    counted = np.bincount(inverse, weight * (parts == COUNTED), len(distinct)).astype(np.uint64)
+    deleted = np.bincount(inverse, weight * (parts == DELETED), len(distinct)).astype(np.uint64)
     ends = np.cumsum(sizes)
     places = [inverse[e - n : e] for e, n in zip(ends, sizes, strict=True)]
     totals = [int(counted.sum()), int(deleted.sum()), int((counted > 0).sum()), int((counted + deleted > 0).sum())]
@@ -182,7 +183,7 @@ def _answers(answers: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     out = []
     for level in (1, 2):
         rows = sorted((r for r in answers.select(["level", "bucket", "counted", "deleted"]).to_pylist() if r["level"] == level), key=lambda r: r["bucket"])
-        out.append([np.concatenate([unpacked(r[c], np.uint32) for r in rows] or [np.empty(0, np.uint32)]).astype(np.float64) for c in ("counted", "deleted")])
+        out.append([np.concatenate([unpacked(r[c], np.uint64) for r in rows] or [np.empty(0, np.uint64)]).astype(np.float64) for c in ("counted", "deleted")])
     return out[0], out[1]
 
 
@@ -270,7 +271,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = session(docs.sparkSession)
     own = fold(F.col(id_col), modulus)
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.when(own == held_out, UNSEEN).when(own == deleted, DELETED).otherwise(COUNTED).alias("part"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialize(kept.mapInArrow(_blocks, BLOCKS), "lm-blocks")
+    blocks = materialize(kept.mapInArrow(word_blocks, BLOCKS), "lm-blocks")
     size = blocks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("n"), F.count("*").alias("blocks")).first()
     tokens, tasks = size.n // 4, max(partitions(spark), size.blocks)
     buckets = power_of_two(max(4 * partitions(spark), -(-tokens // BUCKET_KEYS)))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, interpolation, language, licenses, media, mixing, quality, simhash, token_counts, token_files
+from . import decontaminate, interpolation, jaccard_groups, language, licenses, media, mixing, quality, ranked_search, simhash, spelling, token_counts, token_files
 from .common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -53,7 +53,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_media_columns, op3_language, op4_token_counts, op5_licenses, op6_simhash, op7_token_files, op8_source_mix, op9_quality, op10_decontaminate)}
+def op11_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.similar_sets(read(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_scores, op2_media_columns, op3_language, op4_token_counts, op5_licenses, op6_simhash, op7_token_files, op8_source_mix, op9_quality, op10_decontaminate,
+              op11_jaccard_groups, op12_ranked_search, op13_spelling)
+}
 WORDS_SQL = r"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 OP8_SQL = """
@@ -139,4 +155,35 @@ SELECT files.doc_id, path, best.license AS own_license, cosine, coalesce(best.li
 FROM files LEFT JOIN best ON files.doc_id = best.doc_id LEFT JOIN near ON files.doc_id = near.doc_id
 """
 
-ORACLES: dict[str, str] = {"op5_licenses": OP5_SQL, "op8_source_mix": OP8_SQL, "op10_decontaminate": OP10_SQL}
+OP11_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {WORDS_SQL.format(text="coalesce(text, '')")} AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM words WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_ >= 80 * (x.n + y.n - both_)),
+reach(id, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, least FROM reach JOIN links ON links.a = reach.id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(least) AS component_id FROM reach GROUP BY id) r ON r.id = d.doc_id
+"""
+
+TERMS_SQL = r"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')"
+
+OP12_SQL = f"""
+WITH found AS (SELECT doc_id, unnest({TERMS_SQL.format(text="text")}) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*)::BIGINT AS n FROM found GROUP BY doc_id),
+size AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM found GROUP BY 1, 2),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY term, docs),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({TERMS_SQL.format(text="text")}) AS term FROM benchmark) GROUP BY 1, 2),
+scores AS (
+    SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), size GROUP BY 1, 2
+),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op11_jaccard_groups": OP11_SQL, "op12_ranked_search": OP12_SQL, "op5_licenses": OP5_SQL, "op8_source_mix": OP8_SQL, "op10_decontaminate": OP10_SQL}
