@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import components, decontaminate, mixing, near_copies, quality, simhash, token_files
+from pagequarry.llm import components, decontaminate, jaccard_groups, mixing, quality, simhash, token_files
 from pagequarry.llm.common import ROW, materialize, numbered, read, session, shared_dir, without_ids
 
 
@@ -31,8 +31,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     rows = numbered(docs)
     groups = simhash.near_duplicates(rows, shingle=3, id_col=ROW).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    links = groups.where("a <> b").unionByName(near_copies.near_copies(rows, ROW))
-    named = components.components(links).select(F.col("node").alias(ROW), "component")
+    similar = jaccard_groups.similar_sets(rows, id_col=ROW).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    named = components.components(groups.unionByName(similar).where("a <> b")).select(F.col("node").alias(ROW), "component")
     named = materialize(named.join(rows.select(ROW, "doc_id"), ROW), "near-duplicates")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first"))
     gone = materialize(named.select(ROW).join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti"), "near-duplicate-rows")
