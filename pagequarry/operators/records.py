@@ -133,12 +133,6 @@ def chunk(position: Column, size: int) -> Column:
     return F.floor(position / size).cast("long")
 
 
-def with_alternatives(text: Column, glossary: dict[str, str]) -> Column:
-    """Translations of the glossary's terms that occur as words in a text, in the glossary's order."""
-    found = F.array(*(F.when(F.lower(text).rlike(f"(?<![a-z0-9]){term}(?![a-z0-9])"), F.lit(other)) for term, other in glossary.items()))
-    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
-
-
 def intervals(rows: DataFrame, keys: list[str], draws: int = 1000, seed: int = 42, least: int = 10) -> DataFrame:
     """95 % bootstrap intervals of the mean of ``total`` per group of at least ``least`` rows.
 

@@ -126,12 +126,6 @@ def record_chunks(spark, sf_dir):
     return rows.groupBy(R.chunk(F.col("row_idx"), 64).alias("chunk")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.sum("o_custkey").alias("customers"))
 
 
-def glossary_alternatives(spark, sf_dir):
-    glossary = {"the": "le", "and": "et", "for": "pour", "with": "avec"}
-    rows = table(spark, sf_dir, "benchmark").select("item_id", R.with_alternatives(F.col("text"), glossary).alias("a"))
-    return rows.select("item_id", F.array_join("a", ",").alias("alternatives"))
-
-
 def guarded_totals(spark, sf_dir):
     """Totals after a repair (the next result of an item) less the penalty for what fell."""
     from pyspark.sql import Window as W
@@ -153,7 +147,6 @@ def score_intervals(spark, sf_dir):
 LATEST = f"WITH {RESULTS_SQL}, latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY trial, item_id ORDER BY line_idx DESC) AS rn FROM results_raw) WHERE rn = 1)"
 ERRORS = "[" + ", ".join(f"'{m}'" for m in MESSAGES) + "]"
 WHOLE = "(regexp_matches(response, '(?is)<html[^>]*>.*?</html>') OR regexp_matches(response, '(?is)```html\\s*\\n.*?<html.*?```') OR contains(response, '```svg'))"
-WORD = lambda t, o: f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN '{o}' END"
 DIMS = ("functionality", "interaction", "rendering", "visual_design", "code_quality")
 ORACLES = {
     "parsed_records": """WITH g AS (SELECT conv_id AS k, arg_min(text, turn) FILTER (role = 'user') AS q, arg_min(text, turn) FILTER (role = 'assistant') AS r FROM conversations GROUP BY conv_id)
@@ -191,6 +184,5 @@ ORACLES = {
       f AS (SELECT line_idx, {" + ".join(DIMS)} AS new, {" + ".join(f"old_{d}" for d in DIMS)} AS old, {", ".join(f"CASE WHEN old_{d} - {d} > 2 THEN old_{d} - {d} ELSE 0 END AS f_{d}" for d in DIMS)} FROM p WHERE old_rendering IS NOT NULL),
       g AS (SELECT *, CASE WHEN old >= 85 THEN 2 * f_functionality + 2 * f_interaction + f_rendering + f_visual_design + f_code_quality ELSE 3 * f_functionality + 3 * f_interaction + 2 * f_rendering + 2 * f_visual_design END AS penalty FROM f)
       SELECT line_idx, CAST(new - CASE WHEN new - old >= 3 THEN least(penalty, floor((new - old) / 2)) ELSE penalty END AS BIGINT) AS guarded FROM g""",
-    "glossary_alternatives": f"SELECT item_id, array_to_string(list_filter([{WORD('the', 'le')}, {WORD('and', 'et')}, {WORD('for', 'pour')}, {WORD('with', 'avec')}], lambda x: x IS NOT NULL), ',') AS alternatives FROM benchmark",
 }
 QUERIES = {name: globals()[name] for name in [*ORACLES, "score_intervals"]}
