@@ -6,7 +6,8 @@ Documents are sets of word shingles; two link when 100 * |A and B| >= ``PERCENT`
 2. *frequencies*: each block sends its distinct shingles, sorted and cut by hash range, to buckets, which answer with the octave of
    each shingle's document frequency.  A document links only if ``PERCENT`` of its shingles occur elsewhere too; others stop here;
 3. *sets*: equal sets are one node.  Nodes that share two minima of their shingles' hashes form a group of at most ``PART`` sets,
-   which is linked inside one task; first sets of the parts of a larger group are linked in turn.  Then groups hold one label only;
+   which is linked inside one task; first sets of the parts of a larger group are linked in turn, then some sets of each of what is
+   linked so far (a label), grouped by other minima.  Then groups are cut so that each holds one label only;
 4. *matrix*: a group's row holds its token union; the matrix by token holds the groups that have the token among the rarest tokens of
    a member, of which linked sets share one.  Queries meet groups of other labels by equality of such tokens, bounded by sizes and by
    what follows the token in both.  No pair within a label is looked at: at each token the commonest label's sets aren't queries;
@@ -36,13 +37,18 @@ from .interpolation import BLOCKS, BUCKET_KEYS, Block, packed, unpacked, word_bl
 SHINGLE, PERCENT = 5, 80
 #: Sets of a group at most (on average, for large groups), and queries of one group that a task gets.
 PART, QUERIES = 256, 2048
+#: Nodes that stand for a label in later rounds, about: what it is linked to there needn't be sought by the matrix.
+SPEAKERS = 64
 #: Bits of a shingle's hash that buckets count by; equal leading bits make two shingles look frequent, which only weakens the filter.
 KEY_SHIFT = np.uint64(16)
+#: Multipliers of the minima that group sets: two for the first round, one each for the others.
+FACTORS = tuple(np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25))
 GOLDEN, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 KEYS = "bucket int, block long, keys binary, counts binary"
 ANSWERS = "bucket int, block long, octaves binary"
-SETS = "id long, n long, d1 long, d2 long, key long, tokens binary, prefix array<struct<token: long, rest: long>>"
+SETS = "id long, n long, d1 long, d2 long, key1 long, key2 long, key3 long, skip int, tokens array<long>"
+ROUNDS = ("key1", "key2", "key3")
 EDGES = "a long, b long"
 
 
@@ -109,7 +115,7 @@ def _octaves(table: pa.Table) -> pa.Table:
 
 def _sets(shingle: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in SETS.split(", ")]
         answers = sorted(right.select(["bucket", "octaves"]).to_pylist(), key=lambda r: r["bucket"])
         for row in left.to_pylist():
             block = Block(row)
@@ -119,29 +125,30 @@ def _sets(shingle: int):
             ends, seen = np.cumsum(sizes), set()
             common = np.r_[0, np.cumsum(octave > 0)]
             for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
-                cells: list = [block.ids[i], n, *[None] * 5]
+                cells: list = [block.ids[i], n, *[None] * (len(out) - 2)]
                 if n and 100 * (common[end] - common[end - n]) >= PERCENT * n:
                     own, rare = keys[end - n : end], octave[end - n : end]
                     digest = tuple(int(stirred(own + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64)) for s in (1, 2))
                     cells[2:4] = digest
                     if digest not in seen:
                         seen.add(digest)
-                        minima = stirred(np.array([(own * f).min() for f in (GOLDEN, MIX)], np.uint64))
+                        minima = stirred(np.array([(own * f).min() for f in FACTORS], np.uint64))
+                        groups = np.r_[minima[:1] * GOLDEN + minima[1:2], minima[2:]].view(np.int64).tolist()
                         order = np.argsort(rare, kind="stable")
-                        own, rare = own[order], rare[order]
-                        at = np.flatnonzero(rare[: n - (-(-PERCENT * n // 100)) + 1] > 0)
-                        signed = own.view(np.int64)
-                        cells[4:] = int((minima[:1] * GOLDEN + minima[1:]).astype(np.int64)[0]), own.tobytes(), [{"token": int(signed[k]), "rest": n - int(k)} for k in at]
+                        cells[4:] = *groups, int((rare == 0).sum()), own[order].view(np.int64)
                 for c, x in zip(out, cells, strict=True):
                     c.append(x)
-        kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("rest", pa.int64())]))]
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["id", "n", "d1", "d2", "key", "tokens", "prefix"])
+        kinds = [pa.int64()] * 7 + [pa.int32(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in SETS.split(", ")])
 
     return run
 
 
 def _tokens(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+    column = table.column("tokens").combine_chunks()
+    cuts = column.offsets.to_numpy()
+    flat = column.values.to_numpy().view(np.uint64)
+    return [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 class Members:
@@ -214,7 +221,7 @@ def _open(groups: pa.Table, queries: pa.Table) -> pa.Table:
 
 def document_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: id, n (size of the set), and for those that may link the set's digest (d1, d2); of equal sets of a block
-    the first has the group key, the tokens (rarest first) and the prefix."""
+    the first has the group keys, the tokens (rarest first) and how many of them occur nowhere else."""
     spark = session(docs.sparkSession)
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0).alias("part"), F.col(text_col).cast("string").alias("text"))
     blocks = materialize(kept.mapInArrow(word_blocks, BLOCKS), "gram-blocks")
@@ -227,26 +234,25 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id
     return materialize(left.cogroup(right).applyInArrow(_sets(shingle), SETS), "gram-sets")
 
 
-def _parts(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with ``parts`` of its group key, and its own ``part``."""
-    counted = nodes.groupBy("key").agg(F.count("*").alias("members"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    return nodes.join(counted, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def _parts(nodes: DataFrame, key: str) -> DataFrame:
+    """(node, key, part, parts) of the nodes that share their group key with others."""
+    counted = nodes.groupBy(key).agg(F.count("*").alias("members")).where("members > 1").select(F.col(key).alias("shared"), F.ceil(F.col("members") / PART).cast("int").alias("parts"))
+    shared = nodes.select("node", key).join(counted, nodes[key] == counted["shared"])
+    return shared.select("node", F.col("shared").alias("key"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "parts")
 
 
-def _within_groups(grouped: DataFrame) -> DataFrame:
-    """Links inside parts of groups, then between first nodes of the parts, until there is one part."""
-    now, found = grouped.where("members > 1").select("key", "part", "parts", "node", "tokens"), []
+def _within_groups(nodes: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Links of ``chosen`` nodes inside parts of their groups, then between first nodes of the parts, until there is one part."""
+    out = None
     while True:
-        found.append(materialize(now.groupBy("key", "part").applyInArrow(_forest, EDGES), "group-links"))
+        now = materialize(_parts(chosen, key), "group-parts")
+        held = nodes.select("node", "tokens").join(now, "node")
+        found = materialize(held.groupBy("key", "part").applyInArrow(_forest, EDGES), "group-links")
+        out = found if out is None else out.unionByName(found)
         first = now.where("parts > 1").groupBy("key", "part").agg(F.min("node").alias("node"))
-        first = materialize(first.select("key", "node").join(grouped.select("node", "tokens"), "node"), "group-firsts")
-        if first.isEmpty():
-            break
-        now = _parts(first).select("key", "part", "parts", "node", "tokens")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        chosen = materialize(first.select("node", F.col("key").alias(key)), "group-firsts")
+        if chosen.isEmpty():
+            return out
 
 
 def _candidates(entries: DataFrame) -> DataFrame:
@@ -261,16 +267,20 @@ def _candidates(entries: DataFrame) -> DataFrame:
     return queries.join(groups, "token").where((F.col("label") != F.col("other")) & possible).select("node", "gid").distinct()
 
 
-def _across_groups(labelled: DataFrame) -> DataFrame:
+def _across_groups(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
     """Links between labels, by the matrix: every link between sets of different labels makes one."""
-    entries = labelled.select("node", "label", "gid", "n", F.explode("prefix").alias("p")).select("node", "label", "gid", "n", "p.token", "p.rest")
+    begin, size = F.col("skip") + 1, F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("skip")
+    prefix = nodes.select("node", "n", "skip", F.posexplode(F.slice("tokens", begin, F.greatest(size, F.lit(0)).cast("int"))).alias("at", "token"))
+    entries = prefix.select("node", "n", "token", (F.col("n") - F.col("skip") - F.col("at")).alias("rest")).join(labelled, "node")
     found = materialize(_candidates(entries), "group-candidates")
     load = found.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
     salted = lambda groups: groups.join(load, "gid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    asked = found.join(load, "gid").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).join(labelled.select("node", "label", "tokens"), "node").select("gid", "salt", "label", "tokens")
-    members = labelled.select("gid", "label", "n", "tokens").join(load.select("gid"), "gid", "left_semi")
+    sets = nodes.select("node", "n", "tokens")
+    asked = found.join(load, "gid").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).join(labelled.select("node", "label"), "node")
+    asked = asked.join(sets, "node").select("gid", "salt", "label", "tokens")
+    members = labelled.join(load.select("gid"), "gid", "left_semi").join(sets, "node")
     unions = members.groupBy("gid").applyInArrow(_union, "gid long, least long, union binary")
-    kept = salted(unions).groupBy("gid", "salt").cogroup(asked.groupBy("gid", "salt")).applyInArrow(_bound, "gid long, salt int, label long, tokens binary")
+    kept = salted(unions).groupBy("gid", "salt").cogroup(asked.groupBy("gid", "salt")).applyInArrow(_bound, "gid long, salt int, label long, tokens array<long>")
     kept = materialize(kept, "group-queries")
     opened = salted(members.join(kept.select("gid").distinct(), "gid", "left_semi"))
     return opened.groupBy("gid", "salt").cogroup(kept.groupBy("gid", "salt")).applyInArrow(_open, EDGES)
@@ -280,14 +290,25 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     """(doc_id, n_shingles, component_id): the least doc_id that is reachable over links; one row per row of ``docs``."""
     sets = document_sets(docs, shingle, id_col, text_col)
     digest = [F.col("d1"), F.col("d2")]
-    some = lambda c: F.any_value(c, ignoreNulls=True).alias(c)
-    equal = sets.where("d1 is not null").groupBy(*digest).agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("key").alias("key"), some("tokens"), some("prefix"))
+    of_set = [F.max(c).alias(c) for c in ("n", *ROUNDS, "skip")]
+    equal = sets.where("d1 is not null").groupBy(*digest).agg(F.min("id").alias("first"), *of_set, F.any_value("tokens", ignoreNulls=True).alias("tokens"))
     nodes = materialize(equal.withColumn("node", F.monotonically_increasing_id()), "set-nodes")
-    grouped = materialize(_parts(nodes.select("node", "n", "key", "tokens", "prefix")), "set-groups")
-    own = components(_within_groups(grouped)).select("node", F.col("component").alias("label"))
-    labelled = grouped.join(own, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("gid", F.xxhash64("key", "part", "label"))
-    labelled = materialize(labelled.select("node", "label", "gid", "n", "tokens", "prefix"), "set-labels")
-    joined = components(_across_groups(labelled)).select(F.col("node").alias("label"), "component")
+    edges, labelled, chosen = None, None, nodes
+    for key in ROUNDS:
+        # All nodes by the first key, then by others some of each label.
+        found = _within_groups(nodes, chosen.select("node", key), key)
+        edges = found if edges is None else edges.unionByName(found)
+        label = components(edges).select("node", F.col("component").alias("label"))
+        labelled = nodes.select("node", *ROUNDS).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        size = labelled.groupBy("label").agg(F.count("*").alias("size"))
+        labelled = materialize(labelled.join(size, "label"), "set-labels")
+        chosen = labelled.where((F.col("node") == F.col("label")) | (F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SPEAKERS)) == 0))
+    # Groups of one label each, of ``PART`` nodes on average; nodes of one key stay together unless they are more.
+    lumps = labelled.groupBy("label", "key1").agg(F.ceil(F.count("*") / PART).cast("int").alias("lumps")).where("lumps > 1")
+    lump = F.pmod(F.xxhash64("node"), F.coalesce("lumps", F.lit(1)))
+    gid = F.xxhash64("label", F.pmod(F.xxhash64("key1", lump), F.ceil(F.col("size") / PART)))
+    labelled = materialize(labelled.join(lumps, ["label", "key1"], "left").select("node", "label", gid.alias("gid")), "set-groups")
+    joined = components(_across_groups(nodes, labelled)).select(F.col("node").alias("label"), "component")
     named = labelled.select("node", "label").join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
     named = named.join(nodes.select("node", "d1", "d2", "first"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
