@@ -5,10 +5,10 @@ A text becomes a vector of letter n-grams (1 to 3 letters, words bounded by blan
 centroids found by spherical k-means on its training vectors; a text takes the language of the centroid with the
 largest cosine.  A text farther from its centroid than nearly all training texts are is marked ``rejected``.
 
-The classifier is fitted on a bounded sample: at most about ``SAMPLE`` labelled texts per language, drawn by a hash of the id.
-Every text, whole, is scored.
+The classifier is fitted on a bounded sample: at most about ``SAMPLE`` labelled texts per language, ``SAMPLE_TOTAL`` in all, of the ``LABELS`` most frequent
+languages, drawn row by row.  Every text, whole, is scored.
 
-Null text or text without letters: ``und``, score 0, rejected.  Repeated rows stay rows, and extra columns are ignored.  Without training rows every text is ``und``.  Ties between centroids
+Null text or text without letters: ``und``, score 0, rejected.  Repeated rows stay rows, and extra columns are ignored.  Without training rows every text is ``und``; an empty table gives an empty result.  Ties between centroids
 go to the language first in alphabetical order.
 """
 
@@ -27,8 +27,8 @@ from .common import fold, session
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 SAMPLE, CLUSTERS, ROUNDS = 1500, 4, 15
-#: Texts of all languages together that the classifier is fitted on, about at most; labels that are broadcast at most.
-SAMPLE_TOTAL, BROADCAST_LABELS = 12_000, 10_000
+#: Texts of all languages together that the classifier is fitted on, about at most; labels that are learned at most, the most frequent.
+SAMPLE_TOTAL, LABELS = 12_000, 2_000
 #: Share of training texts that may be farther from their centroid than the limit of rejection.
 REJECT = 0.002
 UNKNOWN = "und"
@@ -90,14 +90,19 @@ def centroids(rows: np.ndarray, clusters: int = CLUSTERS, rounds: int = ROUNDS)
     return centres
 
 
-def sample(docs: DataFrame, label: str, bound: int, key: str = "id", total: int | None = None) -> DataFrame:
-    """About ``bound`` rows at most of each label and ``total`` of all, chosen by a hash of ``key``; all rows of a label that has fewer."""
+def sample(docs: DataFrame, label: str, bound: int, total: int | None = None) -> DataFrame:
+    """About ``bound`` rows at most of each label and ``total`` of all, rows drawn one by one; all rows of a label that has fewer.
+
+    Only the ``LABELS`` most frequent labels are drawn from (of equally frequent ones the first in order), so that the bounds hold however
+    many labels a dirty column has.  Rows with equal or null ids, and copies, are drawn apart.
+    """
     sizes = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
-    n = sizes.count()
-    each = min(bound, max(1, total // max(1, n))) if total else bound
-    sizes = F.broadcast(sizes) if n <= BROADCAST_LABELS else sizes
-    rank = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return docs.join(sizes, docs[label] == sizes["__label"]).where(rank * F.col("__n") < each).drop("__label", "__n")
+    sizes = sizes.orderBy(F.desc("__n"), "__label").limit(LABELS)
+    each = min(bound, max(1, total // max(1, sizes.count()))) if total else bound
+    # A row's place in its table tells it from rows that are equal in all columns.
+    rank = F.pmod(F.xxhash64(F.lit("sample"), F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    ranked = docs.withColumn("__rank", rank)
+    return ranked.join(F.broadcast(sizes), ranked[label] == sizes["__label"]).where(F.col("__rank") * F.col("__n") < each).drop("__label", "__n", "__rank")
 
 
 class Model:

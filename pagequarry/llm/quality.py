@@ -175,7 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
     chosen = materialize(chosen, "quality-sample")
     small = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     joined = docs.join(F.broadcast(chosen) if small else chosen, "id").select("id", "quality", "text")
-    rows = with_statistics(joined, ["id", "quality"]).orderBy("id", *COLUMNS).collect()
+    # An id of many documents brings as many rows; they are drawn from too.
+    counted = materialize(with_statistics(joined, ["id", "quality"]), "quality-rows")
+    rows = sample(counted, "quality", 2 * bound).orderBy("id", *COLUMNS).collect()
     x = np.array([[r[c] for c in COLUMNS] for r in rows]).reshape(len(rows), len(STATISTICS))
     return fit_rules(x, np.array([float(r.quality) for r in rows]))
 

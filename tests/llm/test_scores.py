@@ -136,6 +136,28 @@ def test_samples_are_bounded_over_all_labels(spark):
     assert language.sample(docs, "lang", 10_000).count() == 20_000
 
 
+def test_samples_are_drawn_by_rows(spark):
+    """Null ids, one id, and one text: rows are drawn one by one."""
+    for same in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        docs = spark.range(30_000).select(same.alias("id"), F.lit("one text").alias("text"), F.when(F.col("id") % 10 < 8, "en").otherwise("fr").alias("lang"))
+        drawn = {r.lang: r["count"] for r in language.sample(docs, "lang", 1500).groupBy("lang").count().collect()}
+        assert set(drawn) == {"en", "fr"} and all(1300 < n < 1700 for n in drawn.values())
+
+
+def test_dirty_labels_keep_the_frequent_languages(spark, monkeypatch):
+    docs = spark.range(30_000).select("id", F.when(F.col("id") < 20_000, F.concat(F.lit("l"), F.col("id"))).when(F.col("id") < 28_000, "en").otherwise("fr").alias("lang"))
+    monkeypatch.setattr(language, "LABELS", 300)
+    drawn = {r.lang: r["count"] for r in language.sample(docs, "lang", 1500, total=12_000).groupBy("lang").count().collect()}
+    assert {"en", "fr"} <= set(drawn) and len(drawn) <= 300 and sum(drawn.values()) < 1000
+
+
+def test_languages_without_ids(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.lit(None).cast("long").alias("doc_id"), "text", "lang", "source")
+    many = docs.unionByName(docs).unionByName(docs).unionByName(docs)
+    found = language.identify(many, bound=60).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred for r in found} >= {"en", "fr", "de", "es"}
+
+
 def test_centroids_find_clusters():
     rng = np.random.default_rng(2)
     hubs = language.scaled(rng.normal(size=(3, 20)))
