@@ -187,5 +187,5 @@ def curated(rows: DataFrame, gate: int = 80, include_c: bool = False) -> DataFra
     best = tiered.where(F.col("tier") == "A").select("id", "text", F.col("total").alias("score"))
     kept = deduplicate(best).select("id", "kept")
     repaired = F.col("tier").isin("B", *(["C"] if include_c else []))
-    decision = F.when(F.col("kept") & (F.col("total") >= gate), "train").when(F.col("kept").isNotNull(), "duplicate").when(repaired, "repair").otherwise("drop")
+    decision = F.when(F.col("kept") & (F.col("total") >= gate), "train").when(F.col("kept"), "below_gate").when(F.col("kept").isNotNull(), "duplicate").when(repaired, "repair").otherwise("drop")
     return tiered.join(kept, "id", "left").select("id", "tier", "total", decision.alias("decision"))

@@ -76,10 +76,19 @@ def score_payload(total: Column, dimensions: dict[str, Column], reasons: dict[st
     return F.to_json(F.struct(*own), {"ignoreNullFields": "true"})
 
 
-def fingerprint(fields: dict[str, Column]) -> Column:
-    """The first 16 hexadecimal digits of the SHA-256 of fields as JSON in the order of their names."""
-    digest = F.sha2(F.to_json(F.struct(*(fields[n].alias(n) for n in sorted(fields))), {"ignoreNullFields": "false"}), 256)
-    return F.concat(F.lit("sha256:"), F.substring(digest, 1, 16))
+def json_text(value: dict | Column) -> Column:
+    """A value as JSON with sorted keys and a blank behind commas and colons; dicts nest, nulls stay."""
+    if isinstance(value, dict):
+        parts = [F.concat(F.lit(f'"{k}": '), json_text(v)) for k, v in sorted(value.items())]
+        return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    # A struct of one field, without what stands around the field's value.
+    whole = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
+def fingerprint(payload: dict) -> Column:
+    """The first 16 hexadecimal digits of the SHA-256 of a nested payload of columns as JSON in the order of its names."""
+    return F.concat(F.lit("sha256:"), F.substring(F.sha2(json_text(payload), 256), 1, 16))
 
 
 def inconsistent(dimensions: list[Column], highlights: Column) -> Column:
@@ -111,31 +120,14 @@ def preference_pairs(traces: DataFrame, best: str, original: str, gate: int = 80
     return kept.select("query", F.col(best).alias("chosen"), F.col(original).alias("rejected"))
 
 
-def repair_list(tiered: DataFrame, limits: dict[str, int], names: tuple[str, ...] = ("B", "C")) -> DataFrame:
-    """Records to repair: the first rows of each tier by line, tier by tier, with limits per tier."""
-    out = None
-    for tier in names:
-        rows = tiered.where(F.col("tier") == tier).orderBy("line_idx").limit(limits[tier])
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def synced(other: DataFrame, main: DataFrame, keep: list[str], fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """An edition (item_id, ...) brought in line with the main one: ``keep`` columns stay its own, ``fields`` are copied.
-
-    Returns the rows with ``changed`` (the names of the fields that were copied over another value), and counts per field.  Rows that
-    the main edition hasn't stay as they are.
-    """
-    ours = main.select(F.col("item_id").alias("__id"), *(F.col(f).alias(f"__{f}") for f in fields))
-    joined = other.join(ours, other["item_id"] == ours["__id"], "left")
-    there = F.col("__id").isNotNull()
-    changed = F.filter(F.array(*(F.when(there & ~F.col(f).eqNullSafe(F.col(f"__{f}")), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
-    rows = joined.withColumn("changed", changed).select("item_id", *keep, *(F.when(there, F.col(f"__{f}")).otherwise(F.col(f)).alias(f) for f in fields), "changed")
-    return rows, rows.select(F.explode("changed").alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+def repair_list(tiered: DataFrame, limit: int = 0, include_c: bool = False) -> DataFrame:
+    """Records to repair: those of tier B by line, then, if wanted, those of tier C; of the whole list the first ``limit``, if there is one."""
+    rows = tiered.where(F.col("tier").isin("B", *(["C"] if include_c else [])))
+    return rows.orderBy("tier", "line_idx").limit(limit) if limit else rows
 
 
 def viewer_records(results: DataFrame, reports: DataFrame, repairs: DataFrame, refines: DataFrame, improves: DataFrame) -> DataFrame:
-    """Records for a viewer: uid, dataset, query, score, has_repair, repair_delta, has_refine, refine_delta, has_improve.
+    """Records for a viewer: uid, place (in the results' order), dataset, query, score, has_html, has_repair, repair_delta, has_refine, refine_delta, has_improve.
 
     A test's report (uid, style ``test``, score) tells the repair's delta first; then a repair trace (uid, improvement) with a report of
     style ``repair``: its improvement if that is positive, else the report's score; then an improve trace.  Each side has one row per uid
@@ -154,7 +146,7 @@ def viewer_records(results: DataFrame, reports: DataFrame, repairs: DataFrame, r
         .when(there("improve"), F.col("improve")).otherwise(0)
     )
     return joined.select(
-        "uid", "dataset", "query", "score", (there("test") | traced | there("improve")).alias("has_repair"), delta.cast("long").alias("repair_delta"), there("refine").alias("has_refine"),
+        "uid", "place", "dataset", "query", "score", "has_html", (there("test") | traced | there("improve")).alias("has_repair"), delta.cast("long").alias("repair_delta"), there("refine").alias("has_refine"),
         F.coalesce("refine", F.lit(0)).cast("long").alias("refine_delta"), there("improve").alias("has_improve"),
     )
 
@@ -164,14 +156,16 @@ def searched(records: DataFrame, text: str) -> DataFrame:
     return records.where(F.contains("uid", F.lit(text)) | F.contains(F.lower("query"), F.lit(text.lower())))
 
 
-def page(records: DataFrame, order: str = "score_asc", number: int = 0, limit: int = 80, low: int = 0, high: int = 100, repaired: bool = False, refined: bool = False) -> tuple[DataFrame, DataFrame]:
-    """A page of the records with a score from ``low`` to ``high`` (only repaired or refined ones, if asked), in one of four orders (ties by
-    id), and one row with how many there are in all."""
+def page(
+    records: DataFrame, order: str = "score_asc", number: int = 0, limit: int = 80, low: int = 0, high: int = 100, repaired: bool = False, refined: bool = False, dataset: str = "all", with_html: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """A page of the records with a score from ``low`` to ``high`` (of one dataset, with a page, repaired or refined, if asked), in one of four
+    orders, of equal ones by their place in the results; and one row with how many there are in all."""
     kept = records.where(F.col("score").between(low, high))
-    kept = kept.where("has_repair") if repaired else kept
-    kept = kept.where("has_refine") if refined else kept
-    columns = {"score_asc": ["score"], "score_desc": [F.desc("score")], "uid_asc": [], "dataset_asc": ["dataset", "score"]}
-    return kept.orderBy(*columns.get(order, ["score"]), "uid").offset(number * limit).limit(limit), kept.agg(F.count("*").alias("total"))
+    for use, test in ((with_html, F.col("has_html")), (dataset != "all", F.col("dataset") == dataset), (repaired, F.col("has_repair")), (refined, F.col("has_refine"))):
+        kept = kept.where(test) if use else kept
+    columns = {"score_asc": ["score"], "score_desc": [F.desc("score")], "uid_asc": ["uid"], "dataset_asc": ["dataset", "score"]}
+    return kept.orderBy(*columns.get(order, ["score"]), "place").offset(number * limit).limit(limit), kept.agg(F.count("*").alias("total"))
 
 
 #: How long (ms) a page settles after an action: actions, the part of their timeout, the least and the most; last: all others.

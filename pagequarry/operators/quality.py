@@ -5,8 +5,6 @@ Items are nested (``test_cases`` with ``steps``); they are unrolled once and eve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..functions.taxonomy import stripped
+from .answers import first_object, json_candidates
 
 #: All actions of a step.
 ACTIONS = (
@@ -149,14 +148,15 @@ def _is_unbalanced(text: str | None) -> bool:
 def audit(items: DataFrame) -> DataFrame:
     """(item_id, tc_id, risk) for risks of cases: repeats, checks of another template, visual checks only; without a case for items with very many."""
     plain = lambda c: F.lower(stripped(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " ")))
-    signature = lambda tc: F.to_json(F.transform(tc["steps"], lambda s: F.struct(s["action"].alias("a"), s["selector"].alias("s"), s["expression"].alias("e"), s["gte"].alias("g"))))
+    # All fields of a step but its place tell it from others.
+    signature = lambda tc: F.to_json(F.transform(tc["steps"], lambda s: s.dropFields("pos")))
     # Repeats are found within an item's own array, so items without an id stay apart.
     own = items.select("item_id", plain(F.col("prompt")).alias("prompt"), F.transform("test_cases", signature).alias("signatures"), F.transform("test_cases", lambda tc: plain(tc["name"])).alias("names"), F.posexplode("test_cases").alias("at", "tc"))
     flat = own.withColumns({"signature": F.get("signatures", F.col("at")), "name": F.get("names", F.col("at"))})
     again = lambda values, c: F.array_position(values, F.col(c)) <= F.col("at")
     flat = flat.select("item_id", "prompt", F.col("tc.id").alias("tc_id"), "name", "signature", F.col("tc.steps").alias("steps"), again("signatures", "signature").alias("same_steps"), again("names", "name").alias("same_name"))
     has = lambda *actions: F.exists("steps", lambda s: s["action"].isin(*actions))
-    text = F.concat_ws(" ", "name", F.lower("signature"))
+    text = F.concat_ws(" ", "name", plain(F.col("signature")))
     risks = F.array(
         F.when(F.col("same_steps"), "exact_duplicate_steps"), F.when(F.col("same_name") & (F.col("name") != ""), "duplicate_tc_name"), F.when(F.contains(text, F.lit(EMPTY_SUBMIT)) & ~_contains_any(F.col("prompt"), FORM_WORDS), "cross_template_empty_submit"),
         F.when(_contains_any(text, ADD_BUTTON) & ~_contains_any(F.col("prompt"), ADD_WORDS), "cross_template_add_button"),
@@ -267,22 +267,5 @@ def unbalanced_steps(items: DataFrame) -> DataFrame:
 
 def json_objects(texts: DataFrame) -> DataFrame:
     """(id, object): the first balanced JSON object in each text that parses, or null."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        decoder = json.JSONDecoder()
-
-        def first(text: str | None) -> str | None:
-            at = (text or "").find("{")
-            while at >= 0:
-                try:
-                    return json.dumps(decoder.raw_decode(text, at)[0], sort_keys=True)
-                except ValueError:
-                    at = text.find("{", at + 1)
-            return None
-
-        for part in parts:
-            yield pd.DataFrame({"id": part["id"], "object": part["text"].map(first)})
-
-    return texts.select("id", "text").mapInPandas(run, "id long, object string")
+    parsed = first_object(json_candidates(F.col("text"), every=True))
+    return texts.select("id", F.to_json(parsed).alias("object"))

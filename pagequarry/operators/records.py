@@ -105,16 +105,51 @@ def patch_valid(original: Column, new: Column) -> Column:
     return F.coalesce((F.length(new) >= F.length(original) * 0.5) & keeps("</html>") & keeps("</body>") & (F.length(new) >= 200), F.lit(False))
 
 
-def report(title: Column, score: Column, dimensions: list[tuple[str, Column, int]], bugs: Column) -> Column:
-    """A record's report as Markdown text."""
-    table = [F.format_string(f"| {name} | %d / {most} |", c) for name, c, most in dimensions]
-    listed = F.when(F.array_size(bugs) > 0, F.concat(F.lit("\n## Bugs\n"), F.array_join(F.transform(bugs, lambda b: F.concat(F.lit("- "), b)), "\n"))).otherwise("")
-    return F.concat(F.concat(F.lit("# "), title), F.lit("\n\n"), F.format_string("| **Score** | **%d / 100** |", score), F.lit("\n| --- | --- |\n"), F.concat_ws("\n", *table), listed)
+#: Dimensions of a score in the order of reports, with their names and most points; shown of an agent's words and of warnings at most.
+SCORED = {
+    "rendering": ("Rendering", 5), "visual_design": ("Visual Design", 15), "functionality": ("Functionality", 50), "interaction": ("Interaction", 15), "code_quality": ("Implementation Quality", 15),
+}
+AGENT_WORDS, WARNINGS = 3000, 8
+FLAGS = (("Canvas", "has_canvas"), ("JS", "has_script"), ("CSS", "has_style"), ("SVG", "has_svg"), ("rAF", "has_requestanimationframe"))
+
+
+def report(r: Column) -> Column:
+    """A record's report as Markdown text, from a struct: id, variant, evaluated, query, total, summary, bugs, missing, highlights, screenshots (names),
+    for each dimension a struct (score, reason), agent (ran, steps, completed, summary), static (html_size, flags, external, input_types), render
+    (rendered, probe_errors as structs (probe, error), console_errors, page_errors)."""
+    text = lambda c, none="": F.coalesce(c.cast("string"), F.lit(none))
+    yes = lambda c, other="no": F.when(F.coalesce(c, F.lit(False)), "yes").otherwise(other)
+    flag = lambda c: F.when(F.coalesce(c, F.lit(False)), "True").otherwise("False")
+    many = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("string")
+    lines = lambda *parts: F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in parts))
+    put = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    counted = lambda c: F.array_join(F.transform(c, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+
+    def section(name: str, c: Column, none: str) -> list[Column]:
+        return [put(f"## {name} (", many(c), ")\n"), F.when(F.size(c) > 0, counted(c)).otherwise(none), F.lit("")]
+
+    scores = [put(f"| {name} | ", text(r[d]["score"], "0"), f" | {most} | ", text(r[d]["reason"]), " |") for d, (name, most) in SCORED.items()]
+    total = text(r["total"], "0")
+    pictures = F.when(F.size(r["screenshots"]) > 0, F.array_join(F.transform(r["screenshots"], lambda x: F.concat(F.lit("!["), x, F.lit("](./"), x, F.lit(")"))), "\n")).otherwise("No render screenshots were available.")
+    agent, static, render = r["agent"], r["static"], r["render"]
+    flags = F.concat_ws("  |  ", *(put(f"{name}: ", flag(static[key])) for name, key in FLAGS))
+    warned = F.transform(F.slice(render["probe_errors"], 1, WARNINGS), lambda e: F.concat(F.lit("`"), text(e["probe"], "unknown"), F.lit("`: "), text(e["error"])))
+    warnings = F.when(F.size(render["probe_errors"]) > 0, F.concat(F.lit("\n\n## Render Warnings\n\n"), counted(warned))).otherwise("")
+    whole = lines(
+        "# HTML Evaluation Report", "", "| Field       | Value |", "|-------------|-------|", put("| ID          | `", text(r["id"]), "` |"), put("| Variant     | ", text(r["variant"]), " |"), put("| Evaluated   | ", text(r["evaluated"]), " |"),
+        put("| **Score**   | **", total, " / 100** |"), "", "## Task Description", "", text(r["query"]), "", "## Scores", "", "| Dimension | Score | Max | Reason |", "|-----------|------:|----:|--------|", *scores,
+        put("| **Total** | **", total, "** | **100** | |"), "", "## Summary", "", text(r["summary"], "N/A"), "", *section("Bugs", r["bugs"], "None found."), *section("Missing Features", r["missing"], "None."), *section("Highlights", r["highlights"], "None."),
+        put("## Screenshots (", many(r["screenshots"]), ")\n"), pictures, "", "## Agent Test", "", put("- Phase ran: ", yes(agent["ran"], "no (skipped)")), put("- Steps: ", text(agent["steps"], "0")), put("- Completed: ", yes(agent["completed"])), "",
+        "### Agent Summary", "", F.substring(text(agent["summary"], "(not run)"), 1, AGENT_WORDS), "", "## Technical Details", "", put("- HTML size: ", F.format_number(F.coalesce(static["html_size"], F.lit(0)), 0), " chars"), put("- ", flags),
+        put("- External resources: ", many(static["external"])), put("- Input types: ", F.coalesce(F.nullif(F.array_join(static["input_types"], ", "), F.lit("")), F.lit("none"))), put("- Rendered: ", flag(render["rendered"])), put("- Render screenshots: ", many(r["screenshots"])),
+        put("- Render probe errors: ", many(render["probe_errors"])), put("- Console errors: ", many(render["console_errors"])), put("- JS exceptions: ", many(render["page_errors"])),
+    )
+    return F.concat(whole, warnings)
 
 
 def report_score(text: Column) -> Column:
     """The score in a report, null if there is none."""
-    return F.nullif(F.regexp_extract(text, "\\*\\*Score\\*\\* \\| \\*\\*([0-9]+) / 100", 1), F.lit("")).cast("long")
+    return F.nullif(F.regexp_extract(text, "\\*\\*Score\\*\\* +\\| \\*\\*([0-9]+) / 100", 1), F.lit("")).cast("long")
 
 
 #: Words of buttons that are tried first, as usual, and last.
@@ -172,18 +207,17 @@ def lines_like(text: str, wanted: str) -> str | None:
     return None if at is None else "\n".join(lines[at : at + len(target)])
 
 
-PATCHED = "html string, applied int, total int"
-
-
-def patch_pages(pages: DataFrame) -> DataFrame:
-    """(id, html, applied, total) of pages (id, html, patches): as ``patched``, and a text that doesn't occur is sought line by line without regard to blanks."""
+def patch_pages(pages: DataFrame, carried: dict[str, str] | None = None) -> DataFrame:
+    """(id, before, html, applied, total) of pages (id, html, patches), with ``carried`` columns (name: type): as ``patched``, and a text that
+    doesn't occur is sought line by line without regard to blanks."""
+    carried = carried or {}
 
     def run(parts):
         import pandas as pd
 
         for part in parts:
-            rows = []
-            for key, html, patches in part[["id", "html", "patches"]].itertuples(index=False, name=None):
+            after, counts = [], []
+            for html, patches in part[["html", "patches"]].itertuples(index=False, name=None):
                 done = 0
                 for p in patches:
                     old, new = p["old"], p["new"]
@@ -192,7 +226,10 @@ def patch_pages(pages: DataFrame) -> DataFrame:
                     found = old if html.count(old) == 1 else None if old in html else lines_like(html, old)
                     if found is not None:
                         html, done = html.replace(found, new, 1), done + 1
-                rows.append((key, html, done, len(patches)))
-            yield pd.DataFrame(rows, columns=["id", "html", "applied", "total"])
+                after.append(html)
+                counts.append((done, len(patches)))
+            rest = {c: part[c] for c in carried}
+            yield pd.DataFrame({"id": part["id"], "before": part["html"], "html": after, "applied": [d for d, _ in counts], "total": [n for _, n in counts], **rest})
 
-    return pages.select("id", "html", "patches").mapInPandas(run, f"id long, {PATCHED}")
+    schema = "id long, before string, html string, applied int, total int" + "".join(f", {c} {t}" for c, t in carried.items())
+    return pages.select("id", "html", "patches", *carried).mapInPandas(run, schema)

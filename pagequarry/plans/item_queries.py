@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.taxonomy import FAMILY_SQL, SOURCE_SQL
+from ..operators import bilingual as B
 from ..operators import items as I  # noqa: E741
 from ..sources.tables import RESPONSES_SQL, RESULTS_SQL, responses, results, table
 from .record_queries import WHOLE
@@ -71,8 +72,10 @@ def score_payloads(spark, sf_dir):
 
 
 def result_fingerprints(spark, sf_dir):
-    fields = {"model": F.col("model"), "difficulty": F.col("difficulty"), "category": F.col("category"), "trial": F.col("trial")}
-    return results(spark, sf_dir).select(I.fingerprint(fields).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n"))
+    """Results by the fingerprint of how they were made."""
+    made = {"skip": F.col("has_interaction"), "limits": {"tests": F.col("tests_total"), "rate": F.when(F.col("trial") > 0, F.col("trial") / 2)}}
+    payload = {"processing": made, "evaluator_model": F.col("model"), "extras": {"difficulty": F.col("difficulty"), "category": F.col("category"), "none": {}}}
+    return results(spark, sf_dir).select(I.fingerprint(payload).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n"))
 
 
 def scorer_consistency(spark, sf_dir):
@@ -110,29 +113,29 @@ def repair_list(spark, sf_dir):
     from ..operators import curation as C
 
     rows = C.tiers(results(spark, sf_dir)).select("line_idx", "item_id", "tier")
-    return I.repair_list(rows, {"B": 200, "C": 100})
+    return I.repair_list(rows, include_c=True)
 
 
-def _editions(spark, sf_dir):
-    main = I.normalized(_items(spark, sf_dir)).select("item_id", "prompt", "category", "difficulty", "sub_type")
+def _synced(spark, sf_dir):
+    """An edition brought in line with the main one, place by place; these items have no test cases."""
     k = F.col("item_id").cast("long")
-    other = main.where(k % 10 != 3).withColumns({"prompt": F.concat(F.lit("zh "), "prompt"), "category": F.when(k % 4 == 0, "old").otherwise(F.col("category")), "sub_type": F.when(k % 6 == 0, F.lit(None)).otherwise(F.col("sub_type"))})
-    more = other.where(k % 50 == 1).withColumn("item_id", F.concat(F.lit("new"), "item_id"))
-    return other.unionByName(more), main
+    none = F.array().cast("array<struct<id string, steps array<struct<action string, text_pattern string>>>>")
+    main = I.normalized(_items(spark, sf_dir)).select(F.lit("items").alias("file"), k.alias("pos"), "item_id", "prompt", F.lit("en").alias("language"), "category", "difficulty", "sub_type", none.alias("test_cases"))
+    other = main.withColumns({"language": F.lit("zh"), "prompt": F.concat(F.lit("zh "), "prompt"), "category": F.when(k % 4 == 0, "old").otherwise(F.col("category")), "sub_type": F.when(k % 6 == 0, F.lit(None)).otherwise(F.col("sub_type"))})
+    return B.synced(main, other)
 
 
 def edition_sync(spark, sf_dir):
-    rows, _ = I.synced(*_editions(spark, sf_dir), keep=["prompt"], fields=["category", "difficulty", "sub_type"])
-    return rows.withColumn("changed", F.array_join("changed", ","))
+    return _synced(spark, sf_dir)[0].select("item_id", "prompt", "language", "category", "difficulty", "sub_type", "changed")
 
 
 def edition_sync_counts(spark, sf_dir):
-    return I.synced(*_editions(spark, sf_dir), keep=["prompt"], fields=["category", "difficulty", "sub_type"])[1]
+    return _synced(spark, sf_dir)[1]
 
 
 def _viewer(spark, sf_dir):
     whole = lambda c: F.floor(c).cast("long")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("uid"), F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("query"), (whole("o_totalprice") % 101).alias("score"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("uid"), (F.col("o_orderkey") * 7919 % 100003).alias("place"), (F.col("o_custkey") % 9 != 0).alias("has_html"), F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("query"), (whole("o_totalprice") % 101).alias("score"))
     line = table(spark, sf_dir, "lineitem").withColumn("uid", F.col("l_orderkey").cast("string"))
     reports = line.where("l_returnflag <> 'N'").groupBy("uid", F.when(F.col("l_returnflag") == "R", "test").otherwise("repair").alias("style")).agg(F.max(F.when(F.col("l_linestatus") == "O", whole("l_quantity"))).alias("score"))
     traces = lambda test, value: line.where(test).groupBy("uid").agg(F.max(value).alias("improvement"))
@@ -144,8 +147,8 @@ def viewer_records(spark, sf_dir):
 
 
 def viewer_page(spark, sf_dir):
-    """The second page of repaired records with a score of 20 to 90, best first."""
-    return I.page(_viewer(spark, sf_dir), "score_desc", 1, 40, 20, 90, repaired=True)[0].select("uid", "score", "repair_delta")
+    """The second page of repaired records of a dataset with a score of 20 to 90, best first."""
+    return I.page(_viewer(spark, sf_dir), "score_desc", 1, 40, 20, 90, repaired=True, dataset="F")[0].select("uid", "score", "repair_delta")
 
 
 def viewer_total(spark, sf_dir):
@@ -215,11 +218,11 @@ ITEMS_SQL = """items AS (SELECT CAST(c_custkey AS VARCHAR) AS item_id, c_custkey
     'sub' || (c_nationkey % 3) AS sub_type, CASE WHEN c_acctbal > 0 THEN 'hard' END AS difficulty, 'en' AS language FROM customer),
   normal AS (SELECT * EXCLUDE (category0), CASE WHEN trim(category0) = '' THEN category0 ELSE """ + FAMILY_SQL.format(c="category0") + """ END AS category, nullif(""" + SOURCE_SQL.format(c="category0") + """, '') AS source_category FROM items)"""
 RAW = "coalesce(r.category, n.category, 'unknown')"
-VIEWER = """v AS (SELECT CAST(o_orderkey AS VARCHAR) AS uid, o_orderstatus AS dataset, o_orderpriority AS query, CAST(floor(o_totalprice) AS BIGINT) % 101 AS score, o_orderkey AS k FROM orders),
+VIEWER = """v AS (SELECT CAST(o_orderkey AS VARCHAR) AS uid, o_orderstatus AS dataset, o_orderpriority AS query, CAST(floor(o_totalprice) AS BIGINT) % 101 AS score, o_orderkey AS k, o_orderkey * 7919 % 100003 AS place, o_custkey % 9 <> 0 AS has_html FROM orders),
   rep AS (SELECT l_orderkey AS k, l_returnflag = 'R' AS test, max(CASE WHEN l_linestatus = 'O' THEN CAST(floor(l_quantity) AS BIGINT) END) AS s FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2),
   fix AS (SELECT l_orderkey AS k, max(CAST(floor(l_quantity) AS BIGINT) - 30) AS i FROM lineitem WHERE l_linenumber IN (2, 3) GROUP BY 1), ref AS (SELECT l_orderkey AS k, max(CAST(floor(l_discount * 100) AS BIGINT)) AS i FROM lineitem WHERE l_linenumber = 4 GROUP BY 1),
   imp AS (SELECT l_orderkey AS k, max(CAST(floor(l_quantity) AS BIGINT)) AS i FROM lineitem WHERE l_linenumber = 7 GROUP BY 1),
-  viewer AS (SELECT uid, dataset, query, score, t.k IS NOT NULL OR (a.k IS NOT NULL AND fix.k IS NOT NULL) OR imp.k IS NOT NULL AS has_repair,
+  viewer AS (SELECT uid, place, dataset, query, score, has_html, t.k IS NOT NULL OR (a.k IS NOT NULL AND fix.k IS NOT NULL) OR imp.k IS NOT NULL AS has_repair,
     CASE WHEN t.k IS NOT NULL THEN coalesce(t.s - score, 0) WHEN a.k IS NOT NULL AND fix.k IS NOT NULL THEN CASE WHEN fix.i > 0 THEN fix.i ELSE coalesce(a.s - score, 0) END WHEN imp.k IS NOT NULL THEN imp.i ELSE 0 END AS repair_delta,
     ref.k IS NOT NULL AS has_refine, coalesce(ref.i, 0) AS refine_delta, imp.k IS NOT NULL AS has_improve
     FROM v LEFT JOIN (SELECT * FROM rep WHERE test) t ON v.k = t.k LEFT JOIN (SELECT * FROM rep WHERE NOT test) a ON v.k = a.k LEFT JOIN fix ON v.k = fix.k LEFT JOIN ref ON v.k = ref.k LEFT JOIN imp ON v.k = imp.k)"""
@@ -227,10 +230,6 @@ CACHED = f"""{RESPONSES_SQL}, it AS (SELECT CAST(page_id AS VARCHAR) AS item_id,
   ck AS (SELECT page_id, CASE WHEN length(html) % 5 = 0 THEN 'another' WHEN length(html) % 7 <> 0 THEN url END AS prompt, response, {WHOLE} AS valid FROM responses JOIN pages ON item_id = page_id),
   st AS (SELECT it.item_id, it.response, ck.response AS cached, CASE WHEN ck.valid AND NOT coalesce(regexp_matches(it.response, '(?is)<html[^>]*>.*?</html>'), false) THEN CASE WHEN it.prompt IS NULL OR coalesce(it.prompt = ck.prompt, false) THEN 'merged' ELSE 'prompt_mismatch' END END AS state
     FROM it JOIN ck ON it.page_id = ck.page_id)"""
-EDITIONS = f"""{ITEMS_SQL}, o AS (SELECT item_id, 'zh ' || prompt AS prompt, CASE WHEN k % 4 = 0 THEN 'old' ELSE category END AS category, difficulty, CASE WHEN k % 6 <> 0 THEN sub_type END AS sub_type, k FROM normal WHERE k % 10 <> 3),
-  z AS (SELECT * FROM o UNION ALL SELECT 'new' || item_id, prompt, category, difficulty, sub_type, NULL FROM o WHERE k % 50 = 1),
-  s AS (SELECT z.item_id, z.prompt, CASE WHEN n.item_id IS NULL THEN z.category ELSE n.category END AS category, CASE WHEN n.item_id IS NULL THEN z.difficulty ELSE n.difficulty END AS difficulty, CASE WHEN n.item_id IS NULL THEN z.sub_type ELSE n.sub_type END AS sub_type,
-    n.item_id IS NOT NULL AND z.category IS DISTINCT FROM n.category AS c1, n.item_id IS NOT NULL AND z.sub_type IS DISTINCT FROM n.sub_type AS c2 FROM z LEFT JOIN normal n ON z.item_id = n.item_id)"""
 REMAINS = f"'{I.REMAINS}'"
 ORACLES = {
     "items_normalized": f"WITH {ITEMS_SQL} SELECT item_id, category, source_category FROM normal",
@@ -242,19 +241,20 @@ ORACLES = {
     "checkpoint_merge_counts": f"WITH {CACHED} SELECT count(*) FILTER (state = 'merged') AS merged, count(*) FILTER (state = 'prompt_mismatch') AS prompt_mismatch, (SELECT count(*) FROM ck WHERE NOT valid) AS invalid FROM st",
     "score_payloads": f"""WITH {RESULTS_SQL} SELECT line_idx, '{{"total":' || total || ',"rendering":' || rendering || ',"visual_design":' || visual_design || ',"functionality":' || functionality || CASE WHEN rendering > 5 THEN ',"rendering_reason":"' || sub_type || '"' ELSE '' END
       || CASE WHEN total < 50 THEN ',"bugs":["' || model || '","' || difficulty || '"]' ELSE '' END || '}}' AS payload FROM results_raw""",
-    "result_fingerprints": f"""WITH {RESULTS_SQL} SELECT 'sha256:' || substr(sha256('{{"category":"' || category || '","difficulty":"' || difficulty || '","model":"' || model || '","trial":' || trial || '}}'), 1, 16) AS fingerprint, count(*) AS n FROM results_raw GROUP BY 1""",
+    "result_fingerprints": f"""WITH {RESULTS_SQL} SELECT 'sha256:' || substr(sha256('{{"evaluator_model": "' || model || '", "extras": {{"category": "' || category || '", "difficulty": "' || difficulty || '", "none": {{}}}}, "processing": {{"limits": {{"rate": '
+      || CASE trial WHEN 0 THEN 'null' WHEN 1 THEN '0.5' ELSE '1.0' END || ', "tests": ' || tests_total || '}}, "skip": ' || CASE WHEN has_interaction THEN 'true' ELSE 'false' END || '}}}}'), 1, 16) AS fingerprint, count(*) AS n FROM results_raw GROUP BY 1""",
     "scorer_consistency": f"WITH {RESULTS_SQL} SELECT eval_status, count(*) FILTER (language = 'en' AND (total % 10 = 0 OR (rendering = 0 AND visual_design = 0 AND functionality = 0))) AS retries, count(*) AS n FROM results_raw GROUP BY 1",
     "dimension_changes": f"WITH {RESULTS_SQL} SELECT item_id, " + ", ".join(f"arg_max({d}, line_idx) - arg_min({d}, line_idx) AS {d}" for d in ("rendering", "visual_design", "functionality", "interaction", "code_quality")) + " FROM results_raw GROUP BY item_id",
     "iteration_summaries": f"""WITH {RESULTS_SQL}, d AS (SELECT total - lag(total) OVER (PARTITION BY item_id ORDER BY line_idx) AS delta, eval_status FROM results_raw)
       SELECT CASE WHEN delta > 5 THEN 'Score rose by ' || delta || ' points' WHEN delta > 0 THEN 'Minor improvement (+' || delta || ')' ELSE 'No improvement' END AS what_improved, CASE WHEN delta < 5 AND eval_status <> 'failed' THEN {REMAINS} END AS what_remains, count(*) AS n FROM d WHERE delta IS NOT NULL GROUP BY 1, 2""",
     "preference_pairs": f"WITH {RESULTS_SQL}, t AS (SELECT item_id, arg_min(total, line_idx) AS a, max(total) AS b FROM results_raw GROUP BY 1) SELECT item_id AS query, 'page ' || b AS chosen, 'page ' || a AS rejected FROM t WHERE b >= 80 AND b > a",
-    "repair_list": f"""WITH {RESULTS_SQL}, t AS (SELECT line_idx, item_id, CASE WHEN total >= 80 THEN 'A' WHEN total >= 40 THEN 'B' ELSE 'C' END AS tier FROM results_raw WHERE eval_status = 'completed'), n AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY line_idx) AS nth FROM t)
-      SELECT line_idx, item_id, tier FROM n WHERE (tier = 'B' AND nth <= 200) OR (tier = 'C' AND nth <= 100)""",
-    "edition_sync": f"WITH {EDITIONS} SELECT item_id, prompt, category, difficulty, sub_type, CASE WHEN c1 THEN 'category' ELSE '' END || CASE WHEN c1 AND c2 THEN ',' ELSE '' END || CASE WHEN c2 THEN 'sub_type' ELSE '' END AS changed FROM s",
-    "edition_sync_counts": f"WITH {EDITIONS} SELECT 'category' AS field, count(*) AS n FROM s WHERE c1 HAVING count(*) > 0 UNION ALL SELECT 'sub_type', count(*) FROM s WHERE c2 HAVING count(*) > 0",
+    "repair_list": f"""WITH {RESULTS_SQL} SELECT line_idx, item_id, CASE WHEN total >= 40 THEN 'B' ELSE 'C' END AS tier FROM results_raw WHERE eval_status = 'completed' AND total < 80""",
+    "edition_sync": f"WITH {ITEMS_SQL} SELECT item_id, 'zh ' || prompt AS prompt, 'zh' AS language, category, difficulty, sub_type, (k % 4 = 0 AND category <> 'old') OR (k % 6 = 0 AND sub_type IS NOT NULL) AS changed FROM normal",
+    "edition_sync_counts": f"""WITH {ITEMS_SQL}, n AS (SELECT count(*) FILTER (k % 4 = 0 AND category <> 'old') AS c, count(*) FILTER (k % 6 = 0 AND sub_type IS NOT NULL) AS s, count(*) AS items, count(*) FILTER ((k % 4 = 0 AND category <> 'old') OR (k % 6 = 0 AND sub_type IS NOT NULL)) AS rows FROM normal)
+      SELECT 'metadata_synced_category' AS name, c AS n FROM n UNION ALL SELECT 'metadata_synced_sub_type', s FROM n UNION ALL SELECT 'items_seen', items FROM n UNION ALL SELECT 'changed_rows_items', rows FROM n""",
     "viewer_records": f"WITH {VIEWER} SELECT * FROM viewer",
-    "viewer_page": f"WITH {VIEWER} SELECT uid, score, repair_delta FROM viewer WHERE has_repair AND score BETWEEN 20 AND 90 ORDER BY score DESC, uid LIMIT 40 OFFSET 40",
-    "viewer_total": f"WITH {VIEWER} SELECT count(*) AS total FROM viewer WHERE has_refine AND score BETWEEN 20 AND 90",
+    "viewer_page": f"WITH {VIEWER} SELECT uid, score, repair_delta FROM viewer WHERE has_html AND dataset = 'F' AND has_repair AND score BETWEEN 20 AND 90 ORDER BY score DESC, place LIMIT 40 OFFSET 40",
+    "viewer_total": f"WITH {VIEWER} SELECT count(*) AS total FROM viewer WHERE has_html AND has_refine AND score BETWEEN 20 AND 90",
     "viewer_search": f"WITH {VIEWER} SELECT query, dataset, count(*) AS n FROM viewer WHERE contains(uid, 'URGENT') OR contains(lower(query), 'urgent') GROUP BY 1, 2",
     "selected_items": f"WITH {RESULTS_SQL}, {ITEMS_SQL} SELECT category0 AS category, count(*) AS n FROM items WHERE item_id IN (SELECT item_id FROM results_raw WHERE total >= 90) GROUP BY 1",
     "only_items": f"WITH {ITEMS_SQL} SELECT item_id, prompt FROM items WHERE item_id IN ('5', '17', '100') ORDER BY item_id LIMIT 3",

@@ -123,7 +123,7 @@ RULES = f"""{STEPS}, v AS (SELECT item_id, tc_id, pos, 'missing action' AS rule
   UNION ALL SELECT item_id, tc_id, pos, 'malformed querySelector' FROM m WHERE runs AND contains(expression, 'querySelector') UNION ALL SELECT item_id, tc_id, pos, 'truncated fragment' FROM m WHERE runs AND contains(expression, '[href^=const')
   UNION ALL SELECT item_id, tc_id, pos, 'unbalanced delimiters' FROM m WHERE runs AND expression = '(x' UNION ALL SELECT DISTINCT ON (ik) item_id, NULL, NULL, 'missing id' FROM m WHERE item_id IS NULL UNION ALL SELECT DISTINCT ON (ik) item_id, NULL, NULL, 'missing prompt' FROM m WHERE prompt IS NULL
   UNION ALL SELECT DISTINCT ON (ik, tc_id) item_id, tc_id, NULL, 'missing case name' FROM m WHERE name IS NULL)"""
-AUDIT = f"""{RULES}, c AS (SELECT ik, item_id, tc_id, any_value(prompt) AS prompt, any_value(coalesce(name, '')) AS name, count(*) AS n, string_agg(action || '|' || selector || '|' || expression || '|' || gte, ';' ORDER BY pos) AS sig,
+AUDIT = f"""{RULES}, c AS (SELECT ik, item_id, tc_id, any_value(prompt) AS prompt, any_value(coalesce(name, '')) AS name, count(*) AS n, string_agg(action || '|' || selector || '|' || expression || '|' || gte || '|' || coalesce(CAST(eq AS VARCHAR), ''), ';' ORDER BY pos) AS sig,
       bool_or(action = 'assert_screenshot_changed') AS changed, bool_or(action IN {_in(Q.SEMANTIC)}) AS semantic FROM m GROUP BY 1, 2, 3),
   d AS (SELECT *, row_number() OVER (PARTITION BY ik, sig ORDER BY tc_id) > 1 AS same_steps, name <> '' AND row_number() OVER (PARTITION BY ik, name ORDER BY tc_id) > 1 AS same_name FROM c),
   audit AS (SELECT item_id, tc_id, 'exact_duplicate_steps' AS risk FROM d WHERE same_steps UNION ALL SELECT item_id, tc_id, 'duplicate_tc_name' FROM d WHERE same_name

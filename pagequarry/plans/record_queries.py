@@ -105,9 +105,19 @@ def page_loose_patches(spark, sf_dir):
 def record_reports(spark, sf_dir):
     """Markdown reports of the results, and the score read back from them."""
     k = F.col("line_idx")
-    bugs = F.when(k % 3 == 0, F.array(F.lit("no sound"), F.concat(F.lit("bug "), k.cast("string")))).otherwise(F.array().cast("array<string>"))
-    dims = [("Rendering", F.col("rendering"), 20), ("Interaction", F.col("interaction"), 25)]
-    rows = _latest(spark, sf_dir).select(k, R.report(F.col("item_id"), F.col("total"), dims, bugs).alias("report"))
+    some = lambda n, *texts: F.when(k % n == 0, F.array(*texts)).otherwise(F.array().cast("array<string>"))
+    dim = lambda d, n: F.struct(F.col(d).alias("score"), F.when(k % n == 0, F.concat(F.lit("r"), (k % 10).cast("string"))).alias("reason")).alias(d)
+    errors = F.transform(F.sequence(F.lit(1), k % 11), lambda i: F.struct(F.when(i % 4 != 0, F.concat(F.lit("p"), i.cast("string"))).alias("probe"), F.lit("slow").alias("error")))
+    errors = F.when(k % 11 > 0, errors).otherwise(F.slice(errors, 1, 0))
+    agent = F.struct((k % 2 == 0).alias("ran"), (k % 7).alias("steps"), (k % 6 == 0).alias("completed"), F.when(k % 2 == 0, F.repeat(F.lit("word "), (k % 900).cast("int"))).alias("summary"))
+    static = F.struct((k * 37).alias("html_size"), *((k % n == 0).alias(c) for n, (_, c) in enumerate(R.FLAGS, 2)), some(3, F.lit("a"), F.lit("b")).alias("external"), some(4, F.lit("text"), F.lit("date")).alias("input_types"))
+    render = F.struct((k % 3 > 0).alias("rendered"), errors.alias("probe_errors"), some(5, F.lit("e")).alias("console_errors"), some(6, F.lit("x"), F.lit("y")).alias("page_errors"))
+    record = F.struct(
+        F.col("item_id").alias("id"), F.lit("default").alias("variant"), F.lit("2024-01-02 03:04:05").alias("evaluated"), F.col("sub_type").alias("query"), F.col("total"), F.when(k % 4 > 0, F.col("category")).alias("summary"),
+        some(3, F.lit("no sound"), F.concat(F.lit("bug "), k.cast("string"))).alias("bugs"), some(5, F.lit("score")).alias("missing"), some(7, F.lit("colors")).alias("highlights"), some(2, F.lit("a.png"), F.lit("b.png")).alias("screenshots"),
+        *(dim(d, n) for n, d in enumerate(R.SCORED, 2)), agent.alias("agent"), static.alias("static"), render.alias("render"),
+    )
+    rows = _latest(spark, sf_dir).select(k, R.report(record).alias("report"))
     return rows.select("line_idx", F.md5(F.col("report").cast("binary")).alias("report_md5"), R.report_score(F.col("report")).alias("score"))
 
 
@@ -148,6 +158,23 @@ LATEST = f"WITH {RESULTS_SQL}, latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *,
 ERRORS = "[" + ", ".join(f"'{m}'" for m in MESSAGES) + "]"
 WHOLE = "(regexp_matches(response, '(?is)<html[^>]*>.*?</html>') OR regexp_matches(response, '(?is)```html\\s*\\n.*?<html.*?```') OR contains(response, '```svg'))"
 DIMS = ("functionality", "interaction", "rendering", "visual_design", "code_quality")
+YES = lambda test, no: f"CASE WHEN {test} THEN 'yes' ELSE '{no}' END"
+FLAG = lambda test: f"CASE WHEN {test} THEN 'True' ELSE 'False' END"
+NAMED = lambda name, n, texts, none: [f"'## {name} (' || CASE WHEN line_idx % {n} = 0 THEN {len(texts)} ELSE 0 END || ')' || chr(10)", f"CASE WHEN line_idx % {n} = 0 THEN " + " || chr(10) || ".join(f"'{i}. ' || {t}" for i, t in enumerate(texts, 1)) + f" ELSE '{none}' END", "''"]
+SHOTS = "CASE WHEN line_idx % 2 = 0 THEN 2 ELSE 0 END"
+LINES = [
+    "'# HTML Evaluation Report'", "''", "'| Field       | Value |'", "'|-------------|-------|'", "'| ID          | `' || item_id || '` |'", "'| Variant     | default |'", "'| Evaluated   | 2024-01-02 03:04:05 |'",
+    "'| **Score**   | **' || total || ' / 100** |'", "''", "'## Task Description'", "''", "sub_type", "''", "'## Scores'", "''", "'| Dimension | Score | Max | Reason |'", "'|-----------|------:|----:|--------|'",
+    *(f"'| {name} | ' || {d} || ' | {most} | ' || CASE WHEN line_idx % {n} = 0 THEN 'r' || line_idx % 10 ELSE '' END || ' |'" for n, (d, name, most) in enumerate(
+        (("rendering", "Rendering", 5), ("visual_design", "Visual Design", 15), ("functionality", "Functionality", 50), ("interaction", "Interaction", 15), ("code_quality", "Implementation Quality", 15)), 2)),
+    "'| **Total** | **' || total || '** | **100** | |'", "''", "'## Summary'", "''", "CASE WHEN line_idx % 4 > 0 THEN category ELSE 'N/A' END", "''", *NAMED("Bugs", 3, ["'no sound'", "'bug ' || line_idx"], "None found."), *NAMED("Missing Features", 5, ["'score'"], "None."),
+    *NAMED("Highlights", 7, ["'colors'"], "None."), f"'## Screenshots (' || {SHOTS} || ')' || chr(10)", "CASE WHEN line_idx % 2 = 0 THEN '![a.png](./a.png)' || chr(10) || '![b.png](./b.png)' ELSE 'No render screenshots were available.' END", "''", "'## Agent Test'", "''",
+    f"'- Phase ran: ' || {YES('line_idx % 2 = 0', 'no (skipped)')}", "'- Steps: ' || line_idx % 7", f"'- Completed: ' || {YES('line_idx % 6 = 0', 'no')}", "''", "'### Agent Summary'", "''", "CASE WHEN line_idx % 2 = 0 THEN substr(repeat('word ', CAST(line_idx % 900 AS INT)), 1, 3000) ELSE '(not run)' END", "''",
+    "'## Technical Details'", "''", "'- HTML size: ' || format('{:,}', line_idx * 37) || ' chars'", "'- ' || " + " || '  |  ' || ".join(f"'{name}: ' || {FLAG(f'line_idx % {n} = 0')}" for n, name in enumerate(("Canvas", "JS", "CSS", "SVG", "rAF"), 2)),
+    "'- External resources: ' || CASE WHEN line_idx % 3 = 0 THEN 2 ELSE 0 END", "'- Input types: ' || CASE WHEN line_idx % 4 = 0 THEN 'text, date' ELSE 'none' END", f"'- Rendered: ' || {FLAG('line_idx % 3 > 0')}", f"'- Render screenshots: ' || {SHOTS}",
+    "'- Render probe errors: ' || line_idx % 11", "'- Console errors: ' || CASE WHEN line_idx % 5 = 0 THEN 1 ELSE 0 END", "'- JS exceptions: ' || CASE WHEN line_idx % 6 = 0 THEN 2 ELSE 0 END",
+]
+REPORT = " || chr(10) || ".join(LINES) + """ || CASE WHEN line_idx % 11 > 0 THEN chr(10) || chr(10) || '## Render Warnings' || chr(10) || chr(10) || array_to_string(list_transform(range(1, least(8, line_idx % 11) + 1), lambda i: i || '. `' || CASE WHEN i % 4 = 0 THEN 'unknown' ELSE 'p' || i END || '`: slow'), chr(10)) ELSE '' END"""
 ORACLES = {
     "parsed_records": """WITH g AS (SELECT conv_id AS k, arg_min(text, turn) FILTER (role = 'user') AS q, arg_min(text, turn) FILTER (role = 'assistant') AS r FROM conversations GROUP BY conv_id)
       SELECT k AS line_idx, CASE k % 3 WHEN 0 THEN 'id' || k WHEN 1 THEN CAST(k * 10 AS VARCHAR) ELSE CAST(k AS VARCHAR) END AS stable_id, md5(coalesce(q, '')) AS query_md5, md5(coalesce(r, '')) AS response_md5 FROM g""",
@@ -173,8 +200,7 @@ ORACLES = {
       SELECT page_id, CAST(titles = 1 AS BIGINT) + CAST(ps = 1 AS BIGINT) + CAST(again = 1 AS BIGINT) AS applied, CAST(3 AS BIGINT) AS total, md5(h3) AS html_md5, length(h3) >= 200 AS valid FROM d""",
     "page_loose_patches": """WITH p AS (SELECT page_id, regexp_replace(html, '><', '>' || chr(10) || '    <', 'g') AS html FROM pages)
       SELECT page_id, CAST(1 AS BIGINT) AS applied, md5(replace(html, chr(10) || '    <body>' || chr(10), chr(10) || '    <body class=''a''>' || chr(10))) AS html_md5 FROM p""",
-    "record_reports": f"""{LATEST}, r AS (SELECT line_idx, total, '# ' || item_id || chr(10) || chr(10) || '| **Score** | **' || total || ' / 100** |' || chr(10) || '| --- | --- |' || chr(10) || '| Rendering | ' || rendering || ' / 20 |' || chr(10) || '| Interaction | ' || interaction || ' / 25 |'
-      || CASE WHEN line_idx % 3 = 0 THEN chr(10) || '## Bugs' || chr(10) || '- no sound' || chr(10) || '- bug ' || line_idx ELSE '' END AS report FROM latest) SELECT line_idx, md5(report) AS report_md5, total AS score FROM r""",
+    "record_reports": f"""{LATEST}, r AS (SELECT line_idx, total, {REPORT} AS report FROM latest) SELECT line_idx, md5(report) AS report_md5, total AS score FROM r""",
     "button_order": f"""WITH b AS (SELECT p_brand, p_partkey, lower(p_name || ' ' || list_extract([{", ".join(f"'{w}'" for w in BUTTONS)}], CAST(length(p_type) % {len(BUTTONS)} + 1 AS INT))) AS n FROM part),
       p AS (SELECT p_brand, p_partkey, CAST(CASE WHEN regexp_matches(n, 'start|play|begin|submit|initiate|开始') THEN 100 WHEN regexp_matches(n, 'next|continue|ok|confirm|新建|继续') THEN 50
       WHEN regexp_matches(n, 'cancel|close|back|return|菜单') THEN 10 ELSE 50 END AS BIGINT) AS priority FROM b)
