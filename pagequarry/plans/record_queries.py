@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions.scoring import guarded
 from ..operators import records as R
+from ..operators import resampling as S
 from ..sources.tables import RESPONSES_SQL, RESULTS_SQL, positions, responses, table
 from .analysis_queries import _latest
 
@@ -151,7 +152,12 @@ def guarded_totals(spark, sf_dir):
 
 def score_intervals(spark, sf_dir):
     """Bootstrap intervals of the averages by difficulty."""
-    return R.intervals(_latest(spark, sf_dir), ["difficulty"])
+    return S.ordered_intervals(_latest(spark, sf_dir), ["difficulty"])
+
+
+def model_intervals(spark, sf_dir):
+    """Two models by difficulty, with the intervals of their averages and whether these overlap."""
+    return S.compare_with_intervals(_latest(spark, sf_dir), "m1", "m2", ("difficulty",))
 
 
 LATEST = f"WITH {RESULTS_SQL}, latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY trial, item_id ORDER BY line_idx DESC) AS rn FROM results_raw) WHERE rn = 1)"
@@ -211,4 +217,4 @@ ORACLES = {
       g AS (SELECT *, CASE WHEN old >= 85 THEN 2 * f_functionality + 2 * f_interaction + f_rendering + f_visual_design + f_code_quality ELSE 3 * f_functionality + 3 * f_interaction + 2 * f_rendering + 2 * f_visual_design END AS penalty FROM f)
       SELECT line_idx, CAST(new - CASE WHEN new - old >= 3 THEN least(penalty, floor((new - old) / 2)) ELSE penalty END AS BIGINT) AS guarded FROM g""",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "score_intervals"]}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "score_intervals", "model_intervals"]}

@@ -17,7 +17,8 @@ def lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     raw = spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("__at"), "value")
     splits = raw.groupBy("file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy("file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = raw.join(splits.select("file", "__block", "__first", before.alias("__before")), ["file", "__block"])
+    # One row per split: small beside the lines, which stay where they are.
+    placed = raw.join(F.broadcast(splits.select("file", "__block", "__first", before.alias("__before"))), ["file", "__block"])
     numbered = placed.withColumn("line_idx", F.col("__before") + F.col("__at") - F.col("__first"))
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))

@@ -23,3 +23,13 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``cut`` wrote, once what was made of it has been written itself."""
+    files = df.inputFiles()
+    if not files:
+        return
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

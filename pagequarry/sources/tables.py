@@ -151,7 +151,7 @@ def positions(df: DataFrame) -> DataFrame:
     at = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
     sizes = at.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = at.join(sizes.select(F.col("__part"), before.alias("__before")), "__part")
+    placed = at.join(F.broadcast(sizes.select(F.col("__part"), before.alias("__before"))), "__part")  # one row per partition
     return placed.withColumn("row_idx", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
 
 
