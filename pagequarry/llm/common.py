@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import folder
+from ..sources.staging import cut, folder
 
 #: Rows and bytes that one Arrow batch holds at most, so that long texts don't fill a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 
 #: Ids that are broadcast at most for an anti join (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Narrow rows (some numbers each) that are broadcast at most.
+BROADCAST_ROWS = 250_000
 
 #: The column that numbers rows.
 ROW = "__row_number"
@@ -38,10 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, tag, codec)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of narrow rows, to be broadcast if it has ``limit`` rows at most."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def fold(doc_id: Column, modulus: int) -> Column:

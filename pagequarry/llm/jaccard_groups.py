@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, power_of_two, session
+from ..sources.staging import discard
+from .common import materialize, partitions, power_of_two, session, small
 from .components import components
 from .interpolation import BLOCKS, BUCKET_KEYS, Block, packed, unpacked, word_blocks
 
@@ -39,8 +40,9 @@ SHINGLE, PERCENT = 5, 80
 PART, QUERIES = 256, 2048
 #: Nodes that stand for a label in later rounds, about: what it is linked to there needn't be sought by the matrix.
 SPEAKERS = 64
-#: Bits of a shingle's hash that buckets count by; equal leading bits make two shingles look frequent, which only weakens the filter.
-KEY_SHIFT = np.uint64(16)
+#: Buckets count by the leading bits of shingles' hashes, so many more than the corpus has shingles take; equal leading bits make two
+#: shingles look frequent, which weakens the filter for one of a thousand and changes no result.
+SPARE_BITS = 10
 #: Multipliers of the minima that group sets: two for the first round, one each for the others.
 FACTORS = tuple(np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25))
 GOLDEN, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -85,13 +87,17 @@ def shingle_sets(block: Block, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], np.bincount(doc[new], minlength=len(own))
 
 
-def _send(buckets: int, shingle: int):
-    shift = np.uint64(64 - int(KEY_SHIFT) - (buckets.bit_length() - 1))
+def key_bits(tokens: int) -> int:
+    return min(64, max(32, tokens.bit_length() + SPARE_BITS))
+
+
+def _send(buckets: int, bits: int, shingle: int):
+    cut, shift = np.uint64(64 - bits), np.uint64(bits - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts = np.unique(shingle_sets(Block(row), shingle)[0] >> KEY_SHIFT, return_counts=True)
+                keys, counts = np.unique(shingle_sets(Block(row), shingle)[0] >> cut, return_counts=True)
                 at = (keys >> shift).astype(np.int64)
                 there = np.unique(at)
                 cuts = np.searchsorted(at, there)
@@ -113,14 +119,16 @@ def _octaves(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "octaves": pa.array([x.tobytes() for x in np.split(octave, cuts)], pa.binary())})
 
 
-def _sets(shingle: int):
+def _sets(bits: int, shingle: int):
+    cut = np.uint64(64 - bits)
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in SETS.split(", ")]
         answers = sorted(right.select(["bucket", "octaves"]).to_pylist(), key=lambda r: r["bucket"])
         for row in left.to_pylist():
             block = Block(row)
             keys, sizes = shingle_sets(block, shingle)
-            inverse = np.unique(keys >> KEY_SHIFT, return_inverse=True)[1]
+            inverse = np.unique(keys >> cut, return_inverse=True)[1]
             octave = np.frombuffer(b"".join(r["octaves"] for r in answers), np.uint8)[inverse]
             ends, seen = np.cumsum(sizes), set()
             common = np.r_[0, np.cumsum(octave > 0)]
@@ -227,11 +235,14 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id
     blocks = materialize(kept.mapInArrow(word_blocks, BLOCKS), "gram-blocks")
     size = blocks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("n"), F.count("*").alias("blocks")).first()
     buckets = power_of_two(max(4 * partitions(spark), -(-(size.n // 4) // BUCKET_KEYS)))
-    sent = blocks.mapInArrow(_send(buckets, shingle), KEYS).repartition(max(partitions(spark), buckets // 2), "bucket")
+    bits = key_bits(size.n // 4)
+    sent = blocks.mapInArrow(_send(buckets, bits, shingle), KEYS).repartition(max(partitions(spark), buckets // 2), "bucket")
     answers = sent.groupBy("bucket").applyInArrow(_octaves, ANSWERS)
     tasks = max(partitions(spark), size.blocks)
     left, right = (x.repartition(tasks, "block").groupBy("block") for x in (blocks, answers))
-    return materialize(left.cogroup(right).applyInArrow(_sets(shingle), SETS), "gram-sets")
+    sets = materialize(left.cogroup(right).applyInArrow(_sets(bits, shingle), SETS), "gram-sets")
+    discard(blocks)
+    return sets
 
 
 def _parts(nodes: DataFrame, key: str) -> DataFrame:
@@ -246,7 +257,7 @@ def _within_groups(nodes: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     out = None
     while True:
         now = materialize(_parts(chosen, key), "group-parts")
-        held = nodes.select("node", "tokens").join(now, "node")
+        held = nodes.select("node", "tokens").join(small(now), "node")
         found = materialize(held.groupBy("key", "part").applyInArrow(_forest, EDGES), "group-links")
         out = found if out is None else out.unionByName(found)
         first = now.where("parts > 1").groupBy("key", "part").agg(F.min("node").alias("node"))
@@ -271,14 +282,15 @@ def _across_groups(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
     """Links between labels, by the matrix: every link between sets of different labels makes one."""
     begin, size = F.col("skip") + 1, F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("skip")
     prefix = nodes.select("node", "n", "skip", F.posexplode(F.slice("tokens", begin, F.greatest(size, F.lit(0)).cast("int"))).alias("at", "token"))
-    entries = prefix.select("node", "n", "token", (F.col("n") - F.col("skip") - F.col("at")).alias("rest")).join(labelled, "node")
+    entries = prefix.select("node", "n", "token", (F.col("n") - F.col("skip") - F.col("at")).alias("rest")).join(small(labelled), "node")
     found = materialize(_candidates(entries), "group-candidates")
     load = found.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
     salted = lambda groups: groups.join(load, "gid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     sets = nodes.select("node", "n", "tokens")
+    # Only narrow rows meet first, so that tokens move once.
     asked = found.join(load, "gid").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).join(labelled.select("node", "label"), "node")
-    asked = asked.join(sets, "node").select("gid", "salt", "label", "tokens")
-    members = labelled.join(load.select("gid"), "gid", "left_semi").join(sets, "node")
+    asked = sets.join(small(materialize(asked.select("node", "gid", "salt", "label"), "group-asked")), "node").select("gid", "salt", "label", "tokens")
+    members = sets.join(small(materialize(labelled.join(load.select("gid"), "gid", "left_semi"), "group-members")), "node")
     unions = members.groupBy("gid").applyInArrow(_union, "gid long, least long, union binary")
     kept = salted(unions).groupBy("gid", "salt").cogroup(asked.groupBy("gid", "salt")).applyInArrow(_bound, "gid long, salt int, label long, tokens array<long>")
     kept = materialize(kept, "group-queries")
