@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..functions.taxonomy import stripped
+from ..sources.staging import cut
 from .answers import first_object, json_candidates
 
 #: All actions of a step.
@@ -148,6 +149,7 @@ def _is_unbalanced(text: str | None) -> bool:
 def audit(items: DataFrame) -> DataFrame:
     """(item_id, tc_id, risk) for risks of cases: repeats, checks of another template, visual checks only; without a case for items with very many."""
     plain = lambda c: F.lower(stripped(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " ")))
+    items = cut(items, "items")  # read by seven branches
     # All fields of a step but its place tell it from others.
     signature = lambda tc: F.to_json(F.transform(tc["steps"], lambda s: s.dropFields("pos")))
     # Repeats are found within an item's own array, so items without an id stay apart.

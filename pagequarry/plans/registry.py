@@ -6,9 +6,9 @@ A plan module holds ``QUERIES`` (name -> function of spark and table folder) and
 
 from __future__ import annotations
 
-from . import analysis_queries, answer_queries, bilingual_queries, curation_queries, evidence_queries, item_queries, page_queries, quality_queries, record_queries, repair_queries, source_queries, stream_queries, tcpool_queries, text_queries
+from . import analysis_queries, answer_queries, bilingual_queries, case_queries, curation_queries, evidence_queries, item_queries, page_queries, quality_queries, record_queries, repair_queries, source_queries, stream_queries, tcpool_queries, text_queries
 
-MODULES = [analysis_queries, answer_queries, bilingual_queries, tcpool_queries, page_queries, evidence_queries, curation_queries, quality_queries, repair_queries, stream_queries, record_queries, item_queries, text_queries, source_queries]
+MODULES = [analysis_queries, answer_queries, bilingual_queries, case_queries, tcpool_queries, page_queries, evidence_queries, curation_queries, quality_queries, repair_queries, stream_queries, record_queries, item_queries, text_queries, source_queries]
 
 
 def queries() -> dict:
