@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import components, decontaminate, jaccard_groups, mixing, quality, simhash, token_files
-from pagequarry.llm.common import ROW, materialize, numbered, read, session, shared_dir, without_ids
+from pagequarry.llm.common import free_name, materialize, numbered, read, session, shared_dir, without_ids
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,15 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Groups are those of links by SimHash (three words, three bits) and by five-word shingles (similarity 0.8 or more).  Texts without
     words are one group.  A row stays or goes by its own text, whatever its id.
     """
-    rows = numbered(docs)
-    groups = simhash.near_duplicates(rows, shingle=3, id_col=ROW).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    similar = jaccard_groups.similar_sets(rows, id_col=ROW).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    named = components.components(groups.unionByName(similar).where("a <> b")).select(F.col("node").alias(ROW), "component")
-    named = materialize(named.join(rows.select(ROW, "doc_id"), ROW), "near-duplicates")
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first"))
-    gone = materialize(named.select(ROW).join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti"), "near-duplicate-rows")
-    return without_ids(rows, gone, id_col=ROW).drop(ROW)
+    row = free_name(docs)
+    rows = numbered(docs, name=row)
+    groups = simhash.near_duplicates(rows, shingle=3, id_col=row).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    similar = jaccard_groups.similar_sets(rows, id_col=row).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    named = components.components(groups.unionByName(similar).where("a <> b")).select("node", "component")
+    named = materialize(named.join(rows.select(F.col(row).alias("node"), "doc_id"), "node"), "near-duplicates")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("first"))
+    gone = materialize(named.select("node").join(first.select(F.col("first.node").alias("node")), "node", "left_anti").select(F.col("node").alias(row)), "near-duplicate-rows")
+    return without_ids(rows, gone, id_col=row).drop(row)
 
 
 def unleaked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,9 @@ def unleaked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources weigh the same, in random order."""
-    return mixing.mix(docs, copy_col="__copy", key_col="__key").drop("__copy", "__key")
+    # Whole rows travel as one column, so that no name of theirs meets one of the operator's.
+    rows = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return mixing.mix(rows).select("row.*")
 
 
 def token_id_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +61,40 @@ def power_of_two(n: int) -> int:
     return 1 << max(0, (n - 1).bit_length())
 
 
-def numbered(docs: DataFrame, tag: str = "numbered") -> DataFrame:
-    """``docs`` with a number of its own for every row (``ROW``), written so that the numbers stay; ids may be null or repeated."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), tag)
+def free_name(docs: DataFrame, name: str = ROW) -> str:
+    """``name``, or one like it that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _of_files(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is a row of a file: a scan, of which rows and columns may have been left out, and nothing else."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def numbered(docs: DataFrame, tag: str = "numbered", name: str = ROW) -> DataFrame:
+    """``docs`` with a number of its own for every row (``name``) that stays from scan to scan; ids may be null or repeated.
+
+    A table read from Parquet files is numbered by file and place in the file; any other is written first.
+    """
+    file, place = free_name(docs, "__file"), free_name(docs, "__place")
+    at = None
+    if _of_files(docs):
+        try:
+            at = docs.withColumns({file: F.col("_metadata.file_path"), place: F.col("_metadata.row_index")})
+        except AnalysisException:  # files of another format
+            pass
+    if at is None:
+        return materialize(docs.withColumn(name, F.monotonically_increasing_id()), tag)
+    # One row per file; files hold fewer than 2 ** 33 rows.
+    files = materialize(at.select(file).distinct().coalesce(1).select(F.col(file).alias("__of"), F.monotonically_increasing_id().alias("__number")), f"{tag}-files")
+    number = F.shiftleft("__number", 33).bitwiseOR(F.col(place))
+    return at.join(small(files), F.col(file) == F.col("__of")).withColumn(name, number).select(*(F.col(f"`{c}`") for c in docs.columns), name)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS, id_col: str = "doc_id") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, numbered, session, text_bytes, without_ids
+from .common import free_name, materialize, numbered, session, text_bytes, without_ids
 
 SHINGLE, CONTAINMENT = 5, 0.8
 HASHES = 64
@@ -337,6 +337,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item of the benchmark; each row by its own text, whatever its id."""
-    rows = numbered(docs)
-    leaks = materialize(find_leaks(rows, benchmark, id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct(), "leaks")
-    return without_ids(rows, leaks, id_col=ROW).drop(ROW)
+    row = free_name(docs)
+    rows = numbered(docs, name=row)
+    leaks = materialize(find_leaks(rows, benchmark, id_col=row).select(F.col("doc_id").alias(row)).distinct(), "leaks")
+    return without_ids(rows, leaks, id_col=row).drop(row)

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, session, shared_dir
@@ -147,23 +148,31 @@ def write_files(docs: DataFrame, path: str, out: str, id_col: str = "doc_id", te
             yield close()
 
     coded = encoded.mapInArrow(code, "id long, n long, control binary, data binary")
-    bounds = _bounds(encoded, partitions(spark))
-    placed = coded.repartitionById(len(bounds) + 1, _place(F.col("id"), bounds))
+    nulls, bounds = _bounds(encoded, partitions(spark))
+    placed = coded.repartitionById(nulls + sum(m for _, m in bounds) + 1, _place(F.col("id"), nulls, bounds))
     ordered = placed.sortWithinPartitions(F.col("id").asc_nulls_first(), "n", "data", "control")
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{out}/blocks")
 
 
-def _bounds(encoded: DataFrame, parts: int) -> list[int]:
-    """Ids that cut the documents into about equal ranges; only the id column is read."""
+def _bounds(encoded: DataFrame, parts: int) -> tuple[int, list[tuple[int, int]]]:
+    """Parts for null ids, and ids that cut the documents into about equal ranges, each with the number of parts that it takes itself (more than
+    one where many documents have the id); only the id column is read."""
+    size = encoded.agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    nulls = -(-parts * size.nulls // size.n) if size.nulls else 0
     found = encoded.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    return sorted({int(x) for x in found})
+    return nulls, sorted(Counter(int(x) for x in found).items())
 
 
-def _place(id_col, bounds: list[int]):
-    """The number of the range that holds an id: how many bounds are below it; null ids come first."""
+def _place(id_col: Column, nulls: int, bounds: list[tuple[int, int]]) -> Column:
+    """The part of a document: null ids first, then as many parts as the bounds below the id take; documents of one id are dealt by their tokens."""
+    dealt = lambda m: F.pmod(F.xxhash64("data", "n"), m).cast("int")
+    none = dealt(F.lit(max(nulls, 1)))
     if not bounds:
-        return F.lit(0)
-    return F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < id_col)), F.lit(0))
+        return F.when(id_col.isNull(), none).otherwise(F.lit(nulls))
+    table = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(m).alias("m")) for b, m in bounds))
+    below = F.aggregate(table, F.lit(nulls), lambda at, x: at + F.when(x["b"] < id_col, x["m"]).otherwise(0))
+    own = F.get(F.filter(table, lambda x: x["b"] == id_col), 0)["m"]
+    return F.when(id_col.isNull(), none).otherwise(below + F.when(own > 1, dealt(own)).otherwise(0))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

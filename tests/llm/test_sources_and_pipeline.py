@@ -10,7 +10,7 @@ from itertools import combinations
 
 import corpus_pipeline
 import pytest
-from pagequarry.llm import license_texts, licenses, mixing, queries, simhash
+from pagequarry.llm import jaccard_groups, license_texts, licenses, mixing, queries, simhash
 from pyspark.sql import functions as F
 
 
@@ -211,3 +211,30 @@ def test_pipeline_rows_with_null_and_repeated_ids(spark, odd, sf):
     assert left(corpus_pipeline.unleaked_documents, leaky) == Counter([(None, b), (5, b), (6, c), (6, c)])
     assert left(corpus_pipeline.distinct_documents, [(3, a), (5, a), (5, b)]) == Counter([(3, a), (5, b)])
     assert left(corpus_pipeline.distinct_documents, [(None, near), (3, a), (None, b), (None, b), (7, c), (7, c)]) == Counter([(3, a), (None, b), (7, c)])
+
+
+def test_pipeline_keeps_columns_named_like_its_own(spark, odd, sf):
+    names = ("__row_number", "_row", "row", "node", "__u", "__copies", "__pieces", "copy_no", "mix_key", "__gone", "component", "id", "digest", "doc")
+    own = odd.withColumns({n: F.concat(F.lit(f"{n}-"), F.coalesce("text", F.lit(""))) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, own, sf)
+        assert out.columns == own.columns, name
+        rows = out.select(*(f"`{n}`" for n in names), "text").collect()
+        assert rows and all(r[n] == f"{n}-{r.text or ''}" for r in rows for n in names), name
+
+
+def test_near_copies_beside_weaker_links_are_found(spark):
+    """Ten texts that share most of a page, four pairs of which are near copies: the links between pairs are too weak, those within them aren't."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    page = rng.choices(vocabulary, k=300)
+    texts = []
+    for i in range(10):
+        base = page + rng.choices(vocabulary, k=60) if i % 2 == 0 or i >= 8 else list(texts[-1])
+        if i % 2 and i < 8:
+            base[310] = f"changed{i}"
+        texts.append(base)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_groups.similar_sets(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 9}

@@ -129,3 +129,17 @@ def test_files_of_odd_documents(odd, empty, library):
     assert [r.start for r in ordered] == [sum(x.n_tokens for x in ordered[:i]) for i in range(len(ordered))]
     assert [r.doc_id or 0 for r in ordered] == sorted(r.doc_id or 0 for r in ordered)
     assert token_files.round_trip(empty, PATH).count() == 0
+
+
+def test_equal_and_null_ids_are_dealt_over_parts(spark, tmp_path):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    path = f"file://{tmp_path}/tokens"
+    token_files.write_files(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
+    parts = [r.n for r in spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.size("ids")).alias("n")).collect()]
+    assert sum(parts) == 3000 and max(parts) < 1300 and len(parts) >= 4
+    rows = sorted(token_files.read_files(spark, path).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in rows]
+    assert ids == [None] * 1000 + sorted(i for i in ids if i is not None) and [r.start for r in rows[1:]] == [r.start + r.n_tokens for r in rows[:-1]]
