@@ -5,6 +5,8 @@ Items are nested (``test_cases`` with ``steps``); they are unrolled once and eve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,7 +15,6 @@ from pyspark.sql.types import BooleanType
 
 from ..functions.taxonomy import stripped
 from ..sources.staging import cut
-from .answers import first_object, json_candidates
 
 #: All actions of a step.
 ACTIONS = (
@@ -268,6 +269,23 @@ def unbalanced_steps(items: DataFrame) -> DataFrame:
 
 
 def json_objects(texts: DataFrame) -> DataFrame:
-    """(id, object): the first balanced JSON object in each text that parses, or null."""
-    parsed = first_object(json_candidates(F.col("text"), every=True))
-    return texts.select("id", F.to_json(parsed).alias("object"))
+    """(id, object): the first JSON object in each text that parses, from whichever brace, or null."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        decoder = json.JSONDecoder()
+
+        def first(text: str | None) -> str | None:
+            at = (text or "").find("{")
+            while at >= 0:
+                try:
+                    return json.dumps(decoder.raw_decode(text, at)[0], sort_keys=True)
+                except (ValueError, RecursionError):
+                    at = text.find("{", at + 1)
+            return None
+
+        for part in parts:
+            yield pd.DataFrame({"id": part["id"], "object": part["text"].map(first)})
+
+    return texts.select("id", "text").mapInPandas(run, "id long, object string")

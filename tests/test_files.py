@@ -63,7 +63,7 @@ def test_trace_heads(spark):
 def test_listings_hold_no_contents(spark, root):
     found = listing.files(spark, f"{root}/en", "*.jsonl")
     assert sorted(r.relative for r in found.collect()) == ["b.jsonl", "sub/a.jsonl"]
-    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "content:" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_screenshots_fall_back(spark):
