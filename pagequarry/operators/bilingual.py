@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,19 +24,29 @@ COUNTERS = {
     "includes": "js_includes_patches",
 }
 READ = ("action", "text", "text_pattern", "expression")
+#: Characters of a step whose edit a task keeps for its repeats, and how many edits it keeps.
+SHORT_STEP, STEPS_KEPT = 1000, 4096
 EDIT = "array<array<struct<text_pattern string, expression string, " + ", ".join(f"{c} int" for c in COUNTERS) + ">>>"
 
 
 def step_edits(cases: Column, fields: list[str], terms: dict | None = None) -> Column:
     """What a glossary changes in each step of each case of an item, nested as the steps are."""
-    glossary = Glossary(terms or TERMS)
+    glossary, own = Glossary(terms or TERMS), [f for f in READ if f in fields]
 
     @F.pandas_udf("string")
     def edits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def told(step: tuple) -> str:
+            return json.dumps(glossary.step(dict(step)), ensure_ascii=False)
+
+        known = lru_cache(STEPS_KEPT)(told)
+
+        def one(step: dict) -> str:
+            row = tuple(step.items())
+            return (known if sum(len(x) for x in step.values() if x) <= SHORT_STEP else told)(row)
+
         for part in parts:
-            yield part.map(lambda nested: json.dumps([[glossary.step(s) for s in steps] for steps in json.loads(nested)], ensure_ascii=False))
+            yield part.map(lambda nested: "[" + ",".join("[" + ",".join(map(one, steps)) + "]" for steps in json.loads(nested)) + "]")
 
-    own = [f for f in READ if f in fields]
     read = F.transform(cases, lambda c: F.transform(F.coalesce(c["steps"], F.array()), lambda s: F.struct(*(s[f].alias(f) for f in own))))
     return F.from_json(edits(F.to_json(read)), EDIT)
 
@@ -78,14 +89,9 @@ def bilingual_cases(rows: DataFrame, terms: dict | None = None) -> DataFrame:
     return known.withColumn("test_cases", F.transform("test_cases", case))
 
 
-def _paired(main: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
-    a, b = (x.select("file", "pos", F.struct(*columns).alias(n)) for x, n in ((main, "a"), (other, "b")))
-    return a.join(b, ["file", "pos"], "full")
-
-
-def checked(main: DataFrame, other: DataFrame) -> None:
-    """ValueError if the editions have other numbers of rows in a file, or other ids at a place."""
-    both = _paired(main, other, ["item_id"])
+def checked(both: DataFrame) -> None:
+    """ValueError if two editions (file, pos, a and b: structs with item_id, null where a side has no row) have other numbers of rows in a
+    file, or other ids at a place."""
     sizes = both.groupBy("file").agg(F.count("a").alias("main"), F.count("b").alias("other")).where("main <> other").orderBy("file").first()
     if sizes is not None:
         raise ValueError(f"line count mismatch for {sizes.file}: {sizes.main} and {sizes.other}")
@@ -101,17 +107,19 @@ def synced(main: DataFrame, other: DataFrame, language: str = "zh", fields: tupl
     stays the other's own, and the language; steps' texts and scripts accept both languages.  Counters tell what was looked at, patched,
     skipped, and which fields and rows (by file) differ from what was there.
     """
-    checked(main, other)
     columns = main.columns
     fields = tuple(f for f in fields if f in columns)
+    # Each side is read once: rows without a counterpart are written too, for the check, and left out behind it.
     old = other.select("file", "pos", F.struct(*columns).alias("old"))
-    made = bilingual_cases(main, terms).join(old, ["file", "pos"])
+    made = bilingual_cases(main, terms).withColumn("a", F.struct("item_id")).join(old, ["file", "pos"], "full").withColumn("b", F.when(F.col("old").isNotNull(), F.struct("old.item_id")))
     made = made.withColumn("prompt", F.coalesce("old.prompt", F.lit(""))).withColumn("language", F.lit(language))
     differ = lambda c: ~F.col(c).eqNullSafe(F.col(f"old.{c}"))
     changed = F.lit(False)
     for c in columns:
         changed = changed | differ(c)
-    made = cut(made.withColumn("changed", changed).withColumn("moved", F.filter(F.array(*(F.when(differ(f), F.lit(f)) for f in fields)).cast("array<string>"), lambda x: x.isNotNull())), "synced")
+    made = cut(made.withColumn("changed", changed).withColumn("moved", F.filter(F.array(*(F.when(differ(f), F.lit(f)) for f in fields)).cast("array<string>"), lambda x: x.isNotNull())).drop("old"), "synced")
+    checked(made)
+    made = made.where("a is not null and b is not null")
     flat = F.flatten("edits")
     total = lambda name: F.aggregate(flat, F.lit(0).cast("long"), lambda s, e: s + F.coalesce(e[name], F.lit(0)))
     sums = [F.sum(total(k)).alias(v) for k, v in COUNTERS.items()]

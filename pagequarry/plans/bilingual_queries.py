@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.glossary import TERMS, YIELDS
 from ..operators import bilingual as B
+from ..sources.staging import cut
 from ..sources.tables import table
 
 PHRASES = (
@@ -29,21 +30,21 @@ def _steps(spark, sf_dir):
     script = F.when(k % 29 == 0, RISK).otherwise(F.concat(_at(LEFT, k), phrase, _at(RIGHT, k)))
     step = F.struct("l_linenumber", "l_partkey", "l_suppkey", action.alias("action"), F.when(k % 2 == 0, phrase).alias("text"), F.when(k % 2 == 1, phrase).alias("text_pattern"), F.when(~F.col("action_free"), script).alias("expression"))
     rows = table(spark, sf_dir, "lineitem").withColumn("action_free", action.isin("wait", "click_text"))
-    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(step)).alias("steps"))  # an order's lines are few
+    return rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(step)).alias("steps"))  # an order's lines are few
 
 
 def _main(spark, sf_dir):
     """Items from customers, with orders as cases and lines as steps."""
     orders = table(spark, sf_dir, "orders").join(_steps(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     case = F.struct(F.col("o_orderkey").alias("n"), F.col("o_orderkey").cast("string").alias("id"), "steps")
-    cases = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(case)).alias("t"))
+    cases = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(case)).alias("t"))
     bare = F.transform("t", lambda c: F.struct(c["id"].alias("id"), F.transform(c["steps"], lambda s: s.dropFields("l_linenumber", "l_partkey", "l_suppkey")).alias("steps")))
     people = table(spark, sf_dir, "customer").join(cases, F.col("c_custkey") == F.col("o_custkey"), "left")
     return people.select(F.col("c_mktsegment").alias("file"), F.col("c_custkey").alias("pos"), F.col("c_custkey").cast("string").alias("item_id"), F.lit("en").alias("language"), F.col("c_name").alias("prompt"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("category"), bare.alias("test_cases"))
 
 
 def _synced(spark, sf_dir):
-    main = _main(spark, sf_dir)
+    main = cut(_main(spark, sf_dir), "main-edition")  # read by both editions
     k = F.col("pos")
     other = main.withColumns({"language": F.lit("zh"), "prompt": F.when(k % 17 != 0, F.concat(F.lit("客户 "), "prompt")), "category": F.when(k % 5 == 0, "old").otherwise(F.col("category"))})
     return B.synced(main, other)
@@ -81,12 +82,12 @@ def _objects(spark, sf_dir, other: bool):
     action = _at(("click_text", "wait", "assert_text_contains"), p)
     optional = F.when(p % 47 == 0, F.lit(None)).otherwise(F.lit(True)) if other else F.lit(True)
     step = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(action.alias("action"), keyed.alias("selector"), pattern.alias("text_pattern"), optional.alias("optional"), p.alias("_source")).alias("s"))
-    steps = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]).alias("steps"))
+    steps = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(step)), lambda x: x["s"]).alias("steps"))
     orders = table(spark, sf_dir, "orders").join(steps, o == F.col("l_orderkey"), "left")
     orders = orders.where(o % 61 != 0) if other else orders
     name = F.when(o % 41 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")) if other else F.col("o_orderpriority")
     case = F.struct(o.alias("n"), F.struct(o.alias("id"), name.alias("name"), F.col("steps")).alias("c"))
-    cases = orders.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(case)), lambda x: x["c"]).alias("test_cases"))
+    cases = orders.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(case)), lambda x: x["c"]).alias("test_cases"))
     people = table(spark, sf_dir, "customer").where("c_mktsegment <> 'FURNITURE'" if other else "true").where(k % 53 != 0 if other else F.lit(True))
     title = F.when(k % 37 == 0, "other").otherwise(F.col("c_name")) if other else F.col("c_name")
     item = F.to_json(F.struct(k.alias("id"), F.lit("zh" if other else "en").alias("language"), F.col("c_nationkey").alias("category"), title.alias("title"), (k * (2 if other else 1)).alias("_row"), F.col("test_cases")))
