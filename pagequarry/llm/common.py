@@ -8,10 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import cut, folder
-
-#: Rows and bytes that one Arrow batch holds at most, so that long texts don't fill a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
+from ..sources.staging import bounded, cut, folder
 
 #: Ids that are broadcast at most for an anti join (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -24,9 +21,7 @@ ROW = "__row_number"
 
 def session(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches by rows and bytes; whole long texts stay whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
+    return bounded(spark)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -7,6 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes that one Arrow batch holds at most, so that long texts don't fill a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches by rows and bytes; whole long texts stay whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
 
 def folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share; a new local one where it is unset in local mode."""
