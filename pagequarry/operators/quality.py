@@ -96,7 +96,7 @@ def violations(items: DataFrame) -> DataFrame:
         F.when((action == "assert_screenshot_changed") & ~F.col("seeded"), "screenshot seed missing"), F.when(runs & (stripped(text) == ""), "empty expression"),
         F.when(written & bad_selectors(text), "malformed querySelector"), F.when(written & _contains_any(text, CUT_OFF), "truncated fragment"),
     )
-    return rows.select("item_id", "tc_id", "pos", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+    return rows.select("item_id", "tc_id", "pos", F.explode_outer(F.filter(rules, lambda r: r.isNotNull())).alias("rule")).where("rule is not null")
 
 
 def missing_parts(items: DataFrame) -> DataFrame:
@@ -157,9 +157,13 @@ def audit(items: DataFrame) -> DataFrame:
     own = items.select("item_id", plain(F.col("prompt")).alias("prompt"), F.transform("test_cases", signature).alias("signatures"), F.transform("test_cases", lambda tc: plain(tc["name"])).alias("names"), F.posexplode("test_cases").alias("at", "tc"))
     flat = own.withColumns({"signature": F.get("signatures", F.col("at")), "name": F.get("names", F.col("at"))})
     again = lambda values, c: F.array_position(values, F.col(c)) <= F.col("at")
-    flat = flat.select("item_id", "prompt", F.col("tc.id").alias("tc_id"), "name", "signature", F.col("tc.steps").alias("steps"), again("signatures", "signature").alias("same_steps"), again("names", "name").alias("same_name"))
+    # Explode computes what it is given as often as it is named there (and twice, for its size, unless it is outer), so the text and the first screenshot's place are columns.
+    flat = flat.select(
+        "item_id", "prompt", F.col("tc.id").alias("tc_id"), "name", F.col("tc.steps").alias("steps"), again("signatures", "signature").alias("same_steps"), again("names", "name").alias("same_name"),
+        F.concat_ws(" ", "name", plain(F.col("signature"))).alias("text"), F.array_position(F.transform("tc.steps", lambda s: s["action"]), "screenshot").alias("taken"),
+    )
     has = lambda *actions: F.exists("steps", lambda s: s["action"].isin(*actions))
-    text = F.concat_ws(" ", "name", plain(F.col("signature")))
+    text, taken = F.col("text"), F.col("taken")
     risks = F.array(
         F.when(F.col("same_steps"), "exact_duplicate_steps"), F.when(F.col("same_name") & (F.col("name") != ""), "duplicate_tc_name"), F.when(F.contains(text, F.lit(EMPTY_SUBMIT)) & ~_contains_any(F.col("prompt"), FORM_WORDS), "cross_template_empty_submit"),
         F.when(_contains_any(text, ADD_BUTTON) & ~_contains_any(F.col("prompt"), ADD_WORDS), "cross_template_add_button"),
@@ -169,17 +173,14 @@ def audit(items: DataFrame) -> DataFrame:
     )
     crowded = items.where(F.size("test_cases") > MANY_CASES).select("item_id", F.lit(None).cast("string").alias("tc_id"), F.lit("high_tc_density").alias("risk"))
     # Risks of steps count once per step.
-    taken = F.array_position(F.transform("steps", lambda s: s["action"]), "screenshot")
-
     def of_step(s: Column, i: Column) -> Column:
         seed = F.when((s["action"] == "assert_screenshot_changed") & ((taken == 0) | (i < taken)), "screenshot_changed_without_prior_screenshot")
         blank = F.when(s["action"] == "assert_screenshot_not_blank", "generic_screenshot_not_blank")
         return F.coalesce(seed, blank, F.when((s["action"] == "assert_visible") & plain(s["selector"]).isin(*SURFACES), "broad_surface_visible"))
 
-    stepwise = flat.select("item_id", "tc_id", F.explode(F.filter(F.transform("steps", of_step), lambda r: r.isNotNull())).alias("risk"))
     invalid = all_violations(items).select("item_id", "tc_id", F.lit("validator_error").alias("risk"))
-    found = flat.select("item_id", "tc_id", F.explode(F.filter(risks, lambda r: r.isNotNull())).alias("risk"))
-    return found.unionByName(crowded).unionByName(stepwise).unionByName(invalid)
+    found = flat.select("item_id", "tc_id", F.explode_outer(F.filter(F.concat(risks, F.transform("steps", of_step)), lambda r: r.isNotNull())).alias("risk")).where("risk is not null")
+    return found.unionByName(crowded).unionByName(invalid)
 
 
 def severity(risk: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pagequarry.operators import bilingual as B
+from pagequarry.operators import quality as Q
 from pagequarry.sources.staging import BATCH_ROWS
 from pagequarry.sources.tables import table
 from pyspark.sql import functions as F
@@ -42,3 +43,12 @@ def test_editions_are_read_once(spark):
     assert rows.select(F.explode("test_cases.steps").alias("s")).select(F.explode("s.text_pattern")).distinct().collect() == [("save|保存",)]
     assert {r.name: r.n for r in counters.collect()}["click_text_steps_patched"] == 40
     assert (a.value, b.value) == (20, 20)
+
+
+def test_risks_of_a_case_are_computed_once(spark):
+    steps = [(i, "assert_visible", "svg, canvas", None, None, None) for i in range(3)]
+    rows = [(f"i{i}", "Make a form", [("c", "heatmap", 1.0, steps)]) for i in range(5)]
+    found = Q.audit(spark.createDataFrame(rows, Q.ITEMS))
+    assert {r.risk: r["count"] for r in found.groupBy("risk").count().collect()} == {"broad_surface_visible": 15, "cross_template_heatmap": 5}
+    # Risks of cases and of their steps come from one explode; the other three are those of broken rules.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("explode(filter(") == 4
