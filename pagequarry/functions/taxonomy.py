@@ -39,8 +39,13 @@ def _lookup(values: dict[str, str], key: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """Without white space at both ends; null becomes empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    """Without white space at both ends; null becomes empty.
+
+    Trimming does what the expression would, in a fraction of its time, but before a last line separator, where ``$`` matches too.
+    """
+    text = F.coalesce(text, F.lit(""))
+    separated = text.endswith("\u0085") | text.endswith("\u2028") | text.endswith("\u2029")
+    return F.when(separated, F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(F.btrim(text, F.lit(" \t\n\x0b\f\r")))
 
 
 def family(category: Column) -> Column:

@@ -5,7 +5,7 @@ Items are nested (``test_cases`` with ``steps``); they are unrolled once and eve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,19 +83,29 @@ def bad_selectors(expression: Column) -> Column:
     return F.exists(found, empty_group)
 
 
-def violations(items: DataFrame) -> DataFrame:
-    """(item_id, tc_id, pos, rule) for every broken rule but unbalanced delimiters; a step without a known action breaks that rule only."""
-    rows = steps(items)
-    action, text = F.coalesce("action", F.lit("")), F.coalesce("expression", F.lit(""))
+def step_rules(of: Callable[[str], Column], seeded: Column) -> list[Column]:
+    """A column per rule for one step, whose fields ``of`` gives: the rule's name, or null where it is kept."""
+    action, text = F.coalesce(of("action"), F.lit("")), F.coalesce(of("expression"), F.lit(""))
     known, runs = action.isin(*ACTIONS), action.isin("assert_js_value", "eval_js")
-    step = F.col("pos").isNotNull()
+    step = of("pos").isNotNull()
     written = runs & (stripped(text) != "")
-    rules = F.array(
-        F.when(~step, "no steps"), F.when(step & (action == ""), "missing action"), F.when(step & (action != "") & ~known, "unknown action"), F.when(known & action.isin(*SELECTING) & empty_group(F.col("selector")), "empty selector"),
-        F.when((action == "assert_count") & (F.lower(stripped(F.col("selector"))) == "body") & (F.coalesce(F.col("gte") > 1, F.lit(False)) | F.coalesce(F.col("eq") > 1, F.lit(False))), "vacuous body count"),
-        F.when((action == "assert_screenshot_changed") & ~F.col("seeded"), "screenshot seed missing"), F.when(runs & (stripped(text) == ""), "empty expression"),
+    return [
+        F.when(~step, "no steps"), F.when(step & (action == ""), "missing action"), F.when(step & (action != "") & ~known, "unknown action"), F.when(known & action.isin(*SELECTING) & empty_group(of("selector")), "empty selector"),
+        F.when((action == "assert_count") & (F.lower(stripped(of("selector"))) == "body") & (F.coalesce(of("gte") > 1, F.lit(False)) | F.coalesce(of("eq") > 1, F.lit(False))), "vacuous body count"),
+        F.when((action == "assert_screenshot_changed") & ~seeded, "screenshot seed missing"), F.when(runs & (stripped(text) == ""), "empty expression"),
         F.when(written & bad_selectors(text), "malformed querySelector"), F.when(written & _contains_any(text, CUT_OFF), "truncated fragment"),
-    )
+    ]
+
+
+def _scripted(of: Callable[[str], Column]) -> Column:
+    """Whether a step has a script that may be unbalanced."""
+    return of("action").isin("assert_js_value", "eval_js") & (stripped(of("expression")) != "") & ~_contains_any(of("expression"), CUT_OFF)
+
+
+def violations(items: DataFrame) -> DataFrame:
+    """(item_id, tc_id, pos, rule) for every broken rule but unbalanced delimiters; a step without a known action breaks that rule only."""
+    rows = steps(items)
+    rules = F.array(*step_rules(F.col, F.col("seeded")))
     return rows.select("item_id", "tc_id", "pos", F.explode_outer(F.filter(rules, lambda r: r.isNotNull())).alias("rule")).where("rule is not null")
 
 
@@ -103,11 +113,17 @@ def missing_parts(items: DataFrame) -> DataFrame:
     """(item_id, tc_id, pos, rule) for items without id, prompt or test cases that are a list, and cases without id or name."""
     present = lambda rules: F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("rule")
     none = F.lit(None).cast("string").alias("tc_id"), F.lit(None).cast("long").alias("pos")
-    own = [F.when(F.col("item_id").isNull(), "missing id"), F.when(F.col("prompt").isNull(), "missing prompt"), F.when(F.col("test_cases").isNull(), "test cases aren't a list")]
     cases = items.select("item_id", F.explode("test_cases").alias("tc"))
-    within = [F.when(F.col("tc.id").isNull(), "missing case id"), F.when(F.col("tc.name").isNull(), "missing case name")]
-    found = cases.select("item_id", F.col("tc.id").alias("tc_id"), F.lit(None).cast("long").alias("pos"), present(within))
-    return items.select("item_id", *none, present(own)).unionByName(found)
+    found = cases.select("item_id", F.col("tc.id").alias("tc_id"), F.lit(None).cast("long").alias("pos"), present(_case_rules()))
+    return items.select("item_id", *none, present(_item_rules())).unionByName(found)
+
+
+def _item_rules() -> list[Column]:
+    return [F.when(F.col("item_id").isNull(), "missing id"), F.when(F.col("prompt").isNull(), "missing prompt"), F.when(F.col("test_cases").isNull(), "test cases aren't a list")]
+
+
+def _case_rules() -> list[Column]:
+    return [F.when(F.col("tc.id").isNull(), "missing case id"), F.when(F.col("tc.name").isNull(), "missing case name")]
 
 
 def all_violations(items: DataFrame) -> DataFrame:
@@ -147,20 +163,29 @@ def _is_unbalanced(text: str | None) -> bool:
     return bool(opened)
 
 
+#: A word without blanks out of each mark that a case's text is searched for.
+MARK_WORDS = ("validation", "requires", "feature", "bold", "preview", "markdown", "heatmap")
+
+
 def audit(items: DataFrame) -> DataFrame:
     """(item_id, tc_id, risk) for risks of cases: repeats, checks of another template, visual checks only; without a case for items with very many."""
     plain = lambda c: F.lower(stripped(F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", " ")))
-    items = cut(items, "items")  # read by seven branches
     # All fields of a step but its place tell it from others.
     signature = lambda tc: F.to_json(F.transform(tc["steps"], lambda s: s.dropFields("pos")))
-    # Repeats are found within an item's own array, so items without an id stay apart.
-    own = items.select("item_id", plain(F.col("prompt")).alias("prompt"), F.transform("test_cases", signature).alias("signatures"), F.transform("test_cases", lambda tc: plain(tc["name"])).alias("names"), F.posexplode("test_cases").alias("at", "tc"))
+    # Repeats are found within an item's own array, so items without an id stay apart.  Rules of an item, and whether it has very many cases, go with its first row.
+    own = items.select(
+        "item_id", F.array(*_item_rules()).alias("own"), F.coalesce(F.size("test_cases") > MANY_CASES, F.lit(False)).alias("crowded"), plain(F.col("prompt")).alias("prompt"), F.transform("test_cases", signature).alias("signatures"),
+        F.transform("test_cases", lambda tc: plain(tc["name"])).alias("names"), F.posexplode_outer("test_cases").alias("at", "tc"),
+    )
+    there, first = F.col("at").isNotNull(), F.coalesce(F.col("at") == 0, F.lit(True))
     flat = own.withColumns({"signature": F.get("signatures", F.col("at")), "name": F.get("names", F.col("at"))})
     again = lambda values, c: F.array_position(values, F.col(c)) <= F.col("at")
-    # Explode computes what it is given as often as it is named there (and twice, for its size, unless it is outer), so the text and the first screenshot's place are columns.
+    # White space of a text that has no word of a mark needn't be made plain.
+    low = F.lower("signature")
     flat = flat.select(
-        "item_id", "prompt", F.col("tc.id").alias("tc_id"), "name", F.col("tc.steps").alias("steps"), again("signatures", "signature").alias("same_steps"), again("names", "name").alias("same_name"),
-        F.concat_ws(" ", "name", plain(F.col("signature"))).alias("text"), F.array_position(F.transform("tc.steps", lambda s: s["action"]), "screenshot").alias("taken"),
+        "item_id", "prompt", "tc", F.col("tc.id").alias("tc_id"), "name", F.col("tc.steps").alias("steps"), again("signatures", "signature").alias("same_steps"), again("names", "name").alias("same_name"), there.alias("there"),
+        F.concat_ws(" ", "name", F.when(_contains_any(low, MARK_WORDS), plain(F.col("signature")))).alias("text"), F.array_position(F.transform("tc.steps", lambda s: s["action"]), "screenshot").alias("taken"),
+        F.when(first, F.col("own")).alias("own"), (first & F.col("crowded")).alias("crowded"),
     )
     has = lambda *actions: F.exists("steps", lambda s: s["action"].isin(*actions))
     text, taken = F.col("text"), F.col("taken")
@@ -171,16 +196,24 @@ def audit(items: DataFrame) -> DataFrame:
         F.when(F.contains(text, F.lit("heatmap")) & ~_contains_any(F.col("prompt"), HEATMAP_WORDS), "cross_template_heatmap"),
         F.when(has("assert_screenshot_changed") & ~has(*SEMANTIC) & (_contains_any(F.col("name"), GENERIC_NAMES) | (F.size("steps") <= FEW_STEPS)), "visual_change_only_tc"),
     )
-    crowded = items.where(F.size("test_cases") > MANY_CASES).select("item_id", F.lit(None).cast("string").alias("tc_id"), F.lit("high_tc_density").alias("risk"))
     # Risks of steps count once per step.
     def of_step(s: Column, i: Column) -> Column:
         seed = F.when((s["action"] == "assert_screenshot_changed") & ((taken == 0) | (i < taken)), "screenshot_changed_without_prior_screenshot")
         blank = F.when(s["action"] == "assert_screenshot_not_blank", "generic_screenshot_not_blank")
         return F.coalesce(seed, blank, F.when((s["action"] == "assert_visible") & plain(s["selector"]).isin(*SURFACES), "broad_surface_visible"))
 
-    invalid = all_violations(items).select("item_id", "tc_id", F.lit("validator_error").alias("risk"))
-    found = flat.select("item_id", "tc_id", F.explode_outer(F.filter(F.concat(risks, F.transform("steps", of_step)), lambda r: r.isNotNull())).alias("risk")).where("risk is not null")
-    return found.unionByName(crowded).unionByName(invalid)
+    nested = F.flatten(F.transform("steps", lambda s, i: F.array(*step_rules(lambda f: s[f], (taken > 0) & (i >= taken)))))
+    rules = F.when(F.coalesce(F.size("steps"), F.lit(0)) > 0, nested).otherwise(F.when(F.col("there"), F.array(F.lit("no steps"))))
+    scripts = F.transform(F.filter("steps", lambda s: _scripted(lambda f: s[f])), lambda s: s["expression"])
+    # The nested items are gone through once; what is written is narrow, and each branch reads one column of it.
+    found = flat.select("item_id", "tc_id", F.concat(risks, F.coalesce(F.transform("steps", of_step), F.array().cast("array<string>"))).alias("risks"), rules.alias("rules"), F.when(F.col("there"), F.array(*_case_rules())).alias("lacking"), "own", scripts.alias("scripts"), "crowded")
+    found = cut(found, "audited")
+    none, invalid = F.lit(None).cast("string").alias("tc_id"), F.lit("validator_error").alias("risk")
+    of = lambda name: F.explode(F.filter(name, lambda r: r.isNotNull()))
+    broken = found.select("item_id", "tc_id", of("rules").alias("rule")).unionByName(found.select("item_id", "tc_id", of("lacking").alias("rule"))).unionByName(found.select("item_id", none, of("own").alias("rule")))
+    open_ended = found.select("item_id", "tc_id", F.explode("scripts").alias("script")).where(unbalanced("script"))
+    crowded = found.where("crowded").select("item_id", none, F.lit("high_tc_density").alias("risk"))
+    return found.select("item_id", "tc_id", of("risks").alias("risk")).unionByName(crowded).unionByName(broken.select("item_id", "tc_id", invalid)).unionByName(open_ended.select("item_id", "tc_id", invalid))
 
 
 def severity(risk: Column) -> Column:
@@ -265,7 +298,7 @@ def case_alignment(left: DataFrame, right: DataFrame, fields: list[str], languag
 
 
 def unbalanced_steps(items: DataFrame) -> DataFrame:
-    rows = steps(items).where(F.col("action").isin("assert_js_value", "eval_js") & (stripped(F.col("expression")) != "") & ~_contains_any(F.col("expression"), CUT_OFF))
+    rows = steps(items).where(_scripted(F.col))
     return rows.where(unbalanced("expression")).select("item_id", "tc_id", "pos", "expression")
 
 

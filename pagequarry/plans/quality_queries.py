@@ -19,11 +19,11 @@ def _pick(values, at):
 
 def items(spark, sf_dir):
     """Items with nested test cases from line items: an item per order, a case per line number, a step per row."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").repartition("l_orderkey")  # narrow rows travel, steps are made behind
     pos = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000
     quantity = F.col("l_quantity").cast("long")
     step = F.struct(pos.alias("pos"), _pick(ACTION_LIST, F.col("l_orderkey") + F.col("l_partkey")).alias("action"), _pick(SELECTORS, F.col("l_suppkey")).alias("selector"), _pick(EXPRESSIONS, F.col("l_partkey")).alias("expression"), (quantity % 4).alias("gte"), F.when(quantity % 5 == 0, quantity % 3).alias("eq"))
-    cases = line.select(F.col("l_orderkey").alias("item"), "l_linenumber", step.alias("s")).repartition("item").groupBy("item", "l_linenumber").agg(F.sort_array(F.collect_list("s")).alias("steps"))
+    cases = line.select(F.col("l_orderkey").alias("item"), "l_linenumber", step.alias("s")).groupBy("item", "l_linenumber").agg(F.sort_array(F.collect_list("s")).alias("steps"))
     name = F.when(F.col("l_linenumber") == 7, "Empty submit shows validation").when(F.col("item") % 9 == 0, F.lit(None)).when(F.col("l_linenumber") == 5, "Visible reaction ").when(F.col("l_linenumber") == 6, "Add feature button, bold button, heatmap").otherwise(F.concat(F.lit("Case  "), (F.col("l_linenumber") % 3).cast("string")))
     nested = cases.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("id"), name.alias("name"), F.lit(1.0).alias("weight"), "steps"))).alias("test_cases"))
     prompt = F.when(F.col("item") % 11 != 0, _pick(PROMPTS, F.col("item"))).alias("prompt")

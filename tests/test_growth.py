@@ -52,3 +52,10 @@ def test_risks_of_a_case_are_computed_once(spark):
     assert {r.risk: r["count"] for r in found.groupBy("risk").count().collect()} == {"broad_surface_visible": 15, "cross_template_heatmap": 5}
     # Risks of cases and of their steps come from one explode; the other three are those of broken rules.
     assert found._jdf.queryExecution().optimizedPlan().toString().count("explode(filter(") == 4
+
+
+def test_audits_write_no_nested_items(spark):
+    found = Q.audit(spark.createDataFrame([(None, None, None), ("b", "p", []), ("c", "p", [("1", "n", 1.0, None), None])], Q.ITEMS))
+    # Items without an id, a prompt or cases have their rules once; a case without steps, and one that is null, too.
+    assert sorted((r.item_id or "", r.tc_id or "", r.risk) for r in found.collect()) == [("", "", "validator_error")] * 3 + [("c", "", "validator_error")] * 3 + [("c", "1", "validator_error")]
+    assert "test_cases" not in found._jdf.queryExecution().optimizedPlan().toString()
