@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,28 +21,32 @@ ERRORS = 5
 OBJECT, LIST = "map<string, variant>", "array<variant>"
 
 
-def _field(m: Column, name: str, kind: str, default: object) -> Column:
-    """A field of an object: the default stands for a missing key only, a null stays one."""
-    value = F.try_element_at(m, F.lit(name))
-    typed = value if kind == "variant" else value.try_cast(kind)
-    return F.when(F.map_contains_key(m, name), typed).otherwise(F.lit(default).cast(kind) if default is not None else F.lit(None).cast(kind))
+def _field(v: Column, name: str, kind: str, default: object) -> Column:
+    """A field of an object (a variant): the default stands for a missing key only, a null stays one."""
+    typed = F.try_variant_get(v, f"$.{name}", kind)
+    return typed if default is None else F.coalesce(typed, F.when(_lacks(v, name), F.lit(default).cast(kind)))
+
+
+def _lacks(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant").isNull()
 
 
-def _items(m: Column, name: str) -> Column:
-    return F.coalesce(F.try_element_at(m, F.lit(name)).try_cast(LIST), F.array().cast(LIST))
+def _items(v: Column, name: str) -> Column:
+    return F.coalesce(F.try_variant_get(v, f"$.{name}", LIST), F.array().cast(LIST))
 
 
-def parsed(cases: Column) -> Column:
-    """(cases, error) of a list of test cases (a variant): id, name, weight and steps with all ``FIELDS``; missing ids are numbered.
+def parsed(cases: Column, fields: Iterable[str] = tuple(FIELDS)) -> Column:
+    """(cases, error) of a list of test cases (a variant): id, name, weight and steps with ``fields`` (all ``FIELDS``); missing ids are numbered.
 
     The first unknown action makes the whole list an error, without cases.  No list: no cases.
     """
-    objects = F.transform(F.coalesce(cases.try_cast(LIST), F.array().cast(LIST)), lambda c: c.try_cast(OBJECT))
-    step = lambda s: F.struct(*(_field(s, n, kind, default).alias(n) for n, (kind, default) in FIELDS.items()))
-    steps = lambda c: F.transform(_items(c, "steps"), lambda s: step(s.try_cast(OBJECT)))
-    ident = lambda c, i: F.when(F.map_contains_key(c, "id"), _field(c, "id", "string", None)).otherwise(F.format_string("tc_%03d", i))
+    objects = F.coalesce(cases.try_cast(LIST), F.array().cast(LIST))
+    # Fields are looked up in the variants; a map of them would copy all fields once for each that is read.
+    step = lambda s: F.struct(*(_field(s, n, *FIELDS[n]).alias(n) for n in fields))
+    steps = lambda c: F.transform(_items(c, "steps"), step)
+    ident = lambda c, i: F.coalesce(_field(c, "id", "string", None), F.when(_lacks(c, "id"), F.format_string("tc_%03d", i)))
     typed = F.transform(objects, lambda c, i: F.struct(ident(c, i).alias("id"), _field(c, "name", "string", "").alias("name"), _field(c, "weight", "double", 1.0).alias("weight"), steps(c).alias("steps")))
-    action = lambda s: _field(s.try_cast(OBJECT), "action", "string", "")
+    action = lambda s: _field(s, "action", "string", "")
     unknown = lambda c: F.filter(F.transform(_items(c, "steps"), action), lambda a: ~F.coalesce(a, F.lit("None")).isin(*ACTIONS))
     told = lambda c: F.concat(F.lit("Unknown test action: "), F.coalesce(F.concat(F.lit("'"), F.get(unknown(c), 0), F.lit("'")), F.lit("None")), F.lit(" in test case "), F.coalesce(_field(c, "id", "string", "?"), F.lit("None")))
     error = F.get(F.transform(F.filter(objects, lambda c: F.size(unknown(c)) > 0), told), 0)

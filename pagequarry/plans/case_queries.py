@@ -35,7 +35,7 @@ def typed_cases(spark, sf_dir):
 
 
 def compact_cases(spark, sf_dir):
-    rows = _cases(spark, sf_dir).select("l_orderkey", C.parsed(F.col("cases")).alias("p")).where("p.error is null")
+    rows = _cases(spark, sf_dir).select("l_orderkey", C.parsed(F.col("cases"), C.COMPACT).alias("p")).where("p.error is null")
     return rows.select("l_orderkey", F.explode(C.compact(F.col("p.cases"))).alias("c")).select("l_orderkey", F.md5(F.to_json("c").cast("binary")).alias("case_md5"))
 
 

@@ -39,3 +39,14 @@ def test_delimited_files_keep_separators(spark, tmp_path):
         C.write_delimited(rows, path, sep)
         assert {(r.t or "", r.n, r.u) for r in C.read_delimited(rows, path, sep).collect()} == {("a\tb", 1, None), ('c"d', 2, "x,y"), ("", 3, "|")}
     assert [r[0] for r in rows.where("n > 1").select(C.markdown_line(F.col("t"), F.col("n"), F.col("u"))).collect()] == ['| c"d | 2 | x,y |', "|  | 3 | \\| |"]
+
+
+def test_only_fields_that_are_asked_for_are_made(spark):
+    rows = spark.createDataFrame([('[{"steps": [{"action": "scroll", "tags": ["a"], "key": null}]}, 7, {"steps": [3]}]',)], "s string")
+    steps = rows.select(C.parsed(F.parse_json("s"), C.COMPACT).alias("p"))
+    assert steps.schema["p"].dataType["cases"].dataType.elementType["steps"].dataType.elementType.names == list(C.COMPACT)
+    assert steps.first().p.error == "Unknown test action: '' in test case ?"
+    whole = parsed(spark, '[{"steps": [{"action": "scroll", "tags": ["a"], "key": null}]}, 7]')
+    assert [(c.id, len(c.steps)) for c in whole.cases] == [("tc_000", 1), ("tc_001", 0)] and (whole.cases[0].steps[0].key, whole.cases[0].steps[0].tags) == (None, ["a"])
+    # Objects become no maps.
+    assert "map<" not in steps._jdf.queryExecution().optimizedPlan().toString()
