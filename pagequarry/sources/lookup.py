@@ -42,7 +42,14 @@ def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
 def trace_heads(lines: DataFrame, value: str = "value", order: str = "line_idx") -> DataFrame:
     """(record_id, final_score, improvement) from the first ``HEAD`` characters of traces' lines, without parsing what is behind; of a record's lines
     the last.  Lines without an id are left out, scores that aren't there are 0."""
-    head: Column = F.substring(value, 1, HEAD)
-    number = lambda name, pattern: F.coalesce(F.nullif(F.regexp_extract(head, f'"{name}"\\s*:\\s*({pattern})', 1), F.lit("")).cast("long"), F.lit(0)).alias(name)
-    found = lines.select(F.regexp_extract(head, '"record_id"\\s*:\\s*"([^"]+)"', 1).alias("record_id"), number("final_score", "\\d+"), number("improvement", "-?\\d+"), order).where("record_id <> ''")
-    return found.groupBy("record_id").agg(F.max_by(F.struct("final_score", "improvement"), order).alias("h")).select("record_id", "h.*")
+    # As many bytes that are as many characters are the head; only other texts are counted through.
+    some = F.substring(F.col(value).cast("binary"), 1, HEAD).cast("string")
+    head: Column = F.when(F.char_length(some) == F.least(F.octet_length(value), F.lit(HEAD)), some).otherwise(F.substring(value, 1, HEAD))
+    # The head is a variable of a function, so that it is made once a line and not for each field.
+    patterns = {"record_id": '"record_id"\\s*:\\s*"([^"]+)"', "final_score": '"final_score"\\s*:\\s*(\\d+)', "improvement": '"improvement"\\s*:\\s*(-?\\d+)'}
+    told = F.get(F.transform(F.array(head), lambda h: F.struct(*(F.regexp_extract(h, p, 1).alias(n) for n, p in patterns.items()))), 0)
+    number = lambda name: F.coalesce(F.nullif(F.col(f"told.{name}"), F.lit("")).cast("long"), F.lit(0)).alias(name)
+    found = lines.select(told.alias("told"), order).select("told.record_id", number("final_score"), number("improvement"), order)
+    # Numbers of fixed width are aggregated by hashing, a struct would be sorted.  Lines without an id are left out behind it: a test of the id before it would make each line and its head twice.
+    last = found.groupBy("record_id").agg(*(F.max_by(c, order).alias(c) for c in ("final_score", "improvement")), F.max(F.col("record_id") != "").alias("named"))
+    return last.where("named").drop("named")

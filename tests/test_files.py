@@ -75,3 +75,19 @@ def test_screenshots_fall_back(spark):
 def test_lines_join_their_split_table_by_broadcast(spark, root):
     plan = jsonl.lines(spark, f"{root}/en/b.jsonl", "id string")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_heads_of_traces_are_hashed_and_made_once(spark):
+    rows = spark.createDataFrame([('{"record_id": "a", "final_score": 1}', 1), ('{"final_score": 9}', 3), ('{"record_id": "a", "improvement": -2}', 2)], "value string, line_idx long")
+    heads = lookup.trace_heads(rows)
+    assert [tuple(r) for r in heads.collect()] == [("a", 0, -2)]
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert heads._jdf.queryExecution().optimizedPlan().toString().count('"record_id"') == 1
+
+
+def test_heads_are_cut_by_characters(spark):
+    page = lambda fill, n: '{"record_id": "r%s", "best": "%s", "improvement": 4}' % (n, fill)
+    rows = [(page("é" * n, n), 1) for n in (4900, 5100)] + [(page("e" * n, n), 1) for n in (4901, 5101)] + [("", 1), (None, 1), ('{"record_id": "é", "final_score": 7}', 1)]
+    got = lookup.trace_heads(spark.createDataFrame(rows, "value string, line_idx long"))
+    assert {tuple(r) for r in got.collect()} == {("r4900", 0, 4), ("r5100", 0, 0), ("r4901", 0, 4), ("r5101", 0, 0), ("é", 7, 0)}
