@@ -23,6 +23,7 @@ are ignored.  Long texts are scored whole.  An empty table gives an empty result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -107,8 +108,12 @@ class Block:
         self.lengths = unpacked(row["lengths"], np.int32).astype(np.int64)
         self.hashes = unpacked(row["vocabulary"], np.uint64)
         self.tokens = unpacked(row["tokens"], np.int32).astype(np.int64)
-        self.before = np.empty_like(self.tokens)
-        self.before[1:], self.before[:1] = self.tokens[:-1], 0  # the end is number 0 and closes each document
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        before = np.empty_like(self.tokens)
+        before[1:], before[:1] = self.tokens[:-1], 0  # the end is number 0 and closes each document
+        return before
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys, their counts, and each vocabulary number's place among them."""

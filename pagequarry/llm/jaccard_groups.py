@@ -38,6 +38,10 @@ from .interpolation import BLOCKS, BUCKET_KEYS, Block, packed, unpacked, word_bl
 SHINGLE, PERCENT = 5, 80
 #: Sets of a group at most (on average, for large groups), and queries of one group that a task gets.
 PART, QUERIES = 256, 2048
+#: Tokens of a block's documents that are made shingles at once, about: sorting takes some ten times their memory.
+SLICE = 1 << 17
+#: Buckets of a block that a task sends at once.
+SENT = 64
 #: Nodes that stand for a label in later rounds, about: what it is linked to there needn't be sought by the matrix.
 SPEAKERS = 64
 #: Buckets count by the leading bits of shingles' hashes, so many more than the corpus has shingles take; equal leading bits make two
@@ -67,8 +71,19 @@ def least_overlap(a, b):
 
 def shingle_sets(block: Block, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each document of a block, one document after the other and sorted, and their numbers."""
-    words, ends = block.hashes[block.tokens], np.cumsum(block.lengths)
-    starts, own = ends - block.lengths, block.lengths - 1
+    ends = np.cumsum(block.lengths)
+    keys, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    cuts = np.flatnonzero(np.diff(ends // SLICE, prepend=-1)).tolist() + [len(ends)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        own, n = _slice_sets(block, slice(ends[i] - block.lengths[i], ends[j - 1]), block.lengths[i:j], shingle)
+        keys.append(own)
+        sizes.append(n)
+    return np.concatenate(keys), np.concatenate(sizes)
+
+
+def _slice_sets(block: Block, part: slice, lengths: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    words, ends = block.hashes[block.tokens[part]], np.cumsum(lengths)
+    starts, own = ends - lengths, lengths - 1
     few = np.flatnonzero((own > 0) & (own < shingle))
     windows = np.maximum(own - shingle + 1, 0)
     at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
@@ -96,14 +111,17 @@ def _send(buckets: int, bits: int, shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = np.unique(shingle_sets(Block(row), shingle)[0] >> cut, return_counts=True)
+            for n in range(batch.num_rows):
+                block = Block(batch.slice(n, 1).to_pylist()[0])
+                keys, counts = np.unique(shingle_sets(block, shingle)[0] >> cut, return_counts=True)
                 at = (keys >> shift).astype(np.int64)
                 there = np.unique(at)
                 cuts = np.searchsorted(at, there)
                 ends = np.r_[cuts[1:], len(keys)]
-                pieces = [(packed(keys[i:j]), packed(counts[i:j].astype(np.int64))) for i, j in zip(cuts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([row["block"]] * len(there), pa.int64()), *(pa.array([p[k] for p in pieces], pa.binary()) for k in (0, 1))], names=["bucket", "block", "keys", "counts"])
+                for k in range(0, len(there), SENT):
+                    some = slice(k, k + SENT)
+                    pieces = [(packed(keys[i:j]), packed(counts[i:j].astype(np.int64))) for i, j in zip(cuts[some], ends[some], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(there[some], pa.int32()), pa.array([block.block] * len(pieces), pa.int64()), *(pa.array(list(p), pa.binary()) for p in zip(*pieces, strict=True))], names=["bucket", "block", "keys", "counts"])
 
     return run
 
@@ -126,14 +144,13 @@ def _sets(bits: int, shingle: int):
         out: list[list] = [[] for _ in SETS.split(", ")]
         answers = sorted(right.select(["bucket", "octaves"]).to_pylist(), key=lambda r: r["bucket"])
         for row in left.to_pylist():
-            block = Block(row)
-            keys, sizes = shingle_sets(block, shingle)
+            ids, (keys, sizes) = row["ids"], shingle_sets(Block(row), shingle)
             inverse = np.unique(keys >> cut, return_inverse=True)[1]
             octave = np.frombuffer(b"".join(r["octaves"] for r in answers), np.uint8)[inverse]
             ends, seen = np.cumsum(sizes), set()
             common = np.r_[0, np.cumsum(octave > 0)]
             for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
-                cells: list = [block.ids[i], n, *[None] * (len(out) - 2)]
+                cells: list = [ids[i], n, *[None] * (len(out) - 2)]
                 if n and 100 * (common[end] - common[end - n]) >= PERCENT * n:
                     own, rare = keys[end - n : end], octave[end - n : end]
                     digest = tuple(int(stirred(own + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64)) for s in (1, 2))

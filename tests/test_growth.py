@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pagequarry.llm import jaccard_groups as J
+from pagequarry.llm.interpolation import packed
 from pagequarry.operators import bilingual as B
 from pagequarry.operators import quality as Q
 from pagequarry.sources.staging import BATCH_ROWS
@@ -59,3 +65,23 @@ def test_audits_write_no_nested_items(spark):
     # Items without an id, a prompt or cases have their rules once; a case without steps, and one that is null, too.
     assert sorted((r.item_id or "", r.tc_id or "", r.risk) for r in found.collect()) == [("", "", "validator_error")] * 3 + [("c", "", "validator_error")] * 3 + [("c", "1", "validator_error")]
     assert "test_cases" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shingles_of_a_block_are_made_and_sent_by_parts(monkeypatch):
+    """Beside a block's keys no arrays of its size pile up, and parts give what the whole gives."""
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 900, 2000).astype(np.int32)
+    tokens = rng.integers(1, 40000, lengths.sum()).astype(np.int32)
+    tokens[np.cumsum(lengths) - 1] = 0
+    cells = {"block": 1, "part": 0, "ids": list(range(2000)), "lengths": packed(lengths), "vocabulary": packed(rng.integers(0, 2**63, 40000).astype(np.uint64)), "tokens": packed(tokens)}
+    batch = pa.RecordBatch.from_pylist([cells])
+    tracemalloc.start()
+    sent = sum(out.num_rows for out in J._send(256, 40, 5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == 256
+    assert peak < 8 * 8 * len(tokens)
+    keys, sizes = J.shingle_sets(J.Block(cells), 5)
+    monkeypatch.setattr(J, "SLICE", 1 << 40)
+    whole = J.shingle_sets(J.Block(cells), 5)
+    assert (keys == whole[0]).all() and (sizes == whole[1]).all()
