@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -9,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.staging import cut
@@ -138,10 +140,16 @@ def _block_links(least: float):
     return run
 
 
+def least_bands(bands: int, least: float) -> int:
+    """How many bands similar signatures share at least, as each place that differs spoils one; 1 where that says nothing."""
+    return max(1, bands - (PERMUTATIONS - math.ceil(least * PERMUTATIONS)))
+
+
 def similar_pairs(signed: DataFrame, bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b, similarity) that join all texts that share a band and are similar enough.
 
-    Rows with equal signatures are one node, to whose first row the others link.  Signatures travel only for buckets with
+    Rows with equal signatures are one node, to whose first row the others link.  Similar nodes share several bands (``least_bands``), so
+    all but so many of a node's commonest ones are enough to meet in: buckets of texts that share little go, and no link.  Signatures travel only for buckets with
     several nodes; of a small bucket the few pairs are compared; a large bucket is cut into blocks whose pairs are spread over tasks, and every task reports a spanning
     forest instead of all pairs.
     """
@@ -150,8 +158,13 @@ def similar_pairs(signed: DataFrame, bands: int = BANDS, least: float = SIMILARI
     rows = PERMUTATIONS // bands
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * rows + 1, F.lit(rows))))
     banded = nodes.select("id", F.posexplode(keys).alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    met = cut(banded.join(shared, ["band", "key"]), "buckets")
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    order = W.partitionBy("id").orderBy(F.desc("n"), "band", "key")
+    ranked = banded.join(shared, ["band", "key"]).withColumn("rank", F.row_number().over(order))
+    # The rarest band that two similar nodes share is behind the others of them in either's order, so the first ones can be left out.
+    rare = cut(ranked.where(F.col("rank") >= least_bands(bands, least)).select("id", "band", "key"), "bands")
+    shared = rare.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    met = cut(rare.join(shared, ["band", "key"]), "buckets")
     # Small buckets: the few pairs, each once whatever the number of bands it shares.
     ids = met.where(F.col("n") <= SMALL).groupBy("band", "key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids").distinct()
     two = F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))

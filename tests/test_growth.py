@@ -10,6 +10,7 @@ import pyarrow as pa
 from pagequarry.llm import jaccard_groups as J
 from pagequarry.llm.interpolation import packed
 from pagequarry.operators import bilingual as B
+from pagequarry.operators import curation as C
 from pagequarry.operators import quality as Q
 from pagequarry.sources.staging import BATCH_ROWS
 from pagequarry.sources.tables import table
@@ -85,3 +86,26 @@ def test_shingles_of_a_block_are_made_and_sent_by_parts(monkeypatch):
     monkeypatch.setattr(J, "SLICE", 1 << 40)
     whole = J.shingle_sets(J.Block(cells), 5)
     assert (keys == whole[0]).all() and (sizes == whole[1]).all()
+
+
+def test_texts_that_share_few_bands_are_not_compared(spark, monkeypatch):
+    """Sixty texts share a band by chance; two share most: only these meet, and are linked."""
+    rng = np.random.default_rng(1)
+    rows = [[i, rng.integers(0, 2**32, C.PERMUTATIONS)] for i in range(62)]
+    rows[61][1] = rows[60][1].copy()
+    rows[61][1][4:76:3] += 1  # 24 places of 19 bands: 104 of 128 are equal
+    for _, signature in rows:
+        signature[:4] = 7
+    written, old = {}, C.cut
+    monkeypatch.setattr(C, "cut", lambda df, name: written.setdefault(name, old(df, name)))
+    found = C.similar_pairs(spark.createDataFrame([(i, s.tolist()) for i, s in rows], "id long, signature array<long>"))
+    assert [(r.a, r.b, r.similarity) for r in found.collect()] == [(60, 61, 104 / 128)]
+    assert {r.id for r in written["buckets"].select("id").collect()} == {60, 61}
+
+
+def test_least_bands_is_safe():
+    # 103 equal places of 128 at 0.8: 25 others spoil 25 bands of 32 at most.
+    assert C.least_bands(32, 0.8) == 7
+    assert C.least_bands(32, 0.75) == 1
+    assert C.least_bands(16, 0.8) == 1
+    assert C.least_bands(32, 1.0) == 32
