@@ -101,6 +101,8 @@ def first_seen(rows: DataFrame, keys: list[str], order: str, at: str) -> DataFra
 
 
 STATE = "count long, best long, interaction long, broken boolean, since long, low long, reason string, stopped long"
+#: What the rule reads of a row.
+RULED = ("event_id", "score", "interaction", "keyboard_broken")
 STOPS = "user_id long, iterations long, best long, stopped_at long, reason string"
 
 
@@ -111,11 +113,17 @@ def _stops(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iter
         return
     count, *rest, stopped = state.get if state.exists else (0, 0, 0, False, 0, 0, None, -1)
     now = dict(zip(("best", "interaction", "broken", "since", "low", "reason"), rest, strict=True)) if count else {}
-    rows = pd.concat(list(parts))
-    for row in rows.sort_values("event_id").to_dict("records"):
-        count += 1
-        if not now or now["reason"] is None:
+    found = list(parts)
+    rows = found[0] if len(found) == 1 else pd.concat(found)
+    count += len(rows)
+    if not now or now["reason"] is None:
+        ordered = rows if rows["event_id"].is_monotonic_increasing else rows.sort_values("event_id")
+        # Rows behind the stop are only counted.
+        for cells in zip(*(ordered[c].tolist() for c in RULED), strict=True):
+            row = dict(zip(RULED, cells, strict=True))
             now, stopped = stop_rule(now, row), row["event_id"]
+            if now["reason"] is not None:
+                break
     state.update((int(count), int(now["best"]), int(now["interaction"]), bool(now["broken"]), int(now["since"]), int(now["low"]), now["reason"], int(stopped)))
     state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
     yield pd.DataFrame({"user_id": [key[0]], "iterations": [int(count)], "best": [int(now["best"])], "stopped_at": [int(stopped)], "reason": [now["reason"] or "exhausted"]})

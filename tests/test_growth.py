@@ -14,6 +14,7 @@ from pagequarry.operators import curation as C
 from pagequarry.operators import quality as Q
 from pagequarry.sources.staging import BATCH_ROWS
 from pagequarry.sources.tables import table
+from pagequarry.streaming import incremental as I  # noqa: E741
 from pyspark.sql import functions as F
 
 
@@ -109,3 +110,31 @@ def test_least_bands_is_safe():
     assert C.least_bands(32, 0.75) == 1
     assert C.least_bands(16, 0.8) == 1
     assert C.least_bands(32, 1.0) == 32
+
+
+def test_rows_behind_a_stop_are_only_counted(monkeypatch):
+    """The rule reads a user's rows one by one up to the stop; they aren't made records of all columns first."""
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, state):
+            self.get = state
+
+        def setTimeoutTimestamp(self, at):  # noqa: N802
+            self.at = at
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return 0
+
+    def whole(*_, **__):
+        raise AssertionError("all rows were made records")
+
+    monkeypatch.setattr(pd.DataFrame, "to_dict", whole)
+    state, n = State(), 50
+    # Out of order and in two parts: row 3 is near perfect.
+    ids = list(range(n))[::-1]
+    rows = pd.DataFrame({"user_id": 1, "event_id": ids, "ts": pd.Timestamp("2026-01-01"), "score": [99 if i == 3 else i for i in ids], "interaction": 20, "keyboard_broken": False})
+    (found,) = I._stops((1,), iter([rows[:20], rows[20:]]), state)
+    assert tuple(found.iloc[0]) == (1, n, 99, 3, "near_perfect")
+    assert state.get[0] == n and state.get[6:] == ("near_perfect", 3)
