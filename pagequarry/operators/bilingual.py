@@ -179,15 +179,21 @@ def strict_alignment(main: DataFrame, other: DataFrame, files: tuple[str, ...],
 
     def of_case(pair: Column, i: Column) -> Column:
         a, b, case = pair["a"], pair["b"], i + 1
-        u, v = items(a, "steps"), items(b, "steps")
-        actions = lambda s: F.transform(s, lambda x: plain(F.try_element_at(x.cast(OBJECT), F.lit("action"))))
+        actions = lambda s: F.transform(s, lambda x: plain(F.try_variant_get(x, "$.action", "variant")))
         own = kept(F.when(differ(a, b, "id"), entry("tc_id_mismatch", "id", case)), F.when(differ(a, b, "weight"), entry("tc_weight_mismatch", "weight", case)))
         if strict:
             own = F.concat(own, fields(a, b, ("steps",), "tc_field_mismatch", case))
-        inner = kept(F.when(actions(u) != actions(v), entry("step_action_sequence_mismatch", "steps", case)))
-        if strict:
-            inner = F.concat(inner, F.flatten(F.transform(zipped(u, v), lambda p, k: of_step(p, k, case))))
-        return F.concat(own, F.when(F.size(u) != F.size(v), F.array(entry("step_count_mismatch", "steps", case))).otherwise(inner))
+
+        def of_steps(both: Column) -> Column:
+            u, v = both["u"], both["v"]
+            inner = kept(F.when(actions(u) != actions(v), entry("step_action_sequence_mismatch", "steps", case)))
+            if strict:
+                inner = F.concat(inner, F.flatten(F.transform(zipped(u, v), lambda p, k: of_step(p, k, case))))
+            return F.when(F.size(u) != F.size(v), F.array(entry("step_count_mismatch", "steps", case))).otherwise(inner)
+
+        # The steps of a case are cast once and named by a lambda.
+        steps = F.array(F.struct(items(a, "steps").alias("u"), items(b, "steps").alias("v")))
+        return F.concat(own, F.flatten(F.transform(steps, of_steps)))
 
     both = main.select("file", "pos", F.col("item").cast(OBJECT).alias("a")).join(other.select("file", "pos", F.col("item").cast(OBJECT).alias("b")), ["file", "pos"])
     a, b = F.col("a"), F.col("b")

@@ -138,3 +138,14 @@ def test_rows_behind_a_stop_are_only_counted(monkeypatch):
     (found,) = I._stops((1,), iter([rows[:20], rows[20:]]), state)
     assert tuple(found.iloc[0]) == (1, n, 99, 3, "near_perfect")
     assert state.get[0] == n and state.get[6:] == ("near_perfect", 3)
+
+
+def test_steps_of_a_case_are_cast_once(spark):
+    row = '{"id": "a", "test_cases": [{"id": "c", "steps": [{"action": "wait"}, {"text": "x"}, {"action": null}]}]}'
+    other = '{"id": "a", "language": "zh", "test_cases": [{"id": "c", "steps": [{"action": "wait"}, {"text": "y"}, {"action": "wait"}]}]}'
+    sides = [spark.range(1).select(F.lit("f").alias("file"), F.lit(1).alias("pos"), F.parse_json(F.lit(x)).alias("item")) for x in (row, other)]
+    found = B.strict_alignment(*sides, ("f",))
+    # A missing action and one that is null are the same, as before.
+    assert sorted((r.kind, r.step or 0, r.field) for r in found.collect()) == [("step_action_sequence_mismatch", 0, "steps"), ("step_field_mismatch", 2, "text"), ("step_field_mismatch", 3, "action")]
+    # Once in each edition, and the name stands in two kinds of mismatch.
+    assert found._jdf.queryExecution().analyzed().toString().count(", steps)") == 4
