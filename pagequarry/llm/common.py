@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,11 @@ def without_ids(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS, id_
     return docs.join(ids, docs[id_col] == ids["__gone"], "left_anti")
 
 
+def release_arrow() -> None:
+    """Gives back what Arrow's pool has kept of freed arrays: a Python worker serves later steps too."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_bytes(texts: Iterable[str | None]) -> Iterable[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return (b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import discard
-from .common import materialize, partitions, power_of_two, session, small
+from .common import materialize, partitions, power_of_two, release_arrow, session, small
 from .components import components
 from .interpolation import BLOCKS, BUCKET_KEYS, Block, packed, unpacked, word_blocks
 
@@ -122,6 +122,7 @@ def _send(buckets: int, bits: int, shingle: int):
                     some = slice(k, k + SENT)
                     pieces = [(packed(keys[i:j]), packed(counts[i:j].astype(np.int64))) for i, j in zip(cuts[some], ends[some], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(there[some], pa.int32()), pa.array([block.block] * len(pieces), pa.int64()), *(pa.array(list(p), pa.binary()) for p in zip(*pieces, strict=True))], names=["bucket", "block", "keys", "counts"])
+        release_arrow()
 
     return run
 
@@ -141,6 +142,7 @@ def _sets(bits: int, shingle: int):
     cut = np.uint64(64 - bits)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release_arrow()
         out: list[list] = [[] for _ in SETS.split(", ")]
         answers = sorted(right.select(["bucket", "octaves"]).to_pylist(), key=lambda r: r["bucket"])
         for row in left.to_pylist():

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release_arrow
+
 #: Entries that a worker's cache holds at most before it is emptied, and characters of the longest piece that is kept.
 CACHE_ENTRIES, KEPT_LENGTH = 1_500_000, 120
 
@@ -218,5 +220,12 @@ def special_strings(path: str) -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def worker_encoder(path: str, dtype: str | None = None) -> Encoder:
-    """This Python worker's encoder, whose cache lives as long as the worker."""
+    """This Python worker's encoder, whose cache lives as long as the worker, or until ``release_encoders``."""
     return Encoder(path, dtype)
+
+
+def release_encoders() -> None:
+    """Empties this worker's encoders: a worker serves later steps too, which need the memory."""
+    worker_encoder.cache_clear()
+    tokenizer.cache_clear()
+    release_arrow()

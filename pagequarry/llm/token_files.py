@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, session, shared_dir
-from .pieces import tokenizer, worker_encoder
+from .pieces import release_encoders, tokenizer, worker_encoder
 
 #: Bytes of ids (4 each) that a block gathers before it is closed.
 BLOCK_BYTES = 1 << 20
@@ -91,17 +91,21 @@ def _dtype(path: str) -> str:
     return "I" if _vocabulary(path) > 0x10000 else "H"
 
 
-def id_ranks(encoded: DataFrame, dtype: str, vocabulary: int) -> np.ndarray:
-    """rank of each id by its frequency over all documents (ties: the smaller id first); bounded by the vocabulary."""
-
+def _count(dtype: str, vocabulary: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()  # this step follows the encoding on the same workers
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype), minlength=vocabulary)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"token": pa.array(there, pa.int64()), "n": pa.array(total[there], pa.int64())})
 
-    seen = encoded.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    return count
+
+
+def id_ranks(encoded: DataFrame, dtype: str, vocabulary: int) -> np.ndarray:
+    """rank of each id by its frequency over all documents (ties: the smaller id first); bounded by the vocabulary."""
+    seen = encoded.select("ids").mapInArrow(_count(dtype, vocabulary), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(vocabulary, np.int64)
     for r in seen:
         n[r.token] = r.n

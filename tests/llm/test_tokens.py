@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,3 +144,12 @@ def test_equal_and_null_ids_are_dealt_over_parts(spark, tmp_path):
     rows = sorted(token_files.read_files(spark, path).collect(), key=lambda r: r.start)
     ids = [r.doc_id for r in rows]
     assert ids == [None] * 1000 + sorted(i for i in ids if i is not None) and [r.start for r in rows[1:]] == [r.start + r.n_tokens for r in rows[:-1]]
+
+
+def test_the_step_after_encoding_empties_the_workers_encoders():
+    pieces.worker_encoder(PATH, "H").ids(["some words of a text"], 0)
+    assert pieces.worker_encoder.cache_info().currsize
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([np.array([5, 0], "<u2").tobytes()], pa.binary())})
+    (found,) = token_files._count("H", 10)(iter([batch]))
+    assert found.to_pydict() == {"token": [0, 5], "n": [1, 1]}
+    assert not pieces.worker_encoder.cache_info().currsize, "a worker serves later steps, which need the memory"
