@@ -14,6 +14,8 @@ from . import analysis
 KEY = ["item_id", "test_id"]
 MIN_OBSERVATIONS, LOW, HIGH = 8, 0.05, 0.95
 TARGET_COUNT, HARD_RATIO = 6000, 0.75
+#: Kept tests (two short strings each) that are broadcast at most.
+BROADCAST_TESTS = 250_000
 
 
 def rate(passed: Column, n: Column) -> Column:
@@ -21,13 +23,20 @@ def rate(passed: Column, n: Column) -> Column:
 
 
 def pass_stats(outcomes: DataFrame, target: str) -> DataFrame:
-    """Per (item, test): observations and passes, overall, in the sft group, outside it and of the target model; rates; first name, last weight."""
-    sft, own, ok = F.col("group") == "sft", F.col("model") == target, F.col("passed")
-    stats = outcomes.groupBy(*KEY).agg(
-        F.count("*").alias("observations"), F.count_if(ok).alias("passed"), F.count_if(sft).alias("sft_observations"), F.count_if(sft & ok).alias("sft_passed"),
-        F.count_if(~sft).alias("non_sft_observations"), F.count_if(~sft & ok).alias("non_sft_passed"), F.count_if(own).alias("target_observations"), F.count_if(own & ok).alias("target_passed"),
+    """Per (item, test): observations and passes, overall, in the sft group, outside it and of the target model; rates; first name, last weight.
+
+    Outcomes are first aggregated by name, group and target too, in numbers only: sets and names in an aggregate make Spark sort its rows, which
+    would be all outcomes.
+    """
+    by = outcomes.groupBy(*KEY, "group", "name", (F.col("model") == target).alias("own")).agg(
+        F.count("*").alias("n"), F.count_if("passed").alias("ok"), F.min("pos").alias("least"), F.max("pos").alias("most"), F.max_by("weight", "pos").alias("weight")
+    )
+    sft, own, count = F.col("group") == "sft", F.col("own"), lambda c, of: F.coalesce(F.sum(F.when(of, F.col(c))), F.lit(0))
+    stats = by.groupBy(*KEY).agg(
+        F.sum("n").alias("observations"), F.sum("ok").alias("passed"), count("n", sft).alias("sft_observations"), count("ok", sft).alias("sft_passed"),
+        count("n", ~sft).alias("non_sft_observations"), count("ok", ~sft).alias("non_sft_passed"), count("n", own).alias("target_observations"), count("ok", own).alias("target_passed"),
         F.array_join(F.array_sort(F.collect_set("group")), ",").alias("groups"),  # groups are two
-        F.coalesce(F.min_by("name", F.when(F.col("name") != "", F.col("pos"))), F.lit("")).alias("name"), F.max_by("weight", "pos").alias("weight"), F.min("pos").alias("first_pos"),
+        F.coalesce(F.min_by("name", F.when(F.col("name") != "", F.col("least"))), F.lit("")).alias("name"), F.max_by("weight", "most").alias("weight"), F.min("least").alias("first_pos"),
     )
     p = rate(F.col("passed"), F.col("observations"))
     return stats.withColumns(
@@ -104,9 +113,12 @@ def reason_counts(selected: DataFrame) -> DataFrame:
 def filtered_rates(outcomes: DataFrame, kept: DataFrame) -> DataFrame:
     """Per (model, item): the weighted pass rate over kept tests (4 digits), and how many were kept, passed and dropped.
 
-    The kept keys are small and equal for all models; they join by key, and a key's many outcomes spread by AQE.
+    The kept keys are equal for all models.  They are counted and broadcast, so that no outcome moves to meet them; more than
+    ``BROADCAST_TESTS`` join by key, and a key's many outcomes spread by AQE.
     """
-    marked = outcomes.join(kept.select(*KEY, F.lit(True).alias("kept")), KEY, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    keys = cut(kept.select(*KEY, F.lit(True).alias("kept")), "kept-tests")
+    keys = F.broadcast(keys) if keys.limit(BROADCAST_TESTS + 1).count() <= BROADCAST_TESTS else keys
+    marked = outcomes.join(keys, KEY, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     k = F.col("kept")
     agg = marked.groupBy("model", "item_id").agg(
         F.sum(F.when(k, F.col("weight"))).alias("w"), F.sum(F.when(k & F.col("passed"), F.col("weight")).otherwise(0.0)).alias("pw"), F.count_if(k).alias("kept_total"), F.count_if(k & F.col("passed")).alias("kept_passed"), F.count_if(~k).alias("dropped_total")

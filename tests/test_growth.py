@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -12,6 +13,7 @@ from pagequarry.llm.interpolation import packed
 from pagequarry.operators import bilingual as B
 from pagequarry.operators import curation as C
 from pagequarry.operators import quality as Q
+from pagequarry.operators import tcpool as T
 from pagequarry.sources.staging import BATCH_ROWS
 from pagequarry.sources.tables import table
 from pagequarry.streaming import incremental as I  # noqa: E741
@@ -149,3 +151,39 @@ def test_steps_of_a_case_are_cast_once(spark):
     assert sorted((r.kind, r.step or 0, r.field) for r in found.collect()) == [("step_action_sequence_mismatch", 0, "steps"), ("step_field_mismatch", 2, "text"), ("step_field_mismatch", 3, "action")]
     # Once in each edition, and the name stands in two kinds of mismatch.
     assert found._jdf.queryExecution().analyzed().toString().count(", steps)") == 4
+
+
+def outcomes_of(spark):
+    rows = [("i", str(k % 3), f"m{k % 4}", "sft" if k % 2 else "base", "" if k % 5 else f"n{k}", float(k % 7), k % 3 == 0 or None if k % 11 else False, (k * 37) % 101) for k in range(100)]
+    return rows, spark.createDataFrame(rows, "item_id string, test_id string, model string, group string, name string, weight double, passed boolean, pos long")
+
+
+def test_statistics_of_tests_dont_sort_all_outcomes(spark):
+    rows, outcomes = outcomes_of(spark)
+    stats = T.pass_stats(outcomes, "m2")
+    plan = [line for line in stats._jdf.queryExecution().sparkPlan().treeString().splitlines() if "Aggregate(" in line]
+    assert re.search(r"\bHashAggregate", plan[-1]), "only aggregates of numbers hash as many keys as there are"
+    for r in stats.collect():
+        own = sorted((x for x in rows if x[1] == r.test_id), key=lambda x: x[7])
+        sft, base, m2 = ([x for x in own if x[i] == v] for i, v in ((3, "sft"), (3, "base"), (2, "m2")))
+        passed = lambda xs: sum(bool(x[6]) for x in xs)
+        assert (r.observations, r.passed, r.sft_observations, r.sft_passed) == (len(own), passed(own), len(sft), passed(sft))
+        assert (r.non_sft_observations, r.non_sft_passed, r.target_observations, r.target_passed) == (len(base), passed(base), len(m2), passed(m2))
+        assert (r.groups, r.name, r.weight, r.first_pos) == ("base,sft", next((x[4] for x in own if x[4]), ""), own[-1][5], own[0][7])
+
+
+def test_outcomes_dont_move_to_meet_kept_tests(spark, monkeypatch):
+    rows, outcomes = outcomes_of(spark)
+    kept = spark.createDataFrame([("i", "1")], "item_id string, test_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = T.filtered_rates(outcomes, kept)
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().sparkPlan().treeString()
+        monkeypatch.setattr(T, "BROADCAST_TESTS", 0)
+        many = T.filtered_rates(outcomes, kept)
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().sparkPlan().treeString()
+        assert sorted(few.collect()) == sorted(many.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(r.kept_total for r in few.collect()) == sum(x[1] == "1" for x in rows)
