@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -34,9 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     return folder(spark)
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "zstd", **options) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
-    return cut(df, tag, codec)
+    return cut(df, tag, codec, **options)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -109,6 +111,26 @@ def release_arrow() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def release_memory() -> None:
+    """Gives back what Arrow's pool and the C library have kept of freed arrays."""
+    release_arrow()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+@contextmanager
+def narrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Bounds Arrow batches by ``size`` bytes for the plans that are run inside; a row of more stays whole, in a batch of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def text_bytes(texts: Iterable[str | None]) -> Iterable[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return (b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import discard
-from .common import materialize, partitions, power_of_two, release_arrow, session, small
+from .common import materialize, narrow_batches, partitions, power_of_two, release_memory, session, small
 from .components import components
 from .interpolation import BLOCKS, BUCKET_KEYS, Block, packed, unpacked, word_blocks
 
@@ -42,6 +42,10 @@ PART, QUERIES = 256, 2048
 SLICE = 1 << 17
 #: Buckets of a block that a task sends at once.
 SENT = 64
+#: Bytes of an Arrow batch: a block of usual size is more, so that Python and the JVM hold one at a time; of a Parquet row group, where
+#: compressed bytes count.
+BATCH = 4 << 20
+ROW_GROUPS = {"parquet.block.size": 1 << 20, "parquet.page.size.row.check.min": 1}
 #: Nodes that stand for a label in later rounds, about: what it is linked to there needn't be sought by the matrix.
 SPEAKERS = 64
 #: Buckets count by the leading bits of shingles' hashes, so many more than the corpus has shingles take; equal leading bits make two
@@ -106,54 +110,88 @@ def key_bits(tokens: int) -> int:
     return min(64, max(32, tokens.bit_length() + SPARE_BITS))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in word_blocks(batches):
+        yield block
+        del block
+        release_memory()
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ``keys``, which get sorted, and their counts."""
+    keys.sort()
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def numbered(keys: np.ndarray) -> np.ndarray:
+    """The place of each of ``keys`` among the distinct ones."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.r_[False, keys[1:] != keys[:-1]][: len(keys)]
+    del keys
+    place = np.empty(len(order), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32)
+    return place
+
+
 def _send(buckets: int, bits: int, shingle: int):
     cut, shift = np.uint64(64 - bits), np.uint64(bits - (buckets.bit_length() - 1))
+    names = [f.split()[0] for f in KEYS.split(", ")]
+
+    def send(block: Block) -> Iterator[pa.RecordBatch]:
+        number, keys = block.block, shingle_sets(block, shingle)[0]
+        del block
+        keys >>= cut
+        keys, counts = counted(keys)
+        cuts = np.r_[np.searchsorted(keys, np.arange(buckets, dtype=np.uint64) << shift), len(keys)]
+        there = np.flatnonzero(np.diff(cuts))
+        for k in range(0, len(there), SENT):
+            some = there[k : k + SENT]
+            pieces = [(packed(keys[i:j]), packed(counts[i:j])) for i, j in zip(cuts[some], cuts[some + 1], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([number] * len(pieces), pa.int64()), *(pa.array(list(p), pa.binary()) for p in zip(*pieces, strict=True))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                block = Block(batch.slice(n, 1).to_pylist()[0])
-                keys, counts = np.unique(shingle_sets(block, shingle)[0] >> cut, return_counts=True)
-                at = (keys >> shift).astype(np.int64)
-                there = np.unique(at)
-                cuts = np.searchsorted(at, there)
-                ends = np.r_[cuts[1:], len(keys)]
-                for k in range(0, len(there), SENT):
-                    some = slice(k, k + SENT)
-                    pieces = [(packed(keys[i:j]), packed(counts[i:j].astype(np.int64))) for i, j in zip(cuts[some], ends[some], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(there[some], pa.int32()), pa.array([block.block] * len(pieces), pa.int64()), *(pa.array(list(p), pa.binary()) for p in zip(*pieces, strict=True))], names=["bucket", "block", "keys", "counts"])
-        release_arrow()
+                yield from send(Block(batch.slice(n, 1).to_pylist()[0]))
+                release_memory()
 
     return run
 
 
 def _octaves(table: pa.Table) -> pa.Table:
     """One bucket: the octaves of its keys' document frequencies, for each block in the order of its keys."""
-    keys = [unpacked(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = np.concatenate([unpacked(x, np.int64) for x in table.column("counts").to_pylist()])
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, counts.astype(np.float64), len(distinct))
-    octave = np.log2(np.maximum(total, 1)).astype(np.uint8)[inverse]
+    release_memory()
+    keys = [unpacked(x.as_buffer(), np.uint64) for x in table.column("keys")]
     cuts = np.cumsum([len(k) for k in keys])[:-1]
+    keys = np.concatenate(keys)
+    place = numbered(keys)
+    del keys
+    counts = np.concatenate([unpacked(x.as_buffer(), np.int64) for x in table.column("counts")])
+    total = np.bincount(place, counts)
+    del counts
+    octave = np.log2(np.maximum(total, 1)).astype(np.uint8)[place]
     return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "octaves": pa.array([x.tobytes() for x in np.split(octave, cuts)], pa.binary())})
 
 
 def _sets(bits: int, shingle: int):
     cut = np.uint64(64 - bits)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        release_arrow()
+    def sets(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in SETS.split(", ")]
         answers = sorted(right.select(["bucket", "octaves"]).to_pylist(), key=lambda r: r["bucket"])
-        for row in left.to_pylist():
-            ids, (keys, sizes) = row["ids"], shingle_sets(Block(row), shingle)
-            inverse = np.unique(keys >> cut, return_inverse=True)[1]
-            octave = np.frombuffer(b"".join(r["octaves"] for r in answers), np.uint8)[inverse]
+        answers = np.frombuffer(b"".join(r["octaves"] for r in answers), np.uint8)
+        for row in range(left.num_rows):
+            block = Block(left.slice(row, 1).to_pylist()[0])
+            ids, (keys, sizes) = block.ids, shingle_sets(block, shingle)
+            del block
+            octave = answers[numbered(keys >> cut)]
             ends, seen = np.cumsum(sizes), set()
-            common = np.r_[0, np.cumsum(octave > 0)]
+            common = np.r_[0, np.cumsum(octave > 0, dtype=np.int32)]
             for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
                 cells: list = [ids[i], n, *[None] * (len(out) - 2)]
-                if n and 100 * (common[end] - common[end - n]) >= PERCENT * n:
+                if n and 100 * int(common[end] - common[end - n]) >= PERCENT * n:
                     own, rare = keys[end - n : end], octave[end - n : end]
                     digest = tuple(int(stirred(own + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64)) for s in (1, 2))
                     cells[2:4] = digest
@@ -168,6 +206,12 @@ def _sets(bits: int, shingle: int):
         kinds = [pa.int64()] * 7 + [pa.int32(), pa.list_(pa.int64())]
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in SETS.split(", ")])
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release_memory()
+        made = sets(left, right)
+        release_memory()
+        return made
+
     return run
 
 
@@ -249,9 +293,9 @@ def _open(groups: pa.Table, queries: pa.Table) -> pa.Table:
 def document_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: id, n (size of the set), and for those that may link the set's digest (d1, d2); of equal sets of a block
     the first has the group keys, the tokens (rarest first) and how many of them occur nowhere else."""
-    spark = session(docs.sparkSession)
+    spark = docs.sparkSession
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0).alias("part"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialize(kept.mapInArrow(word_blocks, BLOCKS), "gram-blocks")
+    blocks = materialize(kept.mapInArrow(_blocks, BLOCKS), "gram-blocks", **ROW_GROUPS)
     size = blocks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("n"), F.count("*").alias("blocks")).first()
     buckets = power_of_two(max(4 * partitions(spark), -(-(size.n // 4) // BUCKET_KEYS)))
     bits = key_bits(size.n // 4)
@@ -319,6 +363,11 @@ def _across_groups(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def similar_sets(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the least doc_id that is reachable over links; one row per row of ``docs``."""
+    with narrow_batches(session(docs.sparkSession), BATCH):
+        return _similar_sets(docs, shingle, id_col, text_col)
+
+
+def _similar_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     sets = document_sets(docs, shingle, id_col, text_col)
     digest = [F.col("d1"), F.col("d2")]
     of_set = [F.max(c).alias(c) for c in ("n", *ROUNDS, "skip")]

@@ -28,10 +28,10 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` and reads it back."""
+def cut(df: DataFrame, name: str, codec: str = "zstd", **options) -> DataFrame:
+    """Writes ``df`` (with Parquet's ``options``) and reads it back."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

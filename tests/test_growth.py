@@ -8,13 +8,15 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pagequarry.llm import jaccard_groups as J
+from pagequarry.llm.common import narrow_batches
 from pagequarry.llm.interpolation import packed
 from pagequarry.operators import bilingual as B
 from pagequarry.operators import curation as C
 from pagequarry.operators import quality as Q
 from pagequarry.operators import tcpool as T
-from pagequarry.sources.staging import BATCH_ROWS
+from pagequarry.sources.staging import BATCH_BYTES, BATCH_ROWS
 from pagequarry.sources.tables import table
 from pagequarry.streaming import incremental as I  # noqa: E741
 from pyspark.sql import functions as F
@@ -91,6 +93,57 @@ def test_shingles_of_a_block_are_made_and_sent_by_parts(monkeypatch):
     assert (keys == whole[0]).all() and (sizes == whole[1]).all()
 
 
+def most_held(run):
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_a_block_takes_few_arrays_of_its_size():
+    """Keys of a block are counted, numbered and answered in a few arrays at a time, and a worker gives back what it no longer holds."""
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 900, 2000).astype(np.int32)
+    tokens = rng.integers(1, 40000, lengths.sum()).astype(np.int32)
+    tokens[np.cumsum(lengths) - 1] = 0
+    cells = {"block": 1, "part": 0, "ids": list(range(2000)), "lengths": packed(lengths), "vocabulary": packed(rng.integers(0, 2**63, 40000).astype(np.uint64)), "tokens": packed(tokens)}
+    batch = pa.RecordBatch.from_pylist([cells])
+    assert most_held(lambda: [None for _ in J._send(4096, 40, 5)(iter([batch]))]) < 5.5 * 8 * len(tokens)
+    keys = np.unique(J.shingle_sets(J.Block(cells), 5)[0] >> np.uint64(24))
+    assert most_held(lambda: J.numbered(keys)) < 4 * 8 * len(keys)
+    answers = pa.table({"bucket": pa.array([0], pa.int32()), "block": [1], "octaves": pa.array([bytes(len(keys))], pa.binary())})
+    assert most_held(lambda: J._sets(40, 5)(pa.Table.from_batches([batch]), answers)) < 6 * 8 * len(tokens)
+
+
+def test_keys_are_counted_and_numbered():
+    rng = np.random.default_rng(2)
+    for keys in (rng.integers(0, 50, 400).astype(np.uint64), np.array([7], np.uint64), np.empty(0, np.uint64)):
+        distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        assert (J.numbered(keys) == inverse).all()
+        got = J.counted(keys.copy())
+        assert (got[0] == distinct).all() and (got[1] == counts).all() and got[1].dtype == np.int64
+
+
+def test_blocks_are_written_and_sent_one_at_a_time(spark, monkeypatch):
+    """Rows of more bytes than ``BATCH`` share neither a row group nor an Arrow batch; afterwards batches are bounded as before."""
+    name, written, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], J.materialize
+
+    def watch(df, tag, *args, **options):
+        written.append((tag, spark.conf.get(name), options))
+        return write(df, tag, *args, **options)
+
+    monkeypatch.setattr(J, "materialize", watch)
+    assert J.similar_sets(spark.createDataFrame([(i, f"w{i} a b c d e") for i in range(4)], "doc_id long, text string")).count() == 4
+    assert {size for _, size, _ in written} == {str(J.BATCH)} and spark.conf.get(name) == str(BATCH_BYTES)
+    assert [options for tag, _, options in written if tag == "gram-blocks"] == [J.ROW_GROUPS]
+    large = write(spark.range(0, 6, 1, 1).select(F.expr("cast(concat_ws('', transform(sequence(1, 150000), n -> md5(cast(7 * n + id as string)))) as binary)").alias("x")), "large", **J.ROW_GROUPS)
+    assert sum(pq.ParquetFile(f.removeprefix("file:")).num_row_groups for f in large.inputFiles()) == 6
+    with narrow_batches(spark, J.BATCH):
+        got = large.mapInArrow(lambda parts: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in parts), "n long").collect()
+    assert [r.n for r in got] == [1] * 6
+
+
 def test_texts_that_share_few_bands_are_not_compared(spark, monkeypatch):
     """Sixty texts share a band by chance; two share most: only these meet, and are linked."""
     rng = np.random.default_rng(1)
