@@ -160,12 +160,13 @@ def page(
     records: DataFrame, order: str = "score_asc", number: int = 0, limit: int = 80, low: int = 0, high: int = 100, repaired: bool = False, refined: bool = False, dataset: str = "all", with_html: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """A page of the records with a score from ``low`` to ``high`` (of one dataset, with a page, repaired or refined, if asked), in one of four
-    orders, of equal ones by their place in the results; and one row with how many there are in all."""
+    orders, of equal ones by their place in the results, and by uid where places are equal too, so that a record is on one page whatever the
+    partitions; and one row with how many there are in all."""
     kept = records.where(F.col("score").between(low, high))
     for use, test in ((with_html, F.col("has_html")), (dataset != "all", F.col("dataset") == dataset), (repaired, F.col("has_repair")), (refined, F.col("has_refine"))):
         kept = kept.where(test) if use else kept
     columns = {"score_asc": ["score"], "score_desc": [F.desc("score")], "uid_asc": ["uid"], "dataset_asc": ["dataset", "score"]}
-    return kept.orderBy(*columns.get(order, ["score"]), "place").offset(number * limit).limit(limit), kept.agg(F.count("*").alias("total"))
+    return kept.orderBy(*columns.get(order, ["score"]), "place", "uid").offset(number * limit).limit(limit), kept.agg(F.count("*").alias("total"))
 
 
 #: How long (ms) a page settles after an action: actions, the part of their timeout, the least and the most; last: all others.

@@ -253,6 +253,18 @@ def test_frames_are_paired_by_label_then_position(spark):
     assert [(r.before_seq, r.after_seq) for r in got] == [(5, 1), (6, 8), (7, 9)], "all frames of an unused label are paired by position"
 
 
+def test_pages_of_records_with_equal_places_hold_each_once(spark):
+    from pagequarry.operators import items
+
+    rows = [(f"u{i:03d}", i % 3, "F", 50, True, True, True) for i in reversed(range(90))]
+    kinds = "uid string, place long, dataset string, score long, has_html boolean, has_repair boolean, has_refine boolean"
+    want = sorted((place, uid) for uid, place, *_ in rows)
+    for parts in (1, 7):
+        records = spark.createDataFrame(rows, kinds).repartition(parts)
+        got = [(r.place, r.uid) for n in range(9) for r in items.page(records, "score_desc", n, 10)[0].collect()]
+        assert got == want
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [("  <!DOCTYPE html>x", "  <!DOCTYPE html>x"), ("prose\n```html\n<p>a</p>\n```  ", "<p>a</p>"), ("prose ```html\n<p>a</p>", "<p>a</p>"), ("see <html>b", "<html>b"), ("nothing", "nothing")],
